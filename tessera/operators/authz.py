@@ -95,46 +95,57 @@ def forget(tuples: DataFrame, objects: DataFrame, column: str = "object") -> Dat
     return tuples.join(objects.select(column).distinct(), column, "left_anti")
 
 
-def expand_record_access(tuples: DataFrame) -> DataFrame:
+# Userset rewrite rules of the record types: a stored tuple with relation R
+# contributes (derived relation, subject suffix) for every entry of RULES[R].
+# editor = this U team_member; viewer = this U editor U parent_org->member;
+# confidential_viewer = this U team_member.
+RECORD_RULES = {
+    "team_member": (("editor", ""), ("viewer", ""), ("confidential_viewer", "")),
+    "editor": (("editor", ""), ("viewer", "")),
+    "viewer": (("viewer", ""),),
+    "confidential_viewer": (("confidential_viewer", ""),),
+    "parent_org": (("viewer", "#member"),),
+}
+
+
+def expand_record_access(tuples: DataFrame, rules: dict = RECORD_RULES) -> DataFrame:
     """JN13/JN15/SET4: computed relations of record objects, usersets kept symbolic.
 
-    editor = direct editor U team_member;
-    viewer = direct viewer U editor U (parent_org -> ``<org>#member``);
-    confidential_viewer = direct U team_member.
+    One pass: each stored tuple is rewritten by ``explode`` into the computed
+    relations it contributes to (a parent org becomes the userset
+    ``<org>#member``, never its member list), then one ``distinct``.
     """
-    t = tuples.select(*TUPLE_COLS)
-
-    def rel(name):
-        return t.filter(F.col("relation") == name)
-    team = rel("team_member")
-    editor = rel("editor").unionByName(team.withColumn("relation", F.lit("editor")))
-    viewer = (rel("viewer")
-              .unionByName(editor.withColumn("relation", F.lit("viewer")))
-              .unionByName(rel("parent_org").select(F.concat(F.col("user"), F.lit("#member")).alias("user"),
-                                                    F.lit("viewer").alias("relation"), "object")))
-    conf = rel("confidential_viewer").unionByName(team.withColumn("relation", F.lit("confidential_viewer")))
-    return distinct_tuples(editor.unionByName(viewer).unionByName(conf))
+    empty = F.array().cast("array<struct<rel:string,suffix:string>>")
+    derived = None
+    for r, outs in rules.items():
+        arr = F.array(*[F.struct(F.lit(x).alias("rel"), F.lit(sfx).alias("suffix")) for x, sfx in outs])
+        derived = F.when(F.col("relation") == r, arr) if derived is None else derived.when(F.col("relation") == r, arr)
+    derived = derived.otherwise(empty)
+    out = (tuples.select("user", "object", F.explode(derived).alias("d"))
+                 .select(F.concat(F.col("user"), F.col("d.suffix")).alias("user"), F.col("d.rel").alias("relation"),
+                         "object"))
+    return distinct_tuples(out)
 
 
 def check(requests: DataFrame, expanded: DataFrame, memberships: DataFrame) -> DataFrame:
     """Check ``(user, relation, object)`` requests against expanded tuples.
 
-    Allowed when the subject is the user itself, the wildcard ``user:*``
-    (JN15, never expanded), or a userset ``<org>#member`` the user belongs
-    to (``memberships(user, relation='member', object=<org>)``).
+    Allowed when an expanded subject is the user itself, the wildcard
+    ``user:*`` (JN15, never expanded), or a userset ``<org>#member`` the user
+    belongs to (``memberships(user, relation='member', object=<org>)``).
+    Each request is expanded into its candidate subjects and probed with ONE
+    equi-join on (subject, relation, object); a final aggregate per request
+    folds the hits.
     """
-    req = requests.select(*TUPLE_COLS).distinct()
-    exp = expanded.select(F.col("user").alias("subject"), "relation", "object")
-    direct = req.join(exp, (req.user == exp.subject) & (req.relation == exp.relation) & (req.object == exp.object),
-                      "left_semi")
-    wild = req.join(exp.filter(F.col("subject") == WILDCARD).drop("subject"), ["relation", "object"], "left_semi")
+    req = requests.select(*TUPLE_COLS)
     mem = memberships.filter(F.col("relation") == "member").select(
-        "user", F.concat(F.col("object"), F.lit("#member")).alias("subject"))
-    via = (req.join(mem, "user")
-              .join(exp, ["subject", "relation", "object"], "left_semi")
-              .select(*TUPLE_COLS))
-    allowed = direct.unionByName(wild).unionByName(via).distinct().withColumn("allowed", F.lit(True))
-    return req.join(allowed, TUPLE_COLS, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+        "user", F.concat(F.col("object"), F.lit("#member")).alias("_us"))
+    cand = req.join(mem, "user", "left")
+    subjects = F.filter(F.array(F.col("user"), F.lit(WILDCARD), F.col("_us")), lambda x: x.isNotNull())
+    cand = cand.select(*TUPLE_COLS, F.explode(F.array_distinct(subjects)).alias("subject"))
+    hits = expanded.select(F.col("user").alias("subject"), "relation", "object", F.lit(True).alias("_hit"))
+    probed = cand.join(hits, ["subject", "relation", "object"], "left")
+    return probed.groupBy(*TUPLE_COLS).agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("allowed"))
 
 
 def check_capabilities(requests: DataFrame, tuples: DataFrame) -> DataFrame:

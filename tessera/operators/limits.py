@@ -77,18 +77,45 @@ def cidr_table(cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
                          F.substring(F.col("_b.bits"), 1, F.col("len")).alias("prefix")))
 
 
-def match_cidr(df: DataFrame, ip_col: str, cidrs: DataFrame, id_col: str, cidr: str = "cidr") -> DataFrame:
+INLINE_CIDR_LIMIT = 4096
+
+
+def match_cidr(df: DataFrame, ip_col: str, cidrs: DataFrame, id_col: str | None = None, cidr: str = "cidr",
+               inline_limit: int = INLINE_CIDR_LIMIT) -> DataFrame:
     """FIL8/JN11: add ``matched`` and the longest matching ``matched_cidr``.
 
-    The distinct prefix lengths (at most 162 values) are read once from the
-    CIDR table; every address is expanded to one candidate per length and
-    equi-joined.  The CIDR side is not hinted: AQE broadcasts it when it is
-    small and keeps a shuffle join when it is not (e.g. a geo-IP database).
+    Size-checked strategy:
+
+    * allow-list with at most ``inline_limit`` entries (checked with a
+      ``limit(n + 1).count()`` on the CIDR side): the list is compiled into a
+      map literal and every address probes one key per prefix length -- a
+      pure projection, no join, no shuffle of the request side;
+    * larger tables (e.g. a geo-IP database): each address is expanded into
+      one candidate per distinct prefix length (at most 162) and equi-joined
+      on (family, length, prefix); AQE picks broadcast or shuffle at runtime.
+      ``id_col`` (a unique row key) is required on this path.
     """
     ct = cidr_table(cidrs, cidr)
+    small = ct.limit(inline_limit + 1).count() <= inline_limit
+    if small:
+        rows = ct.collect()                      # bounded by the check above
+        lengths = sorted({(r["family"], r["len"]) for r in rows})
+        lut = F.create_map(*[x for r in rows for x in (F.lit(f"{r['family']}:{r['len']}:{r['prefix']}"),
+                                                       F.lit(r["cidr"]))]) if rows else None
+        # address bits computed once per row, then one map probe per prefix length;
+        # lengths ascend, so the last hit is the longest prefix
+        b = F.col("_ipb")
+        best = F.lit(None).cast("string")
+        for f, n in lengths:
+            probe = F.try_element_at(lut, F.concat(F.lit(f"{f}:{n}:"), F.substring(b["bits"], 1, n)))
+            best = F.when((b["family"] == f) & probe.isNotNull(), probe).otherwise(best)
+        return (df.withColumn("_ipb", ip_bits(F.col(ip_col)))
+                  .withColumn("matched_cidr", best).drop("_ipb")
+                  .withColumn("matched", F.col("matched_cidr").isNotNull()))
+    if id_col is None:
+        raise ValueError("match_cidr needs id_col for a CIDR table above the inline limit")
     lengths = sorted({(r["family"], r["len"]) for r in ct.select("family", "len").distinct().collect()})
-    cand = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("len")) for f, n in lengths]) \
-        if lengths else F.array().cast("array<struct<family:int,len:int>>")
+    cand = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("len")) for f, n in lengths])
     addr = df.select(F.col(id_col), ip_bits(F.col(ip_col)).alias("_b"))
     exp = (addr.filter(F.col("_b").isNotNull())
                .select(id_col, "_b", F.explode(F.filter(cand, lambda c: c["family"] == F.col("_b.family"))).alias("_c"))

@@ -35,21 +35,30 @@ ERROR_TEXT_LIMIT = 2000
 # MERGE (JN1, DML1, Q2-Q5)
 # --------------------------------------------------------------------------
 
-def collapse_source(source: DataFrame, key_cols, carriers: dict, order: Column) -> DataFrame:
+def collapse_source(source: DataFrame, key_cols, carriers: dict, order: Column, groups: list | None = None) -> DataFrame:
     """One row per key: per column, the value of the **last** event that lists it.
 
     ``carriers`` maps column -> Column predicate "this row's event type lists
-    the column".  ``max_by`` with a NULL ordering for non-carriers skips them,
-    and is a declarative aggregate, so Spark does a map-side partial
+    the column".  Columns with the same carrier set are taken together with
+    ONE ``max_by(struct(cols), ordering)`` (``groups`` = lists of such
+    columns); a NULL ordering for non-carriers makes ``max_by`` skip them.
+    ``max_by`` is a declarative aggregate, so Spark does a map-side partial
     aggregation before the shuffle on the key (a hot key costs one row per
     map task, not a third of the data in one task).
     """
+    groups = groups or [[c] for c in carriers]
     aggs = []
-    for c, carried in carriers.items():
-        aggs.append(F.max_by(F.col(c), F.when(carried, order)).alias(c))
-        aggs.append(F.max(carried.cast("int")).alias(f"_has_{c}"))
+    for i, cols in enumerate(groups):
+        carried = carriers[cols[0]]
+        aggs.append(F.max_by(F.struct(*[F.col(c) for c in cols]), F.when(carried, order)).alias(f"_g{i}"))
+        aggs.append(F.max(carried.cast("int")).alias(f"_hasg{i}"))
     aggs.append(F.count(F.lit(1)).alias("_n_source"))
-    return source.groupBy(*key_cols).agg(*aggs)
+    out = source.groupBy(*key_cols).agg(*aggs)
+    sel = [F.col(k) for k in key_cols]
+    for i, cols in enumerate(groups):
+        sel += [F.col(f"_g{i}").getField(c).alias(c) for c in cols]
+        sel += [F.col(f"_hasg{i}").alias(f"_has_{c}") for c in cols]
+    return out.select(*sel, "_n_source")
 
 
 def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_key: str,
@@ -76,13 +85,16 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
         ord_col = F.struct(rank.alias("r"), F.col("event_time"), F.col("event_id"))
     else:
         ord_col = F.struct(F.col("event_time"), F.col("event_id"))
-    carriers = {}
+    carriers, by_types = {}, {}
     for c, types in update_cols.items():
         carried = F.col(type_col).isin(list(types))
         if ignore_nulls:
             carried = carried & F.col(c).isNotNull()
+            by_types[(c,)] = [c]                       # NULL-skipping is per column
+        else:
+            by_types.setdefault(tuple(sorted(types)), []).append(c)
         carriers[c] = carried
-    collapsed = collapse_source(source, keys, carriers, ord_col)
+    collapsed = collapse_source(source, keys, carriers, ord_col, list(by_types.values()))
 
     t = target.alias("t")
     s = collapsed.alias("s")

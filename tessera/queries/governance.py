@@ -178,19 +178,21 @@ exp AS (SELECT DISTINCT "user", 'editor' AS relation, object FROM editor
 
 
 def _record_tuples(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    """Record tuples of every order, generated in one scan (orders joined to customer once)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     deal = F.concat(F.lit("deal:"), F.col("o_orderkey").cast("string"))
     cust = F.concat(F.lit("user:c"), F.col("o_custkey").cast("string"))
-    parent = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.concat(F.lit("org:n"), F.col("c_nationkey").cast("string")).alias("user"),
-        F.lit("parent_org").alias("relation"), deal.alias("object"))
-    team = o.select(cust.alias("user"), F.lit("team_member").alias("relation"), deal.alias("object"))
-    editor = o.filter(F.col("o_orderpriority") == "1-URGENT").select(cust.alias("user"), F.lit("editor").alias("relation"),
-                                                                      deal.alias("object"))
-    viewer = o.filter(F.col("o_orderstatus") == "O").select(F.lit(AZ.WILDCARD).alias("user"),
-                                                           F.lit("viewer").alias("relation"), deal.alias("object"))
-    return parent.unionByName(team).unionByName(editor).unionByName(viewer)
+
+    def tup(u, r, ok=None):
+        t = F.struct(u.alias("user"), F.lit(r).alias("relation"), deal.alias("object"))
+        return t if ok is None else F.when(ok, t)
+    gen = F.filter(F.array(
+        tup(F.concat(F.lit("org:n"), F.col("c_nationkey").cast("string")), "parent_org"),
+        tup(cust, "team_member"),
+        tup(cust, "editor", F.col("o_orderpriority") == "1-URGENT"),
+        tup(F.lit(AZ.WILDCARD), "viewer", F.col("o_orderstatus") == "O")), lambda x: x.isNotNull())
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.explode(gen).alias("t")).select("t.*")
 
 
 @binding("authz_expand", sql="WITH " + _AUTHZ_SQL + """
