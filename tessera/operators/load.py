@@ -141,6 +141,9 @@ def write_merged(updated: DataFrame, path: str, partition_cols, touched: DataFra
        .partitionBy(*partition_cols).parquet(path))
 
 
+swap_partitions = write_merged    # DML5 name used in the survey
+
+
 # --------------------------------------------------------------------------
 # Load log (SNK2, DML2, FIL1, JN2, JN16, AGG1/AGG2)
 # --------------------------------------------------------------------------

@@ -139,6 +139,21 @@ def split_mapped(env: DataFrame, registry) -> tuple:
     return mapped, unmapped
 
 
+def registry_frame(spark, registry) -> DataFrame:
+    """The registry as a small table: (event_type, target_table, strategy, merge_key)."""
+    rows = [(e.event_type, e.table, e.strategy, e.merge_key) for e in registry.values()]
+    return spark.createDataFrame(rows, "event_type string, target_table string, strategy string, merge_key string")
+
+
+def dispatch_for(types: DataFrame, registry, type_col: str = "event_type") -> DataFrame:
+    """JN4: look up each event type's dispatch entry (left join; unmapped -> NULL).
+
+    The registry holds a few dozen entries (fixed by code), so it is broadcast.
+    """
+    reg = registry_frame(types.sparkSession, registry).withColumnRenamed("event_type", type_col)
+    return types.join(F.broadcast(reg), type_col, "left")
+
+
 def empty_like(df_or_schema, spark=None) -> DataFrame:
     """DML4: empty frame with the same columns, every field nullable."""
     from pyspark.sql import types as T
@@ -159,4 +174,4 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 __all__ = ["ENVELOPE_SCHEMA", "ENVELOPE_COLS", "envelope_cols", "coerce", "parse_data", "project",
-           "project_table", "unify", "split_mapped", "empty_like", "conform"]
+           "project_table", "unify", "split_mapped", "registry_frame", "dispatch_for", "empty_like", "conform"]

@@ -578,3 +578,32 @@ def scalar_cleaning(spark, sf_dir):
                                                   F.concat(F.lit("axira-"), F.col("seg")))), ",").alias("roles_prefixed"),
         FN.day_index("axira-logs", F.concat(F.lit("tn"), F.col("c_nationkey").cast("string")),
                      F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).alias("index_name"))
+
+
+@binding("capability_check", sql="""
+WITH holders AS (SELECT 'role:' || p_type || '#assignee' AS holder, 'capability:p' || CAST(p_partkey AS VARCHAR) AS object
+                 FROM part),
+assignees AS (SELECT 'user:s' || CAST(s.s_suppkey AS VARCHAR) AS "user", 'role:' || p.p_type || '#assignee' AS holder
+              FROM supplier s JOIN part p ON s.s_suppkey = p.p_partkey),
+req AS (SELECT DISTINCT 'user:s' || CAST(l_suppkey AS VARCHAR) AS "user",
+               'capability:p' || CAST(l_partkey AS VARCHAR) AS object FROM lineitem)
+SELECT r."user", r.object,
+       EXISTS (SELECT 1 FROM assignees a JOIN holders h ON a.holder = h.holder
+               WHERE a."user" = r."user" AND h.object = r.object) AS allowed
+FROM req r
+""")
+def capability_check(spark, sf_dir):
+    """JN14: capability granted through a role#assignee holder userset (two equi-joins)."""
+    part = table(spark, sf_dir, "part")
+    sup = table(spark, sf_dir, "supplier")
+    holders = part.select(F.concat(F.lit("role:"), "p_type", F.lit("#assignee")).alias("user"),
+                          F.lit("holder").alias("relation"),
+                          F.concat(F.lit("capability:p"), F.col("p_partkey").cast("string")).alias("object"))
+    assignees = sup.join(part, sup.s_suppkey == part.p_partkey).select(
+        F.concat(F.lit("user:s"), F.col("s_suppkey").cast("string")).alias("user"),
+        F.lit("assignee").alias("relation"), F.concat(F.lit("role:"), "p_type").alias("object"))
+    reqs = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("user:s"), F.col("l_suppkey").cast("string")).alias("user"),
+        F.lit("granted").alias("relation"),
+        F.concat(F.lit("capability:p"), F.col("l_partkey").cast("string")).alias("object"))
+    return AZ.check_capabilities(reqs, holders.unionByName(assignees))

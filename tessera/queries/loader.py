@@ -308,3 +308,29 @@ SELECT DISTINCT event_type FROM events
 def event_types(spark, sf_dir):
     """SRC3: distinct event types present (partition values on a bronze layout)."""
     return events(spark, sf_dir).select("event_type").distinct()
+
+
+@binding("late_files", sql=f"""
+SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS late_rows
+FROM events WHERE ts < date_trunc('hour', TIMESTAMP '{AS_OF}') - INTERVAL 2 HOUR
+GROUP BY 1, 2
+""")
+def late_files(spark, sf_dir):
+    """STR2: everything older than the lookback window, reported per type and hour."""
+    from ..sources.bronze import late_report
+    ev = events(spark, sf_dir)
+    return late_report(ev, AS_OF, 2, ts=F.col("ts"))
+
+
+@binding("dispatch_lookup", sql="""
+SELECT t.event_type, r.target_table, r.strategy, count(*) AS row_count
+FROM events t LEFT JOIN (VALUES ('signup', 'fact_signup', 'INSERT'), ('click', 'fact_click', 'INSERT'),
+                                ('purchase', 'fact_purchase', 'INSERT'), ('error', 'fact_error', 'INSERT'))
+                        r(event_type, target_table, strategy) ON t.event_type = r.event_type
+GROUP BY 1, 2, 3
+""")
+def dispatch_lookup(spark, sf_dir):
+    """JN4: per-row dispatch lookup through the (broadcast) registry table."""
+    ev = events(spark, sf_dir).select("event_type")
+    return (P.dispatch_for(ev, TEST_REGISTRY).groupBy("event_type", "target_table", "strategy")
+            .agg(F.count(F.lit(1)).alias("row_count")))

@@ -67,13 +67,26 @@ def lookback(df: DataFrame, as_of, hours: int = 2) -> DataFrame:
     return df.filter(lookback_filter(hour_ts().cast("timestamp_ntz"), as_of, hours))
 
 
+def late_report(df: DataFrame, as_of, hours: int = 2, ts: Column | None = None) -> DataFrame:
+    """STR2: rows outside the lookback window, reported per event type and hour
+    instead of being silently skipped (the stream itself reads them)."""
+    t = ts if ts is not None else hour_ts().cast("timestamp_ntz")
+    top = F.date_trunc("hour", F.lit(as_of).cast("timestamp_ntz")) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    return (df.filter(t < top).groupBy("event_type", F.date_trunc("hour", t).alias("hour"))
+              .agg(F.count(F.lit(1)).alias("late_rows")))
+
+
 def list_event_types(df: DataFrame) -> DataFrame:
     """SRC3: event types present; answered from partition values (metadata)."""
     return df.select("event_type").distinct()
 
 
 def split_corrupt(df: DataFrame) -> tuple:
-    """Q14/SNK7: (good rows, rejected rows with error_type) instead of failing the batch."""
+    """Q14/SNK7: (good rows, rejected rows with error_type) instead of failing the batch.
+
+    Spark refuses raw-JSON scans that read nothing but the corrupt-record
+    column, so pass a persisted frame (the loader tick persists its batch).
+    """
     bad = df.filter(F.col("_corrupt_record").isNotNull())
     good = df.filter(F.col("_corrupt_record").isNull())
     rejects = bad.select(
