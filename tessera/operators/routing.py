@@ -95,34 +95,38 @@ def customer_category(event_type) -> Column:
 
 
 def notification_targets(events: DataFrame, tenant_config: DataFrame) -> DataFrame:
-    """JN9 + FN10-14: every (event, sink, channel) delivery.
+    """JN9 + FN10-14: every (event, sink, channel) delivery, in one pass.
 
     * internal Slack always, plus ``#axira-incidents`` for p1 unless that is
       already the channel (``array_distinct``);
-    * the tenant's own provider(s): left join on tenant id, nothing for an
-      unknown tenant or ``provider = 'none'``; ``both`` explodes into two.
+    * the tenant's own provider(s): left join on tenant id; nothing for an
+      unknown tenant or ``provider = 'none'``; ``both`` yields two targets.
 
+    One left join (the configuration side is one row per tenant; AQE
+    broadcasts it when small) and one generator over all targets.
     ``events(event_id, type, urgency, tenant_id)``;
     ``tenant_config(tenant_id, provider, slack_channels map, teams_channels map)``.
     """
     ch = internal_channel(F.col("type"))
-    internal = F.array_distinct(F.array(ch, F.when(F.col("urgency") == "p1", F.lit(INCIDENTS_CHANNEL)).otherwise(ch)))
-    own = events.select("event_id", F.lit("axira-slack").alias("sink"), F.explode(internal).alias("channel"))
-
-    cust = (events.filter(F.col("tenant_id").isNotNull())
-            .join(tenant_config, "tenant_id")          # inner = drop when no configuration
-            .filter(F.col("provider") != "none"))
-    sinks = (F.when(F.col("provider") == "slack", F.array(F.lit("slack")))
-             .when(F.col("provider") == "teams", F.array(F.lit("teams")))
-             .when(F.col("provider") == "both", F.array(F.lit("slack"), F.lit("teams")))
-             .otherwise(F.array().cast("array<string>")))
+    esc = F.when(F.col("urgency") == "p1", F.lit(INCIDENTS_CHANNEL)).otherwise(ch)
+
+    def target(sink, chan):
+        return F.struct(F.lit(sink).alias("sink"), chan.alias("channel"))
+    internal = F.array_distinct(F.array(target("axira-slack", ch), target("axira-slack", esc)))
     cat = customer_category(F.col("type"))
-    cust = cust.select("event_id", cat.alias("_cat"), "slack_channels", "teams_channels",
-                       F.explode(sinks).alias("sink"))
-    chan = F.when(F.col("sink") == "slack", F.col("slack_channels")[F.col("_cat")]) \
-            .otherwise(F.col("teams_channels")[F.col("_cat")])
-    cust = cust.select("event_id", "sink", chan.alias("channel"))
-    return own.unionByName(cust)
+    prov = F.col("provider")
+    slack = F.when(prov.isin("slack", "both"), target("slack", F.col("slack_channels")[cat]))
+    teams = F.when(prov.isin("teams", "both"), target("teams", F.col("teams_channels")[cat]))
+    customer = F.filter(F.array(slack, teams), lambda x: x.isNotNull())
+    joined = events.join(tenant_config, "tenant_id", "left")
+    return (joined.select("event_id", F.explode(F.concat(internal, customer)).alias("t"))
+                  .select("event_id", "t.sink", "t.channel"))
+
+
+def dead_letter_lane(receive_count, max_receive: int) -> Column:
+    """STR8 as a column: 'dead' once receives exceed ``max_receive``, else 'live'."""
+    rc = F.col(receive_count) if isinstance(receive_count, str) else receive_count
+    return F.when(rc > max_receive, F.lit("dead")).otherwise(F.lit("live"))
 
 
 def _details_pairs(details: Column):

@@ -207,14 +207,11 @@ def dlq_split(spark, sf_dir):
     """STR8: live vs dead-letter per topic at both configured receive limits."""
     msgs = events(spark, sf_dir).select(_case("event_type", _TOPIC).alias("topic"),
                                         F.floor(F.second("ts") / 8).cast("int").alias("receive_count"))
-    out = None
-    for mr in (MAX_RECEIVE_DEFAULT, MAX_RECEIVE_PROD):
-        live, dead = R.dead_letter(msgs, mr)
-        part = (live.withColumn("lane", F.lit("live")).unionByName(dead.withColumn("lane", F.lit("dead")))
-                .groupBy("topic", "lane").agg(F.count(F.lit(1)).alias("n"))
-                .withColumn("max_receive", F.lit(mr)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # both configured limits in one pass: one row per (message, limit)
+    limits = msgs.select("topic", "receive_count",
+                         F.explode(F.array(F.lit(MAX_RECEIVE_DEFAULT), F.lit(MAX_RECEIVE_PROD))).alias("max_receive"))
+    lane = F.when(F.col("receive_count") > F.col("max_receive"), F.lit("dead")).otherwise(F.lit("live"))
+    return limits.groupBy("topic", "max_receive", lane.alias("lane")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @binding("fifo_dedup", sql=f"""
@@ -339,6 +336,5 @@ SELECT CASE WHEN topic IN ({', '.join(repr(t) for t in PRIORITY_TOPICS)}) THEN '
 def priority_split(spark, sf_dir):
     """STR9: priority (approval, mission) vs normal lane."""
     msgs = events(spark, sf_dir).select(_case("event_type", _TOPIC).alias("topic"))
-    p, n = R.split_priority(msgs, PRIORITY_TOPICS)
-    return (p.withColumn("lane", F.lit("priority")).unionByName(n.withColumn("lane", F.lit("normal")))
-            .groupBy("lane", "topic").agg(F.count(F.lit(1)).alias("n")))
+    lane = F.when(F.col("topic").isin(*PRIORITY_TOPICS), F.lit("priority")).otherwise(F.lit("normal"))
+    return msgs.groupBy(lane.alias("lane"), "topic").agg(F.count(F.lit(1)).alias("n"))
