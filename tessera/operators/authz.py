@@ -141,8 +141,9 @@ def check(requests: DataFrame, expanded: DataFrame, memberships: DataFrame) -> D
     mem = memberships.filter(F.col("relation") == "member").select(
         "user", F.concat(F.col("object"), F.lit("#member")).alias("_us"))
     cand = req.join(mem, "user", "left")
-    subjects = F.filter(F.array(F.col("user"), F.lit(WILDCARD), F.col("_us")), lambda x: x.isNotNull())
-    cand = cand.select(*TUPLE_COLS, F.explode(F.array_distinct(subjects)).alias("subject"))
+    # plain array + explode (codegen'd); NULL userset rows are dropped after the explode
+    cand = (cand.select(*TUPLE_COLS, F.explode(F.array(F.col("user"), F.lit(WILDCARD), F.col("_us"))).alias("subject"))
+                .filter(F.col("subject").isNotNull()))
     hits = expanded.select(F.col("user").alias("subject"), "relation", "object", F.lit(True).alias("_hit"))
     probed = cand.join(hits, ["subject", "relation", "object"], "left")
     return probed.groupBy(*TUPLE_COLS).agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("allowed"))

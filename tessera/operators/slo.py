@@ -62,13 +62,17 @@ def error_rate(requests: DataFrame, window_minutes: int, is_error: Column, ts: s
                      "requests", "errors", rate.alias("error_rate"))
 
 
-def _stat(stat: str) -> Column:
+def _stat(stat: str, cents: bool = False) -> Column:
+    """One statistic of ``value``.  ``cents=True`` sums exact integer hundredths
+    (for 2-decimal money/latency values) so the result does not depend on the
+    order in which partial sums are combined."""
     v = F.col("value")
     s = stat.lower()
+    exact = F.round(v * 100).cast("long")
     if s == "average":
-        return F.avg(v)
+        return (F.sum(exact) / F.count(v)) / 100.0 if cents else F.avg(v)
     if s == "sum":
-        return F.sum(v)
+        return F.sum(exact) / 100.0 if cents else F.sum(v)
     if s == "minimum":
         return F.min(v)
     if s == "maximum":
@@ -80,7 +84,7 @@ def _stat(stat: str) -> Column:
     raise ValueError(stat)
 
 
-def stat_switch(samples: DataFrame, definitions: DataFrame, period: str) -> DataFrame:
+def stat_switch(samples: DataFrame, definitions: DataFrame, period: str, cents: bool = False) -> DataFrame:
     """AGG9: per definition row ``(def_id, metric, stat)`` the chosen statistic per period.
 
     All candidate statistics are computed in one aggregate per (metric, period),
@@ -88,7 +92,7 @@ def stat_switch(samples: DataFrame, definitions: DataFrame, period: str) -> Data
     """
     stats = ["average", "sum", "minimum", "maximum", "p95"]
     agg = (samples.groupBy("metric", F.window("ts", period).alias("w"))
-           .agg(*[_stat(s).alias(s) for s in stats]))
+           .agg(*[_stat(s, cents).alias(s) for s in stats]))
     joined = agg.join(F.broadcast(definitions), "metric")
     pick = F.lit(None).cast("double")
     for s in stats:

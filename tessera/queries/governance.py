@@ -55,13 +55,12 @@ def _eval_inputs(spark, sf_dir):
 
 
 @binding("eval_compare", sql="WITH " + _EVAL_SQL + """
-SELECT agent_id, skill_id, round(baseline, 6) AS baseline, round(current, 6) AS current, drop_pct, status FROM cmp2
+SELECT agent_id, skill_id, baseline, current, drop_pct, status FROM cmp2
 """)
 def eval_compare(spark, sf_dir):
     """JN7 + FN1: per (agent, skill) drop %, status REGRESSION > 5, WARNING > 2."""
     base, cur = _eval_inputs(spark, sf_dir)
-    c = EG.compare_eval(base, cur)
-    return c.withColumn("baseline", F.round("baseline", 6)).withColumn("current", F.round("current", 6))
+    return EG.compare_eval(base, cur)
 
 
 @binding("eval_agents", sql="WITH " + _EVAL_SQL + """
@@ -89,8 +88,8 @@ def eval_report(spark, sf_dir):
 
 @binding("eval_ratchet", sql="WITH " + _EVAL_SQL + """
 SELECT coalesce(b.agent_id, c.agent_id) AS agent_id, coalesce(b.skill_id, c.skill_id) AS skill_id,
-       round(CASE WHEN c.current IS NOT NULL AND c.current >= coalesce(b.accuracy, 0) THEN c.current
-                  ELSE b.accuracy END, 6) AS accuracy,
+       CASE WHEN c.current IS NOT NULL AND c.current >= coalesce(b.accuracy, 0) THEN c.current
+            ELSE b.accuracy END AS accuracy,
        CASE WHEN c.current IS NOT NULL AND c.current >= coalesce(b.accuracy, 0) THEN TIMESTAMP '2024-02-01 00:00:00'
             ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at,
        c.current IS NOT NULL AND c.current >= coalesce(b.accuracy, 0) AS updated
@@ -99,8 +98,7 @@ FROM base b FULL OUTER JOIN cmp2 c ON b.agent_id = c.agent_id AND b.skill_id = c
 def eval_ratchet(spark, sf_dir):
     """JN8 + DML13: baselines raised where current >= existing, stamped with the run time."""
     base, cur = _eval_inputs(spark, sf_dir)
-    r = EG.ratchet(base, EG.compare_eval(base, cur), "2024-02-01 00:00:00")
-    return r.withColumn("accuracy", F.round("accuracy", 6))
+    return EG.ratchet(base, EG.compare_eval(base, cur), "2024-02-01 00:00:00")
 
 
 # ------------------------------------------------------------- authorization

@@ -319,7 +319,7 @@ def late_files(spark, sf_dir):
     """STR2: everything older than the lookback window, reported per type and hour."""
     from ..sources.bronze import late_report
     ev = events(spark, sf_dir)
-    return late_report(ev, AS_OF, 2, ts=F.col("ts"))
+    return late_report(ev, AS_OF, 2, ts=F.col("ts")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @binding("dispatch_lookup", sql="""

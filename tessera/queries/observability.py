@@ -67,8 +67,8 @@ WITH w AS (
 a AS (SELECT window_minutes, window_start, count(*) AS requests,
              count(*) FILTER (WHERE event_type = 'error') AS errors FROM w GROUP BY 1, 2)
 SELECT window_minutes, window_start, requests, errors,
-       round(CASE WHEN requests = 0 THEN 0 ELSE errors / requests END, 6) AS error_rate,
-       round(CASE window_minutes WHEN 60 THEN {_FAST!r} ELSE {_SLOW!r} END, 6) AS threshold,
+       CASE WHEN requests = 0 THEN 0 ELSE errors / requests END AS error_rate,
+       CASE window_minutes WHEN 60 THEN {_FAST!r} ELSE {_SLOW!r} END AS threshold,
        (CASE WHEN requests = 0 THEN 0 ELSE errors / requests END) >
          (CASE window_minutes WHEN 60 THEN {_FAST!r} ELSE {_SLOW!r} END) AS burning,
        {_BUDGET!r} AS budget_minutes
@@ -82,7 +82,7 @@ def error_rate_burn(spark, sf_dir):
     for minutes, thr in ((SLO["fast_burn_window_minutes"], _FAST), (SLO["slow_burn_window_minutes"], _SLOW)):
         r = S.error_rate(ev, minutes, is_err).select(
             "window_minutes", "window_start", "requests", "errors",
-            F.round("error_rate", 6).alias("error_rate"), F.round(F.lit(thr), 6).alias("threshold"),
+            F.col("error_rate"), F.lit(thr).alias("threshold"),
             (F.col("error_rate") > F.lit(thr)).alias("burning"), F.lit(_BUDGET).alias("budget_minutes"))
         out = r if out is None else out.unionByName(r)
     return out
@@ -144,12 +144,14 @@ def alarm_m_of_n(spark, sf_dir):
 WITH defs(def_id, metric, stat) AS (VALUES ('click_avg', 'click', 'Average'), ('purchase_sum', 'purchase', 'Sum'),
        ('view_min', 'view', 'Minimum'), ('signup_max', 'signup', 'Maximum'), ('error_p95', 'error', 'p95')),
 agg AS (
-  SELECT event_type AS metric, date_trunc('hour', ts) AS period_start, avg(value) AS a, sum(value) AS s,
-         min(value) AS mn, max(value) AS mx, quantile_cont(value, 0.95) AS p95
+  SELECT event_type AS metric, date_trunc('hour', ts) AS period_start,
+         (sum(CAST(round(value * 100) AS BIGINT)) / count(value)) / 100.0 AS a,
+         sum(CAST(round(value * 100) AS BIGINT)) / 100.0 AS s,
+         min(value) AS mn, max(value) AS mx, round(quantile_cont(value, 0.95), 4) AS p95
   FROM events GROUP BY 1, 2)
 SELECT def_id, period_start,
-       round(CASE stat WHEN 'Average' THEN a WHEN 'Sum' THEN s WHEN 'Minimum' THEN mn
-                       WHEN 'Maximum' THEN mx WHEN 'p95' THEN p95 END, 4) AS value
+       CASE stat WHEN 'Average' THEN a WHEN 'Sum' THEN s WHEN 'Minimum' THEN mn
+                 WHEN 'Maximum' THEN mx WHEN 'p95' THEN p95 END AS value
 FROM agg JOIN defs USING (metric)
 """)
 def stat_switch(spark, sf_dir):
@@ -158,7 +160,9 @@ def stat_switch(spark, sf_dir):
     defs = spark.createDataFrame(
         [("click_avg", "click", "Average"), ("purchase_sum", "purchase", "Sum"), ("view_min", "view", "Minimum"),
          ("signup_max", "signup", "Maximum"), ("error_p95", "error", "p95")], "def_id string, metric string, stat string")
-    return S.stat_switch(ev, defs, "1 hour").withColumn("value", F.round("value", 4))
+    out = S.stat_switch(ev, defs, "1 hour", cents=True)
+    # exact sums/averages stay unrounded; the interpolated percentile is rounded to 4 places
+    return out.withColumn("value", F.when(F.col("def_id") == "error_p95", F.round("value", 4)).otherwise(F.col("value")))
 
 
 @binding("telemetry_clean", sql="""

@@ -267,17 +267,21 @@ FROM events GROUP BY 1, 2
 """)
 def quota_daily(spark, sf_dir):
     """AGG15: calls per tenant per day vs a daily quota."""
-    return LM.quota(events(spark, sf_dir), "user_id", "ts", "day", None, 4)
+    out = LM.quota(events(spark, sf_dir), "user_id", "ts", "day", None, 4)
+    return out.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
 @binding("budget_monthly", sql="""
-SELECT user_id, date_trunc('month', ts) AS period_start, round(sum(value), 2) AS used, sum(value) > 500 AS over
+SELECT user_id, date_trunc('month', ts) AS period_start, sum(CAST(round(value * 100) AS BIGINT)) / 100.0 AS used,
+       sum(CAST(round(value * 100) AS BIGINT)) > 50000 AS over
 FROM events GROUP BY 1, 2
 """)
 def budget_monthly(spark, sf_dir):
     """AGG15: spend per tenant per month vs the 500 USD budget."""
-    out = LM.quota(events(spark, sf_dir), "user_id", "ts", "month", F.col("value"), 500.0)
-    return out.withColumn("used", F.round("used", 2))
+    # money in exact cents: the monthly total does not depend on summation order
+    cents = F.round(F.col("value") * 100).cast("long")
+    out = LM.quota(events(spark, sf_dir), "user_id", "ts", "month", cents, 50000)
+    return out.withColumn("used", F.col("used") / 100.0).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
 TEST_CIDRS = ("10.0.0.0/12", "10.32.0.0/11", "10.100.5.0/24", "10.120.0.0/13", "10.140.0.0/14", "10.140.12.0/22")

@@ -68,6 +68,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a scan that arrives in fewer splits than the cluster has cores.
+
+    A single-row-group file is one scan task however large the cluster;
+    spreading it lets the CPU-heavy projections after the scan (JSON parsing,
+    regexes, generators) run on every core.  A no-op for inputs that are
+    already split (the normal case at scale).  Filters and column pruning
+    are still pushed below the repartition into the scan.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Load one driver-generated parquet table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Load one driver-generated parquet table (spread when under-split)."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
