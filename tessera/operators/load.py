@@ -248,7 +248,13 @@ def cap_per_type(files: DataFrame, n: int, group: str = "event_type", order=None
 
 
 def chunk(df: DataFrame, n: int, order, partition=None) -> DataFrame:
-    """WIN4: ``chunk = floor((row_number - 1) / n)`` within ``partition``."""
+    """WIN4: ``chunk = floor((row_number - 1) / n)`` within ``partition``.
+
+    Numbering is sequential per partition key, so pass a key whose groups
+    are bounded (e.g. object type x day); for write batching over unbounded
+    data, ``df.repartition(ceil(rows / n))`` gives the same batch size
+    without a sequential numbering.
+    """
     w = Window.partitionBy(*(partition or [])).orderBy(*order)
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n).cast("int"))
 
