@@ -64,7 +64,7 @@ def collapse_source(source: DataFrame, key_cols, carriers: dict, order: Column,
 def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_key: str,
                  order: str = "event_time", tenant_scoped: bool = True,
                  ignore_nulls: bool = False, type_col: str = "_event_type",
-                 name_order: list | None = None) -> tuple:
+                 name_order: list | None = None, versions: dict | None = None) -> tuple:
     """JN1/DML1: ``UPDATE target SET cols FROM source WHERE key matches``.
 
     ``update_cols`` maps each updatable column to the event types that list it.
@@ -75,6 +75,10 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
       wins per column; ``order="name"`` reproduces apply-by-type-name order.
     * ``tenant_scoped``: key is (tenant_id, key) instead of key alone (Q4).
     * ``ignore_nulls``: NULL in a carrying event does not overwrite (Q3 opt-in).
+    * ``versions`` (``plans.dispatch.merge_groups``): per column group a
+      version column in the target holding the (event_time, event_id) that
+      last set the group; a source group applies only when it is newer, so
+      the result does not depend on the order in which batches arrive.
     """
     keys = (["tenant_id"] if tenant_scoped else []) + [merge_key]
     if order == "name":
@@ -84,36 +88,78 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
             rank = F.when(F.col(type_col) == t, F.lit(i)).otherwise(rank)
         ord_col = F.struct(rank.alias("r"), F.col("event_time"), F.col("event_id"))
     else:
-        ord_col = F.struct(F.col("event_time"), F.col("event_id"))
+        # native types: event_id may itself be a tie-break struct
+        ord_col = F.struct(F.col("event_time").alias("event_time"), F.col("event_id").alias("event_id"))
+    versions = versions if (versions and order != "name" and not ignore_nulls) else None
     carriers, by_types = {}, {}
-    for c, types in update_cols.items():
-        carried = F.col(type_col).isin(list(types))
-        if ignore_nulls:
-            carried = carried & F.col(c).isNotNull()
-            by_types[(c,)] = [c]                       # NULL-skipping is per column
-        else:
-            by_types.setdefault(tuple(sorted(types)), []).append(c)
-        carriers[c] = carried
-    collapsed = collapse_source(source, keys, carriers, ord_col, list(by_types.values()))
+    if versions:
+        for vcol, (cols, types) in versions.items():
+            cols = [c for c in cols if c in update_cols]
+            if cols:
+                by_types[vcol] = cols
+                for c in cols:
+                    carriers[c] = F.col(type_col).isin(list(types))
+    else:
+        for c, types in update_cols.items():
+            carried = F.col(type_col).isin(list(types))
+            if ignore_nulls:
+                carried = carried & F.col(c).isNotNull()
+                by_types[(c,)] = [c]                       # NULL-skipping is per column
+            else:
+                by_types.setdefault(tuple(sorted(types)), []).append(c)
+            carriers[c] = carried
+    groups = list(by_types.values())
+    collapsed = _collapse_with_order(source.withColumn("_ord", ord_col), keys, carriers, groups)
 
     t = target.alias("t")
     s = collapsed.alias("s")
     cond = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     joined = t.join(s, cond, "left")
+    group_of = {c: i for i, g in enumerate(groups) for c in g}
+    vnames = list(by_types.keys()) if versions else []
+    applies = []
+    for i, g in enumerate(groups):
+        ok = F.col(f"s._hasg{i}") == 1
+        if versions and vnames[i] in target.columns:
+            tv = F.col(f"t.{vnames[i]}")
+            ok = ok & (tv.isNull() | (F.col(f"s._ordg{i}") > tv))
+        applies.append(ok)
     out = []
     for f in target.schema.fields:
         c = f.name
-        if c in carriers and c not in keys and c not in ENVELOPE_COLS:
-            out.append(F.when(F.col(f"s._has_{c}") == 1, F.col(f"s.{c}").cast(f.dataType))
-                       .otherwise(F.col(f"t.{c}")).alias(c))
+        if c in group_of and c not in keys and c not in ENVELOPE_COLS:
+            out.append(F.when(applies[group_of[c]], F.col(f"s.{c}").cast(f.dataType)).otherwise(F.col(f"t.{c}")).alias(c))
+        elif versions and c in vnames:
+            i = vnames.index(c)
+            out.append(F.when(applies[i], F.col(f"s._ordg{i}")).otherwise(F.col(f"t.{c}")).alias(c))
         else:
             out.append(F.col(f"t.{c}").alias(c))
+    for i, vcol in enumerate(vnames):
+        if vcol not in target.columns:
+            out.append(F.when(applies[i], F.col(f"s._ordg{i}")).alias(vcol))
     updated = joined.select(*out)
     unmatched = s.join(t.select(*keys).alias("t"), [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys],
                        "left_anti")
     return updated, unmatched
 
 
+def _collapse_with_order(src: DataFrame, keys, carriers: dict, groups: list) -> DataFrame:
+    """Per key and column group: the last carrying event's values and its ordering."""
+    aggs = []
+    for i, cols in enumerate(groups):
+        carried = carriers[cols[0]]
+        val = F.struct(*[F.col(c) for c in cols], F.col("_ord").alias("_o"))
+        aggs.append(F.max_by(val, F.when(carried, F.col("_ord"))).alias(f"_g{i}"))
+        aggs.append(F.max(carried.cast("int")).alias(f"_hasg{i}"))
+    aggs.append(F.count(F.lit(1)).alias("_n_source"))
+    out = src.groupBy(*keys).agg(*aggs)
+    sel = [F.col(k) for k in keys]
+    for i, cols in enumerate(groups):
+        sel += [F.col(f"_g{i}").getField(c).alias(c) for c in cols]
+        sel += [F.col(f"_g{i}").getField("_o").alias(f"_ordg{i}"), F.col(f"_hasg{i}")]
+    return out.select(*sel, "_n_source")
+
+
 def retry_pending(pending: DataFrame, target: DataFrame, key_cols) -> tuple:
     """STR12: split pending MERGE rows into (now_applicable, still_pending)."""
     keys = target.select(*key_cols).distinct()

@@ -178,6 +178,34 @@ FACT_TABLES = _parse_tables(FACT_TABLES_TEXT)
 REGISTRY = _parse_entries(DISPATCH_TEXT, FACT_TABLES)
 
 
+VERSION_TYPE = T.StructType([T.StructField("event_time", T.TimestampType()), T.StructField("event_id", T.StringType())])
+
+
+def merge_groups(table: str, registry=None) -> dict:
+    """Column groups a table's MERGE entries update together.
+
+    Columns listed by exactly the same set of MERGE event types form one
+    group; each group carries a hidden version column ``_v_<types-hash>``
+    holding (event_time, event_id) of the event that last set it, so a late
+    arriving older event never overwrites a newer one (order independence).
+    Returns ``{version_col: (columns, event_types)}``.
+    """
+    import hashlib
+    registry = REGISTRY if registry is None else registry
+    carriers: dict = {}
+    for e in registry.values():
+        if e.table == table and e.is_merge:
+            for c in e.update_columns():
+                carriers.setdefault(c, set()).add(e.event_type)
+    groups: dict = {}
+    for c, types in carriers.items():
+        key = ",".join(sorted(types))
+        vcol = "_v_" + hashlib.sha1(key.encode()).hexdigest()[:10]
+        cols, _ = groups.setdefault(vcol, ([], tuple(sorted(types))))
+        cols.append(c)
+    return {k: (tuple(v[0]), v[1]) for k, v in groups.items()}
+
+
 def make_registry(entries) -> dict:
     """Build a registry from ``FactDispatch`` objects (tests, testdata bindings)."""
     return {e.event_type: e for e in entries}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators import load as L
 from ..operators import project as P
-from ..plans.dispatch import FACT_TABLES, REGISTRY, load_order
+from ..plans.dispatch import FACT_TABLES, REGISTRY, VERSION_TYPE, load_order, merge_groups
 from ..session import ensure_checkpoint_dir
 from ..sources.bronze import BRONZE_SCHEMA, split_corrupt
 
@@ -94,8 +94,10 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
             try:
                 if inserts:
                     rows = P.project_table(mapped, inserts, tbl).drop("_event_type")
-                    _write_batch_partition(P.conform(rows, tbl) if tbl in FACT_TABLES else rows,
-                                           f"{warehouse}/{tbl}", batch_id)
+                    rows = P.conform(rows, tbl) if tbl in FACT_TABLES else rows
+                    for vcol in merge_groups(tbl, registry):          # nothing merged yet
+                        rows = rows.withColumn(vcol, F.lit(None).cast(VERSION_TYPE))
+                    _write_batch_partition(rows, f"{warehouse}/{tbl}", batch_id)
                 for key in sorted({e.merge_key for e in merges}):
                     group = [e for e in merges if e.merge_key == key]
                     _apply_merge(spark, mapped, group, tbl, warehouse, batch_id, tenant_scoped, merge_order)
@@ -146,7 +148,8 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
         still = src.checkpoint()
     else:
         updated, _ = L.merge_update(target, src, update_cols, key, order=merge_order, tenant_scoped=tenant_scoped,
-                                    name_order=[e.event_type for e in entries])
+                                    name_order=[e.event_type for e in entries],
+                                    versions=merge_groups(tbl, {e.event_type: e for e in entries}))
         touched = L.touched_partitions(target, src, keys, ["load_batch"])
         new_rows = updated.join(touched, "load_batch", "left_semi").checkpoint()
         still = src.join(target.select(*keys).distinct(), keys, "left_anti").checkpoint()

@@ -129,3 +129,46 @@ def test_parent_arrives_later(spark):
 def test_registry_shape():
     assert len(REGISTRY) == 38
     assert sum(e.is_merge for e in REGISTRY.values()) == 7
+
+
+def _facts(spark, wh):
+    t = spark.read.parquet(f"{wh}/fact_agent_task")
+    cols = [c for c in t.columns if not c.startswith("_v_") and c != "load_batch"]
+    return sorted(tuple(r) for r in t.select(*cols).collect())
+
+
+def test_file_arrival_order_does_not_matter(spark):
+    """Property: the same files loaded in different tick orders give the same table."""
+    import itertools
+    files = {
+        "sub": [_env(1, T_SUB, "2026-05-20T03:00:00Z", {"taskId": "k1", "agentName": "a0", "skillId": "s"})],
+        "start": [_env(2, T_START, "2026-05-20T03:01:00Z", {"taskId": "k1", "agentName": "a1", "modelUsed": "m1"})],
+        "done": [_env(3, T_DONE, "2026-05-20T03:02:00Z", {"taskId": "k1", "agentName": "a2", "outcome": "ok"})],
+    }
+    types = {"sub": T_SUB, "start": T_START, "done": T_DONE}
+    results = set()
+    for perm in itertools.permutations(files):
+        wh = tempfile.mkdtemp(prefix="wh-")
+        for i, name in enumerate(perm):
+            root = tempfile.mkdtemp(prefix="bronze-")
+            _write(root, types[name], 3, f"{name}.jsonl", files[name])
+            load_batch_files(spark, root, wh, batch_id=i)
+        results.add(tuple(_facts(spark, wh)))
+    assert len(results) == 1
+    row = list(results)[0][0]
+    cols = [c for c in spark.read.parquet(wh + "/fact_agent_task").columns if not c.startswith("_v_") and c != "load_batch"]
+    r = dict(zip(cols, row))
+    assert r["agent_name"] == "a2" and r["model_used"] is None and r["outcome"] == "ok"   # completed is latest
+
+
+def test_more_files_than_one_trigger(spark):
+    root = tempfile.mkdtemp(prefix="bronze-")
+    for i in range(205):
+        _write(root, T_SUB, 3, f"f{i:03d}.jsonl",
+               [_env(1000 + i, T_SUB, "2026-05-20T03:00:00Z", {"taskId": f"k{i}", "agentName": "a"})])
+    wh = tempfile.mkdtemp(prefix="wh-")
+    q = start_loader(spark, root, wh, checkpoint=tempfile.mkdtemp(prefix="ck-"), available_now=True)
+    q.awaitTermination(600)
+    assert spark.read.parquet(f"{wh}/fact_agent_task").count() == 205
+    log = spark.read.parquet(f"{wh}/_load_log")
+    assert log.count() == 205 and log.select("tick").distinct().count() == 2      # 200 + 5
