@@ -164,9 +164,27 @@ def evaluate_alarms(samples: DataFrame, alarms, start=None, end=None,
               .when(F.col("missing") == "breaching", F.lit(1))
               .when(F.col("missing") == "not_breaching", F.lit(0)))
     g = g.withColumn("breach", breach)
+    return m_of_n(g, n_max, initial_state).select(
+        "alarm_id", "period_start", F.round(v, 4).alias("value"), "breach", "n_breach", "state", "changed")
+
+
+def breach_of(value: Column) -> Column:
+    """Breach flag of a datapoint under the alarm's operator and missing-data rule."""
+    return (F.when(value.isNotNull(), _compare(F.col("op"), value, F.col("threshold")).cast("int"))
+            .when(F.col("missing") == "breaching", F.lit(1))
+            .when(F.col("missing") == "not_breaching", F.lit(0)))
+
+
+def m_of_n(g: DataFrame, n_max: int, initial_state: str = "INSUFFICIENT_DATA",
+           prev_state: str | None = None) -> DataFrame:
+    """The M-of-N core over ``(alarm_id, bucket, breach, m, n, missing, period_s)`` rows.
+
+    N differs per alarm: look back over the largest N with ``lag`` and mask
+    offsets >= the alarm's own N (N is a handful of periods by design).
+    ``prev_state`` names a column holding an already-known state (rows carried
+    over from an earlier evaluation), which then wins over the recomputation.
+    """
     w = Window.partitionBy("alarm_id").orderBy("bucket")
-    # N differs per alarm: look back over the largest N with lag() and mask
-    # offsets >= the alarm's own N (N is a handful of periods by design).
     sums, counted = [], []
     for k in range(n_max):
         b = F.lag("breach", k).over(w) if k else F.col("breach")
@@ -181,12 +199,13 @@ def evaluate_alarms(samples: DataFrame, alarms, start=None, end=None,
     kept = F.last("_raw", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     state = F.when(F.col("missing") == "ignore", F.coalesce(kept, F.lit(initial_state))) \
              .otherwise(F.coalesce(F.col("_raw"), F.lit(initial_state)))
+    if prev_state:
+        state = F.coalesce(F.col(prev_state), state)
     g = g.withColumn("state", state)
     prev = F.lag("state").over(w)
     period_start = F.timestamp_seconds(F.col("bucket") * F.col("period_s")).cast("timestamp_ntz")
-    return g.select("alarm_id", period_start.alias("period_start"), F.round(v, 4).alias("value"),
-                    "breach", "n_breach", "state",
-                    (F.coalesce(prev, F.lit(initial_state)) != F.col("state")).alias("changed"))
+    return (g.withColumn("changed", F.coalesce(prev, F.lit(initial_state)) != F.col("state"))
+             .withColumn("period_start", period_start))
 
 
 def state_changes(evaluated: DataFrame) -> DataFrame:
