@@ -45,6 +45,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def cluster_conf(largest_shuffle_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster, sized from the biggest shuffle of the job.
+
+    Initial shuffle partitions = max(bytes / 256 MB, 3 x total cores); AQE
+    then coalesces small ones and splits skewed ones.  Scan splits of 256 MB
+    keep per-task input in memory budget while producing few large tasks.
+    """
+    cores = executors * cores_per_executor
+    parts = max(3 * cores, -(-largest_shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
