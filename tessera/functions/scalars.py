@@ -60,6 +60,16 @@ def json_or_csv_array(text) -> Column:
             .otherwise(csv))
 
 
+def first_nonempty_array(*arrays) -> Column:
+    """FN6/FN9: the first source whose list is non-empty (a bad or empty source
+    falls through to the next); ``[]`` when none has items."""
+    out = F.array().cast("array<string>")
+    for a in reversed(arrays):
+        a = _c(a)
+        out = F.when(F.coalesce(F.size(a), F.lit(0)) > 0, a).otherwise(out)
+    return out
+
+
 def first_nonempty(*cols) -> Column:
     """FN7/FN9: precedence chain, empty strings count as absent."""
     return F.coalesce(*[F.nullif(_c(c), F.lit("")) for c in cols])

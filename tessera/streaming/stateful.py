@@ -95,3 +95,23 @@ def _ms(interval: str) -> int:
     mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
             "day": 86400, "days": 86400}[unit]
     return int(n) * mult * 1000
+
+
+TELEMETRY_TRIGGER = "5 seconds"      # SNK8: collector batch interval
+
+
+def start_telemetry_stream(stream: DataFrame, main_path: str, llm_path: str, checkpoint: str,
+                           environment: str, cluster: str, trigger: str = TELEMETRY_TRIGGER,
+                           available_now: bool = False):
+    """SNK4/SNK5/SNK8 as a stream: clean every micro-batch, then write the
+    tenant/day-partitioned main sink and the LLM-span sub-sink from one
+    persisted batch (``foreachBatch`` + ``tee``).  Appends are at-least-once
+    on a replayed batch, like the collector it replaces."""
+    from ..operators import telemetry as TM
+
+    def tick(df, batch_id):
+        TM.tee(TM.clean(df, environment, cluster), main_path, llm_path)
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(tick)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()

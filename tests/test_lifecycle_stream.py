@@ -73,3 +73,45 @@ def test_dead_letter_stream(spark):
     _drain(q)
     out = spark.sql("select * from dlq").collect()
     assert [(r["message_id"], r["receive_count"], r["dead"]) for r in out] == [("m1", 4, True)]
+
+
+def test_compact_and_export(spark, tmp_path):
+    src = str(tmp_path / "day")
+    spark.range(1000).repartition(20).write.parquet(src)
+    out = str(tmp_path / "compacted")
+    LC_files_before = len(spark.read.parquet(src).inputFiles())
+    from tessera.operators.telemetry import compact
+    compact(spark, src, out)
+    assert LC_files_before == 20 and len(spark.read.parquet(out).inputFiles()) == 1
+    assert spark.read.parquet(out).count() == 1000
+    t = {"a": spark.createDataFrame([("t1", 1), ("t2", 2)], "tenant_id string, v int")}
+    LC.write_export(LC.export_tenant(t, "t1"), str(tmp_path / "export"))
+    assert [r["v"] for r in spark.read.parquet(str(tmp_path / "export/table=a")).collect()] == [1]
+
+
+def test_products_precedence(spark):
+    from tessera.functions.scalars import first_nonempty_array, json_or_csv_array
+    rows = [(None, None, None), ('["a","b"]', '["x"]', "c"), ("{bad", '["x"]', "c"), (None, None, "lending, compliance ,edd"),
+            ("[]", "", "c")]
+    df = spark.createDataFrame(rows, "org string, secret string, csv string")
+    out = df.select(first_nonempty_array(json_or_csv_array(F.when(F.col("org").startswith("["), F.col("org"))),
+                                         json_or_csv_array("secret"), json_or_csv_array("csv")).alias("p")).collect()
+    assert [r["p"] for r in out] == [[], ["a", "b"], ["x"], ["lending", "compliance", "edd"], ["c"]]
+
+
+def test_telemetry_stream(spark, tmp_path):
+    import json as _json
+    from tessera.streaming.stateful import start_telemetry_stream
+    d = tmp_path / "in"
+    d.mkdir()
+    with open(d / "a.json", "w") as f:
+        for name in ("axira.llm_call", "other"):
+            f.write(_json.dumps({"name": name, "ts": "2024-01-02T03:00:00", "attributes": {"db.statement": "x"}}) + "\n")
+    stream = spark.readStream.schema("name string, ts timestamp, attributes map<string,string>").json(str(d))
+    q = start_telemetry_stream(stream, str(tmp_path / "main"), str(tmp_path / "llm"), str(tmp_path / "ck"),
+                               "staging", "c1", available_now=True)
+    q.awaitTermination(300)
+    main = spark.read.parquet(str(tmp_path / "main"))
+    assert main.count() == 2 and spark.read.parquet(str(tmp_path / "llm")).count() == 1
+    assert all("db.statement" not in r["attributes"] for r in main.collect())
+    assert {r["tenant_id"] for r in main.collect()} == {"unknown"}
