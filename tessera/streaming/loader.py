@@ -50,12 +50,18 @@ def _read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict | None = None,
-              strict: bool = False, tenant_scoped: bool = True, merge_order: str = "event_time") -> None:
+              strict: bool = False, tenant_scoped: bool = True, merge_order: str = "event_time",
+              merge_horizon: int | None = None) -> None:
     """One micro-batch: typed appends, MERGE updates, load log, pending, rejects.
 
     Order inside the tick follows the registry (INSERT types before MERGE
     types, WIN3).  A failure of one table is recorded in the log and the
     others continue (DML3); ``strict=True`` re-raises instead.
+
+    ``merge_horizon`` bounds the per-tick MERGE work at scale: only the last
+    N ``load_batch`` partitions are searched for parent rows (partition
+    pruning); keys not found there wait in pending and :func:`deep_merge`
+    resolves them against the whole table on a slower cadence.
     """
     spark = batch.sparkSession
     registry = REGISTRY if registry is None else registry
@@ -100,7 +106,8 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
                     _write_batch_partition(rows, f"{warehouse}/{tbl}", batch_id)
                 for key in sorted({e.merge_key for e in merges}):
                     group = [e for e in merges if e.merge_key == key]
-                    _apply_merge(spark, mapped, group, tbl, warehouse, batch_id, tenant_scoped, merge_order)
+                    _apply_merge(spark, mapped, group, tbl, warehouse, batch_id, tenant_scoped, merge_order,
+                                 merge_horizon)
                 status_rows += [(e.event_type, "ok", None) for e in entries]
             except Exception as exc:  # noqa: BLE001 - DML3 failure isolation
                 if strict:
@@ -121,7 +128,7 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
         batch.unpersist()
 
 
-def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped, merge_order):
+def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped, merge_order, horizon=None):
     """DML1/DML5/STR12: MERGE this tick's rows (plus earlier pending ones) into the table.
 
     Only the ``load_batch`` partitions holding a touched key are rewritten;
@@ -142,6 +149,8 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
             update_cols.setdefault(c, []).append(e.event_type)
     keys = (["tenant_id"] if tenant_scoped else []) + [key]
     target = _read_table(spark, f"{warehouse}/{tbl}")
+    if target is not None and horizon is not None:
+        target = target.filter(F.col("load_batch") >= int(batch_id) - int(horizon))   # partition pruning
     # Everything derived from files this tick overwrites is checkpointed
     # (lineage cut into the shared checkpoint folder) before any write.
     if target is None:
@@ -159,6 +168,25 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
     still.write.mode("overwrite").parquet(pending_path)
 
 
+def deep_merge(spark: SparkSession, warehouse: str, batch_id: int, registry: dict | None = None,
+               tenant_scoped: bool = True, merge_order: str = "event_time") -> None:
+    """Resolve pending MERGE rows against the whole table (no horizon).
+
+    Run on a slow cadence next to a horizon-bounded stream; ``batch_id``
+    must be above the stream's batches (e.g. a separate id range).
+    """
+    registry = REGISTRY if registry is None else registry
+    empty = spark.createDataFrame([], "id string, time string, type string, tenantid string, caseid string, "
+                                      "data string")
+    for tbl in sorted({e.table for e in registry.values() if e.is_merge}):
+        if _read_table(spark, f"{warehouse}/_pending/{tbl}") is None:
+            continue
+        entries = sorted((e for e in registry.values() if e.table == tbl and e.is_merge), key=lambda e: e.event_type)
+        for key in sorted({e.merge_key for e in entries}):
+            group = [e for e in entries if e.merge_key == key]
+            _apply_merge(spark, empty, group, tbl, warehouse, batch_id, tenant_scoped, merge_order, None)
+
+
 def bronze_stream(spark: SparkSession, root: str, max_files: int = MAX_FILES_PER_TRIGGER,
                   archive_dir: str | None = None, dedup_watermark: str | None = None) -> DataFrame:
     """STR1/SNK3/SNK8: file stream over the bronze layout with per-file provenance.

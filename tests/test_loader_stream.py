@@ -172,3 +172,19 @@ def test_more_files_than_one_trigger(spark):
     assert spark.read.parquet(f"{wh}/fact_agent_task").count() == 205
     log = spark.read.parquet(f"{wh}/_load_log")
     assert log.count() == 205 and log.select("tick").distinct().count() == 2      # 200 + 5
+
+
+def test_merge_horizon_and_deep_merge(spark):
+    from tessera.streaming.loader import deep_merge
+    wh = tempfile.mkdtemp(prefix="wh-")
+    root = tempfile.mkdtemp(prefix="bronze-")
+    _write(root, T_SUB, 3, "a.jsonl", [_env(1, T_SUB, "2026-05-20T03:00:00Z", {"taskId": "k1", "agentName": "a"})])
+    load_batch_files(spark, root, wh, batch_id=0, merge_horizon=1)
+    root2 = tempfile.mkdtemp(prefix="bronze-")
+    _write(root2, T_DONE, 5, "b.jsonl", [_env(2, T_DONE, "2026-05-20T05:00:00Z", {"taskId": "k1", "outcome": "ok"})])
+    load_batch_files(spark, root2, wh, batch_id=5, merge_horizon=1)       # parent is outside the horizon
+    assert spark.read.parquet(f"{wh}/fact_agent_task").collect()[0]["outcome"] is None
+    assert spark.read.parquet(f"{wh}/_pending/fact_agent_task").count() == 1
+    deep_merge(spark, wh, batch_id=1000)
+    assert spark.read.parquet(f"{wh}/fact_agent_task").collect()[0]["outcome"] == "ok"
+    assert spark.read.parquet(f"{wh}/_pending/fact_agent_task").count() == 0
