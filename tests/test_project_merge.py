@@ -125,3 +125,26 @@ def test_load_state_and_diff(spark):
     files = spark.createDataFrame([("t", "f1"), ("t", "f2"), ("t", "f3"), ("t", "f4")], "event_type string, s3_key string")
     assert sorted(r["s3_key"] for r in L.new_files(files, L.load_state(log)).collect()) == ["f2", "f4"]
     assert L.forget_files(log, files.filter("s3_key = 'f1'")).count() == 2
+
+
+def test_chunk_spans_tasks(spark):
+    """WIN4 numbering across range partitions equals brute force (hot group, NULL group, no group)."""
+    import random
+    rnd = random.Random(7)
+    rows = [("hot" if i % 3 else rnd.choice(["a", "b", None]), i, rnd.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id int, v double")
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["id"]): r["chunk"] for r in L.chunk(df, 50, [F.col("v"), F.col("id")], ["g"]).collect()}
+        flat = {(r["id"]): r["chunk"] for r in L.chunk(df, 50, [F.col("v"), F.col("id")]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+    want, groups = {}, {}
+    for g, i, v in rows:
+        groups.setdefault(g, []).append((v, i))
+    for members in groups.values():
+        for rn, (_, i) in enumerate(sorted(members)):
+            want[i] = rn // 50
+    assert got == want
+    assert flat == {i: rn // 50 for rn, (_, i) in enumerate(sorted((v, i) for _, i, v in rows))}
