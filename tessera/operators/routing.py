@@ -55,28 +55,50 @@ def backlog(messages: DataFrame, as_of, topic: str = "topic", sent: str = "sent_
             .withColumn("stale", F.col("oldest_age_s") > stale_after_s))
 
 
+def previous_sighting(df: DataFrame, key: list, value: str, tiebreak=()) -> DataFrame:
+    """Add ``_prev``: ``value`` of the previous row of the same key in
+    (key, value, tiebreak) order, NULL for a key's first row.
+
+    Skew-proof without salting: the rows are range-partitioned on the full
+    sort key, so a key (or one key within one time bucket) holding a third of
+    all rows is cut into many ranges.  ``lag`` runs per (range, key); the
+    first row of a key in a range takes the last row of the nearest earlier
+    non-empty range when it has the same key.  That boundary table has one
+    row per range (bounded by the partition count), so it is broadcast.
+    The ranged rows are checkpointed once, which also cuts their lineage.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    order = [F.col(c) for c in key] + [F.col(value)] + [F.col(c) for c in tiebreak]
+    d = df.repartitionByRange(*order).withColumn("_rng", F.spark_partition_id())
+    w = Window.partitionBy("_rng", *key).orderBy(value, *tiebreak)
+    # Checkpointed (shared folder): range bounds are sampled per plan branch,
+    # so both uses below must read the same materialised range ids.
+    d = d.withColumn("_prev", F.lag(value).over(w)).checkpoint()
+    last = F.max_by(F.struct(*(F.col(c).alias(f"_lk{i}") for i, c in enumerate(key)), F.col(value).alias("_lv")),
+                    F.struct(*order))
+    bounds = d.groupBy("_rng").agg(last.alias("_last"))
+    bounds = bounds.select(F.col("_rng"), F.lag("_last").over(Window.orderBy("_rng")).alias("_b"))
+    d = d.join(F.broadcast(bounds), "_rng", "left")
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b._lk{i}"))
+    carried = F.when(F.col("_prev").isNull() & F.col("_b").isNotNull() & same, F.col("_b._lv"))
+    return d.withColumn("_prev", F.coalesce(F.col("_prev"), carried)).drop("_rng", "_b")
+
+
 def gap_dedup(df: DataFrame, key, ts: str, gap_s: int, tiebreak=()) -> DataFrame:
     """STR6 (batch form): flag rows whose key was seen less than ``gap_s`` earlier.
 
-    Rows are bucketed by ``gap_s``-wide time buckets.  The previous sighting
-    of a key is either earlier in the same (key, bucket) group (``lag``) or
-    the last sighting in the previous bucket (a per-(key, bucket) max joined
-    one bucket forward); anything older is more than ``gap_s`` away.  So
-    the work is partitioned by (key, time bucket): a hot key spreads over
-    all its buckets instead of landing in one task.
+    The previous sighting of each row's key comes from ``previous_sighting``
+    (range-partitioned, so neither a hot key nor a hot key-and-minute lands
+    in one task).
     """
     key = [key] if isinstance(key, str) else list(key)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
     width = int(gap_s) * 1000000
-    d = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / width))
-    w = Window.partitionBy(*key, "_b").orderBy("_us", *tiebreak)
-    d = d.withColumn("_prev", F.lag("_us").over(w))
-    last = (d.groupBy(*key, "_b").agg(F.max("_us").alias("_pmax"))
-             .withColumn("_b", F.col("_b") + 1))
-    d = d.join(last, key + ["_b"], "left")
-    prev = F.coalesce(F.col("_prev"), F.col("_pmax"))
-    dup = prev.isNotNull() & ((F.col("_us") - prev) < width)
-    return d.withColumn("is_duplicate", dup).drop("_us", "_b", "_prev", "_pmax")
+    d = previous_sighting(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), key, "_us", tiebreak)
+    dup = F.col("_prev").isNotNull() & ((F.col("_us") - F.col("_prev")) < width)
+    return d.withColumn("is_duplicate", dup).drop("_us", "_prev")
 
 
 def content_dedup_id(*cols) -> Column:

@@ -51,6 +51,28 @@ def test_gap_dedup_matches_brute_force(spark):
     assert got == exp
 
 
+def test_gap_dedup_hot_key_spans_ranges(spark):
+    """One key holding most rows (and a NULL key) is cut into several ranges; still exact."""
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 4 else rnd.choice(["a", None]), base + dt.timedelta(seconds=rnd.randrange(0, 900)))
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz")
+    prev_conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["is_duplicate"] for r in R.gap_dedup(df, "k", "ts", 1, tiebreak=["id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev_conf)
+    exp = {}
+    for k in ("hot", "a", None):
+        prev = None
+        for t, i in sorted((t, i) for i, kk, t in rows if kk == k):
+            exp[i] = prev is not None and (t - prev).total_seconds() < 1
+            prev = t
+    assert got == exp
+
+
 def _brute_cidr(ip, cidrs):
     best = None
     for c in cidrs:
