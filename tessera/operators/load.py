@@ -296,38 +296,13 @@ def cap_per_type(files: DataFrame, n: int, group: str = "event_type", order=None
 def chunk(df: DataFrame, n: int, order, partition=None) -> DataFrame:
     """WIN4: ``chunk = floor((row_number - 1) / n)`` within ``partition``.
 
-    Numbered without a per-group or global window, so neither a hot group
-    nor the whole table lands in one task:
-
-    1. a global sort by (partition, order) range-partitions the rows (a hot
-       group spreads over many ranges) and each task indexes its own rows;
-    2. the per-task row counts (one row per task, a size fixed by the
-       partition count) give each task's global offset;
-    3. a group's first global index comes from a partial aggregate per group.
-
-    The indexed rows are checkpointed to the shared folder so the ids stay
-    fixed across their reuses and across executor loss.
+    Numbered with ``ordered.group_rank`` (range partitions plus per-task
+    offsets), not a per-group or global window, so neither a hot group nor
+    the whole table lands in one task.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    part = [F.col(c) if isinstance(c, str) else c for c in (partition or [])]
-    keys = [f"_k{i}" for i in range(len(part))]
-    cols = df.columns
-    s = df.select("*", *(p.alias(k) for p, k in zip(part, keys))).orderBy(*(F.col(k) for k in keys), *order)
-    pid = F.spark_partition_id().cast("long")
-    s = s.select("*", pid.alias("_pid"),
-                 (F.monotonically_increasing_id() - F.shiftleft(pid, 33)).alias("_idx")).checkpoint()
-    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    g = s.join(F.broadcast(offsets), "_pid").withColumn("_g", F.col("_off") + F.col("_idx"))
-    if keys:
-        first = g.groupBy(*keys).agg(F.min("_g").alias("_first"))
-        f = first.select(*(F.col(k).alias(f"_f{k}") for k in keys), "_first")
-        g = g.join(f, [g[k].eqNullSafe(f[f"_f{k}"]) for k in keys])
-    else:
-        g = g.withColumn("_first", F.lit(0).cast("long"))
-    return g.select(*cols, F.floor((F.col("_g") - F.col("_first")) / n).cast("int").alias("chunk"))
+    from .ordered import group_rank
+    r = group_rank(df, partition, order)
+    return r.select(*df.columns, F.floor(F.col("_rn") / n).cast("int").alias("chunk"))
 
 
 __all__ = ["LOAD_LOG_SCHEMA", "collapse_source", "merge_update", "retry_pending", "touched_partitions",

@@ -65,16 +65,15 @@ def previous_sighting(df: DataFrame, key: list, value: str, tiebreak=()) -> Data
     first row of a key in a range takes the last row of the nearest earlier
     non-empty range when it has the same key.  That boundary table has one
     row per range (bounded by the partition count), so it is broadcast.
-    The ranged rows are checkpointed once, which also cuts their lineage.
+    The ranged rows are written once to the shared folder (cutting lineage).
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+    from ..session import materialize
     order = [F.col(c) for c in key] + [F.col(value)] + [F.col(c) for c in tiebreak]
     d = df.repartitionByRange(*order).withColumn("_rng", F.spark_partition_id())
     w = Window.partitionBy("_rng", *key).orderBy(value, *tiebreak)
-    # Checkpointed (shared folder): range bounds are sampled per plan branch,
-    # so both uses below must read the same materialised range ids.
-    d = d.withColumn("_prev", F.lag(value).over(w)).checkpoint()
+    # written once to the shared folder: range bounds are sampled per plan
+    # branch, so both uses below must read the same materialised range ids
+    d = materialize(d.withColumn("_prev", F.lag(value).over(w)), "prev")
     last = F.max_by(F.struct(*(F.col(c).alias(f"_lk{i}") for i, c in enumerate(key)), F.col(value).alias("_lv")),
                     F.struct(*order))
     bounds = d.groupBy("_rng").agg(last.alias("_last"))

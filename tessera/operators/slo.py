@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.observability import SLIS, Alarm  # noqa: F401
+from .ordered import exact_quantiles
 
 REQUEST_COMPLETED = "request_completed"
 
@@ -37,18 +38,24 @@ def metric_series(samples: DataFrame, period: str, key: str = "sli", exact: bool
                   quantiles=(0.5, 0.95, 0.99), digits: int = 4) -> DataFrame:
     """AGG7/AGG8/STR4: count + percentiles per key per tumbling window.
 
-    ``exact=True`` uses ``percentile`` (equals DuckDB ``quantile_cont``);
-    at scale pass ``exact=False`` for ``percentile_approx`` whose partial
-    state is a fixed-size sketch per group.
+    ``exact=True`` takes the order statistics from ``ordered.exact_quantiles``
+    (equals DuckDB ``quantile_cont``): one grouped aggregate while every
+    (key, window) is within the measured group limit, else range partitions,
+    so a hot (key, window) is spread over many tasks instead of one task
+    holding all its values.  ``exact=False`` uses ``percentile_approx``,
+    whose partial state is a fixed-size sketch per group.
     """
-    q = F.array(*[F.lit(x) for x in quantiles])
-    pct = F.percentile(F.col("value"), q) if exact else F.percentile_approx(F.col("value"), q, 10000)
-    df = (samples.groupBy(key, F.window("ts", period).alias("w"))
-          .agg(F.count(F.lit(1)).alias("n"), pct.alias("_q")))
-    cols = [key, F.col("w.start").alias("window_start"), "n"]
-    for i, x in enumerate(quantiles):
-        cols.append(F.round(F.col("_q")[i].cast("double"), digits).alias(f"p{int(round(x * 100))}"))
-    return df.select(*cols)
+    names = [f"p{int(round(x * 100))}" for x in quantiles]
+    d = samples.select(key, F.window("ts", period).getField("start").alias("window_start"), "value")
+    if exact:
+        df = exact_quantiles(d, [key, "window_start"], "value", quantiles, names,
+                             extra=[F.count(F.lit(1)).alias("n")])
+    else:
+        q = F.array(*[F.lit(x) for x in quantiles])
+        df = (d.groupBy(key, "window_start")
+               .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col("value"), q, 10000).alias("_q")))
+        df = df.select(key, "window_start", "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    return df.select(key, "window_start", "n", *[F.round(F.col(nm).cast("double"), digits).alias(nm) for nm in names])
 
 
 def error_rate(requests: DataFrame, window_minutes: int, is_error: Column, ts: str = "ts") -> DataFrame:
@@ -79,11 +86,20 @@ def _stat(stat: str, cents: bool = False) -> Column:
         return F.max(v)
     if s == "samplecount":
         return F.count(v).cast("double")
-    if s.startswith("p"):
-        return F.percentile(v, float(s[1:]) / 100.0)
     raise ValueError(stat)
 
 
+def _with_stats(df: DataFrame, keys: list, stats, cents: bool = False, extra=()) -> DataFrame:
+    """One row per ``keys`` with every requested statistic: decomposable ones
+    as partial aggregates, ``pNN`` percentiles through ``exact_quantiles``
+    (size-checked: one aggregate, or range partitions for hot groups)."""
+    plain = [_stat(x, cents).alias(x) for x in stats if not x.lower().startswith("p")]
+    ps = sorted({x.lower() for x in stats if x.lower().startswith("p")})
+    if not ps:
+        return df.groupBy(*keys).agg(*extra, *plain)
+    return exact_quantiles(df, keys, "value", [float(x[1:]) / 100.0 for x in ps], ps, extra=[*extra, *plain])
+
+
 def stat_switch(samples: DataFrame, definitions: DataFrame, period: str, cents: bool = False) -> DataFrame:
     """AGG9: per definition row ``(def_id, metric, stat)`` the chosen statistic per period.
 
@@ -91,13 +107,13 @@ def stat_switch(samples: DataFrame, definitions: DataFrame, period: str, cents:
     then the definition table (config rows, broadcast) picks one via CASE.
     """
     stats = ["average", "sum", "minimum", "maximum", "p95"]
-    agg = (samples.groupBy("metric", F.window("ts", period).alias("w"))
-           .agg(*[_stat(s, cents).alias(s) for s in stats]))
+    d = samples.select("metric", F.window("ts", period).getField("start").alias("period_start"), "value")
+    agg = _with_stats(d, ["metric", "period_start"], stats, cents)
     joined = agg.join(F.broadcast(definitions), "metric")
     pick = F.lit(None).cast("double")
     for s in stats:
         pick = F.when(F.lower(F.col("stat")) == s, F.col(s)).otherwise(pick)
-    return joined.select("def_id", F.col("w.start").alias("period_start"), pick.alias("value"))
+    return joined.select("def_id", "period_start", pick.alias("value"))
 
 
 def _compare(op: Column, v: Column, thr: Column) -> Column:
@@ -123,8 +139,8 @@ def alarm_datapoints(samples: DataFrame, alarms: DataFrame, stats=("average", "s
     s = s.withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 / F.col("period_s")))
     # only the statistics some alarm asks for (exact percentiles are costly)
     stat_names = sorted({x.lower() for x in stats})
-    aggs = [F.first("stat").alias("stat")] + [_stat(x).alias(x) for x in stat_names]
-    g = s.groupBy("alarm_id", "bucket").agg(*aggs)
+    g = _with_stats(s.select("alarm_id", "bucket", "stat", "value"), ["alarm_id", "bucket"], stat_names,
+                    extra=[F.first("stat").alias("stat")])
     pick = F.lit(None).cast("double")
     for x in stat_names:
         pick = F.when(F.lower(F.col("stat")) == x, F.col(x)).otherwise(pick)

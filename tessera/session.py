@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -86,6 +87,20 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
 
 
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Like ``checkpoint()`` it cuts lineage and fixes non-deterministic columns
+    (range ids, row indices) for every later use and across executor loss,
+    but it computes the input once (an RDD checkpoint recomputes it after
+    the counting job) and keeps columnar pruning for the readers.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "materialized", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
