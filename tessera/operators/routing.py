@@ -77,27 +77,48 @@ def previous_sighting(df: DataFrame, key: list, value: str, tiebreak=()) -> Data
     last = F.max_by(F.struct(*(F.col(c).alias(f"_lk{i}") for i, c in enumerate(key)), F.col(value).alias("_lv")),
                     F.struct(*order))
     bounds = d.groupBy("_rng").agg(last.alias("_last"))
-    bounds = bounds.select(F.col("_rng"), F.lag("_last").over(Window.orderBy("_rng")).alias("_b"))
+    bounds = bounds.select(F.col("_rng"), F.lag("_last").over(Window.orderBy("_rng")).alias("_bnd"))
     d = d.join(F.broadcast(bounds), "_rng", "left")
     same = F.lit(True)
     for i, c in enumerate(key):
-        same = same & F.col(c).eqNullSafe(F.col(f"_b._lk{i}"))
-    carried = F.when(F.col("_prev").isNull() & F.col("_b").isNotNull() & same, F.col("_b._lv"))
-    return d.withColumn("_prev", F.coalesce(F.col("_prev"), carried)).drop("_rng", "_b")
+        same = same & F.col(c).eqNullSafe(F.col(f"_bnd._lk{i}"))
+    carried = F.when(F.col("_prev").isNull() & F.col("_bnd").isNotNull() & same, F.col("_bnd._lv"))
+    return d.withColumn("_prev", F.coalesce(F.col("_prev"), carried)).drop("_rng", "_bnd")
 
 
-def gap_dedup(df: DataFrame, key, ts: str, gap_s: int, tiebreak=()) -> DataFrame:
+# Largest (key, gap bucket) group, in rows, that one window task may sort.
+GAP_GROUP_LIMIT = 5_000_000
+
+
+def gap_dedup(df: DataFrame, key, ts: str, gap_s: int, tiebreak=(), group_limit: int = GAP_GROUP_LIMIT) -> DataFrame:
     """STR6 (batch form): flag rows whose key was seen less than ``gap_s`` earlier.
 
-    The previous sighting of each row's key comes from ``previous_sighting``
-    (range-partitioned, so neither a hot key nor a hot key-and-minute lands
-    in one task).
+    Rows fall into ``gap_s``-wide time buckets; an earlier sighting more than
+    one bucket back is more than ``gap_s`` away.  Behind a measured size
+    check (the largest (key, bucket) group):
+
+    * within ``group_limit`` rows: ``lag`` per (key, bucket) plus the previous
+      bucket's last sighting (a per-(key, bucket) max joined one bucket
+      forward) -- a hot key spreads over its buckets;
+    * beyond it: ``previous_sighting`` on range partitions, which also cuts a
+      single hot (key, bucket) over many tasks.
     """
     key = [key] if isinstance(key, str) else list(key)
     width = int(gap_s) * 1000000
-    d = previous_sighting(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), key, "_us", tiebreak)
+    d = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    d = d.withColumn("_b", F.floor(F.col("_us") / width))
+    biggest = d.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if biggest <= group_limit:
+        w = Window.partitionBy(*key, "_b").orderBy("_us", *tiebreak)
+        d = d.withColumn("_prev", F.lag("_us").over(w))
+        last = (d.groupBy(*key, "_b").agg(F.max("_us").alias("_pmax"))
+                 .withColumn("_b", F.col("_b") + 1))
+        d = d.join(last, key + ["_b"], "left").withColumn("_prev", F.coalesce(F.col("_prev"), F.col("_pmax")))
+        d = d.drop("_pmax")
+    else:
+        d = previous_sighting(d, key, "_us", tiebreak)
     dup = F.col("_prev").isNotNull() & ((F.col("_us") - F.col("_prev")) < width)
-    return d.withColumn("is_duplicate", dup).drop("_us", "_prev")
+    return d.withColumn("is_duplicate", dup).drop("_us", "_b", "_prev")
 
 
 def content_dedup_id(*cols) -> Column:
