@@ -188,3 +188,46 @@ def test_merge_horizon_and_deep_merge(spark):
     deep_merge(spark, wh, batch_id=1000)
     assert spark.read.parquet(f"{wh}/fact_agent_task").collect()[0]["outcome"] == "ok"
     assert spark.read.parquet(f"{wh}/_pending/fact_agent_task").count() == 0
+
+
+def test_every_bronze_line_is_accounted_for(spark):
+    """loaded + pending + unmapped + rejected = bronze, on a seeded random batch with
+    duplicate deliveries, orphan MERGE events, unknown types and malformed lines."""
+    import random
+    rnd = random.Random(23)
+    root = tempfile.mkdtemp(prefix="bronze-")
+    wh = tempfile.mkdtemp(prefix="wh-")
+    submitted, merges, unknown, n_bad, files = {}, {}, set(), 0, {}
+    for i in range(300):
+        kind = rnd.choices(["sub", "start", "done", "unknown", "bad"], [4, 2, 2, 1, 1])[0]
+        minute = rnd.randrange(60)
+        t = f"2026-05-20T03:{minute:02d}:{rnd.randrange(60):02d}Z"
+        task = f"k{rnd.randrange(120)}"
+        tenant = rnd.choice(["t1", "t2"])
+        if kind == "bad":
+            files.setdefault((T_SUB, "bad.jsonl"), ([], []))[1].append("{broken " + str(i))
+            n_bad += 1
+            continue
+        typ = {"sub": T_SUB, "start": T_START, "done": T_DONE, "unknown": "axira.unknown.v1"}[kind]
+        env = _env(i, typ, t, {"taskId": task, "agentName": f"a{i}"}, tenant=tenant)
+        copies = 2 if rnd.random() < 0.1 else 1              # at-least-once delivery
+        for c in range(copies):
+            files.setdefault((typ, f"f{i % 7}-{c}.jsonl"), ([], []))[0].append(env)
+        if kind == "sub":
+            submitted[env["id"]] = (tenant, task)
+        elif kind == "unknown":
+            unknown.add(env["id"])
+        else:
+            merges[env["id"]] = (tenant, task)
+    for (typ, name), (lines, raw) in files.items():
+        _write(root, typ, 3, name, lines, raw_lines=raw)
+    load_batch_files(spark, root, wh, batch_id=0)
+
+    task = spark.read.parquet(f"{wh}/fact_agent_task").select("tenant_id", "task_id").collect()
+    assert sorted((r["tenant_id"], r["task_id"]) for r in task) == sorted(submitted.values())
+    parents = set(submitted.values())
+    pend = spark.read.parquet(f"{wh}/_pending/fact_agent_task").select("tenant_id", "task_id").collect()
+    assert {(r["tenant_id"], r["task_id"]) for r in pend} == {k for k in merges.values() if k not in parents}
+    unm = spark.read.parquet(f"{wh}/_unmapped")
+    assert unm.select("id").distinct().count() == len(unknown) == unm.count()
+    assert spark.read.json(f"{wh}/_rejects").count() == n_bad
