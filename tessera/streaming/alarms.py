@@ -14,8 +14,9 @@ are written per batch id with dynamic partition overwrite, and a batch
 reads the state version of the batch before it, so a replayed batch
 rewrites exactly what its first attempt wrote.  Samples arriving after the
 watermark has closed their period are dropped, as in any watermarked stream.
-Decomposable statistics only (Sum, Average, Minimum, Maximum, SampleCount);
-percentile alarms use the batch evaluator.
+Sum, Average, Minimum, Maximum and SampleCount fold into partial
+aggregates; percentile alarms (``pNN``) keep their open periods' samples in
+an ``open_values`` table and take the exact percentile once a period closes.
 """
 
 from __future__ import annotations
@@ -49,18 +50,56 @@ def _write_state(df, path, batch_id):
        .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
 
+def _is_pct(stat: str) -> bool:
+    return stat.lower().startswith("p") and stat[1:].replace(".", "", 1).isdigit()
+
+
+def _percentile_periods(spark, batch, adf, pct_ids, alarms, state_path, batch_id, wm):
+    """Closed-period datapoints of percentile alarms, and the open periods' values.
+
+    Percentiles do not fold into partial aggregates, so an open period keeps
+    its samples (``alarm_id, bucket, value``) in the ``open_values`` state
+    table: its size is the samples of periods the watermark has not closed,
+    not the stream's history.  A closed period's value is its exact
+    percentile (``exact_quantiles``: size-checked, range-partitioned for a
+    hot period).
+    """
+    from ..operators.ordered import exact_quantiles
+    from ..session import materialize
+    pa = adf.filter(F.col("alarm_id").isin(pct_ids))
+    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
+    vals = (batch.join(pa.select("alarm_id", "metric", "period_s"), "metric")
+                 .select("alarm_id", F.floor(secs / F.col("period_s")).alias("bucket"), F.col("value").cast("double")))
+    prev = _read_state(spark, f"{state_path}/open_values", batch_id)
+    if prev is not None:
+        vals = vals.unionByName(prev)
+    vals = materialize(vals.join(pa.select("alarm_id", "period_s"), "alarm_id"), "alarm-values")
+    closed_end = (F.col("bucket") + 1) * F.col("period_s")
+    open_values = vals.filter(closed_end > F.lit(wm)).select("alarm_id", "bucket", "value")
+    closed = vals.filter(closed_end <= F.lit(wm))
+    levels = sorted({a.stat.lower() for a in alarms if a.alarm_id in pct_ids})
+    q = exact_quantiles(closed, ["alarm_id", "bucket"], "value", [float(x[1:]) / 100.0 for x in levels], levels)
+    q = q.join(pa.select("alarm_id", F.lower(F.col("stat")).alias("_st")), "alarm_id")
+    pick = F.lit(None).cast("double")
+    for x in levels:
+        pick = F.when(F.col("_st") == x, F.col(x)).otherwise(pick)
+    return q.select("alarm_id", "bucket", pick.alias("value")), open_values
+
+
 def alarm_tick(batch: DataFrame, batch_id: int, alarms, out_path: str, state_path: str,
                delay_s: int = 0, initial_state: str = "INSUFFICIENT_DATA") -> None:
     spark = batch.sparkSession
-    bad = [a.alarm_id for a in alarms if a.stat.lower() not in DECOMPOSABLE]
+    bad = [a.alarm_id for a in alarms if a.stat.lower() not in DECOMPOSABLE and not _is_pct(a.stat)]
     if bad:
-        raise ValueError(f"streaming alarms need decomposable statistics: {bad}")
+        raise ValueError(f"unknown alarm statistics: {bad}")
     adf = F.broadcast(alarm_table(spark, alarms))          # configuration rows
+    pct_ids = [a.alarm_id for a in alarms if _is_pct(a.stat)]
     n_max = max(a.n for a in alarms)
     secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
 
     # 1. partial aggregates of this batch, folded into the open periods
-    part = (batch.join(adf.select("alarm_id", "metric", "period_s"), "metric")
+    #    (percentile alarms keep their open periods' values instead)
+    part = (batch.join(adf.filter(~F.col("alarm_id").isin(pct_ids)).select("alarm_id", "metric", "period_s"), "metric")
                  .withColumn("bucket", F.floor(secs / F.col("period_s")))
                  .groupBy("alarm_id", "bucket")
                  .agg(F.sum("value").alias("s"), F.count("value").alias("c"), F.min("value").alias("mn"),
@@ -83,8 +122,16 @@ def alarm_tick(batch: DataFrame, batch_id: int, alarms, out_path: str, state_pat
     # 3. periods the watermark has closed, and the grid to evaluate
     allp = allp.join(adf, "alarm_id").checkpoint()
     closed_end = (F.col("bucket") + 1) * F.col("period_s")
-    closed = allp.filter(closed_end <= F.lit(wm))
     still_open = allp.filter(closed_end > F.lit(wm)).select("alarm_id", "bucket", "s", "c", "mn", "mx")
+    st = F.lower(F.col("stat"))
+    value = (F.when(st == "sum", F.col("s")).when(st == "average", F.col("s") / F.col("c"))
+             .when(st == "minimum", F.col("mn")).when(st == "maximum", F.col("mx"))
+             .when(st == "samplecount", F.col("c").cast("double")))
+    closed = allp.filter(closed_end <= F.lit(wm)).select("alarm_id", "bucket", value.alias("value"))
+    open_values = None
+    if pct_ids:
+        pct_closed, open_values = _percentile_periods(spark, batch, adf, pct_ids, alarms, state_path, batch_id, wm)
+        closed = closed.unionByName(pct_closed)
     tail = _read_state(spark, f"{state_path}/tail", batch_id)
     last = (tail.groupBy("alarm_id").agg(F.max("bucket").alias("last_eval"))
             if tail is not None else spark.createDataFrame([], "alarm_id string, last_eval long"))
@@ -98,12 +145,8 @@ def alarm_tick(batch: DataFrame, batch_id: int, alarms, out_path: str, state_pat
                .filter(F.col("hi") >= F.col("lo"))
                .select("*", F.explode(F.sequence("lo", "hi")).alias("bucket"))
                .drop("first", "hi", "lo", "last_eval"))
-    st = F.lower(F.col("stat"))
-    value = (F.when(st == "sum", F.col("s")).when(st == "average", F.col("s") / F.col("c"))
-             .when(st == "minimum", F.col("mn")).when(st == "maximum", F.col("mx"))
-             .when(st == "samplecount", F.col("c").cast("double")))
-    new = (grid.join(closed.select("alarm_id", "bucket", "s", "c", "mn", "mx"), ["alarm_id", "bucket"], "left")
-               .withColumn("value", value).withColumn("breach", breach_of(F.col("value")))
+    new = (grid.join(closed, ["alarm_id", "bucket"], "left")
+               .withColumn("breach", breach_of(F.col("value")))
                .withColumn("_known", F.lit(None).cast("string")).withColumn("_new", F.lit(True)))
     cols = ["alarm_id", "bucket", "value", "breach", "_known", "_new", "m", "n", "missing", "period_s"]
     hist = (tail.join(adf.select("alarm_id", "m", "n", "missing", "period_s"), "alarm_id")
@@ -125,6 +168,8 @@ def alarm_tick(batch: DataFrame, batch_id: int, alarms, out_path: str, state_pat
                                                                             "breach", "state").checkpoint()
     _write_state(new_tail, f"{state_path}/tail", batch_id)
     _write_state(still_open.checkpoint(), f"{state_path}/open", batch_id)
+    if open_values is not None:
+        _write_state(open_values, f"{state_path}/open_values", batch_id)
     _write_state(spark.createDataFrame([(float(max_ts),)], "max_ts double"), f"{state_path}/meta", batch_id)
 
 
