@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.routing import MAX_CLOCK_SKEW_S, REPLAY_TTL_S
-from .routing import gap_dedup
+from .routing import GAP_GROUP_LIMIT, gap_dedup
 
 
 def rate_violations(df: DataFrame, key, ts: str, window: str, slide: str | None, limit: int) -> DataFrame:
@@ -128,13 +128,14 @@ def match_cidr(df: DataFrame, ip_col: str, cidrs: DataFrame, id_col: str | None
 
 
 def replay_guard(df: DataFrame, key: str, nonce: str, sent: str, received: str, id_col: str,
-                 skew_s: int = MAX_CLOCK_SKEW_S, ttl_s: int = REPLAY_TTL_S) -> DataFrame:
+                 skew_s: int = MAX_CLOCK_SKEW_S, ttl_s: int = REPLAY_TTL_S,
+                 group_limit: int = GAP_GROUP_LIMIT) -> DataFrame:
     """FIL12 + STR7: reject stale messages (|received - sent| > skew) and replays
     of a (key, nonce) seen within the TTL.  Stale messages never register
     their nonce (checked first), replays are detected among fresh ones."""
     diff = F.abs(F.unix_micros(F.col(received).cast("timestamp")) - F.unix_micros(F.col(sent).cast("timestamp")))
     d = df.withColumn("fresh", diff <= skew_s * 1000000)
-    fresh = gap_dedup(d.filter("fresh"), [key, nonce], received, ttl_s, tiebreak=[id_col])
+    fresh = gap_dedup(d.filter("fresh"), [key, nonce], received, ttl_s, tiebreak=[id_col], group_limit=group_limit)
     stale = d.filter(~F.col("fresh")).withColumn("is_duplicate", F.lit(None).cast("boolean"))
     out = fresh.unionByName(stale)
     return (out.withColumnRenamed("is_duplicate", "replay")

@@ -111,10 +111,12 @@ def test_replay_guard(spark):
             (4, "c", "n2", b + dt.timedelta(seconds=1000), b + dt.timedelta(seconds=1000)),
             (5, "c", "n1", b + dt.timedelta(seconds=1500), b + dt.timedelta(seconds=1500))]   # TTL passed
     df = spark.createDataFrame(rows, "id int, cust string, nonce string, sent timestamp_ntz, received timestamp_ntz")
-    got = {r["id"]: (r["fresh"], r["replay"], r["accepted"])
-           for r in LM.replay_guard(df, "cust", "nonce", "sent", "received", "id").collect()}
-    assert got == {1: (True, False, True), 2: (True, True, False), 3: (False, None, False),
-                   4: (True, False, True), 5: (True, False, True)}
+    exp = {1: (True, False, True), 2: (True, True, False), 3: (False, None, False),
+           4: (True, False, True), 5: (True, False, True)}
+    for limit in (LM.GAP_GROUP_LIMIT, 0):          # bucketed window path, forced range path
+        got = {r["id"]: (r["fresh"], r["replay"], r["accepted"])
+               for r in LM.replay_guard(df, "cust", "nonce", "sent", "received", "id", group_limit=limit).collect()}
+        assert got == exp, limit
 
 
 def test_rate_and_quota(spark):
