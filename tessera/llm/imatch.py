@@ -105,12 +105,13 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """``doc_id, next_id, n, text, edited``: the last third replaced by the head of the next document."""
     order = materialize(next_ids(docs), "next")
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own, after = plain.alias("own"), plain.alias("after")       # one exchange of the texts serves both joins
     third = F.floor(F.col("n") / 3).cast("int")
-    heads = (order.join(plain.withColumnRenamed("doc_id", "next_id"), "next_id")
-                  .select("doc_id", "next_id", "n", F.substring("text", F.lit(1), third).alias("head")))
-    return (plain.join(heads, "doc_id")
-                 .select("doc_id", "next_id", "n", "text",
-                         F.concat(F.substring("text", F.lit(1), (F.col("n") - third).cast("int")), "head").alias("edited")))
+    heads = (order.withColumnRenamed("doc_id", "owner").join(after, F.col("next_id") == F.col("after.doc_id"))
+                  .select("owner", "next_id", "n", F.substring("text", F.lit(1), third).alias("head")))
+    return (own.join(heads, F.col("own.doc_id") == F.col("owner"))
+               .select("doc_id", "next_id", "n", "text",
+                       F.concat(F.substring("text", F.lit(1), (F.col("n") - third).cast("int")), "head").alias("edited")))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
