@@ -21,7 +21,8 @@ Jaccard similarity of ``percent`` / 100 or more.  Exact:
 5. Size, position and unique-shingle bounds discard candidates; the rest are
    verified on their whole texts.
 
-Which shingles count as frequent, and the boundary, only steer the cost.
+Which shingles count as frequent, and the boundary, only steer the cost: both
+come from counts over all documents.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .shared import bitmap, components, has_bit
+from .shared import bitmap, components, has_bit, short_batches
 from .textkit import mix64, shingle_sets
 
 FREQUENT = 64           # repeats inside task batches from which a shingle is ordered last
@@ -44,42 +45,51 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def class_rows(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2``: set size and a 128-bit key of each document's set."""
-    def run(batches):
-        for b in batches:
-            n, k1, k2 = [], [], []
-            for s in shingle_sets(b.column("text"), width):
-                n.append(len(s))
-                k1.append(int(mix64(s).sum(dtype=np.uint64)))
-                k2.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x632BE59BD9B4E019)))) if len(s) else 0)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()),
-                                   pa.array(np.array(k1, np.uint64).view(np.int64)),
-                                   pa.array(np.array(k2, np.uint64).view(np.int64))],
-                                  names=["doc_id", "n_shingles", "k1", "k2"])
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+SCAN = "kind int, id long, n long, k1 long, k2 long"
+DOCUMENT, REPEAT, SLICE = range(3)
 
 
-def frequent_bits(docs: DataFrame, width: int) -> np.ndarray:
-    """Bit table of the shingles that repeat often inside task batches (over all documents)."""
+def scan_sets(texts: DataFrame, width: int) -> DataFrame:
+    """One pass over all texts, three kinds of rows.
+
+    ``DOCUMENT``: id, set size, 128-bit key of the set.  ``REPEAT``: a shingle
+    and how many sets of a task's batch hold it, two or more.  ``SLICE``: the
+    same for every shingle of one hash slice in 256, for the cost estimate.
+    """
     def run(batches):
         held, size = [], 0
 
-        def flush():
+        def counts():
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            again = times > 1
-            return pa.record_batch([pa.array(tokens[again].view(np.int64)), pa.array(times[again])],
-                                   names=["token", "n"])
+            for kind, some in ((REPEAT, times > 1), (SLICE, tokens & np.uint64(255) == 0)):
+                m = int(some.sum())
+                yield _scan_batch(np.full(m, kind), tokens[some].view(np.int64), times[some], np.zeros(m, np.int64), np.zeros(m, np.int64))
         for b in batches:
+            n, k1, k2 = [], [], []
             for s in shingle_sets(b.column("text"), width):
+                n.append(len(s))
+                k1.append(int(mix64(s).sum(dtype=np.uint64)))
+                k2.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x632BE59BD9B4E019)))) if len(s) else 0)
                 held.append(s)
                 size += len(s)
-                if size > 2_000_000:
-                    yield flush()
+                if size > 1_000_000:
+                    yield from counts()
                     held, size = [], 0
-        if held:
-            yield flush()
-    repeats = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+            yield _scan_batch(np.full(len(n), DOCUMENT), b.column("doc_id"), n, np.array(k1, np.uint64).view(np.int64),
+                              np.array(k2, np.uint64).view(np.int64))
+        if size:
+            yield from counts()
+    return texts.select("doc_id", "text").mapInArrow(run, SCAN)
+
+
+def _scan_batch(kind, id_, n, k1, k2) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(kind, pa.int32()), id_ if isinstance(id_, pa.Array) else pa.array(id_), pa.array(n, pa.int64()),
+                            pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["kind", "id", "n", "k1", "k2"])
+
+
+def frequent_bits(scan: DataFrame) -> np.ndarray:
+    """Bit table of the shingles that repeat often inside task batches (over all documents)."""
+    repeats = scan.filter(F.col("kind") == REPEAT).groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n"))
     return bitmap(repeats.filter(F.col("n") >= FREQUENT), "token")
 
 
@@ -88,62 +98,58 @@ def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[~late], tokens[late]])
 
 
-def postings(docs: DataFrame, width: int, percent: int, frequent, boundary: int, one_in: int = 1) -> DataFrame:
-    """``key, doc_id, n, pos, pairs``: a row per bucket that a set enters.
+def postings(texts: DataFrame, reps: DataFrame, width: int, percent: int, frequent, boundary: int) -> DataFrame:
+    """``key, doc_id, n, pos``: a row per bucket that a representative's set enters.
 
-    ``pairs`` tells a 2-subset bucket of a small set from an inverted list.
-    ``one_in`` keeps one bucket in so many (for the cost estimate).
+    Odd keys are 2-subsets of small sets, even keys inverted lists.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    lowest = need(boundary + 1, percent)
+    send = texts.sparkSession.sparkContext.broadcast
+    shared, wanted = send(frequent), send(bitmap(reps.select(F.xxhash64("doc_id").alias("h")), "h"))
+    lowest, one = need(boundary + 1, percent), np.uint64(1)
 
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            out = [[], [], [], [], []]
-
-            def add(doc, keys, n, pos, pairs):
-                if one_in > 1:
-                    kept = mix64(keys) % np.uint64(one_in) == 0
-                    keys, pos = keys[kept], pos[kept]
-                for col, x in zip(out, (keys, np.full(len(keys), doc, np.int64), np.full(len(keys), n, np.int32),
-                                        pos.astype(np.int32), np.full(len(keys), pairs, bool))):
+            b = b.filter(pa.array(has_bit(wanted.value, b.column("h").to_numpy().view(np.uint64))))
+            out = [[], [], [], []]
+
+            def add(doc, keys, n, pos):
+                for col, x in zip(out, (keys, np.full(len(keys), doc, np.int64), np.full(len(keys), n, np.int32), pos.astype(np.int32))):
                     col.append(x)
-            for doc, s in zip(ids, shingle_sets(b.column("text"), width)):
+            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), width)):
                 n = len(s)
                 if n < MIN_SIZE:
                     continue
                 s = ordered(s, shared.value)
-                if n > boundary or n >= lowest:
+                if n >= lowest:
                     p = s[:n - need(n, percent) + 1]
-                    add(doc, p, n, np.arange(len(p)), False)
+                    add(doc, p & ~one, n, np.arange(len(p)))
                 if n <= boundary:
                     p = s[:n - need(n, percent) + 2]
                     i, j = np.triu_indices(len(p), 1)
-                    add(doc, mix64(p[i] * np.uint64(3) + mix64(p[j])), n, i, True)
+                    add(doc, mix64(p[i] * np.uint64(3) + mix64(p[j])) | one, n, i)
                 if sum(map(len, out[0])) > 200_000:
                     yield _batch(out)
                     for col in out:
                         col.clear()
             if out[0]:
                 yield _batch(out)
-    return docs.mapInArrow(run, "key long, doc_id long, n int, pos int, pairs boolean")
+    rows = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    return rows.mapInArrow(run, "key long, doc_id long, n int, pos int")
 
 
 def _batch(out) -> pa.RecordBatch:
-    key, doc, n, pos, pairs = (np.concatenate(c) for c in out)
-    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc), pa.array(n), pa.array(pos), pa.array(pairs)],
-                           names=["key", "doc_id", "n", "pos", "pairs"])
+    key, doc, n, pos = (np.concatenate(c) for c in out)
+    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc), pa.array(n), pa.array(pos)], names=["key", "doc_id", "n", "pos"])
 
 
-def cost_boundary(docs: DataFrame, width: int, percent: int, frequent) -> int:
+def cost_boundary(scan: DataFrame, percent: int) -> int:
     """The largest set size whose 2-subsets are no more than the list entries it would scan.
 
-    The expected list length is ``sum(df^2) / sum(df)``, measured on one
-    inverted list in 64 over all documents.
+    The expected list length is ``sum(df^2) / sum(df)`` over the shingles that
+    are not frequent, from one hash slice of the shingles of all documents.
     """
-    lists = postings(docs, width, percent, frequent, 0, one_in=64).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    r = lists.agg(F.sum(F.col("df").cast("double") * F.col("df")).alias("sq"), F.sum("df").alias("n")).first()
+    lists = scan.filter(F.col("kind") == SLICE).groupBy("id").agg(F.sum("n").cast("double").alias("df")).filter(F.col("df") < FREQUENT)
+    r = lists.agg(F.sum(F.col("df") * F.col("df")).alias("sq"), F.sum("df").alias("n")).first()
     length = (r["sq"] / r["n"]) if r["n"] else 1.0
     n = MIN_SIZE
     while n < 100_000:
@@ -204,9 +210,9 @@ def one_text_each(docs: DataFrame) -> DataFrame:
     return texts.groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
-def membership(texts: DataFrame, width: int = 5) -> DataFrame:
+def membership(scan: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, rep``: the smallest doc_id with an equal (not empty) set."""
-    rows = materialize(class_rows(texts, width), "classes")
+    rows = scan.filter(F.col("kind") == DOCUMENT).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "k1", "k2")
     first = rows.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     member = rows.join(first, ["n_shingles", "k1", "k2"])
     member = member.select("doc_id", "n_shingles",
@@ -214,15 +220,15 @@ def membership(texts: DataFrame, width: int = 5) -> DataFrame:
     return materialize(member, "membership")
 
 
-def link_classes(texts: DataFrame, member: DataFrame, width: int = 5, percent: int = 80) -> DataFrame | None:
+def link_classes(texts: DataFrame, scan: DataFrame, member: DataFrame, width: int = 5, percent: int = 80) -> DataFrame | None:
     """``(v, root)``: the smallest document reachable from every representative that has a link."""
     spark = texts.sparkSession
-    frequent = frequent_bits(texts, width)
-    boundary = cost_boundary(texts, width, percent, frequent)
+    boundary = cost_boundary(scan, percent)
     reps = member.filter("doc_id = rep").select("doc_id")
-    rows = postings(candidate_texts(texts, reps), width, percent, frequent, boundary)
-    twice = rows.groupBy("key", "pairs").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "pairs")
-    open_ = materialize(rows.join(twice, ["key", "pairs"], "left_semi").join(reps, "doc_id", "left_semi"), "buckets")
+    rows = materialize(postings(texts, reps, width, percent, frequent_bits(scan), boundary), "postings")
+    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    open_ = rows.join(twice, "key", "left_semi").join(reps, "doc_id", "left_semi")
+    open_ = materialize(open_.withColumn("pairs", F.col("key").bitwiseAND(1) == 1), "buckets")
     shared_lists = open_.filter("NOT pairs").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     open_ = open_.join(shared_lists, "doc_id", "left").select(
@@ -231,23 +237,22 @@ def link_classes(texts: DataFrame, member: DataFrame, width: int = 5, percent: i
         (F.col("pairs") | (F.col("n") > boundary)).alias("leads"))
     edges, label, pivots = spark.createDataFrame([], "a long, b long"), None, 1
     while True:
-        mixed = (open_.groupBy("key", "pairs")
+        mixed = (open_.groupBy("key")
                       .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("leads").alias("led"))
-                      .filter("lo <> hi AND led").select("key", "pairs"))
-        open_ = materialize(open_.join(mixed, ["key", "pairs"], "left_semi"), "buckets")
+                      .filter("lo <> hi AND led").select("key"))
+        open_ = materialize(open_.join(mixed, "key", "left_semi"), "buckets")
         if open_.isEmpty():
             return label
-        rank = F.row_number().over(Window.partitionBy("key", "pairs").orderBy("doc_id"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
         lead = open_.filter("leads").withColumn("r", rank).filter(F.col("r") <= pivots).drop("r")
         lead = materialize(lead, "pivots")
-        found = (open_.alias("o").join(lead.alias("p"), (F.col("o.key") == F.col("p.key")) & (F.col("o.pairs") == F.col("p.pairs"))
-                                       & (F.col("o.comp") != F.col("p.comp")) & fits(percent))
+        found = (open_.alias("o").join(lead.alias("p"), (F.col("o.key") == F.col("p.key")) & (F.col("o.comp") != F.col("p.comp")) & fits(percent))
                       .select(F.col("p.doc_id").alias("a"), F.col("o.doc_id").alias("b"))
                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = materialize(found, "candidates")
         ids = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
         links = materialize(verify(found, candidate_texts(texts, ids), width, percent), "links")
-        open_ = open_.join(lead.select("key", "pairs", "doc_id"), ["key", "pairs", "doc_id"], "left_anti")
+        open_ = open_.join(lead.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
         if not links.isEmpty():
             edges = edges.unionByName(links)
             label = components(edges)
@@ -265,9 +270,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     NULL doc_id are no documents here and give no row; rows that repeat a
     doc_id count once, by the text that sorts last.  Other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     texts = one_text_each(docs)
-    member = membership(texts, width)
-    label = link_classes(texts, member, width, percent)
+    scan = materialize(scan_sets(texts, width), "sets")
+    member = membership(scan)
+    label = link_classes(texts, scan, member, width, percent)
     if label is None:
         return member.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), F.col("rep").alias("class_id"))
     return (member.join(label, F.col("rep") == F.col("v"), "left")

@@ -16,6 +16,11 @@ def cleared(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
+def short_batches(spark, rows: int = 1024) -> None:
+    """Fewer rows per Arrow batch: whole texts are long, and a batch of them stands in memory several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def bitmap(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     """A fixed-size bit table of the top ``bits`` bits of a 64-bit hash column.
 
