@@ -32,7 +32,7 @@ def bitmap(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     blocks = (values.select((F.floor(slot / 32768)).cast("int").alias("b"), (slot % 32768).alias("p"))
                     .groupBy("b").agg(F.expr("bitmap_construct_agg(p)").alias("m")))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():
         out[r["b"] * 4096:(r["b"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
     return out
 
