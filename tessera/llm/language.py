@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cleared
+from .shared import cleared, short_batches
 from .textkit import LOWER, mix64, pieces, word_hashes, word_spans
 
 BUCKETS = 1 << 15
@@ -85,6 +85,7 @@ class Model:
 
 def sample_features(docs: DataFrame, per_language: int, features: int, buckets: int) -> DataFrame:
     """``lang, doc_id, picks``: hashed features of a bounded, hash-chosen sample of labelled documents."""
+    short_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", F.lit(SEED))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     ids = (docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
@@ -109,13 +110,15 @@ def sample_features(docs: DataFrame, per_language: int, features: int, buckets:
 
 
 def train(docs: DataFrame, per_language: int = 400, features: int = 1000, buckets: int = BUCKETS, width: int = 16,
-          epochs: int = 12, rate: float = 0.5, batch: int = 16, least_precision: float = 0.99) -> Model:
+          epochs: int = 12, steps: int = 800, rate: float = 0.5, batch: int = 16, least_precision: float = 0.99,
+          most_lost: float = 0.002) -> Model:
     """Fit a model on labelled ``docs`` (doc_id, text, lang); rows without lang or text are skipped.
 
     The driver receives at most ``per_language * features`` integers for each
     language.  One sampled document in five is held back for calibration.
     ``floor`` is the lowest calibrated probability at which the predictions
-    kept still reach ``least_precision`` on the held-back part, 0.5 at most.
+    kept reach ``least_precision`` on the held-back part, but never so high
+    that more than ``most_lost`` of the right ones there would be rejected.
     """
     rows = [r for r in sample_features(docs, per_language, features, buckets).collect() if r["picks"]]
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["picks"]))
@@ -131,6 +134,7 @@ def train(docs: DataFrame, per_language: int = 400, features: int = 1000, bucket
     weight, bias = np.zeros((width, len(names))), np.zeros(len(names))
     weight += draw.normal(0, 0.1, weight.shape)
     learn = np.flatnonzero(~held)
+    epochs = max(epochs, -(-steps * batch // max(len(learn), 1)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.02
         order = draw.permutation(learn)
@@ -151,7 +155,9 @@ def train(docs: DataFrame, per_language: int = 400, features: int = 1000, bucket
     heat = min(np.geomspace(0.05, 5, 60), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(part)), y[part]] + 1e-12).mean())
     p = softmax(logits / heat)
     right = p.argmax(1) == y[part]
-    floor = next((t for t in np.arange(0.0, 0.5, 0.02) if right[p.max(1) >= t].mean() >= least_precision), 0.5)
+    top = p.max(1)
+    floor = next((t for t in np.arange(0.0, 0.5, 0.02) if right[top >= t].mean() >= least_precision), 0.5)
+    floor = min(floor, float(np.quantile(top[right], most_lost, method="lower")) if right.any() else 0.0)
     return Model(names, scores, bias, float(heat), float(floor), float(right.mean()))
 
 
@@ -164,6 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     computed column replaces one of the same name.  Repeated rows each give a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    short_batches(docs.sparkSession)
     docs = cleared(docs, "lang_pred", "score", "rejected", "_text")
     names = docs.columns
 
