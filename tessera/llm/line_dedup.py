@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .shared import cleared
+from .shared import cleared, short_batches
 from .textkit import ascii_lower
 
 WHITE = " \t\n\v\f\r"
@@ -201,10 +201,10 @@ class LineIndex:
              .write.parquet(f"{at}/filters"))
         return out
 
-    def maybe_shared(self, docs: DataFrame) -> DataFrame:
-        """The line keys of ``docs`` that their shard's filter does not rule out."""
+    def maybe_shared(self, lines: DataFrame) -> DataFrame:
+        """The rows of ``lines`` (shard, key, doc_id) that their shard's filter does not rule out."""
         salts = self.salts
-        lines = self.lines(docs).select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
+        lines = lines.select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
                                         "key", "doc_id", F.lit(None).cast("binary").alias("blob"))
         blobs = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
                                     F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), "blob")
@@ -232,17 +232,20 @@ class LineIndex:
                 yield b.filter(pa.array(keep)).select(["shard", "key", "doc_id"])
         return rows.mapInArrow(run, HOLD)
 
-    def dropped(self, docs: DataFrame) -> DataFrame:
+    def dropped(self, lines: DataFrame) -> DataFrame:
         """``doc_id, keys``: the line keys that each document loses to an earlier one."""
         exact = self.counts.filter("n_docs > 1").select("key", "keeper")
-        lost = self.maybe_shared(docs).join(exact, "key").filter("doc_id <> keeper")
+        lost = self.maybe_shared(lines).join(exact, "key").filter("doc_id <> keeper")
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    def kept(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``kept`` (the text left), ``n_lines`` and ``n_dropped`` per row."""
+    def kept(self, docs: DataFrame, held: bool = False) -> DataFrame:
+        """``docs`` with ``kept`` (the text left), ``n_lines`` and ``n_dropped`` per row.
+
+        ``held``: all of ``docs`` are in the index, whose line keys are then read instead of the texts.
+        """
         docs = cleared(docs, "kept", "n_lines", "n_dropped", "_doc", "_keys")
         names = docs.columns
-        lost = self.dropped(docs).select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
+        lost = self.dropped(self.holds if held else self.lines(docs)).select(F.col("doc_id").alias("_doc"), F.col("keys").alias("_keys"))
         rows = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(LAST)) == F.col("_doc"), "left").drop("_doc")
         least = self.least
 
@@ -273,5 +276,6 @@ def dedup_lines(docs: DataFrame, least: int = 10, shards: int = 64) -> DataFrame
     empty texts are one empty line.  Rows of one doc_id are one document and
     each gives its row; a NULL doc_id is one document after all others.
     """
+    short_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    return LineIndex(docs.sparkSession, shards=shards, least=least).insert(docs).kept(docs)
+    return LineIndex(docs.sparkSession, shards=shards, least=least).insert(docs).kept(docs, held=True)
