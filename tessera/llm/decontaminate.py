@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import materialize
+from .shared import short_batches
 
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -160,6 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, leas
     and items match each on their own; a NULL doc_id or item_id is carried.
     Other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     found = None
     for items in blocks_of(benchmark, block_chars):
         if found is not None:
