@@ -113,7 +113,7 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
 
     t = target.alias("t")
     s = collapsed.alias("s")
-    cond = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    cond = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]          # SQL equality: a NULL key matches nothing
     joined = t.join(s, cond, "left")
     group_of = {c: i for i, g in enumerate(groups) for c in g}
     vnames = list(by_types.keys()) if versions else []
@@ -138,7 +138,7 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
         if vcol not in target.columns:
             out.append(F.when(applies[i], F.col(f"s._ordg{i}")).alias(vcol))
     updated = joined.select(*out)
-    unmatched = s.join(t.select(*keys).alias("t"), [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys],
+    unmatched = s.join(t.select(*keys).alias("t"), [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys],
                        "left_anti")
     return updated, unmatched
 

@@ -11,7 +11,11 @@ Layout under ``warehouse``::
 
     <table>/load_batch=<id>/part-*.parquet     fact tables (24 + test tables)
     _load_log/tick=<id>/                       one row per (event_type, file)
-    _pending/<table>/                          MERGE rows whose parent is missing (retried)
+    _pending/<table>/version=<id>/             MERGE rows whose parent is missing, after tick <id>
+    _resolved/<table>/run=<uuid>/              event ids that a deep merge has applied
+    _retry/version=<id>/                       events of failed tables, read again by the next tick
+    _adopted/load_batch=<id>/                  formerly unmapped event types taken up by a tick
+    _keyless/<table>/load_batch=<id>/          MERGE rows without a key (they can match nothing)
     _rejects/load_batch=<id>/error_type=/      malformed lines (with reject_date)
     _unmapped/load_batch=<id>/                 events with no registry entry
 """
@@ -19,7 +23,10 @@ Layout under ``warehouse``::
 from __future__ import annotations
 
 import os
+import time
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +46,79 @@ def _write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
        .option("partitionOverwriteMode", "dynamic").partitionBy("load_batch").parquet(path))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """``(file system, path)`` of a path, whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def _read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """Existing parquet table (with its partition columns) or None if not written yet."""
-    if "://" not in path and not os.path.exists(path):
+    """Existing parquet table (with its partition columns) or None if nothing was written yet.
+
+    Only a missing path or a folder without files counts as nothing; any other
+    read error is raised, so it can never be taken for an empty table.
+    """
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
         return None
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - empty / not yet created
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("version="))
+
+
+def _read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The newest version before ``batch_id``: a replayed tick reads what its first run read."""
+    older = [v for v in _versions(spark, path) if v < int(batch_id)]
+    return _read_table(spark, f"{path}/version={older[-1]}") if older else None
+
+
+def pending_rows(spark: SparkSession, warehouse: str, table: str, before: int = 2**62) -> DataFrame | None:
+    """STR12: MERGE rows that wait for their parent (newest version before ``before``, less the resolved ones)."""
+    rows = _read_version(spark, f"{warehouse}/_pending/{table}", before)
+    done = _read_table(spark, f"{warehouse}/_resolved/{table}")
+    if rows is None or done is None:
+        return rows
+    return rows.join(done.select("event_id"), "event_id", "left_anti")
+
+
+def _write_version(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write this tick's version; versions before the one it was made from are no longer read."""
+    df.write.mode("overwrite").parquet(f"{path}/version={int(batch_id)}")
+    older = [v for v in _versions(df.sparkSession, path) if v < int(batch_id)]
+    for v in older[:-1]:
+        fs, p = _hadoop(df.sparkSession, f"{path}/version={v}")
+        fs.delete(p, True)
+
+
+def _dedup_known(df: DataFrame, key: str, order_cols) -> DataFrame:
+    """First row per key; rows without a key are all kept."""
+    known = L.dedup(df.filter(F.col(key).isNotNull()), key, order_cols)
+    return known.unionByName(df.filter(F.col(key).isNull()).select(*known.columns))
+
+
+def _adopted(spark: SparkSession, warehouse: str, batch_id: int, registry: dict):
+    """``(events, types)`` of earlier unmapped events whose type has an entry by now, once per type."""
+    stored = _read_table(spark, f"{warehouse}/_unmapped")
+    if stored is None:
+        return None, []
+    stored = stored.filter((F.col("load_batch") < int(batch_id)) & F.col("type").isin(list(registry)))
+    done = _read_table(spark, f"{warehouse}/_adopted")
+    if done is not None:
+        taken = [r["type"] for r in done.filter(F.col("load_batch") < int(batch_id)).select("type").distinct().collect()]
+        stored = stored.filter(~F.col("type").isin(taken))      # at most one row per registry entry
+    types = [r["type"] for r in stored.select("type").distinct().collect()]
+    return (stored.filter(F.col("type").isin(types)).drop("load_batch"), types) if types else (None, [])
 
 
 def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict | None = None,
@@ -73,12 +145,20 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
             .option("partitionOverwriteMode", "dynamic").partitionBy("load_batch", "error_type")
             .json(f"{warehouse}/_rejects"))
         # every file read in this tick is logged with the rows it held (before dedup)
+        _, fresh_unmapped = P.split_mapped(good, registry)
+        _write_batch_partition(_dedup_known(fresh_unmapped.drop("_corrupt_record"), "id", ["time", "s3_key"]),
+                               f"{warehouse}/_unmapped", batch_id)
+        # events of tables that failed, and unmapped ones whose entry exists by now, join this tick
+        again, types = _adopted(spark, warehouse, batch_id, registry)
+        _write_batch_partition(spark.createDataFrame([(t,) for t in types], "type string"), f"{warehouse}/_adopted", batch_id)
+        for more in (again, _read_version(spark, f"{warehouse}/_retry", batch_id)):
+            if more is not None:
+                good = good.unionByName(more, allowMissingColumns=True)
         read_mapped, _ = P.split_mapped(good, registry)
         per_file = read_mapped.groupBy(F.col("type").alias("event_type"), "s3_key").agg(
             F.count(F.lit(1)).alias("row_count"))
-        good = L.dedup(good, "id", ["time", "s3_key"])            # WIN1 inside the batch
-        mapped, unmapped = P.split_mapped(good, registry)
-        _write_batch_partition(unmapped.drop("_corrupt_record"), f"{warehouse}/_unmapped", batch_id)
+        good = _dedup_known(good, "id", ["time", "s3_key"])       # WIN1 inside the batch
+        mapped, _ = P.split_mapped(good, registry)
 
         present = [r["event_type"] for r in per_file.select("event_type").distinct().collect()]  # <= registry size
         tables: dict = {}
@@ -86,12 +166,13 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
             tables.setdefault(registry[et].table, []).append(registry[et])
         # tables with MERGE rows still pending from earlier ticks are retried too
         pending_tables = {e.table for e in registry.values()
-                          if e.is_merge and _read_table(spark, f"{warehouse}/_pending/{e.table}") is not None}
+                          if e.is_merge and _read_version(spark, f"{warehouse}/_pending/{e.table}", batch_id) is not None}
         for t in sorted(pending_tables):
             tables.setdefault(t, [])
 
-        status_rows = []
+        status_rows, failed = [], []
         for tbl, entries in tables.items():
+            began, loaded = time.monotonic(), []
             inserts = [e for e in entries if not e.is_merge]
             # every MERGE entry of the table: pending rows may be of any of them
             merges = sorted((e for e in registry.values() if e.table == tbl and e.is_merge),
@@ -104,23 +185,29 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
                     for vcol in merge_groups(tbl, registry):          # nothing merged yet
                         rows = rows.withColumn(vcol, F.lit(None).cast(VERSION_TYPE))
                     _write_batch_partition(rows, f"{warehouse}/{tbl}", batch_id)
+                    loaded = inserts
                 for key in sorted({e.merge_key for e in merges}):
                     group = [e for e in merges if e.merge_key == key]
                     _apply_merge(spark, mapped, group, tbl, warehouse, batch_id, tenant_scoped, merge_order,
                                  merge_horizon)
-                status_rows += [(e.event_type, "ok", None) for e in entries]
+                loaded = entries
             except Exception as exc:  # noqa: BLE001 - DML3 failure isolation
                 if strict:
                     raise
-                status_rows += [(e.event_type, "failed", str(exc)[: L.ERROR_TEXT_LIMIT]) for e in entries]
-
-        st = spark.createDataFrame(status_rows or [("", "ok", None)], "event_type string, status string, error string")
+                missed = [e.event_type for e in entries if e not in loaded]     # inserts may have been written already
+                failed += missed
+                status_rows += [(t, "failed", str(exc)[: L.ERROR_TEXT_LIMIT], int(1000 * (time.monotonic() - began))) for t in missed]
+            status_rows += [(e.event_type, "ok", None, int(1000 * (time.monotonic() - began))) for e in loaded]
+
+        _write_version(mapped.filter(F.col("type").isin(failed)) if failed else mapped.limit(0), f"{warehouse}/_retry", batch_id)
+        st = spark.createDataFrame(status_rows or [("", "ok", None, 0)],
+                                   "event_type string, status string, error string, duration long")
         log = (per_file.join(F.broadcast(st), "event_type")       # one status row per event type
-               .select("event_type", "s3_key", "row_count", "status", "error"))
+               .select("event_type", "s3_key", "row_count", "status", "error", "duration"))
         log = log.select(
             "event_type", "s3_key", F.current_timestamp().alias("copied_at"),
             F.col("row_count").cast("long"), F.lit(None).cast("long").alias("bytes_loaded"),
-            F.lit(None).cast("long").alias("copy_duration_ms"), "status",
+            F.col("duration").alias("copy_duration_ms"), "status",
             F.col("error").alias("error_message"), F.lit(str(batch_id)).alias("tick_id"))
         (log.withColumn("tick", F.lit(int(batch_id))).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("tick").parquet(f"{warehouse}/_load_log"))
@@ -128,7 +215,7 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
         batch.unpersist()
 
 
-def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped, merge_order, horizon=None):
+def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped, merge_order, horizon=None, resolve=False):
     """DML1/DML5/STR12: MERGE this tick's rows (plus earlier pending ones) into the table.
 
     Only the ``load_batch`` partitions holding a touched key are rewritten;
@@ -137,17 +224,21 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
     are retried next tick instead of being dropped.
     """
     key = entries[0].merge_key
+    keys = (["tenant_id"] if tenant_scoped else []) + [key]
     src = P.project_table(mapped, entries, tbl)
     pending_path = f"{warehouse}/_pending/{tbl}"
-    prev = _read_table(spark, pending_path)
+    prev = pending_rows(spark, warehouse, tbl, batch_id)
     if prev is not None:
-        # a replayed tick sees its own pending rows again: one row per event id
-        src = L.dedup(src.unionByName(prev.select(*src.columns)), "event_id", ["event_time", "_event_type"])
+        src = _dedup_known(src.unionByName(prev.select(*src.columns)), "event_id", ["event_time", "_event_type"])
+    has_key = F.lit(True)
+    for k in keys:
+        has_key = has_key & F.col(k).isNotNull()
+    _write_batch_partition(src.filter(~has_key), f"{warehouse}/_keyless/{tbl}", batch_id)
+    src = src.filter(has_key)
     update_cols: dict = {}
     for e in entries:
         for c in e.update_columns():
             update_cols.setdefault(c, []).append(e.event_type)
-    keys = (["tenant_id"] if tenant_scoped else []) + [key]
     target = _read_table(spark, f"{warehouse}/{tbl}")
     if target is not None and horizon is not None:
         target = target.filter(F.col("load_batch") >= int(batch_id) - int(horizon))   # partition pruning
@@ -164,27 +255,32 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
         still = src.join(target.select(*keys).distinct(), keys, "left_anti").checkpoint()
         (new_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("load_batch").parquet(f"{warehouse}/{tbl}"))
-    # the pending set is rewritten whole each tick
-    still.write.mode("overwrite").parquet(pending_path)
+    if resolve:
+        applied = src.join(still.select("event_id").distinct(), "event_id", "left_anti").select("event_id")
+        applied.filter(F.col("event_id").isNotNull()).write.parquet(f"{warehouse}/_resolved/{tbl}/run={uuid.uuid4().hex}")
+    else:
+        _write_version(still, pending_path, batch_id)
 
 
 def deep_merge(spark: SparkSession, warehouse: str, batch_id: int, registry: dict | None = None,
                tenant_scoped: bool = True, merge_order: str = "event_time") -> None:
     """Resolve pending MERGE rows against the whole table (no horizon).
 
-    Run on a slow cadence next to a horizon-bounded stream; ``batch_id``
-    must be above the stream's batches (e.g. a separate id range).
+    Run on a slow cadence next to a horizon-bounded stream, with a ``batch_id``
+    above the ticks whose pending rows it shall see.  It leaves the pending
+    versions to the stream and records the events it has applied instead,
+    which later ticks leave out; applying one twice changes nothing.
     """
     registry = REGISTRY if registry is None else registry
     empty = spark.createDataFrame([], "id string, time string, type string, tenantid string, caseid string, "
                                       "data string")
     for tbl in sorted({e.table for e in registry.values() if e.is_merge}):
-        if _read_table(spark, f"{warehouse}/_pending/{tbl}") is None:
+        if _read_version(spark, f"{warehouse}/_pending/{tbl}", batch_id) is None:
             continue
         entries = sorted((e for e in registry.values() if e.table == tbl and e.is_merge), key=lambda e: e.event_type)
         for key in sorted({e.merge_key for e in entries}):
             group = [e for e in entries if e.merge_key == key]
-            _apply_merge(spark, empty, group, tbl, warehouse, batch_id, tenant_scoped, merge_order, None)
+            _apply_merge(spark, empty, group, tbl, warehouse, batch_id, tenant_scoped, merge_order, None, resolve=True)
 
 
 def bronze_stream(spark: SparkSession, root: str, max_files: int = MAX_FILES_PER_TRIGGER,
@@ -217,10 +313,11 @@ def bronze_stream(spark: SparkSession, root: str, max_files: int = MAX_FILES_PER
 
 def start_loader(spark: SparkSession, bronze_root: str, warehouse: str, checkpoint: str | None = None,
                  trigger: str | None = DEFAULT_TRIGGER, available_now: bool = False, registry: dict | None = None,
-                 archive_dir: str | None = None, dedup_watermark: str | None = None, **tick_kwargs):
+                 archive_dir: str | None = None, dedup_watermark: str | None = None,
+                 max_files: int = MAX_FILES_PER_TRIGGER, **tick_kwargs):
     """Start the loader stream; ``available_now=True`` drains what is there and stops."""
     checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "loader")
-    stream = bronze_stream(spark, bronze_root, archive_dir=archive_dir, dedup_watermark=dedup_watermark)
+    stream = bronze_stream(spark, bronze_root, max_files, archive_dir=archive_dir, dedup_watermark=dedup_watermark)
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: load_tick(df, bid, warehouse, registry, **tick_kwargs)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)

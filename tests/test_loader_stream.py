@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tessera.plans.dispatch import REGISTRY
-from tessera.streaming.loader import load_batch_files, start_loader
+from tessera.streaming.loader import load_batch_files, pending_rows, start_loader
 
 T_SUB = "axira.agent.task.submitted.v1"
 T_START = "axira.agent.task.started.v1"
@@ -68,7 +68,7 @@ def _check_warehouse(spark, wh, logged_files=4):
     assert k1["duration_ms"] == 4000
     assert k1["skill_id"] is None              # completed lists skill_id without a value
     assert k1["correlation_id"] == "x"         # not listed by the merges -> untouched
-    pend = spark.read.parquet(f"{wh}/_pending/fact_agent_task")
+    pend = pending_rows(spark, wh, "fact_agent_task")
     assert [r["task_id"] for r in pend.collect()] == ["k9"]
     log = spark.read.parquet(f"{wh}/_load_log")
     assert log.filter("status = 'ok'").count() == logged_files
@@ -117,13 +117,73 @@ def test_parent_arrives_later(spark):
     wh = tempfile.mkdtemp(prefix="wh-")
     _write(root, T_DONE, 3, "a.jsonl", [_env(1, T_DONE, "2026-05-20T03:04:09Z", {"taskId": "k1", "outcome": "ok"})])
     load_batch_files(spark, root, wh, batch_id=0)
-    assert spark.read.parquet(f"{wh}/_pending/fact_agent_task").count() == 1
+    assert pending_rows(spark, wh, "fact_agent_task").count() == 1
     root2 = tempfile.mkdtemp(prefix="bronze-")
     _write(root2, T_SUB, 3, "b.jsonl", [_env(2, T_SUB, "2026-05-20T03:00:00Z", {"taskId": "k1", "agentName": "a"})])
     load_batch_files(spark, root2, wh, batch_id=1)
     task = spark.read.parquet(f"{wh}/fact_agent_task").collect()
     assert len(task) == 1 and task[0]["outcome"] == "ok" and task[0]["agent_name"] is None
-    assert spark.read.parquet(f"{wh}/_pending/fact_agent_task").count() == 0
+    assert pending_rows(spark, wh, "fact_agent_task").count() == 0
+
+
+def _tick(spark, wh, batch_id, lines, registry=None):
+    root = tempfile.mkdtemp(prefix="bronze-")
+    for k, (typ, env) in enumerate(lines):
+        _write(root, typ, 3, f"{k}.jsonl", [env])
+    load_batch_files(spark, root, wh, batch_id=batch_id, registry=registry)
+    return root
+
+
+def test_replay_after_pending_was_applied(spark):
+    wh = tempfile.mkdtemp(prefix="wh-")
+    _tick(spark, wh, 0, [(T_START, _env(1, T_START, "2026-05-20T03:04:06Z", {"taskId": "k1", "modelUsed": "m1"}))])
+    root = _tick(spark, wh, 1, [(T_SUB, _env(2, T_SUB, "2026-05-20T03:00:00Z", {"taskId": "k1"}))])
+    for _ in range(2):
+        assert [r["model_used"] for r in spark.read.parquet(f"{wh}/fact_agent_task").collect()] == ["m1"]
+        load_batch_files(spark, root, wh, batch_id=1)           # the same tick again
+    assert pending_rows(spark, wh, "fact_agent_task").count() == 0
+
+
+def test_failed_table_is_retried(spark, monkeypatch):
+    from tessera.streaming import loader
+    wh = tempfile.mkdtemp(prefix="wh-")
+    real = loader.P.project_table
+
+    def broken(*a, **k):
+        raise OSError("store away")
+    monkeypatch.setattr(loader.P, "project_table", broken)
+    _tick(spark, wh, 0, [(T_SUB, _env(1, T_SUB, "2026-05-20T03:00:00Z", {"taskId": "k1"}))])
+    monkeypatch.setattr(loader.P, "project_table", real)
+    for batch in (1, 2):
+        _tick(spark, wh, batch, [(T_SUB, _env(10 + batch, T_SUB, "2026-05-20T03:01:00Z", {"taskId": f"n{batch}"}))])
+    assert sorted(r["task_id"] for r in spark.read.parquet(f"{wh}/fact_agent_task").collect()) == ["k1", "n1", "n2"]
+    log = spark.read.parquet(f"{wh}/_load_log").orderBy("tick").collect()
+    assert log[0]["status"] == "failed" and all(r["copy_duration_ms"] is not None for r in log)
+
+
+def test_entry_added_later_loads_unmapped_events_once(spark):
+    wh = tempfile.mkdtemp(prefix="wh-")
+    few = {k: v for k, v in REGISTRY.items() if k != T_SUB}
+    _tick(spark, wh, 0, [(T_SUB, _env(1, T_SUB, "2026-05-20T03:00:00Z", {"taskId": "k1"}))], few)
+    for batch in (1, 2, 2):
+        _tick(spark, wh, batch, [(T_START, _env(20, T_START, "2026-05-20T03:04:06Z", {"taskId": "k1", "modelUsed": "m"}))])
+    rows = spark.read.parquet(f"{wh}/fact_agent_task").collect()
+    assert [(r["task_id"], r["model_used"]) for r in rows] == [("k1", "m")]
+
+
+def test_rows_without_id_or_key(spark):
+    wh = tempfile.mkdtemp(prefix="wh-")
+    lines = []
+    for k in range(5):
+        env = _env(0, T_SUB, f"2026-05-20T03:0{k}:00Z", {"taskId": None if k < 2 else f"k{k}"})
+        env["id"] = None
+        lines.append((T_SUB, env))
+    lines.append((T_START, _env(9, T_START, "2026-05-20T03:09:00Z", {"modelUsed": "m"})))
+    _tick(spark, wh, 0, lines)
+    rows = spark.read.parquet(f"{wh}/fact_agent_task").collect()
+    assert len(rows) == 5 and all(r["model_used"] is None for r in rows)
+    assert spark.read.parquet(f"{wh}/_keyless/fact_agent_task").count() == 1
+    assert pending_rows(spark, wh, "fact_agent_task").count() == 0
 
 
 def test_registry_shape():
@@ -184,10 +244,10 @@ def test_merge_horizon_and_deep_merge(spark):
     _write(root2, T_DONE, 5, "b.jsonl", [_env(2, T_DONE, "2026-05-20T05:00:00Z", {"taskId": "k1", "outcome": "ok"})])
     load_batch_files(spark, root2, wh, batch_id=5, merge_horizon=1)       # parent is outside the horizon
     assert spark.read.parquet(f"{wh}/fact_agent_task").collect()[0]["outcome"] is None
-    assert spark.read.parquet(f"{wh}/_pending/fact_agent_task").count() == 1
+    assert pending_rows(spark, wh, "fact_agent_task").count() == 1
     deep_merge(spark, wh, batch_id=1000)
     assert spark.read.parquet(f"{wh}/fact_agent_task").collect()[0]["outcome"] == "ok"
-    assert spark.read.parquet(f"{wh}/_pending/fact_agent_task").count() == 0
+    assert pending_rows(spark, wh, "fact_agent_task").count() == 0
 
 
 def test_every_bronze_line_is_accounted_for(spark):
@@ -226,7 +286,7 @@ def test_every_bronze_line_is_accounted_for(spark):
     task = spark.read.parquet(f"{wh}/fact_agent_task").select("tenant_id", "task_id").collect()
     assert sorted((r["tenant_id"], r["task_id"]) for r in task) == sorted(submitted.values())
     parents = set(submitted.values())
-    pend = spark.read.parquet(f"{wh}/_pending/fact_agent_task").select("tenant_id", "task_id").collect()
+    pend = pending_rows(spark, wh, "fact_agent_task").select("tenant_id", "task_id").collect()
     assert {(r["tenant_id"], r["task_id"]) for r in pend} == {k for k in merges.values() if k not in parents}
     unm = spark.read.parquet(f"{wh}/_unmapped")
     assert unm.select("id").distinct().count() == len(unknown) == unm.count()
