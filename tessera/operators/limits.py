@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.routing import MAX_CLOCK_SKEW_S, REPLAY_TTL_S
-from .routing import GAP_GROUP_LIMIT, gap_dedup
+from .routing import gap_dedup
 
 
 def rate_violations(df: DataFrame, key, ts: str, window: str, slide: str | None, limit: int) -> DataFrame:
@@ -70,72 +70,47 @@ def cidr_table(cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
     """``cidr`` text -> (family, len, prefix bits)."""
     parts = F.split(F.col(cidr), "/")
     b = ip_bits(F.get(parts, 0))
-    ln = F.get(parts, 1).cast("int")
-    return (cidrs.select(F.col(cidr).alias("cidr"), b.alias("_b"), ln.alias("len"))
-                 .filter(F.col("_b").isNotNull())
+    whole = F.length(b["bits"])                    # a bare address stands for itself
+    ln = F.when(F.size(parts) == 1, whole).otherwise(F.expr(f"try_cast(split({cidr}, '/')[1] AS int)"))
+    rows = (cidrs.select(F.col(cidr).alias("cidr"), b.alias("_b"), ln.alias("len"))
+                 .filter(F.col("_b").isNotNull() & F.col("len").between(0, whole))
                  .select("cidr", F.col("_b.family").alias("family"), "len",
                          F.substring(F.col("_b.bits"), 1, F.col("len")).alias("prefix")))
+    # spellings of one range ("10.1.0.0/8", "10.0.0.0/8") are one entry, shown by the first in text order
+    return rows.groupBy("family", "len", "prefix").agg(F.min("cidr").alias("cidr"))
 
 
-INLINE_CIDR_LIMIT = 4096
-
-
-def match_cidr(df: DataFrame, ip_col: str, cidrs: DataFrame, id_col: str | None = None, cidr: str = "cidr",
-               inline_limit: int = INLINE_CIDR_LIMIT) -> DataFrame:
+def match_cidr(df: DataFrame, ip_col: str, cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
     """FIL8/JN11: add ``matched`` and the longest matching ``matched_cidr``.
 
-    Size-checked strategy:
-
-    * allow-list with at most ``inline_limit`` entries (checked with a
-      ``limit(n + 1).count()`` on the CIDR side): the list is compiled into a
-      map literal and every address probes one key per prefix length -- a
-      pure projection, no join, no shuffle of the request side;
-    * larger tables (e.g. a geo-IP database): each address is expanded into
-      one candidate per distinct prefix length (at most 162) and equi-joined
-      on (family, length, prefix); AQE picks broadcast or shuffle at runtime.
-      ``id_col`` (a unique row key) is required on this path.
+    One path at every size: each distinct address is expanded into one
+    candidate per prefix length that occurs (at most 162) and equi-joined on
+    (family, length, prefix); its longest hit is joined back to the rows.  AQE
+    picks broadcast or shuffle at runtime.
     """
     ct = cidr_table(cidrs, cidr)
-    small = ct.limit(inline_limit + 1).count() <= inline_limit
-    if small:
-        rows = ct.collect()                      # bounded by the check above
-        lengths = sorted({(r["family"], r["len"]) for r in rows})
-        lut = F.create_map(*[x for r in rows for x in (F.lit(f"{r['family']}:{r['len']}:{r['prefix']}"),
-                                                       F.lit(r["cidr"]))]) if rows else None
-        # address bits computed once per row, then one map probe per prefix length;
-        # lengths ascend, so the last hit is the longest prefix
-        b = F.col("_ipb")
-        best = F.lit(None).cast("string")
-        for f, n in lengths:
-            probe = F.try_element_at(lut, F.concat(F.lit(f"{f}:{n}:"), F.substring(b["bits"], 1, n)))
-            best = F.when((b["family"] == f) & probe.isNotNull(), probe).otherwise(best)
-        return (df.withColumn("_ipb", ip_bits(F.col(ip_col)))
-                  .withColumn("matched_cidr", best).drop("_ipb")
-                  .withColumn("matched", F.col("matched_cidr").isNotNull()))
-    if id_col is None:
-        raise ValueError("match_cidr needs id_col for a CIDR table above the inline limit")
     lengths = sorted({(r["family"], r["len"]) for r in ct.select("family", "len").distinct().collect()})
+    if not lengths:
+        return df.withColumn("matched_cidr", F.lit(None).cast("string")).withColumn("matched", F.lit(False))
     cand = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("len")) for f, n in lengths])
-    addr = df.select(F.col(id_col), ip_bits(F.col(ip_col)).alias("_b"))
+    addr = df.select(F.col(ip_col).alias("_ip")).distinct().select("_ip", ip_bits(F.col("_ip")).alias("_b"))
     exp = (addr.filter(F.col("_b").isNotNull())
-               .select(id_col, "_b", F.explode(F.filter(cand, lambda c: c["family"] == F.col("_b.family"))).alias("_c"))
-               .select(id_col, F.col("_c.family").alias("family"), F.col("_c.len").alias("len"),
+               .select("_ip", "_b", F.explode(F.filter(cand, lambda c: c["family"] == F.col("_b.family"))).alias("_c"))
+               .select("_ip", F.col("_c.family").alias("family"), F.col("_c.len").alias("len"),
                        F.substring(F.col("_b.bits"), 1, F.col("_c.len")).alias("prefix")))
-    hits = (exp.join(ct, ["family", "len", "prefix"])
-               .groupBy(id_col).agg(F.max_by("cidr", "len").alias("matched_cidr")))
-    return (df.join(hits, id_col, "left")
+    hits = exp.join(ct, ["family", "len", "prefix"]).groupBy("_ip").agg(F.max_by("cidr", "len").alias("matched_cidr"))
+    return (df.join(hits, F.col(ip_col) == F.col("_ip"), "left").drop("_ip")
               .withColumn("matched", F.col("matched_cidr").isNotNull()))
 
 
 def replay_guard(df: DataFrame, key: str, nonce: str, sent: str, received: str, id_col: str,
-                 skew_s: int = MAX_CLOCK_SKEW_S, ttl_s: int = REPLAY_TTL_S,
-                 group_limit: int = GAP_GROUP_LIMIT) -> DataFrame:
+                 skew_s: int = MAX_CLOCK_SKEW_S, ttl_s: int = REPLAY_TTL_S) -> DataFrame:
     """FIL12 + STR7: reject stale messages (|received - sent| > skew) and replays
     of a (key, nonce) seen within the TTL.  Stale messages never register
     their nonce (checked first), replays are detected among fresh ones."""
     diff = F.abs(F.unix_micros(F.col(received).cast("timestamp")) - F.unix_micros(F.col(sent).cast("timestamp")))
     d = df.withColumn("fresh", diff <= skew_s * 1000000)
-    fresh = gap_dedup(d.filter("fresh"), [key, nonce], received, ttl_s, tiebreak=[id_col], group_limit=group_limit)
+    fresh = gap_dedup(d.filter("fresh"), [key, nonce], received, ttl_s, tiebreak=[id_col])
     stale = d.filter(~F.col("fresh")).withColumn("is_duplicate", F.lit(None).cast("boolean"))
     out = fresh.unionByName(stale)
     return (out.withColumnRenamed("is_duplicate", "replay")

@@ -57,13 +57,21 @@ def group_rank(df: DataFrame, partition, order) -> DataFrame:
     return g.select(*cols, (F.col("_g") - F.col("_first")).alias("_rn"))
 
 
-# Largest group (rows) whose values one task may hold: the built-in
-# ``percentile`` keeps a value -> count map per group, merged in one task.
-PERCENTILE_GROUP_LIMIT = 2_000_000
+def running_total(df: DataFrame, order, weight: str) -> DataFrame:
+    """``df`` plus ``_before``: the sum of ``weight`` over the rows ahead in ``order``."""
+    from ..session import materialize
+    cols = df.columns
+    pid = F.spark_partition_id().cast("long")
+    s = materialize(df.orderBy(*_cols(order)).select("*", pid.alias("_pid"), F.monotonically_increasing_id().alias("_idx")), "running")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = s.groupBy("_pid").agg(F.sum(weight).alias("_n")).select(
+        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy("_idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return s.join(F.broadcast(offsets), "_pid").select(*cols, (F.col("_off") + F.col("_in")).alias("_before"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles, names=None, extra=(),
-                    group_limit: int = PERCENTILE_GROUP_LIMIT) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles, names=None, extra=()) -> DataFrame:
     """Continuous quantiles of ``value`` per ``keys`` group, exact, plus the
     ``extra`` aggregates; one row per group: ``keys + extra + names``.
 
@@ -71,49 +79,33 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles, names
     values, interpolated linearly between the two neighbouring ranks (the
     ``quantile_cont`` / ``percentile`` definition).
 
-    Behind a measured size check (the largest group's row count):
-
-    * every group within ``group_limit`` rows -> the built-in ``percentile``
-      in one grouped aggregate (its per-group state is bounded by the group);
-    * otherwise the range path: rows are range-sorted on (keys, value), only
-      the needed ranks (at most two per quantile and group) are picked from
-      the indexed rows by a join on the global position (unique, so no key is
-      hot), and a hot group is spread over as many tasks as its size needs.
+    One path at every size: equal values are counted first (a value that most
+    rows have is one row), the counts are summed up along range partitions of
+    (keys, value), and each group picks the values whose span of ranks holds
+    its quantiles.  A hot group is spread over as many ranges as it needs.
     """
     names = list(names or [f"_q{i}" for i in range(len(quantiles))])
     extra = list(extra)
-    vd = F.col(value).cast("double")
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest <= group_limit:
-        qs = F.array(*[F.lit(float(q)) for q in quantiles])
-        out = df.groupBy(*keys).agg(*extra, F.percentile(vd, qs).alias("_q"))
-        return out.select(*[c for c in out.columns if c != "_q"],
-                          *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    qv = _ranked_quantiles(df.select(*keys, vd.alias("_v")).filter(F.col("_v").isNotNull()), keys, quantiles, names)
-    per_group = df.groupBy(*keys).agg(*extra, F.count(F.lit(1)).alias("_rows"))
-    q = qv.select(*(F.col(k).alias(f"_q_{k}") for k in keys), *names)
-    j = per_group.join(q, [per_group[k].eqNullSafe(q[f"_q_{k}"]) for k in keys], "left")
-    return j.select(*[c for c in per_group.columns if c != "_rows"], *names)
-
-
-def _ranked_quantiles(v: DataFrame, keys: list[str], quantiles, names) -> DataFrame:
-    """The range path of ``exact_quantiles`` over non-NULL ``_v``."""
-    g = global_index(v, [F.col(k) for k in keys] + [F.col("_v")])
-    stats = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_g").alias("_first"))
-    qs = F.array(*[F.lit(float(q)) for q in quantiles])
-    want = (stats.select(*keys, "_n", "_first", F.posexplode(qs).alias("_qi", "_qv"))
-                 .withColumn("_pos", (F.col("_n") - 1) * F.col("_qv"))
-                 .withColumn("_glo", F.col("_first") + F.floor("_pos").cast("long"))
-                 .withColumn("_ghi", F.col("_first") + F.ceil("_pos").cast("long"))
-                 .withColumn("_d", F.col("_pos") - F.floor("_pos")))
-    needed = want.select(F.explode(F.array("_glo", "_ghi")).alias("_g")).distinct()
-    picked = g.join(needed, "_g", "left_semi").select("_g", "_v")
-    lo = picked.select(F.col("_g").alias("_glo"), F.col("_v").alias("_vlo"))
-    hi = picked.select(F.col("_g").alias("_ghi"), F.col("_v").alias("_vhi"))
-    val = F.col("_vlo") + F.col("_d") * (F.col("_vhi") - F.col("_vlo"))
-    w = want.join(lo, "_glo").join(hi, "_ghi").select(*keys, "_qi", val.alias("_val"))
-    return w.groupBy(*keys).agg(*[F.max(F.when(F.col("_qi") == i, F.col("_val"))).alias(nm)
-                                  for i, nm in enumerate(names)])
-
-
-__all__ = ["PERCENTILE_GROUP_LIMIT", "global_index", "group_rank", "exact_quantiles"]
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    v = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    v = running_total(v, [F.col(k) for k in keys] + [F.col("_v")], "_c")
+    group = v.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_first"))
+    group = group.select(*(F.col(k).alias(f"_g_{k}") for k in keys), "_n", "_first")
+    v = v.join(group, [v[k].eqNullSafe(group[f"_g_{k}"]) for k in keys])
+    lo = F.col("_before") - F.col("_first")
+
+    def at(rank):
+        return F.max(F.when((lo <= rank) & (rank < lo + F.col("_c")), F.col("_v")))
+    picks = []
+    for i, q in enumerate(quantiles):
+        pos = (F.col("_n") - 1) * F.lit(float(q))
+        picks += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}"), F.max(pos - F.floor(pos)).alias(f"_d{i}")]
+    found = v.groupBy(*keys).agg(*picks)
+    found = found.select(*(F.col(k).alias(f"_q_{k}") for k in keys),
+                         *[(F.col(f"_lo{i}") + F.col(f"_d{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm) for i, nm in enumerate(names)])
+    rows = df.groupBy(*keys).agg(*extra, F.count(F.lit(1)).alias("_rows"))
+    j = rows.join(found, [rows[k].eqNullSafe(found[f"_q_{k}"]) for k in keys], "left")
+    return j.select(*[c for c in rows.columns if c != "_rows"], *names)
+
+
+__all__ = ["global_index", "group_rank", "running_total", "exact_quantiles"]

@@ -68,9 +68,12 @@ def previous_sighting(df: DataFrame, key: list, value: str, tiebreak=()) -> Data
     The ranged rows are written once to the shared folder (cutting lineage).
     """
     from ..session import materialize
-    order = [F.col(c) for c in key] + [F.col(value)] + [F.col(c) for c in tiebreak]
-    d = df.repartitionByRange(*order).withColumn("_rng", F.spark_partition_id())
-    w = Window.partitionBy("_rng", *key).orderBy(value, *tiebreak)
+    # the row hash cuts rows that are alike in key and value over ranges too
+    d = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    rest = [*tiebreak, "_tie"]
+    order = [F.col(c) for c in [*key, value, *rest]]
+    d = d.repartitionByRange(*order).withColumn("_rng", F.spark_partition_id())
+    w = Window.partitionBy("_rng", *key).orderBy(value, *rest)
     # written once to the shared folder: range bounds are sampled per plan
     # branch, so both uses below must read the same materialised range ids
     d = materialize(d.withColumn("_prev", F.lag(value).over(w)), "prev")
@@ -83,42 +86,20 @@ def previous_sighting(df: DataFrame, key: list, value: str, tiebreak=()) -> Data
     for i, c in enumerate(key):
         same = same & F.col(c).eqNullSafe(F.col(f"_bnd._lk{i}"))
     carried = F.when(F.col("_prev").isNull() & F.col("_bnd").isNotNull() & same, F.col("_bnd._lv"))
-    return d.withColumn("_prev", F.coalesce(F.col("_prev"), carried)).drop("_rng", "_bnd")
+    return d.withColumn("_prev", F.coalesce(F.col("_prev"), carried)).drop("_rng", "_bnd", "_tie")
 
 
-# Largest (key, gap bucket) group, in rows, that one window task may sort.
-GAP_GROUP_LIMIT = 5_000_000
-
-
-def gap_dedup(df: DataFrame, key, ts: str, gap_s: int, tiebreak=(), group_limit: int = GAP_GROUP_LIMIT) -> DataFrame:
+def gap_dedup(df: DataFrame, key, ts: str, gap_s: int, tiebreak=()) -> DataFrame:
     """STR6 (batch form): flag rows whose key was seen less than ``gap_s`` earlier.
 
-    Rows fall into ``gap_s``-wide time buckets; an earlier sighting more than
-    one bucket back is more than ``gap_s`` away.  Behind a measured size
-    check (the largest (key, bucket) group):
-
-    * within ``group_limit`` rows: ``lag`` per (key, bucket) plus the previous
-      bucket's last sighting (a per-(key, bucket) max joined one bucket
-      forward) -- a hot key spreads over its buckets;
-    * beyond it: ``previous_sighting`` on range partitions, which also cuts a
-      single hot (key, bucket) over many tasks.
+    One path at every size: the previous sighting on range partitions of
+    (key, time, tiebreak).  NULL is a key like any other.
     """
     key = [key] if isinstance(key, str) else list(key)
     width = int(gap_s) * 1000000
-    d = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    d = d.withColumn("_b", F.floor(F.col("_us") / width))
-    biggest = d.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest <= group_limit:
-        w = Window.partitionBy(*key, "_b").orderBy("_us", *tiebreak)
-        d = d.withColumn("_prev", F.lag("_us").over(w))
-        last = (d.groupBy(*key, "_b").agg(F.max("_us").alias("_pmax"))
-                 .withColumn("_b", F.col("_b") + 1))
-        d = d.join(last, key + ["_b"], "left").withColumn("_prev", F.coalesce(F.col("_prev"), F.col("_pmax")))
-        d = d.drop("_pmax")
-    else:
-        d = previous_sighting(d, key, "_us", tiebreak)
+    d = previous_sighting(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), key, "_us", tiebreak)
     dup = F.col("_prev").isNotNull() & ((F.col("_us") - F.col("_prev")) < width)
-    return d.withColumn("is_duplicate", dup).drop("_us", "_b", "_prev")
+    return d.withColumn("is_duplicate", dup).drop("_us", "_prev")
 
 
 def content_dedup_id(*cols) -> Column:
@@ -157,8 +138,9 @@ def notification_targets(events: DataFrame, tenant_config: DataFrame) -> DataFra
     internal = F.array_distinct(F.array(target("axira-slack", ch), target("axira-slack", esc)))
     cat = customer_category(F.col("type"))
     prov = F.col("provider")
-    slack = F.when(prov.isin("slack", "both"), target("slack", F.col("slack_channels")[cat]))
-    teams = F.when(prov.isin("teams", "both"), target("teams", F.col("teams_channels")[cat]))
+    # a provider block that is missing, or has no channel for the category, gets no delivery
+    slack = F.when(prov.isin("slack", "both") & F.col("slack_channels")[cat].isNotNull(), target("slack", F.col("slack_channels")[cat]))
+    teams = F.when(prov.isin("teams", "both") & F.col("teams_channels")[cat].isNotNull(), target("teams", F.col("teams_channels")[cat]))
     customer = F.filter(F.array(slack, teams), lambda x: x.isNotNull())
     joined = events.join(tenant_config, "tenant_id", "left")
     return (joined.select("event_id", F.explode(F.concat(internal, customer)).alias("t"))

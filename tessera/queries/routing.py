@@ -80,12 +80,12 @@ def staging_fanout(spark, sf_dir):
 SELECT l.subscriber, m.kind, count(*) AS n FROM m JOIN lists l ON m.kind = l.kind GROUP BY 1, 2
 """)
 def kind_allowlist(spark, sf_dir):
-    """FIL6/FIL7: each subscription's kind allow-list, evaluated in one pass (no join)."""
+    """FIL6/FIL7: the messages that each subscription's kind allow-list lets through."""
     msgs = events(spark, sf_dir).select(_case("event_type", _KIND).alias("kind"))
-    subs = F.array(*[F.struct(F.lit(s).alias("subscriber"), F.array(*[F.lit(k) for k in ks]).alias("kinds"))
-                     for s, ks in KIND_ALLOWLISTS.items()])
-    hit = F.filter(subs, lambda s: F.array_contains(s["kinds"], F.col("kind")))
-    out = msgs.select("kind", F.explode(hit).alias("s")).select(F.col("s.subscriber").alias("subscriber"), "kind")
+    out = None
+    for subscriber, kinds in KIND_ALLOWLISTS.items():               # configuration: a few lists
+        rows = R.allow(msgs, "kind", kinds).select(F.lit(subscriber).alias("subscriber"), "kind")
+        out = rows if out is None else out.unionByName(rows)
     return out.groupBy("subscriber", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -207,11 +207,12 @@ def dlq_split(spark, sf_dir):
     """STR8: live vs dead-letter per topic at both configured receive limits."""
     msgs = events(spark, sf_dir).select(_case("event_type", _TOPIC).alias("topic"),
                                         F.floor(F.second("ts") / 8).cast("int").alias("receive_count"))
-    # both configured limits in one pass: one row per (message, limit)
-    limits = msgs.select("topic", "receive_count",
-                         F.explode(F.array(F.lit(MAX_RECEIVE_DEFAULT), F.lit(MAX_RECEIVE_PROD))).alias("max_receive"))
-    lane = F.when(F.col("receive_count") > F.col("max_receive"), F.lit("dead")).otherwise(F.lit("live"))
-    return limits.groupBy("topic", "max_receive", lane.alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for limit in (MAX_RECEIVE_DEFAULT, MAX_RECEIVE_PROD):
+        for lane, rows in zip(("live", "dead"), R.dead_letter(msgs, limit)):
+            rows = rows.select("topic", F.lit(limit).alias("max_receive"), F.lit(lane).alias("lane"))
+            out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("topic", "max_receive", "lane").agg(F.count(F.lit(1)).alias("n"))
 
 
 @binding("fifo_dedup", sql=f"""
@@ -312,7 +313,7 @@ def cidr_match(spark, sf_dir):
                      F.hour("ts").cast("string"), F.least(F.floor("value"), F.lit(255)).cast("string"))
     reqs = ev.select("event_id", ip.alias("ip"))
     cidrs = spark.createDataFrame([(c,) for c in TEST_CIDRS + ORIGIN_ALLOW_V4 + ORIGIN_ALLOW_V6], "cidr string")
-    return LM.match_cidr(reqs, "ip", cidrs, "event_id").select("event_id", "ip", "matched", "matched_cidr")
+    return LM.match_cidr(reqs, "ip", cidrs).select("event_id", "ip", "matched", "matched_cidr")
 
 
 AS_OF_QUEUE = "2024-01-31 00:00:00"
@@ -340,5 +341,6 @@ SELECT CASE WHEN topic IN ({', '.join(repr(t) for t in PRIORITY_TOPICS)}) THEN '
 def priority_split(spark, sf_dir):
     """STR9: priority (approval, mission) vs normal lane."""
     msgs = events(spark, sf_dir).select(_case("event_type", _TOPIC).alias("topic"))
-    lane = F.when(F.col("topic").isin(*PRIORITY_TOPICS), F.lit("priority")).otherwise(F.lit("normal"))
-    return msgs.groupBy(lane.alias("lane"), "topic").agg(F.count(F.lit(1)).alias("n"))
+    first, rest = R.split_priority(msgs, PRIORITY_TOPICS)
+    lanes = first.withColumn("lane", F.lit("priority")).unionByName(rest.withColumn("lane", F.lit("normal")))
+    return lanes.groupBy("lane", "topic").agg(F.count(F.lit(1)).alias("n"))
