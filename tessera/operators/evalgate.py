@@ -64,12 +64,15 @@ def agent_rollup(comparison: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def eval_report(agent_rows: DataFrame) -> DataFrame:
-    """AGG5: totals and the production gate (one row)."""
+    """AGG5: totals and the production gate (one row).
+
+    An agent with a regressed and a warned skill counts in both totals;
+    ``passing`` are those with neither.
+    """
+    down, warned = F.col("regressions") > 0, F.col("warnings") > 0
     return agent_rows.agg(
-        F.count(F.lit(1)).alias("total_agents"),
-        F.count_if(F.col("status") == "REGRESSION").alias("regressions"),
-        F.count_if(F.col("status") == "WARNING").alias("warnings"),
-        F.count_if(F.col("status") == "OK").alias("passing"),
+        F.count(F.lit(1)).alias("total_agents"), F.count_if(down).alias("regressions"),
+        F.count_if(warned).alias("warnings"), F.count_if(~down & ~warned).alias("passing"),
     ).withColumn("has_regression", F.col("regressions") > 0) \
      .withColumn("has_warning", F.col("warnings") > 0) \
      .withColumn("gate", F.when(F.col("regressions") > 0, F.lit("BLOCKED")).otherwise(F.lit("OPEN")))
@@ -87,16 +90,22 @@ def ratchet(baselines: DataFrame, comparison: DataFrame, as_of) -> DataFrame:
                     up.alias("updated"))
 
 
-def write_report(agent_rows: DataFrame, comparison: DataFrame, path: str) -> None:
-    """SNK9: JSON report, one object per agent with its skills.
+def write_report(agent_rows: DataFrame, comparison: DataFrame, path: str, timestamp: str | None = None) -> None:
+    """SNK9: the report as JSON lines under ``path``.
 
-    Skills are nested per agent (``collect_list`` grouped by agent, bounded by
-    that agent's skill count); nothing is gathered into a single row.
+    ``agents/``: one object per agent with its skills (nested per agent,
+    bounded by that agent's skills); ``report/``: one object with the flags,
+    the time and the summary totals.
     """
+    t = eval_report(agent_rows)
+    stamp = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    t.select(F.col("has_regression").alias("hasRegression"), F.col("has_warning").alias("hasWarning"), stamp.alias("timestamp"),
+             F.struct(F.col("total_agents").alias("totalAgents"), "regressions", "warnings", "passing").alias("summary"),
+             ).write.mode("overwrite").json(f"{path}/report")
     skills = comparison.groupBy("agent_id").agg(F.collect_list(F.struct(
         F.col("skill_id").alias("skillId"), "baseline", "current", F.col("drop_pct").alias("dropPct"),
         "status")).alias("skills"))
     out = agent_rows.join(skills, "agent_id", "left").select(
         F.col("agent_id").alias("agentId"), "status",
         F.coalesce("skills", F.array().cast(skills.schema["skills"].dataType)).alias("skills"))
-    out.write.mode("overwrite").json(path)
+    out.write.mode("overwrite").json(f"{path}/agents")

@@ -95,11 +95,14 @@ def write_export(tables: dict, path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/table={name}")
 
 
-def anonymize(df: DataFrame, columns, as_of=None, years: int = AUDIT_RETENTION_YEARS) -> DataFrame:
-    """DML12: identifying columns replaced by SHA-256; retention stamp for the audit copy."""
+def anonymize(df: DataFrame, columns, salt: str, as_of=None, years: int = AUDIT_RETENTION_YEARS) -> DataFrame:
+    """DML12: identifying columns replaced by a salted SHA-256; retention stamp for the audit copy.
+
+    ``salt`` is a secret of the caller: without it, hashes of small keys could be enumerated.
+    """
     out = df
     for c in columns:
-        out = out.withColumn(c, F.sha2(F.col(c).cast("string"), 256))
+        out = out.withColumn(c, F.sha2(F.concat(F.lit(f"{salt}:"), F.col(c).cast("string")), 256))
     if as_of is not None:
         out = out.withColumn("retain_until", F.add_months(F.lit(as_of).cast("date"), 12 * years))
     return out

@@ -73,11 +73,12 @@ def eval_agents(spark, sf_dir):
 
 
 @binding("eval_report", sql="WITH " + _EVAL_SQL + """
-SELECT count(*) AS total_agents, count(*) FILTER (WHERE status = 'REGRESSION') AS regressions,
-       count(*) FILTER (WHERE status = 'WARNING') AS warnings, count(*) FILTER (WHERE status = 'OK') AS passing,
-       count(*) FILTER (WHERE status = 'REGRESSION') > 0 AS has_regression,
-       count(*) FILTER (WHERE status = 'WARNING') > 0 AS has_warning,
-       CASE WHEN count(*) FILTER (WHERE status = 'REGRESSION') > 0 THEN 'BLOCKED' ELSE 'OPEN' END AS gate
+SELECT count(*) AS total_agents, count(*) FILTER (WHERE regressions > 0) AS regressions,
+       count(*) FILTER (WHERE warnings > 0) AS warnings,
+       count(*) FILTER (WHERE regressions = 0 AND warnings = 0) AS passing,
+       count(*) FILTER (WHERE regressions > 0) > 0 AS has_regression,
+       count(*) FILTER (WHERE warnings > 0) > 0 AS has_warning,
+       CASE WHEN count(*) FILTER (WHERE regressions > 0) > 0 THEN 'BLOCKED' ELSE 'OPEN' END AS gate
 FROM agents
 """)
 def eval_report(spark, sf_dir):
@@ -448,7 +449,7 @@ def tenant_export(spark, sf_dir):
 
 
 @binding("audit_anonymize", sql="WITH " + _TENANT_ROWS_SQL + """
-SELECT table_name, sha256(CAST(key AS VARCHAR)) AS key, sha256(name) AS name, tenant_id,
+SELECT table_name, sha256('test-salt:' || CAST(key AS VARCHAR)) AS key, sha256('test-salt:' || name) AS name, tenant_id,
        CAST(DATE '2001-09-01' + INTERVAL 84 MONTH AS DATE) AS retain_until
 FROM rows_ WHERE tenant_id IN (SELECT tenant_id FROM due)
 """)
@@ -457,7 +458,7 @@ def audit_anonymize(spark, sf_dir):
     t = _tenant_rows(spark, sf_dir)
     rows = t["customer"].unionByName(t["supplier"])
     due = LC.purge_list_due(_purges(spark, sf_dir), "2001-09-01 00:00:00")
-    return LC.anonymize(rows.join(due, "tenant_id", "left_semi"), ["key", "name"], AS_OF_LIFE).select(
+    return LC.anonymize(rows.join(due, "tenant_id", "left_semi"), ["key", "name"], "test-salt", AS_OF_LIFE).select(
         "table_name", "key", "name", "tenant_id", "retain_until")
 
 

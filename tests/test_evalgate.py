@@ -61,6 +61,17 @@ def test_read_files_and_report(spark):
     assert [(x["agent_id"], x["skill_id"], x["current"]) for x in r.collect()] == [("intake", "extract", 0.8)]
     cmp_ = EG.compare_eval(b, r)
     out = os.path.join(d, "report")
-    EG.write_report(EG.agent_rollup(cmp_, b), cmp_, out)
-    rep = {x["agentId"]: x for x in spark.read.json(out).collect()}
+    EG.write_report(EG.agent_rollup(cmp_, b), cmp_, out, "2024-02-01T00:00:00Z")
+    top = spark.read.json(f"{out}/report").first()
+    assert top["hasRegression"] and not top["hasWarning"] and top["timestamp"] == "2024-02-01T00:00:00Z"
+    assert top["summary"].asDict() == {"totalAgents": 2, "regressions": 1, "warnings": 0, "passing": 1}
+    rep = {x["agentId"]: x for x in spark.read.json(f"{out}/agents").collect()}
     assert rep["intake"]["status"] == "REGRESSION" and rep["uw"]["skills"] == []
+
+
+def test_agent_with_a_regressed_and_a_warned_skill_counts_in_both(spark):
+    base = spark.createDataFrame([("a", "x", 1.0, None), ("a", "y", 1.0, None), ("b", "x", 1.0, None)],
+                                 "agent_id string, skill_id string, accuracy double, updated_at timestamp")
+    cur = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.97), ("b", "x", 1.0)], "agent_id string, skill_id string, current double")
+    r = EG.eval_report(EG.agent_rollup(EG.compare_eval(base, cur), base)).first()
+    assert (r["regressions"], r["warnings"], r["passing"], r["has_warning"]) == (1, 1, 1, True)

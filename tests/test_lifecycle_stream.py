@@ -27,7 +27,7 @@ def test_expire_tier_purge(spark):
     purges = spark.createDataFrame([("t1", dt.datetime(2024, 4, 1)), ("t2", dt.datetime(2024, 5, 25))],
                                    "tenant_id string, requested_at timestamp_ntz")
     assert [r["tenant_id"] for r in LC.purge_tenants(rows, purges, "2024-06-01").collect()] == ["t2"]
-    an = LC.anonymize(rows, ["tenant_id"], "2024-06-01").collect()[0]
+    an = LC.anonymize(rows, ["tenant_id"], "s", "2024-06-01").collect()[0]
     assert len(an["tenant_id"]) == 64 and an["retain_until"] == dt.date(2031, 6, 1)
 
 
