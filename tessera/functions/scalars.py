@@ -49,15 +49,19 @@ def domain_allowed(email, allowed_csv) -> Column:
         F.coalesce(F.array_contains(allowed, email_domain(email, "last")), F.lit(False)))
 
 
+def json_strings(text) -> Column:
+    """The string elements of a JSON array text, in order; NULL if the text is no JSON array."""
+    parts = F.from_json(_c(text), "array<variant>")
+    strings = F.filter(parts, lambda x: F.schema_of_variant(x) == "STRING")
+    return F.when(F.trim(_c(text)).startswith("["), F.transform(strings, lambda x: F.try_variant_get(x, "$", "string")))
+
+
 def json_or_csv_array(text) -> Column:
-    """FN6: JSON string array if it parses as one, else CSV; non-strings dropped."""
+    """FN6: the strings of a JSON array if it parses as one, else CSV."""
     t = _c(text)
-    as_json = F.from_json(t, "array<string>")
-    is_json_array = F.trim(t).startswith("[") & as_json.isNotNull()
     csv = F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
     return (F.when(t.isNull() | (F.trim(t) == ""), F.array().cast("array<string>"))
-            .when(is_json_array, F.filter(as_json, lambda x: x.isNotNull()))
-            .otherwise(csv))
+            .otherwise(F.coalesce(json_strings(t), csv)))
 
 
 def first_nonempty_array(*arrays) -> Column:

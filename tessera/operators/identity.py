@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import domain_allowed, first_nonempty
+from ..functions.scalars import domain_allowed, first_nonempty, json_strings
 
 # ---------------------------------------------------------------------------
 # Strategies and denial messages.
@@ -37,9 +37,10 @@ def map_groups_to_roles(groups: Column, map_json: Column) -> Column:
     the later one wins.  A malformed or non-object map, a missing map, an
     empty or non-array groups value all give ``[]``.
     """
-    m = F.from_json(map_json, "map<string, array<string>>")
-    entries = F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,array<string>>"))),
-                          lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+    m = F.from_json(map_json, "map<string, string>")          # values as JSON text: one bad value spoils no other
+    entries = F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))),
+                          lambda e: F.struct(F.lower(e["key"]).alias("k"),
+                                             F.coalesce(json_strings(e["value"]), F.array().cast("array<string>")).alias("v")))
     empty = F.array().cast("array<string>")
     per_group = F.transform(
         F.coalesce(groups, empty),

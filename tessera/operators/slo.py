@@ -45,7 +45,7 @@ def metric_series(samples: DataFrame, period: str, key: str = "sli", exact: bool
     holding all its values.  ``exact=False`` uses ``percentile_approx``,
     whose partial state is a fixed-size sketch per group.
     """
-    names = [f"p{int(round(x * 100))}" for x in quantiles]
+    names = [stat_column(f"p{100 * x:.10g}") for x in quantiles]
     d = samples.select(key, F.window("ts", period).getField("start").alias("window_start"), "value")
     if exact:
         df = exact_quantiles(d, [key, "window_start"], "value", quantiles, names,
@@ -69,6 +69,11 @@ def error_rate(requests: DataFrame, window_minutes: int, is_error: Column, ts: s
                      "requests", "errors", rate.alias("error_rate"))
 
 
+def stat_column(stat: str) -> str:
+    """Column name of a statistic (``p99.9`` becomes ``p99_9``)."""
+    return stat.lower().replace(".", "_")
+
+
 def _stat(stat: str, cents: bool = False) -> Column:
     """One statistic of ``value``.  ``cents=True`` sums exact integer hundredths
     (for 2-decimal money/latency values) so the result does not depend on the
@@ -93,11 +98,11 @@ def _with_stats(df: DataFrame, keys: list, stats, cents: bool = False, extra=())
     """One row per ``keys`` with every requested statistic: decomposable ones
     as partial aggregates, ``pNN`` percentiles through ``exact_quantiles``
     (size-checked: one aggregate, or range partitions for hot groups)."""
-    plain = [_stat(x, cents).alias(x) for x in stats if not x.lower().startswith("p")]
+    plain = [_stat(x, cents).alias(stat_column(x)) for x in stats if not x.lower().startswith("p")]
     ps = sorted({x.lower() for x in stats if x.lower().startswith("p")})
     if not ps:
         return df.groupBy(*keys).agg(*extra, *plain)
-    return exact_quantiles(df, keys, "value", [float(x[1:]) / 100.0 for x in ps], ps, extra=[*extra, *plain])
+    return exact_quantiles(df, keys, "value", [float(x[1:]) / 100.0 for x in ps], [stat_column(x) for x in ps], extra=[*extra, *plain])
 
 
 def stat_switch(samples: DataFrame, definitions: DataFrame, period: str, cents: bool = False) -> DataFrame:
@@ -106,13 +111,13 @@ def stat_switch(samples: DataFrame, definitions: DataFrame, period: str, cents:
     All candidate statistics are computed in one aggregate per (metric, period),
     then the definition table (config rows, broadcast) picks one via CASE.
     """
-    stats = ["average", "sum", "minimum", "maximum", "p95"]
+    stats = [r["s"] for r in definitions.select(F.lower("stat").alias("s")).distinct().orderBy("s").collect()]   # config rows
     d = samples.select("metric", F.window("ts", period).getField("start").alias("period_start"), "value")
     agg = _with_stats(d, ["metric", "period_start"], stats, cents)
     joined = agg.join(F.broadcast(definitions), "metric")
     pick = F.lit(None).cast("double")
     for s in stats:
-        pick = F.when(F.lower(F.col("stat")) == s, F.col(s)).otherwise(pick)
+        pick = F.when(F.lower(F.col("stat")) == s, F.col(stat_column(s))).otherwise(pick)
     return joined.select("def_id", "period_start", pick.alias("value"))
 
 

@@ -58,6 +58,11 @@ _FAST = burn_threshold(SLO["availability_target"], SLO["fast_burn_pct_of_budget"
 _SLOW = burn_threshold(SLO["availability_target"], SLO["slow_burn_pct_of_budget"], SLO["slow_burn_window_minutes"])
 _BUDGET = error_budget_minutes(SLO["availability_target"])
 
+# The same thresholds, stated for the SQL: target 0.9995, 2 over 60 minutes, 5 over 360, 30 days.
+_FAST_SQL = "(1 - 0.9995::DOUBLE) * (2::DOUBLE * 30 * 24 / 1)"
+_SLOW_SQL = "(1 - 0.9995::DOUBLE) * (5::DOUBLE * 30 * 24 / 6)"
+_BUDGET_SQL = "floor((1 - 0.9995::DOUBLE) * 30 * 24 * 60 * 100 + 0.5) / 100"
+
 
 @binding("error_rate_burn", sql=f"""
 WITH w AS (
@@ -68,10 +73,10 @@ a AS (SELECT window_minutes, window_start, count(*) AS requests,
              count(*) FILTER (WHERE event_type = 'error') AS errors FROM w GROUP BY 1, 2)
 SELECT window_minutes, window_start, requests, errors,
        CASE WHEN requests = 0 THEN 0 ELSE errors / requests END AS error_rate,
-       CASE window_minutes WHEN 60 THEN {_FAST!r} ELSE {_SLOW!r} END AS threshold,
+       CASE window_minutes WHEN 60 THEN {_FAST_SQL} ELSE {_SLOW_SQL} END AS threshold,
        (CASE WHEN requests = 0 THEN 0 ELSE errors / requests END) >
-         (CASE window_minutes WHEN 60 THEN {_FAST!r} ELSE {_SLOW!r} END) AS burning,
-       {_BUDGET!r} AS budget_minutes
+         (CASE window_minutes WHEN 60 THEN {_FAST_SQL} ELSE {_SLOW_SQL} END) AS burning,
+       {_BUDGET_SQL} AS budget_minutes
 FROM a
 """)
 def error_rate_burn(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Sign-in resolution: cases ported from the reference's login-hook tests, run as one table."""
 
+from pyspark.sql import functions as F
 from tessera.operators.identity import (DENY_DISABLED, DENY_NOT_PROVISIONED, DENY_NOT_SET_UP, DENY_SOCIAL,
                                         LOGIN_SCHEMA, map_groups_to_roles, resolve_login)
 
@@ -80,3 +81,12 @@ def test_group_map_edge_cases(spark):
     df = spark.createDataFrame(rows, "groups array<string>, m string")
     got = [r[0] for r in df.select(map_groups_to_roles(F.col("groups"), F.col("m"))).collect()]
     assert got == [["underwriter", "workspace-admin"], [], [], [], [], [], []]
+
+
+def test_group_map_and_arrays_skip_values_that_are_not_strings(spark):
+    from tessera.functions.scalars import json_or_csv_array
+    from tessera.operators.identity import map_groups_to_roles
+    df = spark.createDataFrame([(["A", "b", "c"], '{"a":"x","b":["r1",5,null,"r2"],"c":{"d":1}}', '["a",1,true,"b"]')],
+                               "g array<string>, m string, t string")
+    r = df.select(map_groups_to_roles(F.col("g"), F.col("m")).alias("roles"), json_or_csv_array("t").alias("t")).first()
+    assert r["roles"] == ["r1", "r2"] and r["t"] == ["a", "b"]
