@@ -6,9 +6,9 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as entry_mod
 from tessera.oracle import compare, duck_connect, rows_of_duck, rows_of_spark
+from tessera.queries import load_all
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+QUERIES, ORACLE = load_all()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,7 @@ def duck():
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
     assert len(QUERIES) >= 50
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
