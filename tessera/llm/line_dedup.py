@@ -2,18 +2,23 @@
 
 ``LineIndex`` keeps, in a shared folder and one version per update:
 
-* ``holds``: (shard, key, doc_id), each document's line keys (a 128-bit hash);
-* ``counts``: (shard, key, n_docs, keeper), the exact reference counts;
+* ``holds``: (slot, key, doc_id), each document's line keys (a 128-bit hash);
+* ``counts``: (slot, key, n_docs, keeper), the exact reference counts;
 * ``filters``: (shard, blob), a cuckoo filter of the keys held by two
   documents or more.  A key enters when its count passes from 1 to 2 and
   leaves when it falls back, which a cuckoo filter supports.
 
+A slot is fixed by the key, a shard is the slot modulo the number of shards.
+That number follows the lines held (``PER_SHARD`` a shard, in doublings), so
+a filter and the task that builds it stay small at any size; when it doubles,
+the filters are built anew from the exact counts.
+
 ``insert`` and ``delete`` move the index by a batch of documents; inserting
 and deleting the same batch gives the counts of before.  ``shared`` streams the
 lines of documents past their shard's filter: a miss certainly stays, so only
-hits are joined with the exact counts.  Lines of a shard are salted by
-document and its filter is sent to each salt, so a line that most documents
-hold is spread over tasks.
+hits are joined with the exact counts.  Lines of a large shard are salted by
+document, with as many salts as its lines need, and its filter is sent to each
+salt, so a line that most documents hold is spread over tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +36,11 @@ from .shared import cleared, short_batches
 from .textkit import ascii_lower
 
 WHITE = " \t\n\v\f\r"
-HOLD = "shard int, key binary, doc_id long"
+HOLD = "slot int, key binary, doc_id long"
+SLOT_BYTES = 3                                   # 2**24 slots bound the number of shards
+FIRST_SHARDS, PER_SHARD = 64, 500_000            # held lines that a shard is made for
+FULL, OPEN = 0.85, b""                           # most of a filter's places in use; no filter: every key may be shared
+PER_TASK = 2_000_000                             # held lines of a shard from which it is salted
 LAST = 2**63 - 1                                 # stands for a NULL doc_id: the largest id
 
 
@@ -51,7 +60,7 @@ class Cuckoo:
     @classmethod
     def of(cls, keys: list[bytes]) -> Cuckoo:
         buckets = 16
-        while buckets * cls.SLOTS * 0.85 < len(keys):
+        while buckets * cls.SLOTS * FULL < len(keys):
             buckets *= 2
         while True:
             out = cls(np.zeros((buckets, cls.SLOTS), np.uint16))
@@ -114,9 +123,9 @@ class Cuckoo:
 class LineIndex:
     """The versioned state of incremental line dedup in ``folder`` (shared storage)."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, shards: int = 64, least: int = 10,
-                 salts: int = 8, version: str | None = None):
-        self.spark, self.shards, self.least, self.salts = spark, shards, least, salts
+    def __init__(self, spark: SparkSession, folder: str | None = None, shards: int | None = None, least: int = 10,
+                 version: str | None = None, per_shard: int = PER_SHARD, per_task: int = PER_TASK):
+        self.spark, self.shards, self.least, self.per_shard, self.per_task = spark, shards, least, per_shard, per_task
         self.folder = folder or shared_path(spark, "line-index", uuid.uuid4().hex)
         self.version = version
 
@@ -131,26 +140,29 @@ class LineIndex:
 
     @property
     def counts(self) -> DataFrame:
-        return self.table("counts", "shard int, key binary, n_docs long, keeper long")
+        return self.table("counts", "slot int, key binary, n_docs long, keeper long")
 
     @property
     def filters(self) -> DataFrame:
         return self.table("filters", "shard int, blob binary")
 
+    def shard(self):
+        return F.pmod("slot", F.lit(self.shards)).cast("int").alias("shard")
+
     def lines(self, docs: DataFrame) -> DataFrame:
-        """``shard, key, doc_id``: the distinct line keys of every document row."""
-        least, shards = self.least, self.shards
+        """``slot, key, doc_id``: the distinct line keys of every document row."""
+        least = self.least
 
         def run(batches):
             for b in batches:
-                shard, key, doc = [], [], []
+                slot, key, doc = [], [], []
                 for d, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                     found = {key_of(x, least) for x in (text.as_py() or "").split("\n")} - {None}
                     key += found
-                    shard += [k[0] % shards for k in found]
+                    slot += [int.from_bytes(k[:SLOT_BYTES], "little") for k in found]
                     doc += [LAST if d is None else d] * len(found)
-                yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(key, pa.binary()), pa.array(doc, pa.int64())],
-                                      names=["shard", "key", "doc_id"])
+                yield pa.record_batch([pa.array(slot, pa.int32()), pa.array(key, pa.binary()), pa.array(doc, pa.int64())],
+                                      names=["slot", "key", "doc_id"])
         return docs.select("doc_id", "text").mapInArrow(run, HOLD)
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -161,53 +173,63 @@ class LineIndex:
     def delete(self, docs: DataFrame) -> LineIndex:
         """The index without the documents whose doc_id is in ``docs``."""
         gone = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id")).distinct()
-        return self._next(self.holds.join(gone, "doc_id", "left_anti").select("shard", "key", "doc_id"))
+        return self._next(self.holds.join(gone, "doc_id", "left_anti").select("slot", "key", "doc_id"))
 
     def _next(self, holds: DataFrame) -> LineIndex:
-        out = LineIndex(self.spark, self.folder, self.shards, self.least, self.salts, f"v-{uuid.uuid4().hex}")
+        out = LineIndex(self.spark, self.folder, self.shards, self.least, f"v-{uuid.uuid4().hex}", self.per_shard, self.per_task)
         at = f"{out.folder}/{out.version}"
         holds.write.parquet(f"{at}/holds")
-        (out.holds.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper"))
+        out.shards = self.shards or FIRST_SHARDS
+        held = out.holds.count()                 # from the files' footers
+        while out.shards * self.per_shard < held and out.shards < 256 ** SLOT_BYTES:
+            out.shards *= 2
+        (out.holds.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("keeper"))
             .write.parquet(f"{at}/counts"))
-        old = self.counts.select("shard", "key", F.col("n_docs").alias("before"))
-        moved = (out.counts.join(old, ["shard", "key"], "full")
-                    .select("shard", "key", (F.coalesce("n_docs", F.lit(0)) > 1).alias("now"),
-                            (F.coalesce("before", F.lit(0)) > 1).alias("then"))
-                    .filter("now <> then").select("shard", "key", "now"))
-        blobs = self.filters
-        # the keys of a filter that no longer fits its table come from the exact counts
-        full = out.counts.filter("n_docs > 1").select("shard", "key")
-        changed = moved.groupBy("shard").agg(F.count(F.when(F.col("now"), 1)).alias("more"))
-        sized = changed.join(blobs, "shard", "left").select(
-            "shard", (F.col("blob").isNull() | (F.length("blob") / 2 * 0.4 < F.col("more"))).alias("anew"))
-        anew = full.join(sized.filter("anew"), "shard", "left_semi").select("shard", "key", F.lit(True).alias("now"))
-        step = moved.join(sized.filter("NOT anew"), "shard", "left_semi")
+        full = out.counts.filter("n_docs > 1").select(out.shard(), "key")
+        if self.version is None or out.shards != self.shards:
+            work, kept = full.withColumn("now", F.lit(True)), self.spark.createDataFrame([], "shard int, blob binary")
+        else:
+            old = self.counts.select("slot", "key", F.col("n_docs").alias("before"))
+            moved = (out.counts.join(old, ["slot", "key"], "full")
+                        .select(out.shard(), "key", (F.coalesce("n_docs", F.lit(0)) > 1).alias("now"),
+                                (F.coalesce("before", F.lit(0)) > 1).alias("then"))
+                        .filter("now <> then").select("shard", "key", "now"))
+            # the keys of a filter that would be too full come from the exact counts
+            sizes = full.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+            sized = (moved.select("shard").distinct().join(sizes, "shard", "left").join(self.filters, "shard", "left")
+                          .select("shard", (F.col("blob").isNull() | (F.coalesce("n", F.lit(0)) > F.length("blob") / 2 * FULL)).alias("anew")))
+            anew = full.join(sized.filter("anew"), "shard", "left_semi").withColumn("now", F.lit(True))
+            work = moved.join(sized.filter("NOT anew"), "shard", "left_semi").unionByName(anew)
+            kept = self.filters.join(sized.filter("anew"), "shard", "left_anti")
 
         def build(left: pa.Table, right: pa.Table) -> pa.Table:
             shard = (left if left.num_rows else right).column("shard")[0].as_py()
             keys, now = left.column("key").to_pylist(), left.column("now").to_pylist()
-            if right.num_rows:
-                f = Cuckoo.load(right.column("blob")[0].as_py())
+            old = right.column("blob")[0].as_py() if right.num_rows else None
+            blob = OPEN
+            if old is None:
+                blob = Cuckoo.of(keys).dump()
+            elif old != OPEN:
+                f = Cuckoo.load(old)
                 for k in (k for k, add in zip(keys, now) if not add):
                     f.remove(k)
-                if not all(f.add(k) for k, add in zip(keys, now) if add):
-                    raise RuntimeError("a cuckoo filter is full")
-            else:
-                f = Cuckoo.of(keys)
-            return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([f.dump()], pa.binary())})
-        kept = blobs.join(sized.filter("anew"), "shard", "left_anti")
-        work = step.unionByName(anew)
+                if all(f.add(k) for k, add in zip(keys, now) if add):
+                    blob = f.dump()
+            return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([blob], pa.binary())})
         (work.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(build, "shard int, blob binary")
              .write.parquet(f"{at}/filters"))
         return out
 
     def maybe_shared(self, lines: DataFrame) -> DataFrame:
-        """The rows of ``lines`` (shard, key, doc_id) that their shard's filter does not rule out."""
-        salts = self.salts
-        lines = lines.select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-                                        "key", "doc_id", F.lit(None).cast("binary").alias("blob"))
-        blobs = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-                                    F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), "blob")
+        """``key, doc_id`` of the ``lines`` (slot, key, doc_id) that their shard's filter does not rule out."""
+        # one row a shard, and there is a shard for every per_shard held lines only
+        salts = F.broadcast(self.holds.groupBy(self.shard()).agg(F.ceil(F.count(F.lit(1)) / self.per_task).cast("int").alias("salts")))
+        lines = (lines.select(self.shard(), "key", "doc_id").join(salts, "shard", "left")
+                      .select("shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"),
+                              "key", "doc_id", F.lit(None).cast("binary").alias("blob")))
+        blobs = (self.filters.join(salts, "shard", "left")
+                     .select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"),
+                             F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), "blob"))
         rows = (blobs.unionByName(lines).repartition("shard", "salt")
                      .sortWithinPartitions("shard", "salt", F.col("blob").isNull()))
 
@@ -224,13 +246,16 @@ class LineIndex:
                         at, held = shard[lo], None
                     loads = np.flatnonzero(np.array(blob.slice(lo, hi - lo).is_valid()))
                     for i in loads[:1]:
-                        held = Cuckoo.load(blob[lo + int(i)].as_py())
+                        held = blob[lo + int(i)].as_py()
+                        held = held if held == OPEN else Cuckoo.load(held)
                     mine = np.array(keys.slice(lo, hi - lo).is_valid())
-                    if held is not None and mine.any():
+                    if held == OPEN:
+                        keep[lo:hi] = mine
+                    elif held is not None and mine.any():
                         at_rows = lo + np.flatnonzero(mine)
                         keep[at_rows] = held.has(keys.take(pa.array(at_rows)).to_pylist())
-                yield b.filter(pa.array(keep)).select(["shard", "key", "doc_id"])
-        return rows.mapInArrow(run, HOLD)
+                yield b.filter(pa.array(keep)).select(["key", "doc_id"])
+        return rows.mapInArrow(run, "key binary, doc_id long")
 
     def dropped(self, lines: DataFrame) -> DataFrame:
         """``doc_id, keys``: the line keys that each document loses to an earlier one."""
@@ -267,7 +292,7 @@ class LineIndex:
         return rows.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, shards: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, shards: int | None = None) -> DataFrame:
     """``doc_id, text, kept, n_lines, n_dropped``: repeated lines stay only in their smallest document.
 
     A line's key is the line without white space at its ends, A-Z lower-cased.

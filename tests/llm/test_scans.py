@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tessera.llm.decontaminate import clean, contaminated, myers, normal, pieces_of
 from tessera.llm.license_scan import PHRASES, TEMPLATES, Automaton, scan_licenses, words_of
 from tessera.llm.line_dedup import Cuckoo, LineIndex, dedup_lines
@@ -190,10 +192,11 @@ def test_line_dedup_equals_brute_force(spark):
     assert dedup_lines(spark.createDataFrame([], df.schema)).count() == 0
 
 
-def test_line_index_is_reversible(spark):
+@pytest.mark.parametrize("size", [{"shards": 8}, {"shards": 2, "per_shard": 60, "per_task": 40}])
+def test_line_index_is_reversible(spark, size):
     one, two = line_docs(1), line_docs(2, 100)
     a, b = (spark.createDataFrame(x, "doc_id long, text string") for x in (one, two))
-    first = LineIndex(spark, shards=8).insert(a)
+    first = LineIndex(spark, **size).insert(a)
     both = first.insert(b)
     back = both.delete(b)
 
@@ -201,6 +204,8 @@ def test_line_index_is_reversible(spark):
         return sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in index.kept(df).collect())
     assert kept(both, a.unionByName(b)) == brute_lines(one + two)
     assert kept(back, a) == kept(first, a) == brute_lines(one)
+    if "per_shard" in size:                      # more lines, more shards, and a large shard has several salts
+        assert first.shards < both.shards
     counts = [sorted((bytes(r["key"]), r["n_docs"], r["keeper"]) for r in i.counts.collect()) for i in (first, back)]
     assert counts[0] == counts[1]
 
