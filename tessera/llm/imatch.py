@@ -24,6 +24,7 @@ from ..session import materialize
 SUBSETS = 24
 IDF_LOW, IDF_HIGH = math.log(20), math.log(2000)
 BAND_SHARE = 0.5                                 # rough share of a text's terms in the band, for the level only
+MOST_SENT = 2_000_000                            # lexicon terms up to which it is sent to every task
 WIDE = 6                                         # hex digits of a subset's hash
 EMPTY = "0" * WIDE
 
@@ -39,7 +40,7 @@ def lexicon(docs: DataFrame, low: float = IDF_LOW, high: float = IDF_HIGH) -> Da
 
     A kept term stands in ``exp(-high)`` of the documents at least, so there
     are at most ``exp(high) *`` (mean distinct terms a document) of them,
-    however many documents there are; that bounds the table.
+    however many documents there are.
     """
     seen = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.count()
@@ -53,8 +54,11 @@ def prints(rows: DataFrame, words: DataFrame, subsets: int = SUBSETS) -> DataFra
 
     The terms of a row outside its level's subsets are left out before the
     lookup, so about ``2 * subsets / BAND_SHARE`` terms a row meet the lexicon.
-    ``meta`` travels on a row of its own beside the terms.
+    ``meta`` travels on a row of its own beside the terms.  A lexicon of more
+    than ``MOST_SENT`` terms (very long documents) is joined by a shuffle.
     """
+    if words.count() <= MOST_SENT:
+        words = F.broadcast(words)
     rows = rows.withColumn("ts", terms(F.col("text")))
     size = F.size("ts") * F.lit(BAND_SHARE / subsets)
     rows = rows.withColumn("level", F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1.0)))), F.lit(0)).cast("int"))
@@ -62,7 +66,7 @@ def prints(rows: DataFrame, words: DataFrame, subsets: int = SUBSETS) -> DataFra
     some = F.filter("ts", lambda t: F.pmod(F.xxhash64(t), F.col("wide")) < subsets)
     side = F.concat_ws("|", F.lit(""), F.hex(F.xxhash64("text")), F.col("meta"))
     flat = rows.select("doc_id", "edited", "level", F.explode(F.concat(some, F.array(side))).alias("term"))
-    told = flat.join(F.broadcast(words), "term", "left").filter(F.col("h").isNotNull() | F.startswith("term", F.lit("|")))
+    told = flat.join(words, "term", "left").filter(F.col("h").isNotNull() | F.startswith("term", F.lit("|")))
     told = told.groupBy("doc_id", "edited").agg(F.max("level").alias("level"), F.array_sort(F.collect_list("h")).alias("hs"),
                                                 F.max(F.when(F.col("h").isNull(), F.col("term"))).alias("side"))
 
