@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_id|access_key(?:_id)?|key_id)["']?\x20*[:=]\x20*["']?([\w.@-]{3,128})""",
                      re.I | re.A)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}", re.A)
-ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b", re.I | re.A)
+ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![a-z0-9.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,16}:\d{2,5}\b", re.I | re.A)
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
@@ -57,8 +59,11 @@ def base_spans(text: str):
 
 def weak_spans(text: str, base: list):
     """Candidates that need a partner; those that overlap a base span are part of it."""
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
     def free(a, b):
-        return not any(s < b and a < e for s, _, e in base)
+        before = bisect_left(starts, b)
+        return not before or reach[before - 1] <= a
     for m in WEAK_ID.finditer(text):
         yield m.start(), 3, m.end()
     for m in WEAK_SECRET.finditer(text):
