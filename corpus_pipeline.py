@@ -9,10 +9,23 @@ from tessera.llm import decontaminate, language, mixing, ngram_join, sharding
 from tessera.session import materialize
 
 
+OWN = ("doc_id", "text", "lang", "source")
+
+
+def set_aside(docs: DataFrame):
+    """``docs`` with every other column under a neutral name, and a function that gives the names back.
+
+    A column that happens to be called like an operator's result keeps its values.
+    """
+    names = [c if c in OWN else f"_carried_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model is sure of; the rejected ones go."""
-    model = language.train(docs.filter(~language.held_out("doc_id")))
-    return language.identify(docs, model).filter("NOT rejected").select(*docs.columns)
+    plain, restore = set_aside(docs)
+    model = language.train(plain.filter(~language.held_out("doc_id")))
+    return restore(language.identify(plain, model).filter("NOT rejected"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +42,9 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: a row per copy."""
-    mixed = mixing.mix_sources(docs).filter("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    plain, restore = set_aside(docs)
+    mixed = mixing.mix_sources(plain).filter("copies > 0")
+    return restore(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
