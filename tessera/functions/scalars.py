@@ -79,7 +79,7 @@ def first_nonempty(*cols) -> Column:
     return F.coalesce(*[F.nullif(_c(c), F.lit("")) for c in cols])
 
 
-def roles_with_prefix(roles, prefix: str = "axira-") -> Column:
+def roles_with_prefix(roles, prefix: str) -> Column:
     """FN17: keep roles starting with ``prefix``."""
     return F.filter(_c(roles), lambda r: r.startswith(prefix))
 

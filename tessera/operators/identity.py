@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import domain_allowed, first_nonempty, json_strings
+from ..functions.scalars import domain_allowed, first_nonempty, json_or_csv_array, json_strings
 
 # ---------------------------------------------------------------------------
 # Strategies and denial messages.
@@ -89,11 +89,40 @@ def resolve_login(logins: DataFrame, social_enabled: bool = False, allowed_domai
     return out
 
 
-def claims(resolved: DataFrame) -> DataFrame:
-    """Namespaced token claims of the allowed logins (as a map column)."""
-    ns = CLAIM_NAMESPACE
-    m = F.map_filter(F.create_map(
-        F.lit(ns + "tenant_id"), F.col("tenant_id"),
-        F.lit(ns + "roles"), F.to_json(F.col("roles")),
-        F.lit(ns + "portal_type"), F.col("portal_type")), lambda k, v: v.isNotNull())
+CLAIMS_SCHEMA = ("login_id string, strategy string, org_id string, org_display_name string, org_tenant_id string, "
+                 "org_products string, org_roles array<string>, user_id string, email string, app_tenant_id string, "
+                 "app_org_display_name string, app_roles array<string>, app_portal_type string, "
+                 "app_portal_entity_id string, aaid string")
+CLAIMS = ("tenant_id", "tenant_name", "aaid", "roles", "portal_type", "portal_entity_id", "products", "email_domain")
+
+
+def login_claims(logins: DataFrame, default_products: str | None = None) -> DataFrame:
+    """FN6-FN9 for the logins that are not federated (database and passwordless).
+
+    ``outcome`` is ``skip`` for the social strategies and for logins without
+    any tenant, else ``allow`` with the claim columns set.  Tenant:
+    organisation metadata, organisation id, app metadata.  Roles: the
+    organisation's, else app metadata's.  Products: the organisation's JSON
+    array (an empty one counts), else the deployment's list, else none.
+    """
+    c, empty = F.col, F.array().cast("array<string>")
+    in_org = c("org_id").isNotNull()
+    tenant = first_nonempty(F.when(in_org, F.coalesce("org_tenant_id", "org_id")), "app_tenant_id")
+    roles = F.when(F.size(F.coalesce("org_roles", empty)) > 0, c("org_roles")).otherwise(F.coalesce("app_roles", empty))
+    products = F.coalesce(F.when(in_org, json_strings("org_products")), json_or_csv_array(F.lit(default_products).cast("string")))
+    values = {"tenant_id": tenant, "tenant_name": first_nonempty(F.when(in_org, c("org_display_name")), "app_org_display_name"),
+              "aaid": F.coalesce("aaid", "user_id"), "roles": roles, "portal_type": first_nonempty("app_portal_type"),
+              "portal_entity_id": first_nonempty("app_portal_entity_id"), "products": products,
+              "email_domain": F.when(c("email").contains("@"), F.get(F.split("email", "@"), 1))}
+    skip = F.coalesce(c("strategy").isin(*SOCIAL_STRATEGIES), F.lit(False)) | tenant.isNull()
+    return logins.select("login_id", F.when(skip, "skip").otherwise("allow").alias("outcome"),
+                         *[F.when(~skip, values[n]).alias(n) for n in CLAIMS])
+
+
+def claims(resolved: DataFrame, namespace: str = CLAIM_NAMESPACE) -> DataFrame:
+    """Namespaced token claims of the allowed logins, of either kind (a map column, lists as JSON)."""
+    have = [n for n in CLAIMS if n in resolved.columns]
+    lists = {f.name for f in resolved.schema.fields if f.dataType.typeName() == "array"}
+    pairs = [x for n in have for x in (F.lit(namespace + n), F.to_json(n) if n in lists else F.col(n))]
+    m = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
     return resolved.filter(F.col("outcome") == "allow").select("login_id", m.alias("claims"))

@@ -1,7 +1,7 @@
 """Retention, tiering, tenant export/purge/anonymise, integrity checks (DML6-12, AGG17, AGG18).
 
-Rule tables (buckets, lifecycles) are configuration and broadcast; the
-data side is filtered where it lies.  When the data is partitioned by day,
+Rule tables (buckets, lifecycles) are small; Catalyst broadcasts them by
+their size.  The data side is filtered where it lies.  When the data is partitioned by day,
 expiry translates into dropping whole partitions (see :func:`expired_days`).
 """
 
@@ -25,12 +25,20 @@ BUCKET_RULES = (
 RULES_SCHEMA = "bucket string, expire_days int, ia_days int, glacier_days int, lock_days int"
 TENANT_GRACE_DAYS = 30
 AUDIT_RETENTION_YEARS = 7
-BRONZE_RETENTION_DAYS = 30
-OPS_EVENTS_RETENTION_DAYS = 730
+# The other stores: search indices, event files, operations events, audit archive and exports.
+STORE_RULES = (
+    ("logs", 15, None, None, None),
+    ("traces", 14, None, None, None),
+    ("bronze", 30, None, None, None),
+    ("ops-events", 730, 30, 90, None),
+    ("audit-archive", 2555, None, 90, 2555),
+    ("audit-archive-nonprod", 2555, None, 90, 90),
+    ("audit-exports", 2555, 30, None, None),
+)
 # ---------------------------------------------------------------------------
 
 
-def rules_frame(spark, rules=BUCKET_RULES) -> DataFrame:
+def rules_frame(spark, rules=BUCKET_RULES + STORE_RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), RULES_SCHEMA)
 
 
@@ -45,7 +53,7 @@ def expire(df: DataFrame, rules: DataFrame, as_of, ts: str = "created_at", bucke
     A row is locked (legal hold / object lock) while ``locked_until > as_of``
     or while its age is below the bucket's ``lock_days``.
     """
-    j = df.join(F.broadcast(rules.select(F.col("bucket").alias(bucket), "expire_days", "lock_days")), bucket, "left")
+    j = df.join(rules.select(F.col("bucket").alias(bucket), "expire_days", "lock_days"), bucket, "left")
     age = _age_days(ts, as_of)
     held = F.coalesce(age < F.col("lock_days"), F.lit(False))
     if locked_until and locked_until in df.columns:
@@ -56,8 +64,7 @@ def expire(df: DataFrame, rules: DataFrame, as_of, ts: str = "created_at", bucke
 
 def storage_tier(df: DataFrame, rules: DataFrame, as_of, ts: str = "created_at", bucket: str = "bucket") -> DataFrame:
     """DML7: STANDARD -> STANDARD_IA -> GLACIER by age; EXPIRED past expiry."""
-    j = df.join(F.broadcast(rules.select(F.col("bucket").alias(bucket), "expire_days", "ia_days", "glacier_days")),
-                bucket, "left")
+    j = df.join(rules.select(F.col("bucket").alias(bucket), "expire_days", "ia_days", "glacier_days"), bucket, "left")
     age = _age_days(ts, as_of)
     tier = (F.when(F.coalesce(age >= F.col("expire_days"), F.lit(False)), F.lit("EXPIRED"))
             .when(F.coalesce(age >= F.col("glacier_days"), F.lit(False)), F.lit("GLACIER"))

@@ -16,17 +16,31 @@ from ..plans.routing import MAX_CLOCK_SKEW_S, REPLAY_TTL_S
 from .routing import gap_dedup
 
 
+def _seconds(interval: str) -> int:
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 def rate_violations(df: DataFrame, key, ts: str, window: str, slide: str | None, limit: int) -> DataFrame:
     """AGG13/AGG14/STR5: count per key per (sliding) window; keep counts above ``limit``.
 
-    A sliding window expands each row into window/slide rows (Expand) and
-    aggregates partially per map task, so a hot key does not concentrate.
+    Rows are counted once per key and slide; the counts, not the rows, are then
+    added up over the windows that hold them.  A hot key is a few rows a task.
     """
     key = [key] if isinstance(key, str) else list(key)
-    w = F.window(ts, window, slide) if slide else F.window(ts, window)
-    return (df.groupBy(*key, w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > limit)
-              .select(*key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
+    out = [*key, "window_start", "window_end", "n"]
+    if slide is None or _seconds(window) % _seconds(slide):
+        w = F.window(ts, window, slide) if slide else F.window(ts, window)
+        return (df.groupBy(*key, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+                  .select(*key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
+    step, steps = _seconds(slide), _seconds(window) // _seconds(slide)
+    part = df.groupBy(*key, F.window(ts, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    back = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k")
+    part = part.select(*key, F.col("w.start").alias("at"), "n", back)
+    start = F.col("at") - F.make_dt_interval(secs=(F.col("k") * step).cast("decimal(18,6)"))
+    total = part.select(*key, start.alias("window_start"), "n").groupBy(*key, "window_start").agg(F.sum("n").alias("n"))
+    end = F.col("window_start") + F.make_dt_interval(secs=F.lit(step * steps).cast("decimal(18,6)"))
+    return total.filter(F.col("n") > limit).withColumn("window_end", end).select(*out)
 
 
 def quota(df: DataFrame, tenant: str, ts: str, period: str, measure: Column | None, limit: float) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import lookup
 from ..plans.routing import (CUSTOMER_CATEGORY, CUSTOMER_CATEGORY_DEFAULT, INCIDENTS_CHANNEL, INTERNAL_CHANNEL,
@@ -55,51 +56,143 @@ def backlog(messages: DataFrame, as_of, topic: str = "topic", sent: str = "sent_
             .withColumn("stale", F.col("oldest_age_s") > stale_after_s))
 
 
-def previous_sighting(df: DataFrame, key: list, value: str, tiebreak=()) -> DataFrame:
-    """Add ``_prev``: ``value`` of the previous row of the same key in
-    (key, value, tiebreak) order, NULL for a key's first row.
-
-    Skew-proof without salting: the rows are range-partitioned on the full
-    sort key, so a key (or one key within one time bucket) holding a third of
-    all rows is cut into many ranges.  ``lag`` runs per (range, key); the
-    first row of a key in a range takes the last row of the nearest earlier
-    non-empty range when it has the same key.  That boundary table has one
-    row per range (bounded by the partition count), so it is broadcast.
-    The ranged rows are written once to the shared folder (cutting lineage).
-    """
-    from ..session import materialize
-    # the row hash cuts rows that are alike in key and value over ranges too
-    d = df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
-    rest = [*tiebreak, "_tie"]
-    order = [F.col(c) for c in [*key, value, *rest]]
-    d = d.repartitionByRange(*order).withColumn("_rng", F.spark_partition_id())
-    w = Window.partitionBy("_rng", *key).orderBy(value, *rest)
-    # written once to the shared folder: range bounds are sampled per plan
-    # branch, so both uses below must read the same materialised range ids
-    d = materialize(d.withColumn("_prev", F.lag(value).over(w)), "prev")
-    last = F.max_by(F.struct(*(F.col(c).alias(f"_lk{i}") for i, c in enumerate(key)), F.col(value).alias("_lv")),
-                    F.struct(*order))
-    bounds = d.groupBy("_rng").agg(last.alias("_last"))
-    bounds = bounds.select(F.col("_rng"), F.lag("_last").over(Window.orderBy("_rng")).alias("_bnd"))
-    d = d.join(F.broadcast(bounds), "_rng", "left")
-    same = F.lit(True)
-    for i, c in enumerate(key):
-        same = same & F.col(c).eqNullSafe(F.col(f"_bnd._lk{i}"))
-    carried = F.when(F.col("_prev").isNull() & F.col("_bnd").isNotNull() & same, F.col("_bnd._lv"))
-    return d.withColumn("_prev", F.coalesce(F.col("_prev"), carried)).drop("_rng", "_bnd", "_tie")
+def _sweep(key: list, width: int):
+    """A pass over rows sorted by (key, ``_us``): a row is accepted when its key's last accepted
+    row is ``width`` or more microseconds earlier.  Adds ``_dup``, ``_acc`` (the key's last accepted
+    time) and ``_open``: the decision hangs on rows before this pass (the unbroken chain that a
+    range starts with).  ``_carry`` on a group's first row gives the time accepted before it; only
+    one row of state passes from batch to batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def starts(batch):
+        """True where a row's key differs from the row before (NULL is a key); the first is left to the caller."""
+        new = np.zeros(batch.num_rows, bool)
+        for c in key:
+            a, b = batch.column(c).slice(1), batch.column(c).slice(0, batch.num_rows - 1)
+            differ = pc.fill_null(pc.not_equal(a, b), False)
+            new[1:] |= pc.or_(differ, pc.not_equal(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+        return new
+
+    def run(batches):
+        held = None                              # (key values, last time, last accepted time, chain is open)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            times = batch.column("_us")
+            known = times.is_valid().to_numpy(zero_copy_only=False)
+            us = times.fill_null(-2**62).to_numpy()
+            new = starts(batch)
+            mine = [batch.column(c)[0].as_py() for c in key]
+            new[0] = held is None or held[0] != mine
+            first = new.copy()                   # a chain begins: another key, or a pause of the width
+            first[1:] |= us[1:] - us[:-1] >= width
+            if not new[0]:
+                first[0] = us[0] - held[1] >= width
+            begin = np.flatnonzero(first)
+            bounds = np.r_[begin if len(begin) and begin[0] == 0 else np.r_[0, begin], n].astype(int)
+            accepted, opened = first & known, np.zeros(n, bool)
+            carry = batch.column("_carry")[0].as_py() if held is None and "_carry" in batch.schema.names else None
+            # chains that outlast the width after their first row are walked from accepted row to accepted row
+            lasts = np.maximum(us[np.maximum(bounds[1:] - 1, 0)], us[bounds[:-1]])
+            walk = np.flatnonzero(lasts - us[bounds[:-1]] >= width)
+            if not first[0] or carry is not None:
+                walk = np.union1d(walk, [0])
+            for c in walk:
+                lo, hi = bounds[c], bounds[c + 1]
+                t, at = us[lo:hi], 0
+                last = carry if c == 0 and carry is not None else held[2] if c == 0 and not first[0] else None
+                accepted[lo:hi] = False
+                if last is not None:
+                    at = int(np.searchsorted(t, last + width))
+                while at < hi - lo:
+                    accepted[lo + at] = True
+                    at = int(np.searchsorted(t, t[at] + width))
+            accepted &= known
+            if held is None or (not first[0] and held[3]):
+                opened[:bounds[1]] = True        # up to the first break
+            idx = np.maximum.accumulate(np.where(accepted, np.arange(n), -1))
+            before = carry if carry is not None else held[2] if held is not None and not new[0] else None
+            acc = np.where(known, np.where(idx >= 0, us[np.maximum(idx, 0)], -2**62 if before is None else before), -2**62)
+            row = [batch.column(c)[n - 1].as_py() for c in key]
+            held = (row, int(us[-1]), int(acc[-1]), bool(opened[-1]))
+            out = batch.drop_columns(["_carry"]) if "_carry" in batch.schema.names else batch
+            for name, col in (("_dup", pa.array(~accepted & known)), ("_acc", pa.array(acc)), ("_open", pa.array(opened))):
+                out = out.append_column(name, col)
+            yield out
+    return run
+
+
+def _with_groups(run):
+    """``run`` over the runs of equal ``_grp`` in a sorted partition, a fresh state for each."""
+    import numpy as np
+
+    def outer(batches):
+        def cut():
+            for b in batches:
+                g = b.column("_grp").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), b.num_rows]
+                for lo, hi in zip(edges, edges[1:]):
+                    if hi > lo:
+                        yield g[lo], b.slice(lo, hi - lo)
+        pieces = cut()
+        ahead = next(pieces, None)
+        while ahead is not None:
+            grp = ahead[0]
+
+            def group():
+                nonlocal ahead
+                while ahead is not None and ahead[0] == grp:
+                    b, ahead = ahead[1], None
+                    yield b
+                    ahead = next(pieces, None)
+            yield from run(group())
+    return outer
 
 
 def gap_dedup(df: DataFrame, key, ts: str, gap_s: int, tiebreak=()) -> DataFrame:
-    """STR6 (batch form): flag rows whose key was seen less than ``gap_s`` earlier.
-
-    One path at every size: the previous sighting on range partitions of
-    (key, time, tiebreak).  NULL is a key like any other.
+    """STR6/STR7 (batch form): flag rows less than ``gap_s`` after their key's last accepted row.
+
+    The interval runs from the sighting that was accepted, as a queue's
+    deduplication interval and a nonce's lifetime do: duplicates do not extend
+    it.  NULL is a key like any other; a row without a time is no duplicate.
+
+    Rows are range-partitioned on (key, time, tiebreak, row hash), so a hot
+    key is cut into many ranges, and each range is swept in order with one row
+    of state.  Only the unbroken chain that a range starts with (no pause of
+    ``gap_s`` since the range before) hangs on earlier rows; those few rows
+    are swept again, one task per run of linked ranges, from what the range
+    before accepted last.
     """
+    from ..session import materialize
     key = [key] if isinstance(key, str) else list(key)
     width = int(gap_s) * 1000000
-    d = previous_sighting(df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), key, "_us", tiebreak)
-    dup = F.col("_prev").isNotNull() & ((F.col("_us") - F.col("_prev")) < width)
-    return d.withColumn("is_duplicate", dup).drop("_us", "_prev")
+    d = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    d = d.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+    order = [F.col(c) for c in dict.fromkeys([*key, "_us", *tiebreak, "_tie"])]
+    d = d.repartitionByRange(*order).withColumn("_rng", F.spark_partition_id()).sortWithinPartitions(*order)
+
+    def swept(x):
+        return T.StructType(list(x.schema.fields)).add("_dup", "boolean").add("_acc", "long").add("_open", "boolean")
+    d = materialize(d.mapInArrow(_sweep(key, width), swept(d)), "sweep")
+    # one row per range (bounded by the partition count): its first and last key and what it accepted last
+    ends = d.groupBy("_rng").agg(F.min_by(F.struct(*key), F.struct(*order)).alias("head"),
+                                 F.max_by(F.struct(F.struct(*key).alias("k"), F.col("_acc").alias("acc"), F.col("_open").alias("open")),
+                                          F.struct(*order)).alias("tail"))
+    w = Window.orderBy("_rng")
+    ends = ends.withColumn("before", F.lag("tail").over(w))
+    same = F.coalesce(F.to_json("head", {"ignoreNullFields": "false"}) == F.to_json("before.k", {"ignoreNullFields": "false"}), F.lit(False))
+    ends = ends.withColumn("linked", same & F.coalesce(F.col("before.open"), F.lit(False)))
+    ends = ends.select("_rng", F.max(F.when(~F.col("linked"), F.col("_rng"))).over(w).alias("_grp"),
+                       F.when(same & ~F.col("before.open") & (F.col("before.acc") > -2**62), F.col("before.acc")).alias("_carry"))
+    chains = d.filter("_open").drop("_dup", "_acc", "_open").join(F.broadcast(ends), "_rng")
+    chains = chains.repartition("_grp").sortWithinPartitions("_grp", "_rng", *order)
+    again = chains.mapInArrow(_with_groups(_sweep(key, width)), swept(chains.drop("_carry")))
+    cols = [*df.columns, "_dup"]
+    out = d.filter("NOT _open").select(*cols).unionByName(again.select(*cols))
+    return out.withColumnRenamed("_dup", "is_duplicate")
 
 
 def content_dedup_id(*cols) -> Column:
@@ -120,7 +213,7 @@ def customer_category(event_type) -> Column:
 def notification_targets(events: DataFrame, tenant_config: DataFrame) -> DataFrame:
     """JN9 + FN10-14: every (event, sink, channel) delivery, in one pass.
 
-    * internal Slack always, plus ``#axira-incidents`` for p1 unless that is
+    * internal Slack always, plus the incidents channel for p1 unless that is
       already the channel (``array_distinct``);
     * the tenant's own provider(s): left join on tenant id; nothing for an
       unknown tenant or ``provider = 'none'``; ``both`` yields two targets.
@@ -135,7 +228,7 @@ def notification_targets(events: DataFrame, tenant_config: DataFrame) -> DataFra
 
     def target(sink, chan):
         return F.struct(F.lit(sink).alias("sink"), chan.alias("channel"))
-    internal = F.array_distinct(F.array(target("axira-slack", ch), target("axira-slack", esc)))
+    internal = F.array_distinct(F.array(target("internal-slack", ch), target("internal-slack", esc)))
     cat = customer_category(F.col("type"))
     prov = F.col("provider")
     # a provider block that is missing, or has no channel for the category, gets no delivery
@@ -147,12 +240,6 @@ def notification_targets(events: DataFrame, tenant_config: DataFrame) -> DataFra
                   .select("event_id", "t.sink", "t.channel"))
 
 
-def dead_letter_lane(receive_count, max_receive: int) -> Column:
-    """STR8 as a column: 'dead' once receives exceed ``max_receive``, else 'live'."""
-    rc = F.col(receive_count) if isinstance(receive_count, str) else receive_count
-    return F.when(rc > max_receive, F.lit("dead")).otherwise(F.lit("live"))
-
-
 def _details_pairs(details: Column):
     return F.map_entries(F.coalesce(details, F.create_map().cast("map<string,string>")))
 

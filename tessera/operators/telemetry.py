@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import day_index
 from ..plans.observability import (AUDIT_MESSAGES, AUDIT_SERVICES, ID_FIELD_RE, ID_IGNORE_ABOVE,
-                                   LLM_SPAN_RE, LOG_INDEX_PREFIX, MESSAGE_RAW_IGNORE_ABOVE, REDACT_KEYS,
+                                   LLM_INDEX_PREFIX, LLM_SPAN_RE, LOG_INDEX_PREFIX, MESSAGE_RAW_IGNORE_ABOVE, REDACT_KEYS,
                                    RESOURCE_NAMESPACE, TENANT_ATTR, TENANT_DEFAULT)
 
 
@@ -60,7 +60,7 @@ def clean(df: DataFrame, environment: str, cluster: str, attrs: str = "attribute
 
 
 def is_llm_span(name: Column) -> Column:
-    """FIL3: name matches ``^axira\\.llm_call(:|$)``; evaluation errors (NULL) drop."""
+    """FIL3: name matches ``LLM_SPAN_RE``; evaluation errors (NULL) drop."""
     return F.coalesce(name.rlike(LLM_SPAN_RE), F.lit(False))
 
 
@@ -104,23 +104,28 @@ def with_index(df: DataFrame, prefix: str = LOG_INDEX_PREFIX, attrs: str = "attr
               .withColumn("index_name", day_index(prefix, tenant, F.col(ts))))
 
 
-def write_telemetry(df: DataFrame, path: str, prefix: str = LOG_INDEX_PREFIX, ts: str = "ts") -> None:
+def write_telemetry(df: DataFrame, path: str, prefix: str = LOG_INDEX_PREFIX, ts: str = "ts", batch: int | None = None) -> None:
     """SNK4: sink partitioned by tenant and day.
 
     Range-partitioned on (tenant, day, ts) before the write: small tenants
     share a task, and a tenant-day holding a third of all rows is cut over
-    many tasks instead of one.
+    many tasks instead of one.  With ``batch`` (a micro-batch id) its rows are
+    a partition of their own under each day, and writing the batch again
+    replaces them; without it rows are appended.
     """
-    (with_index(df, prefix, ts=ts).repartitionByRange("tenant_id", "day", ts).write.mode("append")
-        .option("compression", "zstd").partitionBy("tenant_id", "day").parquet(path))
+    rows, parts = with_index(df, prefix, ts=ts), ["tenant_id", "day"]
+    if batch is not None:
+        rows, parts = rows.withColumn("batch", F.lit(int(batch))), [*parts, "batch"]
+    (rows.repartitionByRange("tenant_id", "day", ts).write.mode("append" if batch is None else "overwrite")
+        .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(path))
 
 
-def tee(df: DataFrame, main_path: str, llm_path: str, name: str = "name", ts: str = "ts") -> None:
+def tee(df: DataFrame, main_path: str, llm_path: str, name: str = "name", ts: str = "ts", batch: int | None = None) -> None:
     """SNK5: main sink + filtered LLM sub-stream from one persisted input (foreachBatch body)."""
     df = df.persist()
     try:
-        write_telemetry(df, main_path, ts=ts)
-        write_telemetry(llm_spans(df, name), llm_path, prefix="axira-llm", ts=ts)
+        write_telemetry(df, main_path, ts=ts, batch=batch)
+        write_telemetry(llm_spans(df, name), llm_path, prefix=LLM_INDEX_PREFIX, ts=ts, batch=batch)
     finally:
         df.unpersist()
 

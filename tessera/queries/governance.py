@@ -258,7 +258,7 @@ def distinct_tuples(spark, sf_dir):
 # ----------------------------------------------------------------- identity
 
 _GROUP_MAP = '{"automobile":["underwriter"],"BUILDING":["loan-officer","underwriter"],"furniture":["viewer"]}'
-_ALLOWED_DOMAINS = " @Axira.AI, partner.com ,,"
+_ALLOWED_DOMAINS = " @Tessera.Test, partner.com ,,"
 
 
 def _logins(spark, sf_dir):
@@ -275,7 +275,7 @@ def _logins(spark, sf_dir):
         F.when(nk.isin(4, 5, 20, 21, 22), F.lit("viewer")).alias("conn_default_role"),
         F.when(nk < 10, F.lit("internal")).alias("conn_portal_type"),
         F.concat(F.lower(F.regexp_replace("c_name", "Customer#", "cust.")), F.lit("@"),
-                 F.when(nk < 12, F.lit("axira.ai")).otherwise(F.lit("example.com"))).alias("email"),
+                 F.when(nk < 12, F.lit("tessera.test")).otherwise(F.lit("example.com"))).alias("email"),
         F.array(F.col("c_mktsegment")).alias("groups"),
         F.when(bal > 8000, F.concat(F.lit("tc"), F.col("c_custkey").cast("string"))).alias("app_tenant_id"),
         F.when(bal.between(9000, 9999), F.array(F.lit("workspace-admin")))
@@ -301,7 +301,7 @@ WITH l AS (
            ELSE []::VARCHAR[] END AS mapped,
          CASE WHEN c_nationkey IN (4, 5, 20, 21, 22) THEN 'viewer' END AS default_role,
          CASE WHEN c_nationkey < 10 THEN 'internal' END AS conn_portal_type,
-         lower(replace(c_name, 'Customer#', 'cust.')) || '@' || CASE WHEN c_nationkey < 12 THEN 'axira.ai'
+         lower(replace(c_name, 'Customer#', 'cust.')) || '@' || CASE WHEN c_nationkey < 12 THEN 'tessera.test'
                                                                    ELSE 'example.com' END AS email,
          CASE WHEN c_acctbal > 8000 THEN 'tc' || CAST(c_custkey AS VARCHAR) END AS app_tenant_id,
          CASE WHEN c_acctbal BETWEEN 9000 AND 9999 THEN ['workspace-admin'] ELSE []::VARCHAR[] END AS app_roles,
@@ -328,7 +328,7 @@ SELECT c_custkey,
        CASE WHEN deny_reason IS NULL AND strategy NOT IN ('auth0', 'email') THEN tenant END AS tenant_id,
        CASE WHEN deny_reason IS NULL AND strategy NOT IN ('auth0', 'email') THEN array_to_string(roles, ',') END AS roles,
        CASE WHEN deny_reason IS NULL AND strategy NOT IN ('auth0', 'email') THEN conn_portal_type END AS portal_type,
-       split_part(email, '@', 2) IN ('axira.ai', 'partner.com') AS domain_allowed
+       split_part(email, '@', 2) IN ('tessera.test', 'partner.com') AS domain_allowed
 FROM d
 """)
 def role_resolve(spark, sf_dir):
@@ -338,6 +338,53 @@ def role_resolve(spark, sf_dir):
                     F.array_join("roles", ",").alias("roles"), "portal_type", "domain_allowed")
 
 
+@binding("login_claims", sql="""
+WITH l AS (
+  SELECT c_custkey, c_nationkey AS nk, c_acctbal AS bal, c_mktsegment AS seg,
+         CASE c_nationkey WHEN 0 THEN 'github' WHEN 1 THEN 'email' ELSE 'auth0' END AS strategy,
+         CASE WHEN c_nationkey < 15 THEN 'org' || c_nationkey END AS org_id,
+         CASE WHEN c_nationkey < 8 THEN 'tn' || c_nationkey WHEN c_nationkey = 8 THEN '' END AS org_tenant,
+         CASE WHEN c_nationkey % 3 = 0 THEN 'Org ' || c_nationkey END AS org_name,
+         CASE WHEN c_acctbal > 5000 THEN 'app' || c_custkey END AS app_tenant
+  FROM customer),
+t AS (SELECT *, coalesce(CASE WHEN org_id IS NOT NULL THEN nullif(coalesce(org_tenant, org_id), '') END, app_tenant) AS tenant FROM l),
+s AS (SELECT *, strategy = 'github' OR tenant IS NULL AS skip FROM t)
+SELECT c_custkey, CASE WHEN skip THEN 'skip' ELSE 'allow' END AS outcome,
+       CASE WHEN NOT skip THEN tenant END AS tenant_id,
+       CASE WHEN NOT skip THEN coalesce(CASE WHEN org_id IS NOT NULL THEN org_name END, CASE WHEN bal < 0 THEN 'Shown ' || nk END) END AS tenant_name,
+       CASE WHEN NOT skip THEN CASE WHEN bal < 1000 THEN 'm' || c_custkey ELSE 'sub|' || c_custkey END END AS aaid,
+       CASE WHEN NOT skip THEN CASE seg WHEN 'BUILDING' THEN 'underwriter,viewer' WHEN 'MACHINERY' THEN '' ELSE 'borrower' END END AS roles,
+       CASE WHEN NOT skip AND seg = 'FURNITURE' THEN 'customer' END AS portal_type,
+       CASE WHEN NOT skip AND seg = 'FURNITURE' THEN 'e' || c_custkey END AS portal_entity_id,
+       CASE WHEN NOT skip THEN CASE WHEN org_id IS NOT NULL AND nk % 4 = 0 THEN 'lending,edd' WHEN org_id IS NOT NULL AND nk % 4 = 1 THEN ''
+            ELSE 'base,compliance' END END AS products,
+       CASE WHEN NOT skip AND nk <> 20 THEN 'mail' || nk || '.example' END AS email_domain
+FROM s
+""")
+def login_claims(spark, sf_dir):
+    """FN6-FN9: claims of database and passwordless logins; organisation before app metadata."""
+    c = table(spark, sf_dir, "customer")
+    nk, bal, seg, ck = F.col("c_nationkey"), F.col("c_acctbal"), F.col("c_mktsegment"), F.col("c_custkey").cast("string")
+    logins = c.select(
+        ck.alias("login_id"), F.when(nk == 0, "github").when(nk == 1, "email").otherwise("auth0").alias("strategy"),
+        F.when(nk < 15, F.concat(F.lit("org"), nk)).alias("org_id"),
+        F.when(nk % 3 == 0, F.concat(F.lit("Org "), nk)).alias("org_display_name"),
+        F.when(nk < 8, F.concat(F.lit("tn"), nk)).when(nk == 8, "").alias("org_tenant_id"),
+        F.when(nk % 4 == 0, '["lending", 7, "edd", null]').when(nk % 4 == 1, "[]").when(nk % 4 == 2, '{"a": 1}').alias("org_products"),
+        F.when(seg == "BUILDING", F.array(F.lit("underwriter"), F.lit("viewer"))).otherwise(F.array().cast("array<string>")).alias("org_roles"),
+        F.concat(F.lit("sub|"), ck).alias("user_id"),
+        F.when(nk == 20, "no address").otherwise(F.concat(F.lit("u@mail"), nk, F.lit(".example"))).alias("email"),
+        F.when(bal > 5000, F.concat(F.lit("app"), ck)).alias("app_tenant_id"),
+        F.when(bal < 0, F.concat(F.lit("Shown "), nk)).alias("app_org_display_name"),
+        F.when(seg != "MACHINERY", F.array(F.lit("borrower"))).alias("app_roles"),
+        F.when(seg == "FURNITURE", "customer").otherwise("").alias("app_portal_type"),
+        F.when(seg == "FURNITURE", F.concat(F.lit("e"), ck)).alias("app_portal_entity_id"),
+        F.when(bal < 1000, F.concat(F.lit("m"), ck)).alias("aaid"))
+    out = ID.login_claims(logins, default_products="base, compliance,")
+    flat = [F.array_join(n, ",").alias(n) if n in ("roles", "products") else F.col(n) for n in ID.CLAIMS]
+    return out.select(F.col("login_id").cast("long").alias("c_custkey"), "outcome", *flat)
+
+
 # ----------------------------------------------------------------- lifecycle
 
 AS_OF_LIFE = "2001-09-01"
@@ -400,6 +447,28 @@ def storage_tier(spark, sf_dir):
         "o_orderkey", "bucket", "tier")
 
 
+@binding("retention_rules", sql="""
+WITH r(bucket, expire_days, ia_days, glacier_days, lock_days) AS (VALUES
+  ('logs', 15, NULL, NULL, NULL), ('traces', 14, NULL, NULL, NULL), ('bronze', 30, NULL, NULL, NULL), ('ops-events', 730, 30, 90, NULL),
+  ('audit-archive', 2555, NULL, 90, 2555), ('audit-archive-nonprod', 2555, NULL, 90, 90), ('audit-exports', 2555, 30, NULL, NULL)),
+o AS (SELECT CASE l_linenumber WHEN 1 THEN 'logs' WHEN 2 THEN 'traces' WHEN 3 THEN 'bronze' WHEN 4 THEN 'ops-events'
+                  WHEN 5 THEN 'audit-archive' WHEN 6 THEN 'audit-archive-nonprod' ELSE 'audit-exports' END AS bucket,
+             date_diff('day', CAST(l_shipdate AS DATE), DATE '1998-11-30') AS age FROM lineitem),
+a AS (SELECT o.*, expire_days, ia_days, glacier_days, coalesce(age < lock_days, false) AS locked FROM o JOIN r USING (bucket))
+SELECT bucket, locked, CASE WHEN age >= expire_days THEN 'EXPIRED' WHEN age >= glacier_days THEN 'GLACIER' WHEN age >= ia_days THEN 'STANDARD_IA'
+       ELSE 'STANDARD' END AS tier, count(*) AS n, min(age) AS youngest, max(age) AS oldest
+FROM a WHERE NOT (age >= expire_days AND NOT locked) GROUP BY 1, 2, 3
+""")
+def retention_rules(spark, sf_dir):
+    """DML6-7, DML9: logs, traces, event files, operations events and audit stores under their rules."""
+    stores = F.array(*[F.lit(r[0]) for r in LC.STORE_RULES])
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.element_at(stores, F.least("l_linenumber", F.lit(len(LC.STORE_RULES))).cast("int")).alias("bucket"), F.col("l_shipdate").alias("created_at"))
+    kept = LC.expire(rows, LC.rules_frame(spark), "1998-11-30")
+    kept = LC.storage_tier(kept, LC.rules_frame(spark), "1998-11-30")
+    return kept.groupBy("bucket", "locked", "tier").agg(F.count(F.lit(1)).alias("n"), F.min("age_days").alias("youngest"), F.max("age_days").alias("oldest"))
+
+
 _TENANT_ROWS_SQL = """
 rows_ AS (SELECT 'customer' AS table_name, c_custkey AS key, c_name AS name, 'tn' || CAST(c_nationkey AS VARCHAR) AS tenant_id
           FROM customer
@@ -546,8 +615,8 @@ SELECT c_custkey, email,
                                              lambda x: x <> '') END, ',') AS products,
        regexp_matches('customer:' || c_name, '^[^:#@]+:[^:#@]+$') AS obj_valid_name,
        regexp_matches('customer:' || CAST(c_custkey AS VARCHAR), '^[^:#@]+:[^:#@]+$') AS obj_valid_key,
-       'axira-admin,axira-' || seg AS roles_prefixed,
-       'axira-logs-tn' || CAST(c_nationkey AS VARCHAR) || '-2024.01.15' AS index_name
+       'team-admin,team-' || seg AS roles_prefixed,
+       'team-logs-tn' || CAST(c_nationkey AS VARCHAR) || '-2024.01.15' AS index_name
 FROM d
 """)
 def scalar_cleaning(spark, sf_dir):
@@ -573,9 +642,9 @@ def scalar_cleaning(spark, sf_dir):
         F.array_join(FN.json_or_csv_array("raw"), ",").alias("products"),
         FN.valid_object_id(F.concat(F.lit("customer:"), "c_name")).alias("obj_valid_name"),
         FN.valid_object_id(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))).alias("obj_valid_key"),
-        F.array_join(FN.roles_with_prefix(F.array(F.lit("axira-admin"), F.col("seg"),
-                                                  F.concat(F.lit("axira-"), F.col("seg")))), ",").alias("roles_prefixed"),
-        FN.day_index("axira-logs", F.concat(F.lit("tn"), F.col("c_nationkey").cast("string")),
+        F.array_join(FN.roles_with_prefix(F.array(F.lit("team-admin"), F.col("seg"),
+                                                  F.concat(F.lit("team-"), F.col("seg"))), "team-"), ",").alias("roles_prefixed"),
+        FN.day_index("team-logs", F.concat(F.lit("tn"), F.col("c_nationkey").cast("string")),
                      F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).alias("index_name"))
 
 

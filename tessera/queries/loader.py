@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hour_key
 from ..operators import load as L
 from ..operators import project as P
-from ..plans.dispatch import FactDispatch, make_registry
+from ..plans.dispatch import ENVELOPE, FactDispatch, make_registry
 from ..session import table
 from . import binding
 from .common import bronze_files, envelopes, events
@@ -45,15 +45,6 @@ per_file AS (
 """
 
 
-def _k_of(df_parsed, entries):
-    k = None
-    for e in entries:
-        i = [j for j, p in enumerate(e.paths) if p == "data.k"][0]
-        v = F.col("_d").getField("k").try_cast(e.types[i])
-        k = F.when(F.col("type") == e.event_type, v) if k is None else k.when(F.col("type") == e.event_type, v)
-    return k
-
-
 @binding("dispatch_project", sql="WITH " + _ENV_SQL + """
 SELECT type AS event_type,
        CASE type WHEN 'signup' THEN 'fact_signup' WHEN 'click' THEN 'fact_click'
@@ -69,18 +60,14 @@ def dispatch_project(spark, sf_dir):
     """PRJ1-6 + FIL2 + AGG1: route envelopes through the registry, type them, count per type."""
     env = envelopes(spark, sf_dir)
     mapped, unmapped = P.split_mapped(env, TEST_REGISTRY)
-    entries = list(TEST_REGISTRY.values())
-    parsed = P.parse_data(mapped, entries)
-    tbl = None
-    for e in entries:
-        tbl = (F.when(F.col("type") == e.event_type, F.lit(e.table)) if tbl is None
-               else tbl.when(F.col("type") == e.event_type, F.lit(e.table)))
-    m = parsed.select(F.col("type"), tbl.alias("target_table"), F.lit("INSERT").alias("strategy"),
-                      _k_of(parsed, entries).alias("k"), *P.envelope_cols())
-    u = unmapped.select(F.col("type"), F.lit(None).cast("string").alias("target_table"),
-                        F.lit(None).cast("string").alias("strategy"), F.lit(None).cast("int").alias("k"),
-                        *P.envelope_cols())
-    return (m.unionByName(u).groupBy(F.col("type").alias("event_type"), "target_table", "strategy")
+    rows = P.project_table(mapped, TEST_REGISTRY.values(), table="all")
+    k = F.coalesce(*[F.col(f"{t}_k") for t in TEST_REGISTRY])
+    facts = ["event_time", "tenant_id"]
+    rows = rows.select(F.col("_event_type").alias("event_type"), k.alias("k"), *facts)
+    rest = unmapped.select(F.col("type").alias("event_type"), F.lit(None).cast("int").alias("k"),
+                           *[c for c, (name, _, _) in zip(P.envelope_cols(), ENVELOPE) if name in facts])
+    rows = P.dispatch_for(rows.unionByName(rest), TEST_REGISTRY)
+    return (rows.groupBy("event_type", "target_table", "strategy")
             .agg(F.count(F.lit(1)).alias("row_count"), F.sum("k").cast("long").alias("sum_k"),
                  F.countDistinct("tenant_id").alias("tenants"),
                  F.min("event_time").cast("timestamp_ntz").alias("first_event_time"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import slo as S
 from ..operators import telemetry as TM
 from ..plans.observability import SLO, Alarm, burn_threshold, error_budget_minutes
+from ..plans.observability import alarm_catalog as alarm_rows
 from ..session import table
 from . import binding
 from .common import events
@@ -145,6 +146,78 @@ def alarm_m_of_n(spark, sf_dir):
     return S.evaluate_alarms(samples, ALARMS)
 
 
+# Every alarm row of the catalogue, stated again for the SQL.
+_CATALOG_SQL = """(VALUES
+  ('sli-conversation-first-paint', 'sli/conversation-first-paint/latency-ms', 'p95', 300, '>', 3000.0, 3, 3, 'not_breaching'),
+  ('sli-conversation-end-to-end', 'sli/conversation-end-to-end/latency-ms', 'p95', 300, '>', 15000.0, 3, 3, 'not_breaching'),
+  ('sli-deal-progress', 'sli/deal-progress/latency-ms', 'p95', 300, '>', 300.0, 3, 3, 'not_breaching'),
+  ('burn-fast', 'availability/error-flag', 'Average', 3600, '>', 0.72, 1, 1, 'not_breaching'),
+  ('burn-slow', 'availability/error-flag', 'Average', 21600, '>', 0.30, 1, 1, 'not_breaching'),
+  ('db-cpu', 'db/cpu', 'Average', 300, '>', 80.0, 3, 3, 'missing'),
+  ('db-replica-lag', 'db/replica-lag', 'Average', 300, '>', 1000.0, 2, 2, 'not_breaching'),
+  ('search-red', 'search/status-red', 'Maximum', 60, '>=', 1.0, 1, 1, 'not_breaching'),
+  ('lb-target-5xx', 'lb/target-5xx', 'Sum', 300, '>', 10.0, 1, 1, 'not_breaching'),
+  ('lb-own-5xx', 'lb/own-5xx', 'Sum', 300, '>', 10.0, 1, 1, 'not_breaching'),
+  ('queue-age', 'queue/projection-consumer/oldest-age', 'Maximum', 60, '>', 900.0, 3, 3, 'not_breaching'),
+  ('cache-cpu', 'cache/cpu', 'Average', 300, '>', 80.0, 3, 3, 'not_breaching'),
+  ('cache-memory', 'cache/memory', 'Average', 300, '>', 80.0, 3, 3, 'not_breaching'),
+  ('cache-evictions', 'cache/evictions', 'Sum', 300, '>', 0.0, 3, 3, 'not_breaching'),
+  ('model-throttles', 'model/throttles', 'Sum', 300, '>=', 1.0, 1, 1, 'not_breaching'),
+  ('base-db-cpu', 'base/db-cpu', 'Average', 300, '>=', 80.0, 3, 3, 'missing'),
+  ('base-db-connections', 'base/db-connections', 'Average', 300, '>=', 150.0, 2, 2, 'missing'),
+  ('base-db-free-storage', 'base/db-free-storage', 'Average', 300, '<', 10737418240.0, 1, 1, 'missing'),
+  ('backup-errors', 'backup/errors', 'Sum', 3600, '>=', 1.0, 1, 1, 'missing'),
+  ('gateway-cpu', 'service/gateway/cpu', 'Average', 300, '>', 85.0, 3, 3, 'missing'),
+  ('gateway-memory', 'service/gateway/memory', 'Average', 300, '>', 85.0, 3, 3, 'missing'),
+  ('base-api-cpu', 'base/api/cpu', 'Average', 300, '>=', 85.0, 3, 3, 'missing'),
+  ('base-api-memory', 'base/api/memory', 'Average', 300, '>=', 85.0, 3, 3, 'missing'),
+  ('projection-consumer-dlq', 'dlq/projection-consumer/visible', 'Maximum', 60, '>=', 1.0, 1, 1, 'missing'),
+  ('gateway-unhealthy', 'target/gateway/unhealthy', 'Maximum', 60, '>', 0.0, 3, 3, 'not_breaching'),
+  ('running-tasks-low', 'workflow/running-tasks', 'Minimum', 60, '<', 2.0, 5, 5, 'breaching')
+)"""
+
+
+@binding("alarm_catalog", sql=f"""
+WITH alarms(alarm_id, metric, stat, period_s, op, threshold, n, m, missing) AS (SELECT * FROM {_CATALOG_SQL}),
+scale AS (SELECT metric, max(threshold::DOUBLE) AS t, row_number() OVER (ORDER BY metric) - 1 AS i, count(*) OVER () AS k FROM alarms GROUP BY metric),
+samples AS (
+  SELECT metric, ts, CASE WHEN t > 0 THEN value * t / 80 ELSE value - 80 END AS value
+  FROM events JOIN scale ON (event_id % 97) % k = i),
+dp AS (
+  SELECT a.alarm_id, CAST(floor(epoch_us(s.ts) / 1000000 / a.period_s) AS BIGINT) AS bucket,
+         CASE any_value(a.stat) WHEN 'Average' THEN avg(value) WHEN 'Sum' THEN sum(value) WHEN 'Maximum' THEN max(value)
+              WHEN 'Minimum' THEN min(value) ELSE quantile_cont(value, 0.95) END AS value
+  FROM samples s JOIN alarms a USING (metric) GROUP BY 1, 2),
+grid AS (SELECT a.*, unnest(generate_series(CAST(floor(epoch(TIMESTAMP '2024-01-01') / period_s) AS BIGINT),
+                                            CAST(floor(epoch(TIMESTAMP '2024-01-31') / period_s) AS BIGINT))) AS bucket FROM alarms a),
+j AS (
+  SELECT g.*, d.value, CASE WHEN d.value IS NOT NULL THEN CAST(CASE g.op WHEN '>' THEN d.value > g.threshold WHEN '>=' THEN d.value >= g.threshold
+                                                          ELSE d.value < g.threshold END AS INTEGER)
+              WHEN g.missing = 'breaching' THEN 1 WHEN g.missing = 'not_breaching' THEN 0 END AS breach
+  FROM grid g LEFT JOIN dp d ON g.alarm_id = d.alarm_id AND g.bucket = d.bucket),
+w AS (SELECT *, coalesce(list_sum(list_transform(list_reverse(hist)[1:n], lambda x: coalesce(x, 0))), 0) AS n_breach,
+             len(list_filter(list_reverse(hist)[1:n], lambda x: x IS NOT NULL)) AS n_counted
+      FROM (SELECT *, list(breach) OVER (PARTITION BY alarm_id ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hist FROM j)),
+s AS (SELECT *, CASE WHEN n_breach >= m THEN 'ALARM' WHEN n_counted > 0 THEN 'OK' ELSE 'INSUFFICIENT_DATA' END AS state FROM w),
+c AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY alarm_id ORDER BY bucket), 'INSUFFICIENT_DATA') <> state AS changed FROM s)
+SELECT alarm_id, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(bucket * period_s) AS period_start,
+       CAST(n_breach AS INTEGER) AS n_breach, state FROM c WHERE changed
+""")
+def alarm_catalog(spark, sf_dir):
+    """WIN2/WIN5: the state changes of every catalogue alarm over January; events spread over the metrics."""
+    alarms = alarm_rows(services=["gateway"], queues=["projection-consumer"], targets=["gateway"], base_services=["api"], desired_tasks=2)
+    scale = {}
+    for a in alarms:
+        scale[a.metric] = max(scale.get(a.metric, 0.0), a.threshold)
+    names = sorted(scale)
+    i = F.pmod(F.pmod("event_id", F.lit(97)), F.lit(len(names))).cast("int") + 1
+    t = F.element_at(F.array(*[F.lit(scale[n]) for n in names]), i)
+    samples = events(spark, sf_dir).select(F.element_at(F.array(*[F.lit(n) for n in names]), i).alias("metric"), "ts",
+                                           F.when(t > 0, F.col("value") * t / 80).otherwise(F.col("value") - 80).alias("value"))
+    states = S.evaluate_alarms(samples, alarms, start="2024-01-01 00:00:00", end="2024-01-31 00:00:00")
+    return S.state_changes(states).select("alarm_id", "period_start", "n_breach", "state")
+
+
 @binding("stat_switch", sql="""
 WITH defs(def_id, metric, stat) AS (VALUES ('click_avg', 'click', 'Average'), ('purchase_sum', 'purchase', 'Sum'),
        ('view_min', 'view', 'Minimum'), ('signup_max', 'signup', 'Maximum'), ('error_p95', 'error', 'p95')),
@@ -202,7 +275,7 @@ def telemetry_clean(spark, sf_dir):
             .when(F.col("event_type") == "view", "axira.llm_callx")
             .when(F.col("event_type") == "signup", "other"))
     spans = ev.select("event_id", "ts", raw.alias("attributes"), name.alias("name"))
-    cleaned = TM.with_index(TM.clean(spans, "staging", "axira-staging"))
+    cleaned = TM.with_index(TM.clean(spans, "staging", "staging-1"))
     return cleaned.select("event_id", "tenant_id", F.size("attributes").alias("n_attrs"),
                           F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("attr_keys"),
                           "name", TM.is_llm_span(F.col("name")).alias("is_llm"), "index_name")
@@ -214,7 +287,7 @@ WITH logs AS (
          CASE event_type WHEN 'click' THEN 'am_decision' WHEN 'purchase' THEN 'cap_authz_decision'
                          WHEN 'signup' THEN 'authorization_decision' ELSE 'request_completed' END AS message,
          CASE WHEN user_id < 40 THEN 'axira-gateway' WHEN user_id < 80 THEN 'axira-agent-runtime'
-              WHEN user_id < 120 THEN 'axira-workflow-engine' ELSE 'axira-billing' END AS service
+              WHEN user_id < 120 THEN 'axira-workflow-engine' ELSE 'billing' END AS service
   FROM events)
 SELECT 'staging' AS env, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
        message, count(*) AS n
@@ -231,7 +304,7 @@ def audit_archive_layout(spark, sf_dir):
                .when(F.col("event_type") == "signup", "authorization_decision")
                .otherwise("request_completed"))
     service = (F.when(F.col("user_id") < 40, "axira-gateway").when(F.col("user_id") < 80, "axira-agent-runtime")
-               .when(F.col("user_id") < 120, "axira-workflow-engine").otherwise("axira-billing"))
+               .when(F.col("user_id") < 120, "axira-workflow-engine").otherwise("billing"))
     logs = ev.select("ts", message.alias("message"), service.alias("service"))
     laid = TM.archive_layout(TM.audit_decisions(logs), "staging")
     return laid.groupBy("env", "year", "month", "day", "message").agg(F.count(F.lit(1)).alias("n"))

@@ -132,9 +132,9 @@ cfg AS (
                            WHEN 'FURNITURE' THEN 'both' WHEN 'HOUSEHOLD' THEN 'none' END AS provider
   FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 internal AS (SELECT event_id, urgency, {_INTERNAL_SQL} AS channel FROM ev)
-SELECT event_id, 'axira-slack' AS sink, channel FROM internal
+SELECT event_id, 'internal-slack' AS sink, channel FROM internal
 UNION ALL
-SELECT event_id, 'axira-slack', '#axira-incidents' FROM internal WHERE urgency = 'p1' AND channel <> '#axira-incidents'
+SELECT event_id, 'internal-slack', '#axira-incidents' FROM internal WHERE urgency = 'p1' AND channel <> '#axira-incidents'
 UNION ALL
 SELECT e.event_id, s.sink,
        CASE s.sink WHEN 'slack' THEN '#c' ELSE 'teams-c' END || c.k || '-' ||
@@ -156,7 +156,7 @@ _COLOR_SQL = "CASE urgency WHEN 'info' THEN 'good' WHEN 'warning' THEN 'warning'
 WITH ev AS (
   SELECT event_id, {_case_sql('event_type', _OPS_TYPE)} AS type,
          {_case_sql('event_type', _URGENCY, "'info'")} AS urgency,
-         CASE WHEN user_id < 75 THEN 'axira-gateway' END AS service,
+         CASE WHEN user_id < 75 THEN 'gateway' END AS service,
          CASE WHEN event_type = 'view' THEN '' ELSE 'value=' || CAST(value AS VARCHAR) END AS message,
          CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS n_details,
          CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS has_action
@@ -177,7 +177,7 @@ def payload_json(spark, sf_dir):
         F.concat("type", F.lit(" #"), F.col("event_id").cast("string")).alias("title"),
         F.when(F.col("event_type") == "view", F.lit("")).otherwise(
             F.concat(F.lit("value="), F.col("value").cast("string"))).alias("message"),
-        F.when(F.col("user_id") < 75, F.lit("axira-gateway")).alias("service"),
+        F.when(F.col("user_id") < 75, F.lit("gateway")).alias("service"),
         F.lit(None).cast("string").alias("version"), F.lit("staging").alias("environment"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.when(F.col("event_type") == "error",
@@ -216,30 +216,34 @@ def dlq_split(spark, sf_dir):
 
 
 @binding("fifo_dedup", sql=f"""
-WITH m AS (SELECT event_id, ts, sha256(concat_ws(':', CAST(user_id AS VARCHAR), event_type)) AS dedup_id FROM events),
-l AS (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY dedup_id ORDER BY epoch_us(ts), event_id) AS prev FROM m)
-SELECT event_id, dedup_id, prev IS NOT NULL AND epoch_us(ts) - prev < {FIFO_DEDUP_S * 1000000} AS is_duplicate FROM l
+WITH RECURSIVE m AS (SELECT event_id, epoch_us(ts) AS us, sha256(concat_ws(':', CAST(user_id AS VARCHAR), event_type)) AS dedup_id FROM events),
+acc AS (SELECT dedup_id, min(us) AS us FROM m GROUP BY 1
+        UNION ALL
+        SELECT a.dedup_id, (SELECT min(m.us) FROM m WHERE m.dedup_id = a.dedup_id AND m.us >= a.us + 300000000) FROM acc a WHERE a.us IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY dedup_id, us ORDER BY event_id) AS rn FROM m)
+SELECT event_id, f.dedup_id, NOT (acc.us IS NOT NULL AND rn = 1) AS is_duplicate
+FROM f LEFT JOIN acc ON acc.dedup_id = f.dedup_id AND acc.us = f.us
 """)
 def fifo_dedup(spark, sf_dir):
-    """STR6: content-based dedup id; a repeat within 5 minutes of the previous sighting is dropped."""
+    """STR6: content-based dedup id; a repeat within 5 minutes of the last accepted sighting is dropped."""
     ev = events(spark, sf_dir).select("event_id", "ts", R.content_dedup_id("user_id", "event_type").alias("dedup_id"))
     return R.gap_dedup(ev, "dedup_id", "ts", FIFO_DEDUP_S, tiebreak=["event_id"]).select(
         "event_id", "dedup_id", "is_duplicate")
 
 
 @binding("replay_guard", sql="""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT event_id, user_id, json_extract_string(props, '$.k') AS nonce, ts AS sent,
          ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS received
   FROM events),
 f AS (SELECT *, abs(epoch_us(received) - epoch_us(sent)) <= 300000000 AS fresh FROM m),
-r AS (
-  SELECT event_id, epoch_us(received) AS us,
-         lag(epoch_us(received)) OVER (PARTITION BY user_id, nonce ORDER BY epoch_us(received), event_id) AS prev
-  FROM f WHERE fresh)
-SELECT f.event_id, f.fresh,
-       CASE WHEN f.fresh THEN r.prev IS NOT NULL AND r.us - r.prev < 600000000 END AS replay,
-       f.fresh AND NOT coalesce(r.prev IS NOT NULL AND r.us - r.prev < 600000000, false) AS accepted
+g AS (SELECT event_id, coalesce(user_id || '/' || nonce, 'u' || user_id) AS key, epoch_us(received) AS us FROM f WHERE fresh),
+acc AS (SELECT key, min(us) AS us FROM g GROUP BY 1
+        UNION ALL
+        SELECT a.key, (SELECT min(g.us) FROM g WHERE g.key = a.key AND g.us >= a.us + 600000000) FROM acc a WHERE a.us IS NOT NULL),
+r AS (SELECT g.event_id, NOT (acc.us IS NOT NULL AND row_number() OVER (PARTITION BY g.key, g.us ORDER BY g.event_id) = 1) AS replay
+      FROM g LEFT JOIN acc ON acc.key = g.key AND acc.us = g.us)
+SELECT f.event_id, f.fresh, CASE WHEN f.fresh THEN r.replay END AS replay, f.fresh AND NOT coalesce(r.replay, false) AS accepted
 FROM f LEFT JOIN r ON f.event_id = r.event_id
 """)
 def replay_guard(spark, sf_dir):
@@ -262,6 +266,15 @@ def rate_limit(spark, sf_dir):
     return LM.rate_violations(events(spark, sf_dir), "user_id", "ts", "6 hours", "1 hour", 2)
 
 
+@binding("rate_limit_minute", sql="""
+SELECT event_type, date_trunc('minute', ts) AS window_start, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end, count(*) AS n
+FROM events GROUP BY 1, 2 HAVING count(*) > 1
+""")
+def rate_limit_minute(spark, sf_dir):
+    """AGG14: events per customer (here: type) and minute above the limit."""
+    return LM.rate_violations(events(spark, sf_dir), "event_type", "ts", "1 minute", None, 1)
+
+
 @binding("quota_daily", sql="""
 SELECT user_id, date_trunc('day', ts) AS period_start, count(*) AS used, count(*) > 4 AS over
 FROM events GROUP BY 1, 2

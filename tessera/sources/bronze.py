@@ -26,18 +26,18 @@ BRONZE_SCHEMA = T.StructType(ENVELOPE_STRUCT.fields + [
 ])
 
 
-def _reader(spark: SparkSession, root: str):
+def _reader(spark: SparkSession, root: str, pattern: str = "*.jsonl"):
     return (spark.read.schema(BRONZE_SCHEMA)
             .option("basePath", root)
-            .option("pathGlobFilter", "*.jsonl")          # SRC2: only .jsonl objects
+            .option("pathGlobFilter", pattern)            # SRC2: only .jsonl objects
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("recursiveFileLookup", "false"))
 
 
-def read_bronze(spark: SparkSession, root: str) -> DataFrame:
+def read_bronze(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """SRC1/SRC6: envelopes + partition columns + per-row source file."""
-    return _reader(spark, root).json(root).withColumn("s3_key", F.col("_metadata.file_path"))
+    return _reader(spark, root, pattern).json(root).withColumn("s3_key", F.col("_metadata.file_path"))
 
 
 def read_files(spark: SparkSession, paths, root: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.routing import FIFO_DEDUP_S, REPLAY_TTL_S
 
@@ -19,15 +20,44 @@ def event_time(df: DataFrame, ts: str, out: str = "_et") -> DataFrame:
 
 
 def dedup_within(stream: DataFrame, key, ts: str, window_s: int = FIFO_DEDUP_S) -> DataFrame:
-    """STR6/STR7: drop repeats of ``key`` within ``window_s`` of the first sighting.
-
-    ``dropDuplicatesWithinWatermark`` keeps one row per key while the key's
-    first event time is within the watermark delay; state is evicted after.
+    """STR6/STR7: drop rows less than ``window_s`` after their key's last accepted row.
+
+    The same rule as the batch form (``operators.routing.gap_dedup``), whatever
+    the micro-batches are: a batch that spans more than ``window_s`` (a
+    catch-up) loses nothing, which ``dropDuplicatesWithinWatermark`` would drop.
+    The state is one time per key; it is evicted ``window_s`` after it.  A row
+    without a time is kept.  Whole numbers travel as text, so that none is
+    rounded on its way through pandas.
     """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
     key = [key] if isinstance(key, str) else list(key)
-    s = event_time(stream, ts)
-    return (s.withWatermark("_et", f"{int(window_s)} seconds")
-             .dropDuplicatesWithinWatermark(key).drop("_et"))
+    width, names = int(window_s) * 1000000, stream.columns
+    whole = {f.name: f.dataType for f in stream.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+
+    def step(_, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs)).sort_values("_us", kind="stable")
+        last = state.get[0] if state.exists else None
+        keep = []
+        for us in rows["_us"].tolist():
+            timed = us > -2**62
+            keep.append(not timed or last is None or abs(us - last) >= width)
+            if timed and keep[-1]:
+                last = us if last is None else max(us, last)
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[keep, names]
+
+    s = event_time(stream, ts).withWatermark("_et", f"{int(window_s)} seconds")
+    s = s.withColumn("_us", F.coalesce(F.unix_micros("_et"), F.lit(-2**62)))
+    s = s.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in names], "_et", "_us")
+    out = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in stream.schema.fields])
+    kept = s.groupBy(*key).applyInPandasWithState(step, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(*[F.col(c).cast(whole[c]).alias(c) if c in whole else F.col(c) for c in names])
 
 
 def replay_guard_stream(stream: DataFrame, key: str, nonce: str, ts: str, ttl_s: int = REPLAY_TTL_S) -> DataFrame:
@@ -105,12 +135,12 @@ def start_telemetry_stream(stream: DataFrame, main_path: str, llm_path: str, che
                            available_now: bool = False):
     """SNK4/SNK5/SNK8 as a stream: clean every micro-batch, then write the
     tenant/day-partitioned main sink and the LLM-span sub-sink from one
-    persisted batch (``foreachBatch`` + ``tee``).  Appends are at-least-once
-    on a replayed batch, like the collector it replaces."""
+    persisted batch (``foreachBatch`` + ``tee``).  A replayed batch rewrites
+    its own partitions."""
     from ..operators import telemetry as TM
 
     def tick(df, batch_id):
-        TM.tee(TM.clean(df, environment, cluster), main_path, llm_path)
+        TM.tee(TM.clean(df, environment, cluster), main_path, llm_path, batch=batch_id)
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(tick)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)

@@ -1,11 +1,12 @@
-"""Sign-in resolution: cases ported from the reference's login-hook tests, run as one table."""
+"""Sign-in resolution and claims: each login kind as rows of one table."""
 
 from pyspark.sql import functions as F
 from tessera.operators.identity import (DENY_DISABLED, DENY_NOT_PROVISIONED, DENY_NOT_SET_UP, DENY_SOCIAL,
-                                        LOGIN_SCHEMA, map_groups_to_roles, resolve_login)
+                                        LOGIN_SCHEMA, CLAIMS_SCHEMA, claims, login_claims,
+                                        map_groups_to_roles, resolve_login)
 
 BASE = dict(strategy="okta-workforce", connection="okta", conn_tenant_id=None, conn_group_role_map=None,
-            conn_default_role=None, conn_portal_type=None, email="u@axira.ai", groups=[],
+            conn_default_role=None, conn_portal_type=None, email="u@example.org", groups=[],
             app_tenant_id="TID", app_roles=["underwriter"], app_portal_type="internal", app_disabled=False,
             aaid="UID")
 COLS = [c.split()[0] for c in LOGIN_SCHEMA.split(", ")]
@@ -90,3 +91,26 @@ def test_group_map_and_arrays_skip_values_that_are_not_strings(spark):
                                "g array<string>, m string, t string")
     r = df.select(map_groups_to_roles(F.col("g"), F.col("m")).alias("roles"), json_or_csv_array("t").alias("t")).first()
     assert r["roles"] == ["r1", "r2"] and r["t"] == ["a", "b"]
+
+
+def test_login_claims(spark):
+    base = dict(login_id="0", strategy="auth0", org_id="org1", org_display_name="Org", org_tenant_id="t1", org_products='["a"]', org_roles=["r"],
+                user_id="sub", email="u@x.example", app_tenant_id="t2", app_org_display_name="App", app_roles=["m"], app_portal_type="",
+                app_portal_entity_id=None, aaid=None)
+    cases = [{}, {"strategy": "github"}, {"org_tenant_id": None}, {"org_tenant_id": ""}, {"org_id": None}, {"org_id": None, "app_tenant_id": None},
+             {"org_roles": []}, {"org_roles": None, "app_roles": None}, {"org_products": "[]"}, {"org_products": '["x", 1, true, "y"]'},
+             {"org_products": "no json"}, {"email": "a@b@c"}, {"email": "none"}, {"aaid": "m1", "app_portal_type": "customer", "app_portal_entity_id": "e"}]
+    names = [c.split()[0] for c in CLAIMS_SCHEMA.split(", ")]
+    rows = [tuple({**base, "login_id": f"{i:02d}", **c}[n] for n in names) for i, c in enumerate(cases)]
+    out = {int(r["login_id"]): r for r in login_claims(spark.createDataFrame(rows, CLAIMS_SCHEMA), "p, q").collect()}
+    assert [out[i]["outcome"] for i in range(6)] == ["allow", "skip", "allow", "allow", "allow", "skip"]
+    assert [out[i]["tenant_id"] for i in range(6)] == ["t1", None, "org1", "t2", "t2", None]
+    assert out[4]["tenant_name"] == "App" and out[0]["tenant_name"] == "Org" and out[4]["products"] == ["p", "q"]
+    assert out[6]["roles"] == ["m"] and out[7]["roles"] == [] and out[0]["roles"] == ["r"]
+    assert [out[i]["products"] for i in (8, 9, 10)] == [[], ["x", "y"], ["p", "q"]]
+    assert [out[i]["email_domain"] for i in (11, 12)] == ["b", None]
+    assert (out[13]["aaid"], out[13]["portal_type"], out[13]["portal_entity_id"], out[0]["aaid"], out[0]["portal_type"]) == ("m1", "customer", "e", "sub", None)
+    df = login_claims(spark.createDataFrame(rows[:2], CLAIMS_SCHEMA))
+    got = claims(df, "https://x/").collect()
+    assert [r["claims"] for r in got] == [{"https://x/tenant_id": "t1", "https://x/tenant_name": "Org", "https://x/aaid": "sub", "https://x/roles": '["r"]',
+                                           "https://x/products": '["a"]', "https://x/email_domain": "x.example"}]

@@ -53,8 +53,8 @@ def test_stream_dedup_and_windows(spark):
     stream = spark.readStream.schema("k string, ts timestamp_ntz").parquet(os.path.join(src, "p"))
     q = ST.dedup_within(stream, "k", "ts", 300).writeStream.format("memory").queryName("dd").start()
     _drain(q)
-    # one micro-batch: the first sighting of each key is kept while its state lives
-    assert sorted(r["k"] for r in spark.sql("select * from dd").collect()) == ["k1", "k2"]
+    # one micro-batch longer than the interval: the sighting after 400 s is accepted again
+    assert sorted((r["k"], r["ts"]) for r in spark.sql("select * from dd").collect()) == [("k1", b), ("k1", rows[3][1]), ("k2", rows[2][1])]
     q = ST.windowed_counts(stream, "ts", "k", "1 minute", watermark="0 seconds").writeStream \
         .format("memory").queryName("wc").outputMode("append").start()
     _drain(q)
@@ -62,6 +62,25 @@ def test_stream_dedup_and_windows(spark):
     assert sorted((r["k"], r["n"]) for r in spark.sql("select * from wc").collect()) == [("k1", 2), ("k2", 1)]
 
 
+def test_stream_dedup_over_batches(spark, tmp_path):
+    """The state carries over; duplicates do not extend the interval; nulls and big numbers survive."""
+    b, big = dt.datetime(2024, 1, 1), 2**53 + 1
+    schema = "k string, ts timestamp_ntz, n long, j int"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = []
+    for i, seconds in enumerate((0, 200, 350, 500, 640)):
+        at = b + dt.timedelta(seconds=seconds)
+        spark.createDataFrame([("k", at, big + i, None), (None, at, None, i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = (ST.dedup_within(stream, "k", "ts", 300).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+               .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        kept += [seconds] if seconds in (0, 350) else []
+    got = sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect() if r["k"])
+    # 640 s is 290 s after the last accepted sighting
+    assert got == [("k", b + dt.timedelta(seconds=x), big + (0, 2)[i], None) for i, x in enumerate(kept)]
+
+
 def test_dead_letter_stream(spark):
     src = tempfile.mkdtemp(prefix="dl-")
     b = dt.datetime(2024, 1, 1)
@@ -115,3 +134,10 @@ def test_telemetry_stream(spark, tmp_path):
     assert main.count() == 2 and spark.read.parquet(str(tmp_path / "llm")).count() == 1
     assert all("db.statement" not in r["attributes"] for r in main.collect())
     assert {r["tenant_id"] for r in main.collect()} == {"unknown"}
+    from tessera.operators.telemetry import tee                      # the batch written again replaces itself
+    again = main.drop("tenant_id", "day", "batch", "index_name").cache()
+    again.count()
+    tee(again, str(tmp_path / "main"), str(tmp_path / "llm"), batch=0)
+    assert spark.read.parquet(str(tmp_path / "main")).count() == 2 and spark.read.parquet(str(tmp_path / "llm")).count() == 1
+    tee(again, str(tmp_path / "main"), str(tmp_path / "llm"), batch=7)
+    assert spark.read.parquet(str(tmp_path / "main")).count() == 4

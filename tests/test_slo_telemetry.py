@@ -180,3 +180,12 @@ def test_streaming_percentile_alarms_equal_batch(spark, tmp_path):
     mine = sorted(tuple(r[k] for k in key) for r in got.collect())
     assert mine == exp
     assert {r["alarm_id"] for r in got.collect()} == {"p95", "p50", "avg"}
+
+
+def test_alarm_catalog_rows():
+    from tessera.plans.observability import alarm_catalog
+    rows = {a.alarm_id: a for a in alarm_catalog(["gw"], ["q1", "q2"], ["tg"], ["api"], desired_tasks=2)}
+    assert len(rows) == 3 + 16 + 2 + 2 + 2 + 1 + 1
+    assert (rows["gw-cpu"].threshold, rows["gw-cpu"].op, rows["gw-cpu"].n, rows["gw-cpu"].missing) == (85.0, ">", 3, "missing")
+    assert (rows["running-tasks-low"].op, rows["running-tasks-low"].threshold, rows["running-tasks-low"].missing) == ("<", 2.0, "breaching")
+    assert all(1 <= a.m <= a.n for a in rows.values())
