@@ -40,7 +40,7 @@ HOLD = "slot int, key binary, doc_id long"
 SLOT_BYTES = 3                                   # 2**24 slots bound the number of shards
 FIRST_SHARDS, PER_SHARD = 64, 500_000            # held lines that a shard is made for
 FULL, OPEN = 0.85, b""                           # most of a filter's places in use; no filter: every key may be shared
-PER_TASK = 2_000_000                             # held lines of a shard from which it is salted
+PER_TASK, OVER = 2_000_000, 1.5                  # held lines of a shard, or share of the mean shard, from which it is salted
 LAST = 2**63 - 1                                 # stands for a NULL doc_id: the largest id
 
 
@@ -223,7 +223,8 @@ class LineIndex:
     def maybe_shared(self, lines: DataFrame) -> DataFrame:
         """``key, doc_id`` of the ``lines`` (slot, key, doc_id) that their shard's filter does not rule out."""
         # one row a shard, and there is a shard for every per_shard held lines only
-        salts = F.broadcast(self.holds.groupBy(self.shard()).agg(F.ceil(F.count(F.lit(1)) / self.per_task).cast("int").alias("salts")))
+        most = max(min(self.per_task, OVER * self.holds.count() / self.shards), 1.0)
+        salts = F.broadcast(self.holds.groupBy(self.shard()).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts")))
         lines = (lines.select(self.shard(), "key", "doc_id").join(salts, "shard", "left")
                       .select("shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"),
                               "key", "doc_id", F.lit(None).cast("binary").alias("blob")))
