@@ -176,7 +176,7 @@ def staging_union(spark, sf_dir):
 @binding("bronze_roundtrip", sql="""
 WITH e AS (SELECT event_type, ts, event_id % 50 = 0 AS bad FROM events)
 SELECT event_type, CASE WHEN bad THEN 'rejected' ELSE 'read' END AS outcome, count(*) AS n,
-       count(*) FILTER (WHERE NOT bad AND ts >= TIMESTAMP '2024-01-15 10:00:00' AND ts < TIMESTAMP '2024-01-15 13:00:00') AS in_lookback
+       count(*) FILTER (WHERE NOT bad AND ts >= TIMESTAMP '2024-01-15 12:00:00' AND ts < TIMESTAMP '2024-01-15 18:00:00') AS in_lookback
 FROM e GROUP BY 1, 2
 """)
 def bronze_roundtrip(spark, sf_dir):
@@ -185,8 +185,9 @@ def bronze_roundtrip(spark, sf_dir):
     ev = events(spark, sf_dir)
     line = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("string").alias("time"), F.col("event_type").alias("type")))
     lines = ev.select(F.when(F.col("event_id") % 50 == 0, F.lit("{not json")).otherwise(line).alias("value"), "event_type",
-                      F.year("ts").alias("year"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"), F.hour("ts").alias("hour"))
-    lines.repartition(4).write.partitionBy(*BZ.PARTITION_COLS).text(root)
+                      F.year("ts").alias("year"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"), (F.hour("ts") - F.hour("ts") % 6).alias("hour"))
+    # a writer that rolls every six hours: one folder per type and roll, cut over files by size
+    lines.repartitionByRange(*BZ.PARTITION_COLS).write.partitionBy(*BZ.PARTITION_COLS).text(root)
     rows = materialize(BZ.read_bronze(spark, root, pattern="*.txt"), "bronze-rows")
     good, bad = BZ.split_corrupt(rows)
     BZ.write_rejects(bad, rejected)
@@ -200,7 +201,7 @@ def bronze_roundtrip(spark, sf_dir):
 # ----------------------------------------------------------------- telemetry
 
 @binding("telemetry_sinks", sql="""
-WITH e AS (SELECT ts, event_type, CASE WHEN event_type <> 'view' THEN 't' || CAST(CAST(floor(user_id / 40) AS BIGINT) AS VARCHAR) ELSE 'unknown' END AS tenant
+WITH e AS (SELECT ts, event_type, CASE WHEN event_type <> 'view' THEN 't' || CAST(CAST(floor(user_id / 100) AS BIGINT) AS VARCHAR) ELSE 'unknown' END AS tenant
            FROM events)
 SELECT 'main' AS sink, tenant AS tenant_id, strftime(ts, '%Y.%m.%d') AS day, count(*) AS n FROM e GROUP BY 1, 2, 3
 UNION ALL
@@ -210,7 +211,7 @@ def telemetry_sinks(spark, sf_dir):
     """SNK4-5, DML8: two batches of spans into both sinks, one batch written twice, then compacted."""
     main, llm, packed = (_folder(spark, f"telemetry-{x}") for x in ("main", "llm", "packed"))
     ev = events(spark, sf_dir)
-    tenant = F.when(F.col("event_type") != "view", F.concat(F.lit("t"), F.floor(F.col("user_id") / 40).cast("string")))
+    tenant = F.when(F.col("event_type") != "view", F.concat(F.lit("t"), F.floor(F.col("user_id") / 100).cast("string")))
     name = F.when(F.col("event_type") == "click", "axira.llm_call").when(F.col("event_type") == "purchase", "axira.llm_call:plan").otherwise("other")
     spans = ev.select("event_id", "ts", name.alias("name"), F.map_filter(F.create_map(F.lit("axira.tenant_id"), tenant), lambda k, v: v.isNotNull()).alias("attributes"))
     for batch in (0, 1, 1):
