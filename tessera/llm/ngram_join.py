@@ -194,9 +194,14 @@ def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fits(percent: int):
-    """Bounds that every matching pair meets: size, unique shingles, position."""
+    """Bounds that every matching pair meets: size, unique shingles, position.
+
+    A prefix shingle that stands in no other prefix may still stand in the rest
+    of a set whose prefix ends earlier, so only the side whose own prefix ends
+    first is bounded by its unique shingles: the weaker of the two bounds holds.
+    """
     need_both = f"{percent} * (o.n + p.n)"
-    some = "least(o.n - o.solo, p.n - p.solo)"
+    some = "greatest(o.n - o.solo, p.n - p.solo)"
     place = "(least(o.pos, p.pos) + least(o.n - o.pos, p.n - p.pos))"
     return F.expr(f"100 * least(o.n, p.n) >= {percent} * greatest(o.n, p.n) "
                   f"AND (100 + {percent}) * {some} >= {need_both} AND (100 + {percent}) * {place} >= {need_both}")

@@ -61,6 +61,19 @@ def test_join_equals_brute_force(spark):
     assert got == brute(docs)
 
 
+def test_join_finds_isolated_pairs_of_unequal_size(spark):
+    rnd, docs = random.Random(11), []
+    for k in range(80):
+        words = [f"p{k}x{i}" for i in range(rnd.randrange(84, 405))]
+        extra = [f"p{k}y{i}" for i in range(int(len(words) * rnd.uniform(0.15, 0.24)))]
+        at = len(words) if k % 2 else rnd.randrange(1, len(words))
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:at] + extra + words[at:]))]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], SCHEMA).repartition(3)
+    want = brute(docs)
+    assert sum(d != root for d, (_, root) in want.items()) > 60
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df).collect()} == want
+
+
 def test_join_nulls_repeats_and_empty_table(spark):
     rows = [(1, "a b c d e f g", "", ""), (1, "a b c d e f g", "", ""), (None, "a b c d e f g", "", ""), (2, "A B C D E F G", "", "")]
     got = sorted((r["doc_id"], r["component_id"], r["class_id"]) for r in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect())
