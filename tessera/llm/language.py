@@ -7,6 +7,11 @@ probabilities.  Both are trained together by stochastic gradient descent in
 numpy on a bounded sample (``per_language`` documents of each language, chosen
 by hash, with ``features`` features each).  A part of the sample is held back
 to fit a temperature (calibration) and to report how sure a prediction is.
+
+A softmax is sure of any text that leans to one class, also of a text in a
+language it never saw.  So a text must also be likely under the predicted
+language: its ``support`` is the mean log-likelihood of its features there, in
+standard deviations from what is usual for held-back documents.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from .textkit import LOWER, mix64, pieces, word_hashes, word_spans
 BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 SEED = 7
+SLACK = 3.0             # standard errors that a text of few features may fall short
+LEAST_HELD = 30         # held-back documents from which their support tells what is usual
 
 
 def feature_rows(data: np.ndarray, off: np.ndarray, buckets: int):
@@ -60,18 +67,19 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Class names, per-bucket class scores (embedding times weights), bias and temperature."""
+    """Class names, per-bucket class scores (embedding times weights), bias, temperature and support."""
 
-    def __init__(self, names, scores, bias, temperature, floor, held_out_accuracy):
+    def __init__(self, names, scores, bias, temperature, floor, held_out_accuracy, support=None, least_support=-np.inf):
         self.names, self.scores, self.bias = names, scores, bias
         self.temperature, self.floor, self.held_out_accuracy = temperature, floor, held_out_accuracy
+        self.support, self.least_support = support, least_support
 
     def probabilities(self, mean: np.ndarray) -> np.ndarray:
         return softmax((mean + self.bias) / self.temperature)
 
     def predict(self, column: pa.Array):
-        """``(class index, calibrated probability)`` per row; index -1 without features."""
-        best, prob, k = [], [], len(self.names)
+        """``(class index, calibrated probability, supported)`` per row; index -1 without features."""
+        best, prob, fit, k = [], [], [], len(self.names)
         for _, off, data in pieces(column):
             bucket, row = feature_rows(data, off, len(self.scores))
             n = len(off) - 1
@@ -80,7 +88,11 @@ class Model:
             p = self.probabilities(total / np.maximum(count, 1)[:, None])
             best.append(np.where(count > 0, p.argmax(1), -1))
             prob.append(np.where(count > 0, p.max(1), 0.0))
-        return (np.concatenate(best), np.concatenate(prob)) if best else (np.zeros(0, int), np.zeros(0))
+            fit.append(np.ones(n, bool))
+            if self.support is not None:
+                near = np.bincount(row, self.support[bucket, p.argmax(1)[row]], n) / np.maximum(count, 1)
+                fit[-1] = near + SLACK / np.sqrt(np.maximum(count, 1)) >= self.least_support
+        return tuple(map(np.concatenate, (best, prob, fit))) if best else (np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
 
 
 def sample_features(docs: DataFrame, per_language: int, features: int, buckets: int) -> DataFrame:
@@ -119,6 +131,8 @@ def train(docs: DataFrame, per_language: int = 400, features: int = 1000, bucket
     ``floor`` is the lowest calibrated probability at which the predictions
     kept reach ``least_precision`` on the held-back part, but never so high
     that more than ``most_lost`` of the right ones there would be rejected.
+    ``least_support`` lies twice as far below the usual support as the
+    ``most_lost`` quantile of the right predictions there.
     """
     rows = [r for r in sample_features(docs, per_language, features, buckets).collect() if r["picks"]]
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["picks"]))
@@ -158,15 +172,40 @@ def train(docs: DataFrame, per_language: int = 400, features: int = 1000, bucket
     top = p.max(1)
     floor = next((t for t in np.arange(0.0, 0.5, 0.02) if right[top >= t].mean() >= least_precision), 0.5)
     floor = min(floor, float(np.quantile(top[right], most_lost, method="lower")) if right.any() else 0.0)
-    return Model(names, scores, bias, float(heat), float(floor), float(right.mean()))
+    support, least_support = usual_support(x, y, learn, part[right] if held.any() else part[:0], buckets, len(names), most_lost)
+    return Model(names, scores, bias, float(heat), float(floor), float(right.mean()), support, least_support)
+
+
+def usual_support(x, y, learn, part, buckets: int, k: int, most_lost: float):
+    """``(support, least)``: standardised log-likelihood of every bucket in every class, and the least mean of a text.
+
+    Counted on the documents ``learn``; centred and bounded on the held-back
+    documents ``part``.  No bound with too few of those.
+    """
+    if len(part) < LEAST_HELD:
+        return None, -np.inf
+    counts = np.stack([np.bincount(np.concatenate([x[i] for i in learn if y[i] == c] or [np.zeros(0, int)]), minlength=buckets)
+                       for c in range(k)], axis=1).astype(float)
+    like = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * buckets))
+    share = (counts + 0.5) / (counts + 0.5).sum(0)
+    centre = (share * like).sum(0)
+    spread = np.maximum(np.sqrt((share * (like - centre) ** 2).sum(0)), 1e-9)
+    means = np.array([like[x[i], y[i]].mean() for i in part])
+    for c in set(y[part]):
+        centre[c] = np.median(means[y[part] == c])
+    off = (means - centre[y[part]]) / spread[y[part]] + SLACK / np.sqrt([len(x[i]) for i in part])
+    middle = float(np.median(off))
+    least = middle - 2 * (middle - float(np.quantile(off, most_lost, method="lower")))
+    return (like - centre) / spread, least
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` plus ``lang_pred``, ``score`` (calibrated probability) and ``rejected``.
 
     ``und`` with score 0 for a NULL text, one without a letter, or an empty
-    model.  ``rejected`` is true for those and for scores below the model's
-    floor.  Only the text column is looked at; others are carried, but a
+    model.  ``rejected`` is true for those, for scores below the model's
+    floor, and for texts without support: in a language that was not learned,
+    or in none.  Only the text column is looked at; others are carried, but a
     computed column replaces one of the same name.  Repeated rows each give a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
@@ -178,12 +217,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = Model(**shared.value)
         for b in batches:
             text = b.column("_text")
-            best, prob = m.predict(text) if m.names else (np.full(len(text), -1), np.zeros(len(text)))
+            best, prob, fit = m.predict(text) if m.names else (np.full(len(text), -1), np.zeros(len(text)), np.zeros(len(text), bool))
             known = np.fromiter((has_letter(t.as_py()) for t in text), bool, len(text)) & (best >= 0)
             pred = [m.names[k] if ok else "und" for k, ok in zip(best, known)]
             prob = np.clip(np.where(known, prob, 0.0), 0.0, 1.0)
             yield pa.record_batch([b.column(i) for i in range(len(names))]
-                                  + [pa.array(pred, pa.string()), pa.array(prob), pa.array(~known | (prob < m.floor))],
+                                  + [pa.array(pred, pa.string()), pa.array(prob), pa.array(~known | (prob < m.floor) | ~fit)],
                                   names=[*names, "lang_pred", "score", "rejected"])
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
     schema = (StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())

@@ -111,6 +111,20 @@ def test_shards_by_bytes(spark):
     assert few.count() == 3
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = train(docs.filter(~held_out("doc_id")))
+    rnd = random.Random(1)
+    odd = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 10))) for _ in range(60)) for _ in range(10)]
+    odd += ["Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja omatunto.",
+            "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+            "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα."]
+    out = identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert all(r["rejected"] for r in out)
+    clean = identify(docs.filter(held_out("doc_id")), model).collect()
+    assert sum(r["rejected"] for r in clean) <= 0.01 * len(clean)
+
+
 def test_language_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.filter(~held_out("doc_id")))
