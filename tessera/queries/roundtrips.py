@@ -300,7 +300,9 @@ SELECT event_type, count(us) AS n, min(us) AS first_us, max(us) AS last_us FROM
 def dedup_stream(spark, sf_dir):
     """STR6-7 as a stream: sightings of a type at least three hours after the last accepted one."""
     stream = _stream(spark, events(spark, sf_dir).select("event_type", "ts", "event_id"), "dedup")
-    out = _drained(ST.dedup_within(stream, "event_type", "ts", FIFO_DEDUP_S * 36), spark, "dedup")
+    path = _folder(spark, "dedup-out")
+    ST.start_dedup_stream(stream, "event_type", "ts", path, _folder(spark, "dedup-state"), FIFO_DEDUP_S * 36, available_now=True).awaitTermination()
+    out = spark.read.schema(stream.schema).parquet(path)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return out.groupBy("event_type").agg(F.count("event_id").alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 

@@ -28,6 +28,9 @@ def dedup_within(stream: DataFrame, key, ts: str, window_s: int = FIFO_DEDUP_S)
     The state is one time per key; it is evicted ``window_s`` after it.  A row
     without a time is kept.  Whole numbers travel as text, so that none is
     rounded on its way through pandas.
+
+    All rows that a key has in one micro-batch stand in one task; where a key
+    can be hot, or a batch a whole history, use ``start_dedup_stream``.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -60,6 +63,48 @@ def dedup_within(stream: DataFrame, key, ts: str, window_s: int = FIFO_DEDUP_S)
     return kept.select(*[F.col(c).cast(whole[c]).alias(c) if c in whole else F.col(c) for c in names])
 
 
+def start_dedup_stream(stream: DataFrame, key, ts: str, out_path: str, checkpoint: str, window_s: int = FIFO_DEDUP_S,
+                       available_now: bool = False):
+    """STR6 for hot keys: every micro-batch goes through ``operators.routing.gap_dedup`` (``foreachBatch``).
+
+    The batch form cuts a hot key into ranges, so no key's rows stand in one
+    task.  Between batches only the last accepted time of each live key is
+    kept, in a table versioned by batch under ``checkpoint`` (a shared
+    folder): rows less than ``window_s`` from it are dropped, of the others
+    the first is accepted whatever came before.  A key is live until two
+    intervals before the latest accepted time of all.  Rows that arrive late,
+    ``window_s`` or more before their key's last accepted one, are swept among
+    themselves.  A replayed batch rewrites its own ``dedup_batch=`` folder.
+    """
+    from ..operators.routing import gap_dedup
+    from .loader import _read_version, _write_version
+    key = [key] if isinstance(key, str) else list(key)
+    width, state_path = int(window_s) * 1000000, f"{checkpoint}/accepted"
+
+    def micros():
+        return F.unix_micros(F.col(ts).cast("timestamp"))
+
+    def tick(df, batch_id):
+        spark = df.sparkSession
+        spark.conf.set("spark.sql.adaptive.enabled", "true")       # a stream's session has it off
+        names, target = df.columns, f"{out_path}/dedup_batch={int(batch_id)}"
+        state = _read_version(spark, state_path, batch_id)
+        if state is not None:
+            held = state.toDF(*[f"_k{i}" for i in range(len(key))], "_last")
+            same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+            near = F.abs(micros() - F.col("_last")) < width
+            df = df.join(held, same, "left").filter(~F.coalesce(near, F.lit(False))).select(*names)
+        gap_dedup(df, key, ts, window_s).filter("NOT is_duplicate").select(*names).write.mode("overwrite").parquet(target)
+        kept = spark.read.schema(df.schema).parquet(target)
+        last = kept.select(*key, micros().alias("_last")).filter("_last IS NOT NULL")
+        last = (last if state is None else last.unionByName(state)).groupBy(*key).agg(F.max("_last").alias("_last"))
+        latest = last.agg(F.max("_last")).first()[0]
+        _write_version(last.filter(F.col("_last") > (latest or 0) - 2 * width), state_path, batch_id)
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(tick)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 def replay_guard_stream(stream: DataFrame, key: str, nonce: str, ts: str, ttl_s: int = REPLAY_TTL_S) -> DataFrame:
     """STR7: nonce replay guard with a TTL, as a streaming dedup."""
     return dedup_within(stream, [key, nonce], ts, ttl_s)

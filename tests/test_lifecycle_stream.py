@@ -81,6 +81,31 @@ def test_stream_dedup_over_batches(spark, tmp_path):
     assert got == [("k", b + dt.timedelta(seconds=x), big + (0, 2)[i], None) for i, x in enumerate(kept)]
 
 
+def test_hot_key_dedup_over_batches(spark, tmp_path):
+    """A key of all rows is cut into ranges; the accepted time carries over; the result is that of one batch."""
+    b, schema = dt.datetime(2024, 1, 1), "k string, ts timestamp_ntz, n long"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    at = [7 * i + 400 * (i // 100) for i in range(6000)]           # chains of 100 rows; the first batch ends inside one
+    rows = [("hot", b + dt.timedelta(seconds=s), 2**53 + i) for i, s in enumerate(at)] + [(None, b, 1), ("hot", None, 2), ("hot", None, 3)]
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part in (rows[:3970], rows[3970:]):
+            spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+            ST.start_dedup_stream(stream, "k", "ts", str(tmp_path / "out"), str(tmp_path / "ck"), 300, available_now=True).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    out = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+    last, want = -300, rows[6000:]
+    for s, r in zip(at, rows):
+        if s - last >= 300:
+            last, want = s, [*want, r]
+    assert sorted((tuple(r) for r in out.select("k", "ts", "n").collect()), key=str) == sorted(want, key=str)
+    first = out.filter("dedup_batch = 0 AND k = 'hot'").select(F.input_file_name().alias("f")).distinct()
+    assert first.count() > 1
+
+
 def test_dead_letter_stream(spark):
     src = tempfile.mkdtemp(prefix="dl-")
     b = dt.datetime(2024, 1, 1)
