@@ -37,7 +37,14 @@ from .shared import bitmap, components, has_bit, short_batches
 from .textkit import mix64, shingle_sets
 
 FREQUENT = 64           # repeats inside task batches from which a shingle is ordered last
-MIN_SIZE = 4            # smaller sets can only match an equal set at 80 percent
+
+
+def min_size(percent: int) -> int:
+    """Smallest set that can match an unequal one: ``n`` of ``n + 1`` shingles must reach the similarity."""
+    return -(-percent // (100 - percent)) if percent < 100 else 2**31 - 1
+
+
+MIN_SIZE = min_size(80)
 
 
 def need(n: int, percent: int) -> int:
@@ -105,7 +112,7 @@ def postings(texts: DataFrame, reps: DataFrame, width: int, percent: int, freque
     """
     send = texts.sparkSession.sparkContext.broadcast
     shared, wanted = send(frequent), send(bitmap(reps.select(F.xxhash64("doc_id").alias("h")), "h"))
-    lowest, one = need(boundary + 1, percent), np.uint64(1)
+    lowest, least, one = need(boundary + 1, percent), min_size(percent), np.uint64(1)
 
     def run(batches):
         for b in batches:
@@ -117,7 +124,7 @@ def postings(texts: DataFrame, reps: DataFrame, width: int, percent: int, freque
                     col.append(x)
             for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), width)):
                 n = len(s)
-                if n < MIN_SIZE:
+                if n < least:
                     continue
                 s = ordered(s, shared.value)
                 if n >= lowest:
@@ -147,11 +154,15 @@ def cost_boundary(scan: DataFrame, percent: int) -> int:
 
     The expected list length is ``sum(df^2) / sum(df)`` over the shingles that
     are not frequent, from one hash slice of the shingles of all documents.
+    Up to 50 percent two matching sets may share a single shingle, which no
+    2-subset holds: the boundary is 0 and all sets go to the lists.
     """
+    if percent <= 50:
+        return 0
     lists = scan.filter(F.col("kind") == SLICE).groupBy("id").agg(F.sum("n").cast("double").alias("df")).filter(F.col("df") < FREQUENT)
     r = lists.agg(F.sum(F.col("df") * F.col("df")).alias("sq"), F.sum("df").alias("n")).first()
     length = (r["sq"] / r["n"]) if r["n"] else 1.0
-    n = MIN_SIZE
+    n = min_size(percent)
     while n < 100_000:
         p = n + 1 - need(n + 1, percent) + 1
         if (p + 1) * p / 2 > p * max(length, 1.0):

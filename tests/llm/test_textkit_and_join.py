@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.llm.ngram_join import MIN_SIZE, need, ngram_jaccard_join
 from tessera.llm.shared import bitmap, components, has_bit
@@ -20,7 +21,7 @@ def shingles(text):
     return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(docs):
+def brute(docs, percent=80):
     sets = {d: shingles(t) for d, t in docs}
     root = {d: d for d in sets}
 
@@ -32,7 +33,7 @@ def brute(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1:]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
@@ -74,6 +75,17 @@ def test_join_finds_isolated_pairs_of_unequal_size(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [40, 50, 66, 75, 100])
+def test_join_at_other_similarities(spark, percent):
+    rnd, docs = random.Random(percent), []
+    for k in range(60):
+        words = [f"q{k}x{i}" for i in range(rnd.randrange(5, 12))]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"q{k}y{i}" for i in range(rnd.randrange(4))]))]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], SCHEMA).repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df, percent=percent).collect()}
+    assert got == brute(docs, percent)
+
+
 def test_join_nulls_repeats_and_empty_table(spark):
     rows = [(1, "a b c d e f g", "", ""), (1, "a b c d e f g", "", ""), (None, "a b c d e f g", "", ""), (2, "A B C D E F G", "", "")]
     got = sorted((r["doc_id"], r["component_id"], r["class_id"]) for r in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect())
