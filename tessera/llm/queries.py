@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_back
 from .decontaminate import contaminated
+from .filter_audit import audit_filters
 from .imatch import fingerprint_documents
 from .language import held_out, identify, train
 from .license_scan import scan_licenses
@@ -15,6 +16,8 @@ from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .secret_scan import scan_secrets, spans_text
 from .sharding import shard_by_bytes
+from .source_divergence import audit_sources
+from .url_filter import canonical_url, filter_urls, host_of, prefix_entries, url_entries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +87,29 @@ def op10_format_chats(spark, sf_dir):
                        "formatted_chars")
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+JUNK_HOSTS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op12_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    junk = pages.filter(F.arrays_overlap(F.split(host_of(F.col("url")), "\\."), F.array(*map(F.lit, JUNK_HOSTS))))
+    listed = prefix_entries(rules).unionByName(url_entries(junk.select(canonical_url(F.col("url")).alias("canonical"))))
+    judged = filter_urls(pages, listed)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "canonical", "listed")
+
+
+def op13_source_divergence(spark, sf_dir):
+    return audit_sources(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 # The same results in DuckDB SQL, where SQL can state them.
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SHINGLES = r"""
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -128,8 +153,65 @@ h AS (SELECT key, count(DISTINCT doc_id) AS n, min(doc_id) AS keeper FROM k WHER
 m AS (SELECT k.doc_id, i, line, coalesce(h.n > 1 AND h.keeper <> k.doc_id, false) AS gone FROM k LEFT JOIN h USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    # Every order is played out on the documents' masks; the Shapley numbers are sums over the played orders.
+    "op11_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+        CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) THEN 'C' END,
+        CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+        CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+p AS (SELECT '' AS o UNION ALL SELECT o || c FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(o, c)),
+s AS (SELECT o, k, o[k] AS c, o[:k - 1] AS earlier FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE length(o) = 5),
+x AS (SELECT m.part, o AS filter_order, k AS step, c, n, good, toxic,
+        contains(fails, c) AS failing, length(translate(fails, earlier, '')) < length(fails) AS gone, fails <> c AS others FROM m, s),
+g AS (SELECT part, filter_order, step, c, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (failing AND NOT others), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (NOT gone AND failing AND good), 0)::BIGINT AS good_lost,
+        coalesce(sum(n) FILTER (NOT gone AND failing AND toxic), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE (c), (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM g""",
+    "op12_url_filter": rf"""
+WITH a AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_UPPER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+        regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM a),
+c AS (SELECT *, regexp_replace(host, ':(80|443)?$', '') || rtrim(path, '/') AS base,
+        array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS kept FROM h),
+u AS (SELECT page_id, host, path, base || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical FROM c),
+bad AS (SELECT DISTINCT canonical FROM u WHERE canonical <> '' AND list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in JUNK_HOSTS)}])),
+r AS (SELECT *, canonical IN (SELECT canonical FROM bad) AS listed, CASE
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+SELECT page_id, host, path, rule, canonical, listed, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+        WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), {_UPPER}) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d)
+        LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v))::HUGEINT AS p
+        FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (sum(c) + 1)) // (sum(sum(c)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)))::HUGEINT AS q
+        FROM c GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b
+            ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+best AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+UNION ALL SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank
+FROM best QUALIFY rank <= 200""",
 }
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_document_fingerprints, op3_benchmark_decontamination, op4_secret_scan, op5_license_scan,
-    op6_mix_sources, op7_line_dedup, op8_language_id, op9_shard_documents, op10_format_chats)}
+    op6_mix_sources, op7_line_dedup, op8_language_id, op9_shard_documents, op10_format_chats,
+    op11_filter_audit, op12_url_filter, op13_source_divergence)}
