@@ -18,8 +18,12 @@ Jaccard similarity of ``percent`` / 100 or more.  Exact:
    components, then leave it.  A bucket within one component is done, so a
    group of thousands of near copies costs a few comparisons per member
    instead of all pairs; sets that stay apart are all compared.
-5. Size, position and unique-shingle bounds discard candidates; the rest are
-   verified on their whole texts.
+5. Size, position, unique-shingle and signature bounds discard candidates
+   before any text is fetched; the rest are verified on their whole texts, each
+   pair once.  A signature holds, for each of 256 classes of shingles, whether
+   the set has an odd number of them: where two signatures differ, a shingle
+   stands in one set only, so the differing bits never exceed the symmetric
+   difference and no true link is lost.
 
 Which shingles count as frequent, and the boundary, only steer the cost: both
 come from counts over all documents.
@@ -52,14 +56,21 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-SCAN = "kind int, id long, n long, k1 long, k2 long"
+SIGNATURE = ("s0", "s1", "s2", "s3")            # 256 parity bits of a set
+SCAN = "kind int, id long, n long, k1 long, k2 long, " + ", ".join(f"{s} long" for s in SIGNATURE)
 DOCUMENT, REPEAT, SLICE = range(3)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Four longs: the parity of how many shingles fall into each of 256 classes."""
+    odd = np.bincount((s >> np.uint64(16)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def scan_sets(texts: DataFrame, width: int) -> DataFrame:
     """One pass over all texts, three kinds of rows.
 
-    ``DOCUMENT``: id, set size, 128-bit key of the set.  ``REPEAT``: a shingle
+    ``DOCUMENT``: id, set size, 128-bit key and signature of the set.  ``REPEAT``: a shingle
     and how many sets of a task's batch hold it, two or more.  ``SLICE``: the
     same for every shingle of one hash slice in 256, for the cost estimate.
     """
@@ -70,12 +81,14 @@ def scan_sets(texts: DataFrame, width: int) -> DataFrame:
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
             for kind, some in ((REPEAT, times > 1), (SLICE, tokens & np.uint64(255) == 0)):
                 m = int(some.sum())
-                yield _scan_batch(np.full(m, kind), tokens[some].view(np.int64), times[some], np.zeros(m, np.int64), np.zeros(m, np.int64))
+                yield _scan_batch(np.full(m, kind), tokens[some].view(np.int64), times[some], np.zeros(m, np.int64), np.zeros(m, np.int64),
+                                  np.zeros((m, 4), np.int64))
         for b in batches:
-            n, k1, k2 = [], [], []
+            n, k1, k2, marks = [], [], [], []
             for s in shingle_sets(b.column("text"), width):
                 n.append(len(s))
                 k1.append(int(mix64(s).sum(dtype=np.uint64)))
+                marks.append(signature(s))
                 k2.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x632BE59BD9B4E019)))) if len(s) else 0)
                 held.append(s)
                 size += len(s)
@@ -83,15 +96,16 @@ def scan_sets(texts: DataFrame, width: int) -> DataFrame:
                     yield from counts()
                     held, size = [], 0
             yield _scan_batch(np.full(len(n), DOCUMENT), b.column("doc_id"), n, np.array(k1, np.uint64).view(np.int64),
-                              np.array(k2, np.uint64).view(np.int64))
+                              np.array(k2, np.uint64).view(np.int64), np.array(marks, np.int64).reshape(-1, 4))
         if size:
             yield from counts()
     return texts.select("doc_id", "text").mapInArrow(run, SCAN)
 
 
-def _scan_batch(kind, id_, n, k1, k2) -> pa.RecordBatch:
+def _scan_batch(kind, id_, n, k1, k2, marks) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kind, pa.int32()), id_ if isinstance(id_, pa.Array) else pa.array(id_), pa.array(n, pa.int64()),
-                            pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["kind", "id", "n", "k1", "k2"])
+                            pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(marks[:, i], pa.int64()) for i in range(4))],
+                           names=["kind", "id", "n", "k1", "k2", *SIGNATURE])
 
 
 def frequent_bits(scan: DataFrame) -> np.ndarray:
@@ -205,7 +219,7 @@ def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fits(percent: int):
-    """Bounds that every matching pair meets: size, unique shingles, position.
+    """Bounds that every matching pair meets: size, unique shingles, position, signature.
 
     A prefix shingle that stands in no other prefix may still stand in the rest
     of a set whose prefix ends earlier, so only the side whose own prefix ends
@@ -214,8 +228,10 @@ def fits(percent: int):
     need_both = f"{percent} * (o.n + p.n)"
     some = "greatest(o.n - o.solo, p.n - p.solo)"
     place = "(least(o.pos, p.pos) + least(o.n - o.pos, p.n - p.pos))"
+    differ = " + ".join(f"bit_count(o.{s} ^ p.{s})" for s in SIGNATURE)
     return F.expr(f"100 * least(o.n, p.n) >= {percent} * greatest(o.n, p.n) "
-                  f"AND (100 + {percent}) * {some} >= {need_both} AND (100 + {percent}) * {place} >= {need_both}")
+                  f"AND (100 + {percent}) * {some} >= {need_both} AND (100 + {percent}) * {place} >= {need_both} "
+                  f"AND (100 + {percent}) * ({differ}) <= (100 - {percent}) * (o.n + p.n)")
 
 
 def one_text_each(docs: DataFrame) -> DataFrame:
@@ -243,15 +259,17 @@ def link_classes(texts: DataFrame, scan: DataFrame, member: DataFrame, width: in
     reps = member.filter("doc_id = rep").select("doc_id")
     rows = materialize(postings(texts, reps, width, percent, frequent_bits(scan), boundary), "postings")
     twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    open_ = rows.join(twice, "key", "left_semi").join(reps, "doc_id", "left_semi")
+    signed = scan.filter(F.col("kind") == DOCUMENT).select(F.col("id").alias("doc_id"), *SIGNATURE).join(reps, "doc_id", "left_semi")
+    open_ = rows.join(twice, "key", "left_semi").join(signed, "doc_id")
     open_ = materialize(open_.withColumn("pairs", F.col("key").bitwiseAND(1) == 1), "buckets")
     shared_lists = open_.filter("NOT pairs").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     open_ = open_.join(shared_lists, "doc_id", "left").select(
-        "key", "doc_id", "n", "pos", "pairs", F.col("doc_id").alias("comp"),
+        "key", "doc_id", "n", "pos", "pairs", *SIGNATURE, F.col("doc_id").alias("comp"),
         F.when(F.col("pairs") | F.col("c").isNull(), 0).otherwise(prefix - F.col("c")).cast("int").alias("solo"),
         (F.col("pairs") | (F.col("n") > boundary)).alias("leads"))
     edges, label, pivots = spark.createDataFrame([], "a long, b long"), None, 1
+    tried = edges
     while True:
         mixed = (open_.groupBy("key")
                       .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("leads").alias("led"))
@@ -265,7 +283,8 @@ def link_classes(texts: DataFrame, scan: DataFrame, member: DataFrame, width: in
         found = (open_.alias("o").join(lead.alias("p"), (F.col("o.key") == F.col("p.key")) & (F.col("o.comp") != F.col("p.comp")) & fits(percent))
                       .select(F.col("p.doc_id").alias("a"), F.col("o.doc_id").alias("b"))
                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = materialize(found, "candidates")
+        found = materialize(found.join(tried, ["a", "b"], "left_anti"), "candidates")
+        tried = tried.unionByName(found)
         ids = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
         links = materialize(verify(found, candidate_texts(texts, ids), width, percent), "links")
         open_ = open_.join(lead.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
@@ -273,7 +292,7 @@ def link_classes(texts: DataFrame, scan: DataFrame, member: DataFrame, width: in
             edges = edges.unionByName(links)
             label = components(edges)
             open_ = (open_.drop("comp").join(label, F.col("doc_id") == F.col("v"), "left")
-                          .select("key", "doc_id", "n", "pos", "pairs", F.coalesce("root", "doc_id").alias("comp"), "solo", "leads"))
+                          .select("key", "doc_id", "n", "pos", "pairs", *SIGNATURE, F.coalesce("root", "doc_id").alias("comp"), "solo", "leads"))
         pivots *= 8
 
 

@@ -97,7 +97,7 @@ JUNK_HOSTS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets",
 
 def op12_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(r, ("host", "path", "verdict")))) for r in URL_RULES))))
     junk = pages.filter(F.arrays_overlap(F.split(host_of(F.col("url")), "\\."), F.array(*map(F.lit, JUNK_HOSTS))))
     listed = prefix_entries(rules).unionByName(url_entries(junk.select(canonical_url(F.col("url")).alias("canonical"))))
     judged = filter_urls(pages, listed)
