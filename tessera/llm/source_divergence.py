@@ -2,14 +2,14 @@
 
 Iceberg prefix refinement finds the vocabulary without counting every term that
 ever occurs.  A prefix stands in at least as many documents as any term that
-begins with it, so the texts are read level by level (prefixes of 4, 8 and 16
+begins with it, so the texts are read level by level (prefixes of 4, then of 8
 bytes): prefixes that too few documents hold are discarded, and the next level
 only counts what extends a prefix that is left.  What the last level leaves is
 counted as complete terms, exactly.  Prefixes left stand in a bit table of
 fixed size; where it is full, more terms are counted, never fewer.
 
-Counts are added up per batch, per task and then per key, so a term that
-stands in every document costs a row a task.  The divergence of each pair of
+Counts are added up inside a task (up to a fixed number of keys at a time) and
+then per key, so a term that stands in every document costs a row a task.  The divergence of each pair of
 sources is summed in cells (a block of sources, another block, a slice of the
 terms), whose size does not grow with the data.
 """
@@ -27,13 +27,14 @@ from ..session import materialize
 from .shared import bitmap, has_bit, short_batches
 from .textkit import LOWER, mix64, pieces, _powers
 
-LEVELS = (4, 8, 16)
+LEVELS = (4, 8)
 AT_LEAST = 3                                     # documents that hold a kept term
 SCALE = 1_000_000_000
 TOP = 200
 BLOCK = 64                                       # sources a cell holds on each side, about
 CELL = 100_000                                   # term counts a cell holds on each side, about
-PIECE = 4 << 20
+PIECE = 2 << 20
+HELD = 250_000                                   # keys a task adds up before it passes them on
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -65,6 +66,30 @@ def term_spans(data: np.ndarray, off: np.ndarray):
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
+class Held:
+    """Sums per 64-bit key, held in key order; ``names`` are looked up once per new key."""
+
+    def __init__(self, columns: int, names: int = 0):
+        self.keys = np.zeros(0, np.uint64)
+        self.sums = [np.zeros(0, np.int64) for _ in range(columns)]
+        self.names = [np.zeros(0, object) for _ in range(names)]
+
+    def add(self, keys: np.ndarray, sums: list, look_up=None) -> None:
+        """``keys`` are sorted and distinct; ``look_up(i)`` gives the names of the keys at positions ``i``."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        for held, more in zip(self.sums, sums):
+            held[at[known]] += more[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.sums = [np.insert(held, at[new], more[new]) for held, more in zip(self.sums, sums)]
+            if self.names:
+                self.names = [np.insert(held, at[new], more) for held, more in zip(self.names, look_up(new))]
+
+
 class Hasher:
     """64-bit hashes of the terms of one piece, or of their first bytes, together with their row's group."""
 
@@ -96,31 +121,46 @@ def name_hash(names: pa.Array) -> np.ndarray:
 
 
 def prefix_counts(texts: DataFrame, length: int, before: tuple | None) -> DataFrame:
-    """``token, n``: a (language, prefix) hash and its distinct documents in a piece of a batch.
+    """``token, n``: a (language, prefix) hash and its distinct documents, added up inside a task.
 
     ``before``: the length and broadcast bit table of the level above, whose
     discarded prefixes are not extended.
     """
     def run(batches):
+        held = Held(1)
+
+        def out():
+            return pa.record_batch([pa.array(held.keys.view(np.int64)), pa.array(held.sums[0])], names=["token", "n"])
         for b in batches:
             langs = name_hash(b.column("lang"))
             for first, off, data in pieces(b.column("text"), PIECE):
                 starts, ends, rows = term_spans(data, off)
-                if before is not None and len(starts):
-                    left = has_bit(before[1].value, Hasher(data, starts, ends).prefixes(before[0], langs[first + rows]))
-                    starts, ends, rows = starts[left], ends[left], rows[left]
                 if not len(starts):
                     continue
-                token = Hasher(data, starts, ends).prefixes(length, langs[first + rows])
+                hasher = Hasher(data, starts, ends)
+                if before is not None:
+                    left = has_bit(before[1].value, hasher.prefixes(before[0], langs[first + rows]))
+                    hasher.starts, hasher.ends, rows = starts[left], ends[left], rows[left]
+                token = hasher.prefixes(length, langs[first + rows])
                 _, once = np.unique(mix64(token + np.uint64(0x9E3779B97F4A7C15) * (rows + 1).astype(np.uint64)), return_index=True)
                 found, n = np.unique(token[once], return_counts=True)
-                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+                held.add(found, [n])
+                if len(held.keys) > HELD:
+                    yield out()
+                    held = Held(1)
+        if len(held.keys):
+            yield out()
     return texts.select("lang", "text").mapInArrow(run, "token long, n long")
 
 
 def term_counts(texts: DataFrame, last: tuple) -> DataFrame:
-    """``lang, source, term, docs, n`` of the terms whose last prefix is left, added up per piece of a batch."""
+    """``lang, source, term, docs, n`` of the terms whose last prefix is left, added up inside a task."""
     def run(batches):
+        held = Held(2, names=3)
+
+        def out():
+            return pa.record_batch([*(pa.array(x, pa.string()) for x in held.names), *map(pa.array, held.sums)],
+                                   names=["lang", "source", "term", "docs", "n"])
         for b in batches:
             langs, sources = b.column("lang"), b.column("source")
             of_lang, of_both = name_hash(langs), name_hash(langs) * np.uint64(3) + name_hash(sources)
@@ -128,20 +168,24 @@ def term_counts(texts: DataFrame, last: tuple) -> DataFrame:
                 starts, ends, rows = term_spans(data, off)
                 if not len(starts):
                     continue
-                left = has_bit(last[1].value, Hasher(data, starts, ends).prefixes(last[0], of_lang[first + rows]))
-                starts, ends, rows = starts[left], ends[left], rows[left]
-                if not len(starts):
-                    continue
-                token = Hasher(data, starts, ends).terms(mix64(of_both[first + rows]))
-                _, at, code, n = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+                hasher = Hasher(data, starts, ends)
+                left = has_bit(last[1].value, hasher.prefixes(last[0], of_lang[first + rows]))
+                hasher.starts, hasher.ends, rows = starts[left], ends[left], rows[left]
+                token = hasher.terms(mix64(of_both[first + rows]))
+                found, at, code, n = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
                 pairs = np.unique(code.astype(np.int64) * (len(off) - 1) + rows)
                 docs = np.bincount(pairs // (len(off) - 1), minlength=len(at))
-                lower = LOWER[data].tobytes()
-                words = [lower[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-                where = pa.array(first + rows[at])
-                yield pa.record_batch([langs.take(where), sources.take(where), pa.array(words, pa.string()),
-                                       pa.array(docs, pa.int64()), pa.array(n, pa.int64())],
-                                      names=["lang", "source", "term", "docs", "n"])
+
+                def names(new):
+                    where, lower = pa.array(first + rows[at[new]]), LOWER[data].tobytes()
+                    words = [lower[s:e].decode("utf-8", "replace") for s, e in zip(hasher.starts[at[new]].tolist(), hasher.ends[at[new]].tolist())]
+                    return [np.array(x.take(where).to_pylist(), object) for x in (langs, sources)] + [np.array(words, object)]
+                held.add(found, [docs, n], names)
+                if len(held.keys) > HELD:
+                    yield out()
+                    held = Held(2, names=3)
+        if len(held.keys):
+            yield out()
     return texts.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, docs long, n long")
 
 

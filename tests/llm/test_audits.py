@@ -32,7 +32,7 @@ def documents(seed=1, n=140):
         if rnd.random() < 0.2:
             words.append("#tag")
         rows.append((k, rnd.choice([" ", "\n", "\t "]).join(words), lang, rnd.choice(["s1", "s2", "s3", "s4", None])))
-    rows += [(1000 + k, rows[k % 7][1], "en", "s1") for k in range(30)]            # copies
+    rows += [(1000 + k, rows[k % min(n, 7)][1], "en", "s1") for k in range(30)]            # copies
     rows += [(2000, None, None, None), (2001, "", "en", ""), (2002, " \n", "", "lone"), (None, rows[0][1], "en", "s2"), (None, None, "fr", "s9"),
              (2003, "same row", "en", "s3"), (2003, "same row", "en", "s3"), (2004, "only one #", "fr", "s9"), (2005, "W" * 5000 + " w" * 30000, "fr", "s8"),
              (2006, "only two", "fr", "s8"), (2007, "only three", "fr", "s8")]
@@ -178,11 +178,11 @@ def test_source_divergence_of_an_empty_table_and_the_callers_setting(spark):
 
 
 def test_discarded_prefixes_are_not_counted_again(spark):
-    docs = frame(spark, [(k, f"common{k % 2}tail rare{k}", "en", "s") for k in range(8)])
+    docs = frame(spark, [(k, f"common{'xy'[k % 2]} rare{'abcdefgh'[k]}", "en", "s") for k in range(8)])
     texts = docs.select("lang", "source", "text")
     first = source_divergence.prefix_counts(texts, 5, None).groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 3")
     bits = spark.sparkContext.broadcast(source_divergence.bitmap(first, "token"))
-    assert first.count() == 1                                  # "commo"; every "rareK" stands in one document
+    assert first.count() == 1                                  # "commo"; every "rare." stands in one document
     left = source_divergence.prefix_counts(texts, 7, (5, bits)).groupBy("token").agg(F.sum("n").alias("n")).collect()
     assert sorted(r["n"] for r in left) == [4, 4]
-    assert {r["term"] for r in source_divergence.term_counts(texts, (5, bits)).collect()} == {"common"}
+    assert {r["term"] for r in source_divergence.term_counts(texts, (5, bits)).collect()} == {"commonx", "commony"}
