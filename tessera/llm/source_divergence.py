@@ -34,7 +34,7 @@ TOP = 200
 BLOCK = 64                                       # sources a cell holds on each side, about
 CELL = 100_000                                   # term counts a cell holds on each side, about
 PIECE = 2 << 20
-HELD = 250_000                                   # keys a task adds up before it passes them on
+HELD = 1_000_000                                 # keys a task holds before it adds them up and passes them on
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -67,27 +67,34 @@ def term_spans(data: np.ndarray, off: np.ndarray):
 
 
 class Held:
-    """Sums per 64-bit key, held in key order; ``names`` are looked up once per new key."""
-
-    def __init__(self, columns: int, names: int = 0):
-        self.keys = np.zeros(0, np.uint64)
-        self.sums = [np.zeros(0, np.int64) for _ in range(columns)]
-        self.names = [np.zeros(0, object) for _ in range(names)]
-
-    def add(self, keys: np.ndarray, sums: list, look_up=None) -> None:
-        """``keys`` are sorted and distinct; ``look_up(i)`` gives the names of the keys at positions ``i``."""
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        for held, more in zip(self.sums, sums):
-            held[at[known]] += more[known]
-        new = np.flatnonzero(~known)
-        if len(new):
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.sums = [np.insert(held, at[new], more[new]) for held, more in zip(self.sums, sums)]
-            if self.names:
-                self.names = [np.insert(held, at[new], more) for held, more in zip(self.names, look_up(new))]
+    """Rows of a 64-bit key, sums and names, added up per key once ``HELD`` of them are there."""
+
+    def __init__(self, names: list[str], sums: list[str]):
+        self.columns, self.n_names = [*names, *sums], len(names)
+        self.keys, self.rows, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, rows: list) -> None:
+        self.keys.append(keys)
+        self.rows.append([x if isinstance(x, pa.Array) else np.asarray(x, np.int64) for x in rows])
+        self.size += len(keys)
+
+    def batch(self) -> pa.RecordBatch:
+        """What is held, one row per key; then nothing is held."""
+        _, at, code = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
+        parts = list(zip(*self.rows))
+        names = [pa.concat_arrays(p).take(pa.array(at)) for p in parts[:self.n_names]]
+        sums = [pa.array(np.bincount(code, np.concatenate(p), len(at)).astype(np.int64)) for p in parts[self.n_names:]]
+        self.keys, self.rows, self.size = [], [], 0
+        return pa.record_batch([*names, *sums], names=self.columns)
+
+
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as strings."""
+    sizes = ends - starts
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    where = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[where].tobytes()))
 
 
 class Hasher:
@@ -127,10 +134,7 @@ def prefix_counts(texts: DataFrame, length: int, before: tuple | None) -> DataFr
     discarded prefixes are not extended.
     """
     def run(batches):
-        held = Held(1)
-
-        def out():
-            return pa.record_batch([pa.array(held.keys.view(np.int64)), pa.array(held.sums[0])], names=["token", "n"])
+        held = Held(["token"], ["n"])
         for b in batches:
             langs = name_hash(b.column("lang"))
             for first, off, data in pieces(b.column("text"), PIECE):
@@ -144,23 +148,18 @@ def prefix_counts(texts: DataFrame, length: int, before: tuple | None) -> DataFr
                 token = hasher.prefixes(length, langs[first + rows])
                 _, once = np.unique(mix64(token + np.uint64(0x9E3779B97F4A7C15) * (rows + 1).astype(np.uint64)), return_index=True)
                 found, n = np.unique(token[once], return_counts=True)
-                held.add(found, [n])
-                if len(held.keys) > HELD:
-                    yield out()
-                    held = Held(1)
-        if len(held.keys):
-            yield out()
+                held.add(found, [pa.array(found.view(np.int64)), n])
+                if held.size > HELD:
+                    yield held.batch()
+        if held.size:
+            yield held.batch()
     return texts.select("lang", "text").mapInArrow(run, "token long, n long")
 
 
 def term_counts(texts: DataFrame, last: tuple) -> DataFrame:
     """``lang, source, term, docs, n`` of the terms whose last prefix is left, added up inside a task."""
     def run(batches):
-        held = Held(2, names=3)
-
-        def out():
-            return pa.record_batch([*(pa.array(x, pa.string()) for x in held.names), *map(pa.array, held.sums)],
-                                   names=["lang", "source", "term", "docs", "n"])
+        held = Held(["lang", "source", "term"], ["docs", "n"])
         for b in batches:
             langs, sources = b.column("lang"), b.column("source")
             of_lang, of_both = name_hash(langs), name_hash(langs) * np.uint64(3) + name_hash(sources)
@@ -176,39 +175,43 @@ def term_counts(texts: DataFrame, last: tuple) -> DataFrame:
                 pairs = np.unique(code.astype(np.int64) * (len(off) - 1) + rows)
                 docs = np.bincount(pairs // (len(off) - 1), minlength=len(at))
 
-                def names(new):
-                    where, lower = pa.array(first + rows[at[new]]), LOWER[data].tobytes()
-                    words = [lower[s:e].decode("utf-8", "replace") for s, e in zip(hasher.starts[at[new]].tolist(), hasher.ends[at[new]].tolist())]
-                    return [np.array(x.take(where).to_pylist(), object) for x in (langs, sources)] + [np.array(words, object)]
-                held.add(found, [docs, n], names)
-                if len(held.keys) > HELD:
-                    yield out()
-                    held = Held(2, names=3)
-        if len(held.keys):
-            yield out()
+                where = pa.array(first + rows[at])
+                terms = slices(LOWER[data], hasher.starts[at], hasher.ends[at])
+                held.add(found, [langs.take(where), sources.take(where), terms, docs, n])
+                if held.size > HELD:
+                    yield held.batch()
+        if held.size:
+            yield held.batch()
     return texts.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, docs long, n long")
 
 
 def frequent_terms(texts: DataFrame, at_least: int = AT_LEAST, levels: tuple = LEVELS) -> DataFrame:
-    """``lang, source, term, n, lang_n``: counts of the terms that at least ``at_least`` documents of the language hold."""
+    """``lang, source, term, n``: counts of the terms that at least ``at_least`` documents of the language hold.
+
+    And of each term, alike in all its rows: ``lang_n`` its count in the
+    language, ``term_id`` a number of its own; ``head`` marks one of its rows.
+    """
     spark, above = texts.sparkSession, None
     with few_rows_a_batch(spark):
         for length in levels:
             counted = prefix_counts(texts, length, above).groupBy("token").agg(F.sum("n").alias("n"))
             left = bitmap(counted.filter(F.col("n") >= at_least), "token")
             above = (length, spark.sparkContext.broadcast(left))
-        counts = (term_counts(texts, above).groupBy("lang", "source", "term")
-                                           .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+        # Added up per task already: one exchange by term serves the sums and the window.
+        dealt = term_counts(texts, above).repartition("lang", "term")
+        counts = dealt.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
         of_term = Window.partitionBy("lang", "term")                        # at most a row a source
-        kept = (counts.select("lang", "source", "term", "n", F.sum("docs").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("lang_n"))
-                      .filter(F.col("docs") >= at_least).drop("docs"))
+        rows = counts.withColumn("_row", F.monotonically_increasing_id())
+        rows = rows.select("*", F.sum("docs").over(of_term).alias("_docs"), F.sum("n").over(of_term).alias("lang_n"), F.min("_row").over(of_term).alias("term_id"))
+        kept = rows.filter(F.col("_docs") >= at_least).select("lang", "source", "term", "n", "lang_n", "term_id", (F.col("_row") == F.col("term_id")).alias("head"))
         return materialize(kept, "terms")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(SCALE * (n + 1) / (total + terms))``, exact beyond 64 bits."""
-    top = ((n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(38,0)")
-    return 1 + F.call_function("div", top, (total + terms).cast("decimal(38,0)"))
+    """``1 + floor(SCALE * (n + 1) / (total + terms))``; in 128 bits where 64 do not hold the product."""
+    wide = ((n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(38,0)")
+    exact = F.call_function("div", wide, (total + terms).cast("decimal(38,0)"))
+    return 1 + F.when(n < 9_000_000_000, F.call_function("div", (n + 1) * F.lit(SCALE).cast("long"), total + terms)).otherwise(exact)
 
 
 def gap(p: Column, q: Column) -> Column:
@@ -243,13 +246,13 @@ def _cell(table: pa.Table) -> pa.Table:
     names = table.column("source").combine_chunks().dictionary_encode()
     source, blocks = names.indices.to_numpy(), table.column("block").to_numpy()
     two_blocks = table.column("block")[0] != table.column("other")[0]
-    terms = table.column("term").combine_chunks().dictionary_encode()
-    is_term = ~np.asarray(terms.indices.is_null())
+    is_term = table.column("term_id").is_valid().to_numpy()
     p = table.column("p").to_numpy()
-    s, n_terms = len(names.dictionary), len(terms.dictionary)
+    s = len(names.dictionary)
     unused, block = np.zeros(s, np.int64), np.zeros(s, np.int64)
     unused[source[~is_term]], block[source[~is_term]] = p[~is_term], blocks[~is_term]
-    code = terms.indices.filter(pa.array(is_term)).to_numpy()
+    found, code = np.unique(table.column("term_id").drop_null().to_numpy(), return_inverse=True)
+    n_terms = len(found)
     source, p = source[is_term], p[is_term]
     order = np.argsort(code, kind="stable")
     code, source, p = code[order], source[order], p[order]
@@ -276,15 +279,16 @@ def _cell(table: pa.Table) -> pa.Table:
 def pair_report(rows: DataFrame, groups: DataFrame, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """The divergence of every source from every other source of its language, over all kept terms.
 
-    ``groups``: ``lang, source, v, total, unused`` (``unused``: the share of a term that the source never uses).
+    ``groups``: ``lang, source, v, total, terms, unused`` (``unused``: the share of a term that the source never uses).
     Terms that neither source of a pair's blocks uses add one equal summand each.
     """
-    most = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("s")).agg(F.max("s")).first()[0] or 1
-    blocks, slices = -(-most // block), max(1, -(-rows.count() // cell))
+    by_lang = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("s"), F.sum("terms").alias("terms"))
+    most, counts = by_lang.agg(F.coalesce(F.max("s"), F.lit(1)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+    blocks, slices = -(-most // block), max(1, -(-counts // cell))
     at = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
-    entries = rows.select("lang", "source", "term", "p", at.alias("block"), F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int").alias("slice"))
+    entries = rows.select("lang", "source", "term_id", "p", at.alias("block"), F.pmod(F.xxhash64("term_id"), F.lit(slices)).cast("int").alias("slice"))
     every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    marks = groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("unused").alias("p"), at.alias("block"), every.alias("slice"))
+    marks = groups.select("lang", "source", F.lit(None).cast("long").alias("term_id"), F.col("unused").alias("p"), at.alias("block"), every.alias("slice"))
     sent = entries.unionByName(marks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = sent.groupBy("lang", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "slice")
     sums = (cells.applyInArrow(_cell, CELL_OUT).groupBy("lang", "source", "item")
@@ -309,15 +313,15 @@ def audit_sources(docs: DataFrame, at_least: int = AT_LEAST, top: int = TOP, lev
     """
     texts = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     kept = frequent_terms(texts, at_least, levels)
-    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = (kept.groupBy("lang", "term").agg(F.max("lang_n").alias("n")).groupBy("lang")
-                 .agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_total")))
+    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
+    langs = kept.filter("head").groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     groups = texts.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").select(
-        "lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v", "lang_total")))
+        "lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "v", "lang_total")))
     none = F.lit(0).cast("long")
     groups = materialize(groups.withColumn(
         "unused", F.when(F.col("v") > 0, share(none, F.col("total"), F.col("v"))).otherwise(F.lit(1).cast("long"))), "sources")
-    rows = materialize(kept.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v"))), "shares")
+    rows = kept.join(groups.select("lang", "source", "total", "v", "lang_total"), ["lang", "source"]).withColumn(
+        "p", share(F.col("n"), F.col("total"), F.col("v")))
     out = ("lang", "source", "part", "item", "value", "rank")
     pairs = pair_report(rows, groups, block, cell).withColumn("part", F.lit("pair")).select(*out)
     return pairs.unionByName(term_report(rows, top).withColumn("part", F.lit("term")).select(*out))
