@@ -35,32 +35,6 @@ ERROR_TEXT_LIMIT = 2000
 # MERGE (JN1, DML1, Q2-Q5)
 # --------------------------------------------------------------------------
 
-def collapse_source(source: DataFrame, key_cols, carriers: dict, order: Column, groups: list | None = None) -> DataFrame:
-    """One row per key: per column, the value of the **last** event that lists it.
-
-    ``carriers`` maps column -> Column predicate "this row's event type lists
-    the column".  Columns with the same carrier set are taken together with
-    ONE ``max_by(struct(cols), ordering)`` (``groups`` = lists of such
-    columns); a NULL ordering for non-carriers makes ``max_by`` skip them.
-    ``max_by`` is a declarative aggregate, so Spark does a map-side partial
-    aggregation before the shuffle on the key (a hot key costs one row per
-    map task, not a third of the data in one task).
-    """
-    groups = groups or [[c] for c in carriers]
-    aggs = []
-    for i, cols in enumerate(groups):
-        carried = carriers[cols[0]]
-        aggs.append(F.max_by(F.struct(*[F.col(c) for c in cols]), F.when(carried, order)).alias(f"_g{i}"))
-        aggs.append(F.max(carried.cast("int")).alias(f"_hasg{i}"))
-    aggs.append(F.count(F.lit(1)).alias("_n_source"))
-    out = source.groupBy(*key_cols).agg(*aggs)
-    sel = [F.col(k) for k in key_cols]
-    for i, cols in enumerate(groups):
-        sel += [F.col(f"_g{i}").getField(c).alias(c) for c in cols]
-        sel += [F.col(f"_hasg{i}").alias(f"_has_{c}") for c in cols]
-    return out.select(*sel, "_n_source")
-
-
 def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_key: str,
                  order: str = "event_time", tenant_scoped: bool = True,
                  ignore_nulls: bool = False, type_col: str = "_event_type",
@@ -144,7 +118,13 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
 
 
 def _collapse_with_order(src: DataFrame, keys, carriers: dict, groups: list) -> DataFrame:
-    """Per key and column group: the last carrying event's values and its ordering."""
+    """Per key and column group: the last carrying event's values and its ordering.
+
+    ``carriers`` maps a column to the predicate "this row's event type lists it".
+    Columns with the same carriers are taken together with ONE ``max_by(struct)``;
+    a NULL ordering makes it skip the others.  Combined map-side, so a hot key
+    costs one row per map task, not a third of the data in one task.
+    """
     aggs = []
     for i, cols in enumerate(groups):
         carried = carriers[cols[0]]
@@ -160,36 +140,12 @@ def _collapse_with_order(src: DataFrame, keys, carriers: dict, groups: list) ->
     return out.select(*sel, "_n_source")
 
 
-def retry_pending(pending: DataFrame, target: DataFrame, key_cols) -> tuple:
-    """STR12: split pending MERGE rows into (now_applicable, still_pending)."""
-    keys = target.select(*key_cols).distinct()
-    return (pending.join(keys, list(key_cols), "left_semi"),
-            pending.join(keys, list(key_cols), "left_anti"))
-
-
 def touched_partitions(target: DataFrame, keys: DataFrame, key_cols, partition_cols) -> DataFrame:
     """Partition values of ``target`` that contain at least one merged key."""
     return (target.join(keys.select(*key_cols).distinct(), list(key_cols), "left_semi")
             .select(*partition_cols).distinct())
 
 
-def write_merged(updated: DataFrame, path: str, partition_cols, touched: DataFrame | None = None):
-    """DML5: rewrite only the touched partitions, atomically per partition.
-
-    Dynamic partition overwrite stages the new files and swaps each written
-    partition; untouched partitions are neither read nor rewritten when the
-    caller restricts ``updated`` via ``touched`` (a semi-join on partition values).
-    """
-    df = updated
-    if touched is not None:
-        df = df.join(touched, list(partition_cols), "left_semi")
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_cols).parquet(path))
-
-
-swap_partitions = write_merged    # DML5 name used in the survey
-
-
 # --------------------------------------------------------------------------
 # Load log (SNK2, DML2, FIL1, JN2, JN16, AGG1/AGG2)
 # --------------------------------------------------------------------------
@@ -224,13 +180,13 @@ def forget_files(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 def log_rows(per_file: DataFrame, tick_id: str, copied_at, status: str = "ok",
              error: Column | None = None, duration_ms: Column | None = None) -> DataFrame:
-    """SNK2: load-log rows (one per file) from ``(event_type, s3_key, row_count)``."""
+    """SNK2: load-log rows (one per file) from ``(event_type, s3_key, row_count[, bytes])``."""
     err = F.left(error, F.lit(ERROR_TEXT_LIMIT)) if error is not None else F.lit(None)
     return per_file.select(
         F.col("event_type").cast("string"), F.col("s3_key").cast("string"),
-        F.lit(copied_at).cast("timestamp").alias("copied_at"),
+        (copied_at if isinstance(copied_at, Column) else F.lit(copied_at)).cast("timestamp").alias("copied_at"),
         F.col("row_count").cast("long"),
-        F.lit(None).cast("long").alias("bytes_loaded"),
+        (F.col("bytes") if "bytes" in per_file.columns else F.lit(None)).cast("long").alias("bytes_loaded"),
         (duration_ms if duration_ms is not None else F.lit(None)).cast("long").alias("copy_duration_ms"),
         F.lit(status).alias("status"), err.cast("string").alias("error_message"),
         F.lit(tick_id).alias("tick_id"))
@@ -260,13 +216,18 @@ def dedup(df: DataFrame, key, order_cols) -> DataFrame:
     """WIN1: keep the first row per key by ``order_cols`` (then all columns).
 
     Expressed as ``min_by(struct(all), struct(order))`` so Spark combines
-    map-side; duplicates of one hot key never meet in a single sort.
+    map-side; duplicates of one hot key never meet in a single sort.  A row with
+    a NULL in its key is no repeat of another: all of them stay.
     """
     key = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in key]
     ordering = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in rest])
-    return (df.groupBy(*key).agg(F.min_by(F.struct(*rest), ordering).alias("_r"))
-              .select(*key, "_r.*"))
+    no_key = F.lit(False)
+    for k in key:
+        no_key = no_key | F.col(k).isNull()
+    first = (df.filter(~no_key).groupBy(*key).agg(F.min_by(F.struct(*rest), ordering).alias("_r"))
+               .select(*key, "_r.*"))
+    return first.unionByName(df.filter(no_key).select(*first.columns))
 
 
 def latest(df: DataFrame, key, ts: str) -> DataFrame:
@@ -305,6 +266,5 @@ def chunk(df: DataFrame, n: int, order, partition=None) -> DataFrame:
     return r.select(*df.columns, F.floor(F.col("_rn") / n).cast("int").alias("chunk"))
 
 
-__all__ = ["LOAD_LOG_SCHEMA", "collapse_source", "merge_update", "retry_pending", "touched_partitions",
-           "write_merged", "load_state", "new_files", "forget_files", "log_rows", "load_metrics",
+__all__ = ["LOAD_LOG_SCHEMA", "merge_update", "touched_partitions", "load_state", "new_files", "forget_files", "log_rows", "load_metrics",
            "dedup", "latest", "cap_per_type", "chunk"]

@@ -148,7 +148,7 @@ def alarm_datapoints(samples: DataFrame, alarms: DataFrame, stats=("average", "s
                     extra=[F.first("stat").alias("stat")])
     pick = F.lit(None).cast("double")
     for x in stat_names:
-        pick = F.when(F.lower(F.col("stat")) == x, F.col(x)).otherwise(pick)
+        pick = F.when(F.lower(F.col("stat")) == x, F.col(stat_column(x))).otherwise(pick)
     return g.select("alarm_id", "bucket", pick.alias("value"))
 
 
@@ -181,10 +181,7 @@ def evaluate_alarms(samples: DataFrame, alarms, start=None, end=None,
     grid = grid_src.select("*", F.explode(F.sequence("lo", "hi")).alias("bucket")).drop("lo", "hi")
     g = grid.join(dp, ["alarm_id", "bucket"], "left")
     v = F.col("value")
-    breach = (F.when(v.isNotNull(), _compare(F.col("op"), v, F.col("threshold")).cast("int"))
-              .when(F.col("missing") == "breaching", F.lit(1))
-              .when(F.col("missing") == "not_breaching", F.lit(0)))
-    g = g.withColumn("breach", breach)
+    g = g.withColumn("breach", breach_of(v))
     return m_of_n(g, n_max, initial_state).select(
         "alarm_id", "period_start", F.round(v, 4).alias("value"), "breach", "n_breach", "state", "changed")
 

@@ -23,7 +23,7 @@ def binding(name: str, sql: str | None = None):
 
 def load_all():
     import importlib
-    for mod in ("loader", "observability", "routing", "governance", "roundtrips"):
+    for mod in ("loader", "observability", "routing", "governance", "roundtrips", "warehouse"):
         try:
             importlib.import_module(f"{__name__}.{mod}")
         except ModuleNotFoundError as e:

@@ -192,12 +192,13 @@ WITH u AS (
   SELECT event_id,
          CASE WHEN event_type = 'error' THEN ts - INTERVAL 1 SECOND ELSE ts + INTERVAL 1 SECOND END,
          user_id, event_type, value, 'b' FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, file) AS rn FROM u)
-SELECT event_id, ts, user_id, event_type, value, file FROM r WHERE rn = 1
+n AS (SELECT * REPLACE (CASE WHEN event_type <> 'signup' THEN event_id END AS event_id) FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts, file) AS rn FROM n)
+SELECT event_id, ts, user_id, event_type, value, file FROM r WHERE rn = 1 OR event_id IS NULL
 """)
 def dedup_events(spark, sf_dir):
-    """WIN1: at-least-once redelivery (every event twice) collapsed to the first copy."""
-    ev = events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value")
+    """WIN1: at-least-once redelivery (every event twice) collapsed to the first copy; rows without an id (signups) all stay."""
+    ev = events(spark, sf_dir).select(F.when(F.col("event_type") != "signup", F.col("event_id")).alias("event_id"), "ts", "user_id", "event_type", "value")
     again = ev.select("event_id",
                       F.when(F.col("event_type") == "error", F.col("ts") - F.expr("INTERVAL 1 SECOND"))
                       .otherwise(F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"),

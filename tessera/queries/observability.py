@@ -220,16 +220,19 @@ def alarm_catalog(spark, sf_dir):
 
 @binding("stat_switch", sql="""
 WITH defs(def_id, metric, stat) AS (VALUES ('click_avg', 'click', 'Average'), ('purchase_sum', 'purchase', 'Sum'),
-       ('view_min', 'view', 'Minimum'), ('signup_max', 'signup', 'Maximum'), ('error_p95', 'error', 'p95')),
+       ('view_min', 'view', 'Minimum'), ('signup_max', 'signup', 'Maximum'), ('error_p95', 'error', 'p95'),
+       ('view_p50', 'view', 'p50'), ('click_p999', 'click', 'p99.9'), ('error_count', 'error', 'SampleCount')),
 agg AS (
   SELECT event_type AS metric, date_trunc('hour', ts) AS period_start,
          (sum(CAST(round(value * 100) AS BIGINT)) / count(value)) / 100.0 AS a,
          sum(CAST(round(value * 100) AS BIGINT)) / 100.0 AS s,
-         min(value) AS mn, max(value) AS mx, round(quantile_cont(value, 0.95), 4) AS p95
+         min(value) AS mn, max(value) AS mx, round(quantile_cont(value, 0.95), 4) AS p95,
+         round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.999), 5) AS p999, CAST(count(value) AS DOUBLE) AS n
   FROM events GROUP BY 1, 2)
 SELECT def_id, period_start,
        CASE stat WHEN 'Average' THEN a WHEN 'Sum' THEN s WHEN 'Minimum' THEN mn
-                 WHEN 'Maximum' THEN mx WHEN 'p95' THEN p95 END AS value
+                 WHEN 'Maximum' THEN mx WHEN 'p95' THEN p95 WHEN 'p50' THEN p50
+                 WHEN 'p99.9' THEN p999 WHEN 'SampleCount' THEN n END AS value
 FROM agg JOIN defs USING (metric)
 """)
 def stat_switch(spark, sf_dir):
@@ -237,10 +240,13 @@ def stat_switch(spark, sf_dir):
     ev = events(spark, sf_dir).select(F.col("event_type").alias("metric"), "ts", "value")
     defs = spark.createDataFrame(
         [("click_avg", "click", "Average"), ("purchase_sum", "purchase", "Sum"), ("view_min", "view", "Minimum"),
-         ("signup_max", "signup", "Maximum"), ("error_p95", "error", "p95")], "def_id string, metric string, stat string")
+         ("signup_max", "signup", "Maximum"), ("error_p95", "error", "p95"), ("view_p50", "view", "p50"),
+         ("click_p999", "click", "p99.9"), ("error_count", "error", "SampleCount")], "def_id string, metric string, stat string")
     out = S.stat_switch(ev, defs, "1 hour", cents=True)
-    # exact sums/averages stay unrounded; the interpolated percentile is rounded to 4 places
-    return out.withColumn("value", F.when(F.col("def_id") == "error_p95", F.round("value", 4)).otherwise(F.col("value")))
+    # exact sums/averages stay unrounded; the interpolated percentiles are rounded (of 2-decimal values
+    # p50 and p99.9 have at most 5 decimals)
+    return out.withColumn("value", F.when(F.col("def_id") == "error_p95", F.round("value", 4))
+                          .when(F.col("def_id").rlike("_p[0-9]+$"), F.round("value", 5)).otherwise(F.col("value")))
 
 
 @binding("telemetry_clean", sql="""

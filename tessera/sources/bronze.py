@@ -36,15 +36,19 @@ def _reader(spark: SparkSession, root: str, pattern: str = "*.jsonl"):
 
 
 def read_bronze(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """SRC1/SRC6: envelopes + partition columns + per-row source file."""
-    return _reader(spark, root, pattern).json(root).withColumn("s3_key", F.col("_metadata.file_path"))
+    """SRC1/SRC6: envelopes + partition columns + per-row source file and its size."""
+    return with_file(_reader(spark, root, pattern).json(root))
 
 
-def read_files(spark: SparkSession, paths, root: str | None = None) -> DataFrame:
+def with_file(df: DataFrame) -> DataFrame:
+    """``df`` plus the file a row stands in and that file's bytes."""
+    return df.withColumns({"s3_key": F.col("_metadata.file_path"), "s3_bytes": F.col("_metadata.file_size")})
+
+
+def read_files(spark: SparkSession, paths, root: str | None = None, pattern: str = "*.jsonl") -> DataFrame:
     """SRC5: an explicit manifest; every listed file must exist (missing => error)."""
-    r = _reader(spark, root) if root else spark.read.schema(ENVELOPE_STRUCT)
-    return (r.option("ignoreMissingFiles", "false").json(list(paths))
-             .withColumn("s3_key", F.col("_metadata.file_path")))
+    r = _reader(spark, root, pattern) if root else spark.read.schema(ENVELOPE_STRUCT)
+    return with_file(r.option("ignoreMissingFiles", "false").json(list(paths)))
 
 
 def hour_ts(df_or_none=None) -> Column:

@@ -18,6 +18,10 @@ Layout under ``warehouse``::
     _keyless/<table>/load_batch=<id>/          MERGE rows without a key (they can match nothing)
     _rejects/load_batch=<id>/error_type=/      malformed lines (with reject_date)
     _unmapped/load_batch=<id>/                 events with no registry entry
+    _unmapped_types/load_batch=<id>/           the distinct types of those
+    _key_index/<table>/<key>/load_batch=<id>/  which merge keys a partition may hold
+    _seen/ids, _seen/filters                   event ids taken, by event hour (``across_ticks``)
+    _data, _snapshots                          fact tables of ``atomic`` ticks (see ``store``)
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ import os
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,47 +37,17 @@ from ..operators import load as L
 from ..operators import project as P
 from ..plans.dispatch import FACT_TABLES, REGISTRY, VERSION_TYPE, load_order, merge_groups
 from ..session import ensure_checkpoint_dir
-from ..sources.bronze import BRONZE_SCHEMA, split_corrupt
+from ..sources.bronze import BRONZE_SCHEMA, split_corrupt, with_file
+from . import store as ST
+from .store import hadoop as _hadoop, names_in, read_table as _read_table, write_batch_partition as _write_batch_partition
 
 MAX_FILES_PER_TRIGGER = 200      # SNK8: files per load
 DEFAULT_TRIGGER = "5 minutes"    # STR1: load cadence
 DEDUP_WATERMARK = "3 hours"      # opt-in cross-tick dedup horizon: lookback (2 h) + current hour
 
 
-def _write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("load_batch", F.lit(int(batch_id))).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("load_batch").parquet(path))
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """``(file system, path)`` of a path, whatever store it names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """Existing parquet table (with its partition columns) or None if nothing was written yet.
-
-    Only a missing path or a folder without files counts as nothing; any other
-    read error is raised, so it can never be taken for an empty table.
-    """
-    fs, p = _hadoop(spark, path)
-    if not fs.exists(p):
-        return None
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-            return None
-        raise
-
-
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, p = _hadoop(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("version="))
+    return sorted(int(n.split("=", 1)[1]) for n in names_in(spark, path) if n.startswith("version="))
 
 
 def _read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -101,29 +74,32 @@ def _write_version(df: DataFrame, path: str, batch_id: int) -> None:
         fs.delete(p, True)
 
 
-def _dedup_known(df: DataFrame, key: str, order_cols) -> DataFrame:
-    """First row per key; rows without a key are all kept."""
-    known = L.dedup(df.filter(F.col(key).isNotNull()), key, order_cols)
-    return known.unionByName(df.filter(F.col(key).isNull()).select(*known.columns))
-
-
 def _adopted(spark: SparkSession, warehouse: str, batch_id: int, registry: dict):
-    """``(events, types)`` of earlier unmapped events whose type has an entry by now, once per type."""
-    stored = _read_table(spark, f"{warehouse}/_unmapped")
-    if stored is None:
+    """``(events, types)`` of earlier unmapped events whose type has an entry by now, once per type.
+
+    Which types stand unmapped, and in which ticks, is read from a table of
+    distinct types; the events themselves only once a type is taken up.
+    """
+    seen = _read_table(spark, f"{warehouse}/_unmapped_types")
+    if seen is None:
         return None, []
-    stored = stored.filter((F.col("load_batch") < int(batch_id)) & F.col("type").isin(list(registry)))
+    seen = seen.filter((F.col("load_batch") < int(batch_id)) & F.col("type").isin(list(registry)))
     done = _read_table(spark, f"{warehouse}/_adopted")
     if done is not None:
         taken = [r["type"] for r in done.filter(F.col("load_batch") < int(batch_id)).select("type").distinct().collect()]
-        stored = stored.filter(~F.col("type").isin(taken))      # at most one row per registry entry
-    types = [r["type"] for r in stored.select("type").distinct().collect()]
-    return (stored.filter(F.col("type").isin(types)).drop("load_batch"), types) if types else (None, [])
+        seen = seen.filter(~F.col("type").isin(taken))          # at most one row per registry entry
+    found = seen.groupBy("type").agg(F.collect_set("load_batch").alias("batches")).collect()
+    if not found:
+        return None, []
+    types, batches = [r["type"] for r in found], sorted({b for r in found for b in r["batches"]})
+    stored = _read_table(spark, f"{warehouse}/_unmapped").filter(F.col("load_batch").isin(batches) & F.col("type").isin(types))
+    return stored.drop("load_batch"), types
 
 
 def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict | None = None,
               strict: bool = False, tenant_scoped: bool = True, merge_order: str = "event_time",
-              merge_horizon: int | None = None) -> None:
+              merge_horizon: int | None = None, atomic: bool = False, across_ticks: bool = False,
+              key_index: bool = True) -> None:
     """One micro-batch: typed appends, MERGE updates, load log, pending, rejects.
 
     Order inside the tick follows the registry (INSERT types before MERGE
@@ -133,11 +109,21 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
     ``merge_horizon`` bounds the per-tick MERGE work at scale: only the last
     N ``load_batch`` partitions are searched for parent rows (partition
     pruning); keys not found there wait in pending and :func:`deep_merge`
-    resolves them against the whole table on a slower cadence.
+    resolves them against the whole table on a slower cadence.  With
+    ``key_index`` (default) a tick opens only the partitions whose key filter
+    may hold one of its merge keys, wherever in the table they are.
+
+    ``atomic=True`` writes the tables as a snapshot: readers go through
+    ``store.read_snapshot`` and see a tick in all tables or in none; a tick that
+    is committed already is not run again.  ``across_ticks=True`` leaves out
+    events that an earlier tick has taken, however late they repeat.
     """
     spark = batch.sparkSession
     registry = REGISTRY if registry is None else registry
     ensure_checkpoint_dir(spark)
+    store = (ST.Snapshot if atomic else ST.InPlace)(spark, warehouse, batch_id)
+    if store.committed():
+        return
     batch = batch.persist()
     try:
         good, rejects = split_corrupt(batch)
@@ -145,19 +131,26 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
             .option("partitionOverwriteMode", "dynamic").partitionBy("load_batch", "error_type")
             .json(f"{warehouse}/_rejects"))
         # every file read in this tick is logged with the rows it held (before dedup)
+        per_file = P.split_mapped(good, registry)[0].groupBy(F.col("type").alias("event_type"), "s3_key").agg(
+            F.count(F.lit(1)).alias("row_count"), _file_bytes(good))
+        good = good.drop("s3_bytes")
+        if across_ticks:
+            good = ST.drop_seen(good, f"{warehouse}/_seen", batch_id)
         _, fresh_unmapped = P.split_mapped(good, registry)
-        _write_batch_partition(_dedup_known(fresh_unmapped.drop("_corrupt_record"), "id", ["time", "s3_key"]),
+        _write_batch_partition(L.dedup(fresh_unmapped.drop("_corrupt_record"), "id", ["time", "s3_key"]),
                                f"{warehouse}/_unmapped", batch_id)
+        _write_batch_partition(fresh_unmapped.select("type").distinct(), f"{warehouse}/_unmapped_types", batch_id)
         # events of tables that failed, and unmapped ones whose entry exists by now, join this tick
         again, types = _adopted(spark, warehouse, batch_id, registry)
         _write_batch_partition(spark.createDataFrame([(t,) for t in types], "type string"), f"{warehouse}/_adopted", batch_id)
         for more in (again, _read_version(spark, f"{warehouse}/_retry", batch_id)):
             if more is not None:
                 good = good.unionByName(more, allowMissingColumns=True)
-        read_mapped, _ = P.split_mapped(good, registry)
-        per_file = read_mapped.groupBy(F.col("type").alias("event_type"), "s3_key").agg(
-            F.count(F.lit(1)).alias("row_count"))
-        good = _dedup_known(good, "id", ["time", "s3_key"])       # WIN1 inside the batch
+                taken_up = P.split_mapped(more, registry)[0].groupBy(F.col("type").alias("event_type"), "s3_key").agg(
+                    F.count(F.lit(1)).alias("row_count"))
+                per_file = per_file.unionByName(taken_up, allowMissingColumns=True)
+        per_file = per_file.groupBy("event_type", "s3_key").agg(F.sum("row_count").alias("row_count"), F.max("bytes").alias("bytes"))
+        good = L.dedup(good, "id", ["time", "s3_key"])       # WIN1 inside the batch
         mapped, _ = P.split_mapped(good, registry)
 
         present = [r["event_type"] for r in per_file.select("event_type").distinct().collect()]  # <= registry size
@@ -182,14 +175,18 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
                 if inserts:
                     rows = P.project_table(mapped, inserts, tbl).drop("_event_type")
                     rows = P.conform(rows, tbl) if tbl in FACT_TABLES else rows
+                    for e in (e for e in registry.values() if e.table == tbl and e.is_merge):
+                        rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in zip(e.columns, e.types) if c not in rows.columns})
                     for vcol in merge_groups(tbl, registry):          # nothing merged yet
                         rows = rows.withColumn(vcol, F.lit(None).cast(VERSION_TYPE))
-                    _write_batch_partition(rows, f"{warehouse}/{tbl}", batch_id)
+                    store.add(rows, tbl)
+                    for key in sorted({e.merge_key for e in registry.values() if key_index and e.table == tbl and e.is_merge}):
+                        written = store.read(tbl).filter(F.col("load_batch") == int(batch_id))
+                        ST.write_key_index(written, key, f"{warehouse}/_key_index/{tbl}/{key}", batch_id)
                     loaded = inserts
                 for key in sorted({e.merge_key for e in merges}):
                     group = [e for e in merges if e.merge_key == key]
-                    _apply_merge(spark, mapped, group, tbl, warehouse, batch_id, tenant_scoped, merge_order,
-                                 merge_horizon)
+                    _apply_merge(store, mapped, group, tbl, tenant_scoped, merge_order, merge_horizon, key_index)
                 loaded = entries
             except Exception as exc:  # noqa: BLE001 - DML3 failure isolation
                 if strict:
@@ -203,33 +200,39 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
         st = spark.createDataFrame(status_rows or [("", "ok", None, 0)],
                                    "event_type string, status string, error string, duration long")
         log = (per_file.join(F.broadcast(st), "event_type")       # one status row per event type
-               .select("event_type", "s3_key", "row_count", "status", "error", "duration"))
+               .select("event_type", "s3_key", "row_count", "bytes", "status", "error", "duration"))
         log = log.select(
             "event_type", "s3_key", F.current_timestamp().alias("copied_at"),
-            F.col("row_count").cast("long"), F.lit(None).cast("long").alias("bytes_loaded"),
+            F.col("row_count").cast("long"), F.col("bytes").alias("bytes_loaded"),
             F.col("duration").alias("copy_duration_ms"), "status",
             F.col("error").alias("error_message"), F.lit(str(batch_id)).alias("tick_id"))
         (log.withColumn("tick", F.lit(int(batch_id))).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("tick").parquet(f"{warehouse}/_load_log"))
+        store.commit()
     finally:
         batch.unpersist()
 
 
-def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped, merge_order, horizon=None, resolve=False):
+def _file_bytes(rows: DataFrame):
+    """Size of a row's file, where the source tells it."""
+    return (F.max("s3_bytes") if "s3_bytes" in rows.columns else F.lit(None)).cast("long").alias("bytes")
+
+
+def _apply_merge(store, mapped, entries, tbl, tenant_scoped, merge_order, horizon=None, key_index=False, resolve=False):
     """DML1/DML5/STR12: MERGE this tick's rows (plus earlier pending ones) into the table.
 
-    Only the ``load_batch`` partitions holding a touched key are rewritten;
-    the new rows are checkpointed first (lineage cut) because the job reads
-    the partitions it overwrites.  Rows without a parent stay pending and
-    are retried next tick instead of being dropped.
+    Only the ``load_batch`` partitions that may hold a touched key are read
+    (``key_index``), only those that hold one are rewritten.  Rows without a
+    parent stay pending and are retried next tick instead of being dropped.
     """
+    spark, warehouse, batch_id = store.spark, store.warehouse, store.batch_id
     key = entries[0].merge_key
     keys = (["tenant_id"] if tenant_scoped else []) + [key]
     src = P.project_table(mapped, entries, tbl)
     pending_path = f"{warehouse}/_pending/{tbl}"
     prev = pending_rows(spark, warehouse, tbl, batch_id)
     if prev is not None:
-        src = _dedup_known(src.unionByName(prev.select(*src.columns)), "event_id", ["event_time", "_event_type"])
+        src = L.dedup(src.unionByName(prev.select(*src.columns)), "event_id", ["event_time", "_event_type"])
     has_key = F.lit(True)
     for k in keys:
         has_key = has_key & F.col(k).isNotNull()
@@ -239,10 +242,14 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
     for e in entries:
         for c in e.update_columns():
             update_cols.setdefault(c, []).append(e.event_type)
-    target = _read_table(spark, f"{warehouse}/{tbl}")
+    target = store.read(tbl)
     if target is not None and horizon is not None:
         target = target.filter(F.col("load_batch") >= int(batch_id) - int(horizon))   # partition pruning
-    # Everything derived from files this tick overwrites is checkpointed
+    if target is not None and key_index:
+        src = src.checkpoint()                     # asked for its keys now, merged later
+        index = f"{warehouse}/_key_index/{tbl}/{key}"
+        target = target.filter(F.col("load_batch").isin(sorted(ST.partitions_to_open(spark, index, src, key, store.batches(tbl)))))
+    # Everything derived from files this tick overwrites is settled
     # (lineage cut into the shared checkpoint folder) before any write.
     if target is None:
         still = src.checkpoint()
@@ -251,10 +258,9 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
                                     name_order=[e.event_type for e in entries],
                                     versions=merge_groups(tbl, {e.event_type: e for e in entries}))
         touched = L.touched_partitions(target, src, keys, ["load_batch"])
-        new_rows = updated.join(touched, "load_batch", "left_semi").checkpoint()
+        new_rows = store.settled(updated.join(touched, "load_batch", "left_semi"))
         still = src.join(target.select(*keys).distinct(), keys, "left_anti").checkpoint()
-        (new_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("load_batch").parquet(f"{warehouse}/{tbl}"))
+        store.rewrite(new_rows, tbl)
     if resolve:
         applied = src.join(still.select("event_id").distinct(), "event_id", "left_anti").select("event_id")
         applied.filter(F.col("event_id").isNotNull()).write.parquet(f"{warehouse}/_resolved/{tbl}/run={uuid.uuid4().hex}")
@@ -263,15 +269,18 @@ def _apply_merge(spark, mapped, entries, tbl, warehouse, batch_id, tenant_scoped
 
 
 def deep_merge(spark: SparkSession, warehouse: str, batch_id: int, registry: dict | None = None,
-               tenant_scoped: bool = True, merge_order: str = "event_time") -> None:
+               tenant_scoped: bool = True, merge_order: str = "event_time", atomic: bool = False) -> None:
     """Resolve pending MERGE rows against the whole table (no horizon).
 
     Run on a slow cadence next to a horizon-bounded stream, with a ``batch_id``
     above the ticks whose pending rows it shall see.  It leaves the pending
     versions to the stream and records the events it has applied instead,
-    which later ticks leave out; applying one twice changes nothing.
+    which later ticks leave out; applying one twice changes nothing.  On a
+    warehouse of snapshots (``atomic``) it commits one under its ``batch_id``,
+    which must then be a number that no tick uses.
     """
     registry = REGISTRY if registry is None else registry
+    store = (ST.Snapshot if atomic else ST.InPlace)(spark, warehouse, batch_id)
     empty = spark.createDataFrame([], "id string, time string, type string, tenantid string, caseid string, "
                                       "data string")
     for tbl in sorted({e.table for e in registry.values() if e.is_merge}):
@@ -280,7 +289,8 @@ def deep_merge(spark: SparkSession, warehouse: str, batch_id: int, registry: dic
         entries = sorted((e for e in registry.values() if e.table == tbl and e.is_merge), key=lambda e: e.event_type)
         for key in sorted({e.merge_key for e in entries}):
             group = [e for e in entries if e.merge_key == key]
-            _apply_merge(spark, empty, group, tbl, warehouse, batch_id, tenant_scoped, merge_order, None, resolve=True)
+            _apply_merge(store, empty, group, tbl, tenant_scoped, merge_order, resolve=True)
+    store.commit()
 
 
 def bronze_stream(spark: SparkSession, root: str, max_files: int = MAX_FILES_PER_TRIGGER,
@@ -298,7 +308,7 @@ def bronze_stream(spark: SparkSession, root: str, max_files: int = MAX_FILES_PER
          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record"))
     if archive_dir:
         r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    df = r.json(root).withColumn("s3_key", F.col("_metadata.file_path"))
+    df = with_file(r.json(root))
     if dedup_watermark:
         # malformed rows keep a unique key and the file's hour as event time
         hour = F.make_timestamp(F.col("year"), F.col("month"), F.col("day"), F.col("hour"), F.lit(0), F.lit(0))
