@@ -171,10 +171,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, leas
     return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated documents (every column and clean row stays)."""
-    bad = contaminated(docs.filter("doc_id IS NOT NULL"), benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 32, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` in whose text no benchmark item stands, with all their columns.
+
+    Each row is judged by its own text, in one pass and without a shuffle: a row
+    with a NULL or repeated doc_id stays or goes like any other.
+    """
+    short_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def without(shared):
+        def run(batches):
+            block = Block(shared.value, rate, least)
+            for b in batches:
+                stays = [next(iter(block.find(normal(text.as_py()))), None) is None for text in b.column(at)]
+                yield b.filter(pa.array(stays, pa.bool_()))
+        return run
+    out = docs
+    for items in blocks_of(benchmark, block_chars):
+        out = out.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    return out
 
 
 __all__ = ["clean", "contaminated", "myers", "normal", "pieces_of"]

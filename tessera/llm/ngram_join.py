@@ -23,7 +23,8 @@ Jaccard similarity of ``percent`` / 100 or more.  Exact:
    pair once.  A signature holds, for each of 256 classes of shingles, whether
    the set has an odd number of them: where two signatures differ, a shingle
    stands in one set only, so the differing bits never exceed the symmetric
-   difference and no true link is lost.
+   difference and no true link is lost.  Pairs that pass are compared by sketches
+   of the same kind, whose width grows with the set (a quarter byte a shingle).
 
 Which shingles count as frequent, and the boundary, only steer the cost: both
 come from counts over all documents.
@@ -57,7 +58,7 @@ def need(n: int, percent: int) -> int:
 
 
 SIGNATURE = ("s0", "s1", "s2", "s3")            # 256 parity bits of a set
-SCAN = "kind int, id long, n long, k1 long, k2 long, " + ", ".join(f"{s} long" for s in SIGNATURE)
+SCAN = "kind int, id long, n long, k1 long, k2 long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", sketch binary"
 DOCUMENT, REPEAT, SLICE = range(3)
 
 
@@ -67,10 +68,27 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set in a power of two of at least two classes a shingle."""
+    width = max(256, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 256
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the wider one folded to the other's width: at most the symmetric difference."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def scan_sets(texts: DataFrame, width: int) -> DataFrame:
     """One pass over all texts, three kinds of rows.
 
-    ``DOCUMENT``: id, set size, 128-bit key and signature of the set.  ``REPEAT``: a shingle
+    ``DOCUMENT``: id, set size, 128-bit key, signature and sketch of the set.  ``REPEAT``: a shingle
     and how many sets of a task's batch hold it, two or more.  ``SLICE``: the
     same for every shingle of one hash slice in 256, for the cost estimate.
     """
@@ -82,13 +100,14 @@ def scan_sets(texts: DataFrame, width: int) -> DataFrame:
             for kind, some in ((REPEAT, times > 1), (SLICE, tokens & np.uint64(255) == 0)):
                 m = int(some.sum())
                 yield _scan_batch(np.full(m, kind), tokens[some].view(np.int64), times[some], np.zeros(m, np.int64), np.zeros(m, np.int64),
-                                  np.zeros((m, 4), np.int64))
+                                  np.zeros((m, 4), np.int64), [None] * m)
         for b in batches:
-            n, k1, k2, marks = [], [], [], []
+            n, k1, k2, marks, sketches = [], [], [], [], []
             for s in shingle_sets(b.column("text"), width):
                 n.append(len(s))
                 k1.append(int(mix64(s).sum(dtype=np.uint64)))
                 marks.append(signature(s))
+                sketches.append(sketch(s))
                 k2.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x632BE59BD9B4E019)))) if len(s) else 0)
                 held.append(s)
                 size += len(s)
@@ -96,16 +115,16 @@ def scan_sets(texts: DataFrame, width: int) -> DataFrame:
                     yield from counts()
                     held, size = [], 0
             yield _scan_batch(np.full(len(n), DOCUMENT), b.column("doc_id"), n, np.array(k1, np.uint64).view(np.int64),
-                              np.array(k2, np.uint64).view(np.int64), np.array(marks, np.int64).reshape(-1, 4))
+                              np.array(k2, np.uint64).view(np.int64), np.array(marks, np.int64).reshape(-1, 4), sketches)
         if size:
             yield from counts()
     return texts.select("doc_id", "text").mapInArrow(run, SCAN)
 
 
-def _scan_batch(kind, id_, n, k1, k2, marks) -> pa.RecordBatch:
+def _scan_batch(kind, id_, n, k1, k2, marks, sketches) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kind, pa.int32()), id_ if isinstance(id_, pa.Array) else pa.array(id_), pa.array(n, pa.int64()),
-                            pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(marks[:, i], pa.int64()) for i in range(4))],
-                           names=["kind", "id", "n", "k1", "k2", *SIGNATURE])
+                            pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(marks[:, i], pa.int64()) for i in range(4)), pa.array(sketches, pa.binary())],
+                           names=["kind", "id", "n", "k1", "k2", *SIGNATURE, "sketch"])
 
 
 def frequent_bits(scan: DataFrame) -> np.ndarray:
@@ -206,6 +225,19 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that their sketches (``doc_id, n, sketch``) leave possible."""
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+
+    def run(batches):
+        for batch in batches:
+            na, nb, ka, kb = (batch.column(c).to_pylist() for c in ("na", "nb", "ka", "kb"))
+            fits = [(100 + percent) * differing(x, y) <= (100 - percent) * (n + m) for n, m, x, y in zip(na, nb, ka, kb)]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
+
+
 def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id, text`` of (at least) the documents in ``ids``: a fixed-size bit table filters the scan."""
     spark = docs.sparkSession
@@ -268,6 +300,7 @@ def link_classes(texts: DataFrame, scan: DataFrame, member: DataFrame, width: in
         "key", "doc_id", "n", "pos", "pairs", *SIGNATURE, F.col("doc_id").alias("comp"),
         F.when(F.col("pairs") | F.col("c").isNull(), 0).otherwise(prefix - F.col("c")).cast("int").alias("solo"),
         (F.col("pairs") | (F.col("n") > boundary)).alias("leads"))
+    sketches = scan.filter(F.col("kind") == DOCUMENT).select(F.col("id").alias("doc_id"), "n", "sketch")
     edges, label, pivots = spark.createDataFrame([], "a long, b long"), None, 1
     tried = edges
     while True:
@@ -285,8 +318,9 @@ def link_classes(texts: DataFrame, scan: DataFrame, member: DataFrame, width: in
                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = materialize(found.join(tried, ["a", "b"], "left_anti"), "candidates")
         tried = tried.unionByName(found)
-        ids = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
-        links = materialize(verify(found, candidate_texts(texts, ids), width, percent), "links")
+        likely = materialize(plausible(found, sketches, percent), "likely")
+        ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+        links = materialize(verify(likely, candidate_texts(texts, ids), width, percent), "links")
         open_ = open_.join(lead.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
         if not links.isEmpty():
             edges = edges.unionByName(links)

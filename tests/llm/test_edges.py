@@ -113,3 +113,16 @@ def test_stages_keep_the_columns(spark, docs, bench, tmp_path):
         elif name == "sharding":
             assert ids == {None, *IDS} and out.count() == len(ROWS)
         assert stage(spark, docs.filter(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_rows_stay_or_go_by_their_own_text(spark, bench, tmp_path):
+    """Repeated and missing doc_ids: a clean row outlives a bad one of the same id, and a bad row without an id goes."""
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    other = "quite another text that has nothing in common with any of the others here"
+    rows = [(1, LEAK, "en", "a", 1), (1, other, "en", "a", 2), (None, f"x {LEAK} y", "en", "a", 3), (None, other, "en", "a", 4), (2, other, "en", "a", 5), (None, "short", "en", "a", 6)]
+    docs = spark.createDataFrame([(*r, *("mine" for _ in CLASH)) for r in rows], SCHEMA).repartition(2)
+    stages = dict(corpus_pipeline.STAGES)
+    left = sorted(r["n_chars"] for r in stages["decontamination"](spark, docs, str(tmp_path)).collect())
+    assert left == [2, 4, 5, 6]
+    kept = sorted(r["n_chars"] for r in stages["near duplicates"](spark, docs, str(tmp_path)).collect())
+    assert kept == [1, 2, 6]                                  # of each group the row of doc_id 1; 8 of 10 shingles link 1 and 3

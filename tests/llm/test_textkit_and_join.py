@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm.ngram_join import MIN_SIZE, need, ngram_jaccard_join
+from tessera.llm import ngram_join
+from tessera.llm.ngram_join import MIN_SIZE, differing, need, ngram_jaccard_join, signature, sketch
 from tessera.llm.shared import bitmap, components, has_bit
 from tessera.llm.textkit import ascii_lower, shingle_sets
 
@@ -129,3 +130,46 @@ def test_components_and_bits(spark):
     hashes = np.array([rnd.getrandbits(64) for _ in range(500)], np.uint64)
     table = bitmap(spark.createDataFrame([(int(h),) for h in hashes[:250].view(np.int64)], "h long"), "h")
     assert has_bit(table, hashes[:250]).all() and not has_bit(table, hashes[250:]).all()
+
+
+def test_signatures_never_differ_in_more_bits_than_the_sets():
+    rnd = np.random.default_rng(7)
+    for _ in range(300):
+        n, m = rnd.integers(1, 3000, 2)
+        both = rnd.integers(0, min(n, m) + 1)
+        s = np.unique(rnd.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = s[:n], s[n - both:n - both + m]
+        apart = len(np.setxor1d(a, b))
+        bits = sum(int(x).bit_count() for x in (signature(a) ^ signature(b)).view(np.uint64))
+        assert bits <= apart and differing(sketch(a), sketch(b)) <= apart and differing(sketch(b), sketch(a)) <= apart
+    a, far = np.unique(rnd.integers(0, 2**63, (2, 4000), dtype=np.uint64), axis=1)
+    assert 180 * differing(sketch(a), sketch(far)) > 20 * (len(a) + len(far))      # unrelated sets of any size are told apart
+
+
+@pytest.mark.parametrize("edits", [6, 14])
+def test_groups_of_near_copies_cost_few_verified_pairs(spark, monkeypatch, edits):
+    """Near copies of one text that link with few others (6 edits: just below 80 percent) or none (14: well below)."""
+    rnd, counted = random.Random(edits), {}
+    base = [f"b{i}" for i in range(260)]
+    write = ngram_join.materialize
+
+    def counting(df, name):
+        out = write(df, name)
+        counted[name] = counted.get(name, 0) + (out.count() if name in ("candidates", "likely") else 0)
+        return out
+    monkeypatch.setattr(ngram_join, "materialize", counting)
+    pairs = []
+    for size in (300, 900):
+        docs = []
+        for k in range(size):
+            words = list(base)
+            for at in rnd.sample(range(260), edits):
+                words[at] = f"e{k}x{at}"
+            docs.append((k, " ".join(words)))
+        counted.clear()
+        df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], SCHEMA).repartition(4)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(df).collect()}
+        if size == 300:
+            assert got == brute(docs)
+        pairs.append((counted["candidates"], counted["likely"]))
+    assert pairs[1][1] <= 4 * max(pairs[0][1], 900) and pairs[1][0] <= 20 * 900
