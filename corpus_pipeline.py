@@ -28,15 +28,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return restore(language.identify(plain, model).filter("NOT rejected"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` plus a ``_row`` that names each row: its doc_id, or a number written down with it where doc_ids repeat or are NULL."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of linked documents."""
-    groups = ngram_join.ngram_jaccard_join(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that of the smallest doc_id, of each group of linked texts.
+
+    Rows are told apart by their own number, not by doc_id: rows that repeat a
+    doc_id or have none stay or go by their own text.  A NULL doc_id comes last
+    in its group; of rows with an equal doc_id any one stays.
+    """
+    plain, restore = set_aside(docs)
+    rows = numbered(plain)
+    groups = ngram_join.ngram_jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    gone = groups.join(first.select("_row"), "_row", "left_anti").select("_row")
+    return restore(rows.join(gone, "_row", "left_anti"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Rows in whose own text no benchmark item stands, whatever their doc_id."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
