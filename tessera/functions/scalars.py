@@ -106,14 +106,4 @@ def lookup(mapping: dict, key, default=None) -> Column:
     return F.coalesce(out, F.lit(default)) if default is not None else out
 
 
-def ipv4_to_long(ip) -> Column:
-    """Dotted IPv4 text -> unsigned 32-bit value as long (NULL if malformed)."""
-    parts = F.split(_c(ip), r"\.")
-    ok = (F.size(parts) == 4) & _c(ip).rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    val = F.lit(0).cast("long")
-    for i in range(4):
-        val = val * 256 + F.get(parts, i).try_cast("long")
-    return F.when(ok, val)
-
-
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "F")]

@@ -133,20 +133,19 @@ def check(requests: DataFrame, expanded: DataFrame, memberships: DataFrame) -> D
     Allowed when an expanded subject is the user itself, the wildcard
     ``user:*`` (JN15, never expanded), or a userset ``<org>#member`` the user
     belongs to (``memberships(user, relation='member', object=<org>)``).
-    Each request is expanded into its candidate subjects and probed with ONE
-    equi-join on (subject, relation, object); a final aggregate per request
-    folds the hits.
+    Direct and wildcard subjects are one semi-join on (subject, relation,
+    object).  For usersets a request meets the few usersets of its object
+    first, and only those are looked up among the user's memberships, so a
+    user in many groups costs no more than one in few.
     """
-    req = requests.select(*TUPLE_COLS)
-    mem = memberships.filter(F.col("relation") == "member").select(
-        "user", F.concat(F.col("object"), F.lit("#member")).alias("_us"))
-    cand = req.join(mem, "user", "left")
-    # plain array + explode (codegen'd); NULL userset rows are dropped after the explode
-    cand = (cand.select(*TUPLE_COLS, F.explode(F.array(F.col("user"), F.lit(WILDCARD), F.col("_us"))).alias("subject"))
-                .filter(F.col("subject").isNotNull()))
-    hits = expanded.select(F.col("user").alias("subject"), "relation", "object", F.lit(True).alias("_hit"))
-    probed = cand.join(hits, ["subject", "relation", "object"], "left")
-    return probed.groupBy(*TUPLE_COLS).agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("allowed"))
+    req = requests.select(*TUPLE_COLS).distinct()
+    own = req.select(*TUPLE_COLS, F.explode(F.array(F.col("user"), F.lit(WILDCARD))).alias("subject"))
+    direct = own.join(expanded.select(F.col("user").alias("subject"), "relation", "object"), ["subject", "relation", "object"], "left_semi").select(*TUPLE_COLS)
+    sets = expanded.filter(F.col("user").contains("#")).select(F.col("user").alias("_us"), "relation", "object")
+    members = memberships.filter(F.col("relation") == "member").select("user", F.concat(F.col("object"), F.lit("#member")).alias("_us"))
+    through = req.join(sets, ["relation", "object"]).join(members, ["user", "_us"], "left_semi").select(*TUPLE_COLS)
+    all_ = req.withColumn("_hit", F.lit(False)).unionByName(direct.unionByName(through).withColumn("_hit", F.lit(True)))
+    return all_.groupBy(*TUPLE_COLS).agg(F.max("_hit").alias("allowed"))
 
 
 def check_capabilities(requests: DataFrame, tuples: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Rule tables (buckets, lifecycles) are small; Catalyst broadcasts them by
 their size.  The data side is filtered where it lies.  When the data is partitioned by day,
-expiry translates into dropping whole partitions (see :func:`expired_days`).
+expiry drops whole partitions (``operators.storage.drop_expired``).
 """
 
 from __future__ import annotations
@@ -73,12 +73,6 @@ def storage_tier(df: DataFrame, rules: DataFrame, as_of, ts: str = "created_at",
     return j.withColumn("tier", tier).drop("expire_days", "ia_days", "glacier_days")
 
 
-def expired_days(df: DataFrame, day_col: str, keep_days: int, as_of) -> DataFrame:
-    """Day partitions entirely past retention (drop them whole, no row rewrite)."""
-    cut = F.date_sub(F.lit(as_of).cast("date"), keep_days)
-    return df.select(day_col).distinct().filter(F.col(day_col).cast("date") < cut)
-
-
 def purge_list_due(purges: DataFrame, as_of, grace_days: int = TENANT_GRACE_DAYS) -> DataFrame:
     """Tenants whose deletion request is past the grace period."""
     due = F.col("requested_at") + F.expr(f"INTERVAL {int(grace_days)} DAYS") <= F.lit(as_of).cast("timestamp_ntz")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import minus_hours
 from ..plans.dispatch import ENVELOPE_COLS
 
 LOAD_LOG_SCHEMA = T.StructType([
@@ -158,7 +159,7 @@ def load_state(log: DataFrame, as_of=None, hours: int | None = None) -> DataFram
     """
     df = log
     if as_of is not None and hours is not None:
-        lo = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(hours) + 1} HOURS")
+        lo = minus_hours(F.lit(as_of).cast("timestamp"), hours + 1)
         df = df.filter(F.col("copied_at") >= lo)
     cols = [c for c in log.columns if c not in ("event_type", "s3_key")]
     latest = F.max_by(F.struct(*cols), F.struct("copied_at", "tick_id", "status"))

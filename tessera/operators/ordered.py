@@ -71,9 +71,13 @@ def running_total(df: DataFrame, order, weight: str) -> DataFrame:
     return s.join(F.broadcast(offsets), "_pid").select(*cols, (F.col("_off") + F.col("_in")).alias("_before"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles, names=None, extra=()) -> DataFrame:
-    """Continuous quantiles of ``value`` per ``keys`` group, exact, plus the
-    ``extra`` aggregates; one row per group: ``keys + extra + names``.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles, names=None, weighted: dict | None = None) -> DataFrame:
+    """Continuous quantiles of ``value`` per ``keys`` group, exact, plus ``weighted``
+    aggregates; one row per group: ``keys + weighted + names``.
+
+    ``weighted`` maps a name to ``fn(value, count)``, an aggregate over the
+    group's distinct values (NULL is one) and how often each occurs, so that the
+    rows are read once.
 
     ``q`` sits at position ``(n - 1) * q`` of the group's sorted non-NULL
     values, interpolated linearly between the two neighbouring ranks (the
@@ -85,13 +89,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles, names
     its quantiles.  A hot group is spread over as many ranges as it needs.
     """
     names = list(names or [f"_q{i}" for i in range(len(quantiles))])
-    extra = list(extra)
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    v = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    v = running_total(v, [F.col(k) for k in keys] + [F.col("_v")], "_c")
-    group = v.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_first"))
-    group = group.select(*(F.col(k).alias(f"_g_{k}") for k in keys), "_n", "_first")
-    v = v.join(group, [v[k].eqNullSafe(group[f"_g_{k}"]) for k in keys])
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    v = running_total(v, [F.col(k) for k in keys] + [F.col("_v").asc_nulls_first()], "_c")
+    known = F.col("_v").isNotNull()
+    group = v.groupBy(*keys).agg(F.sum(F.when(known, F.col("_c"))).alias("_n"), F.min(F.when(known, F.col("_before"))).alias("_first"),
+                                 *(fn(F.col("_v"), F.col("_c")).alias(name) for name, fn in (weighted or {}).items()))
+    ranks = group.select(*(F.col(k).alias(f"_g_{k}") for k in keys), "_n", "_first")
+    v = v.filter(known).join(ranks, [v[k].eqNullSafe(ranks[f"_g_{k}"]) for k in keys])
     lo = F.col("_before") - F.col("_first")
 
     def at(rank):
@@ -103,9 +107,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles, names
     found = v.groupBy(*keys).agg(*picks)
     found = found.select(*(F.col(k).alias(f"_q_{k}") for k in keys),
                          *[(F.col(f"_lo{i}") + F.col(f"_d{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm) for i, nm in enumerate(names)])
-    rows = df.groupBy(*keys).agg(*extra, F.count(F.lit(1)).alias("_rows"))
-    j = rows.join(found, [rows[k].eqNullSafe(found[f"_q_{k}"]) for k in keys], "left")
-    return j.select(*[c for c in rows.columns if c != "_rows"], *names)
+    j = group.join(found, [group[k].eqNullSafe(found[f"_q_{k}"]) for k in keys], "left")
+    return j.select(*keys, *(weighted or {}), *names)
 
 
 __all__ = ["global_index", "group_rank", "running_total", "exact_quantiles"]

@@ -39,17 +39,15 @@ def metric_series(samples: DataFrame, period: str, key: str = "sli", exact: bool
     """AGG7/AGG8/STR4: count + percentiles per key per tumbling window.
 
     ``exact=True`` takes the order statistics from ``ordered.exact_quantiles``
-    (equals DuckDB ``quantile_cont``): one grouped aggregate while every
-    (key, window) is within the measured group limit, else range partitions,
-    so a hot (key, window) is spread over many tasks instead of one task
-    holding all its values.  ``exact=False`` uses ``percentile_approx``,
+    (equals DuckDB ``quantile_cont``): values are counted along range
+    partitions, so a hot (key, window) is spread over many tasks instead of
+    one task holding all its values.  ``exact=False`` uses ``percentile_approx``,
     whose partial state is a fixed-size sketch per group.
     """
     names = [stat_column(f"p{100 * x:.10g}") for x in quantiles]
     d = samples.select(key, F.window("ts", period).getField("start").alias("window_start"), "value")
     if exact:
-        df = exact_quantiles(d, [key, "window_start"], "value", quantiles, names,
-                             extra=[F.count(F.lit(1)).alias("n")])
+        df = exact_quantiles(d, [key, "window_start"], "value", quantiles, names, weighted={"n": lambda v, c: F.sum(c)})
     else:
         q = F.array(*[F.lit(x) for x in quantiles])
         df = (d.groupBy(key, "window_start")
@@ -58,6 +56,39 @@ def metric_series(samples: DataFrame, period: str, key: str = "sli", exact: bool
     return df.select(key, "window_start", "n", *[F.round(F.col(nm).cast("double"), digits).alias(nm) for nm in names])
 
 
+SKETCH_K = 200                       # size of a KLL sketch
+SKETCH_RANK_ERROR = 0.0165           # of its quantiles, in ranks, with 99 % confidence
+
+
+def sketch_series(samples: DataFrame, period: str = "5 minutes", key: str = "sli", k: int = SKETCH_K) -> DataFrame:
+    """AGG7/AGG9: ``key, window_start, n, sketch``: a mergeable KLL sketch of the values per key and window.
+
+    A sketch holds a few hundred numbers whatever its samples are, is combined
+    map-side, and adds up over windows, days or re-read files.  Its quantiles
+    are off by at most ``SKETCH_RANK_ERROR`` of the ranks; ``metric_series`` is
+    the exact path.
+    """
+    d = samples.select(key, F.window("ts", period).getField("start").alias("window_start"), F.col("value").cast("double").alias("_v"))
+    return d.groupBy(key, "window_start").agg(F.count("_v").alias("n"), F.kll_sketch_agg_double("_v", F.lit(k)).alias("sketch"))
+
+
+def rolling_sketches(series: DataFrame, minutes: int, step_minutes: int = 5, key: str = "sli") -> DataFrame:
+    """The sketches of ``minutes`` long windows that begin every ``step_minutes``, merged from a series of that step."""
+    steps = minutes // step_minutes
+    back = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_k")
+    spread = series.select("*", back)
+    start = F.col("window_start") - F.make_dt_interval(mins=F.col("_k") * step_minutes)
+    return spread.select(key, start.alias("window_start"), "n", "sketch").groupBy(key, "window_start").agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(series: DataFrame, quantiles=(0.5, 0.95, 0.99)) -> DataFrame:
+    """The quantiles of a series of sketches, named like those of ``metric_series``."""
+    names = [stat_column(f"p{100 * x:.10g}") for x in quantiles]
+    return series.select(*[c for c in series.columns if c != "sketch"],
+                         *(F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(n) for q, n in zip(quantiles, names)))
+
+
 def error_rate(requests: DataFrame, window_minutes: int, is_error: Column, ts: str = "ts") -> DataFrame:
     """JN12/AGG10: errors and requests of the same window in ONE aggregate
     (conditional count) -> ``IF(req = 0, 0, errs / req)``; no self-join."""
@@ -69,40 +100,49 @@ def error_rate(requests: DataFrame, window_minutes: int, is_error: Column, ts: s
                      "requests", "errors", rate.alias("error_rate"))
 
 
+def coarser_rate(rates: DataFrame, window_minutes: int) -> DataFrame:
+    """AGG10 over a longer window, added up from ``error_rate`` of a window that divides it: the requests are read once."""
+    w = F.window("window_start", f"{int(window_minutes)} minutes")
+    df = rates.groupBy(w.alias("w")).agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"))
+    rate = F.when(F.col("requests") == 0, F.lit(0.0)).otherwise(F.col("errors") / F.col("requests"))
+    return df.select(F.lit(window_minutes).alias("window_minutes"), F.col("w.start").alias("window_start"),
+                     "requests", "errors", rate.alias("error_rate"))
+
+
 def stat_column(stat: str) -> str:
     """Column name of a statistic (``p99.9`` becomes ``p99_9``)."""
     return stat.lower().replace(".", "_")
 
 
-def _stat(stat: str, cents: bool = False) -> Column:
-    """One statistic of ``value``.  ``cents=True`` sums exact integer hundredths
-    (for 2-decimal money/latency values) so the result does not depend on the
+def _stat(stat: str, cents: bool, v: Column, count: Column) -> Column:
+    """One statistic of values ``v`` that occur ``count`` times each.  ``cents=True`` sums exact integer
+    hundredths (for 2-decimal money/latency values) so the result does not depend on the
     order in which partial sums are combined."""
-    v = F.col("value")
     s = stat.lower()
-    exact = F.round(v * 100).cast("long")
+    total = F.sum(F.round(v * 100).cast("long") * count) / 100.0 if cents else F.sum(v * count)
+    n = F.sum(F.when(v.isNotNull(), count))
     if s == "average":
-        return (F.sum(exact) / F.count(v)) / 100.0 if cents else F.avg(v)
+        return F.sum(F.round(v * 100).cast("long") * count) / n / 100.0 if cents else total / n
     if s == "sum":
-        return F.sum(exact) / 100.0 if cents else F.sum(v)
+        return total
     if s == "minimum":
         return F.min(v)
     if s == "maximum":
         return F.max(v)
     if s == "samplecount":
-        return F.count(v).cast("double")
+        return F.coalesce(n, F.lit(0)).cast("double")
     raise ValueError(stat)
 
 
-def _with_stats(df: DataFrame, keys: list, stats, cents: bool = False, extra=()) -> DataFrame:
-    """One row per ``keys`` with every requested statistic: decomposable ones
-    as partial aggregates, ``pNN`` percentiles through ``exact_quantiles``
-    (size-checked: one aggregate, or range partitions for hot groups)."""
-    plain = [_stat(x, cents).alias(stat_column(x)) for x in stats if not x.lower().startswith("p")]
+def _with_stats(df: DataFrame, keys: list, stats, cents: bool = False) -> DataFrame:
+    """One row per ``keys`` with every requested statistic of ``value``: decomposable ones
+    as partial aggregates, ``pNN`` percentiles through ``exact_quantiles``."""
+    plain = [x for x in stats if not x.lower().startswith("p")]
     ps = sorted({x.lower() for x in stats if x.lower().startswith("p")})
     if not ps:
-        return df.groupBy(*keys).agg(*extra, *plain)
-    return exact_quantiles(df, keys, "value", [float(x[1:]) / 100.0 for x in ps], [stat_column(x) for x in ps], extra=[*extra, *plain])
+        return df.groupBy(*keys).agg(*(_stat(x, cents, F.col("value"), F.lit(1)).alias(stat_column(x)) for x in plain))
+    weighted = {stat_column(x): (lambda v, c, x=x: _stat(x, cents, v, c)) for x in plain}
+    return exact_quantiles(df, keys, "value", [float(x[1:]) / 100.0 for x in ps], [stat_column(x) for x in ps], weighted=weighted)
 
 
 def stat_switch(samples: DataFrame, definitions: DataFrame, period: str, cents: bool = False) -> DataFrame:
@@ -114,7 +154,7 @@ def stat_switch(samples: DataFrame, definitions: DataFrame, period: str, cents:
     stats = [r["s"] for r in definitions.select(F.lower("stat").alias("s")).distinct().orderBy("s").collect()]   # config rows
     d = samples.select("metric", F.window("ts", period).getField("start").alias("period_start"), "value")
     agg = _with_stats(d, ["metric", "period_start"], stats, cents)
-    joined = agg.join(F.broadcast(definitions), "metric")
+    joined = agg.join(definitions, "metric")
     pick = F.lit(None).cast("double")
     for s in stats:
         pick = F.when(F.lower(F.col("stat")) == s, F.col(stat_column(s))).otherwise(pick)
@@ -144,8 +184,7 @@ def alarm_datapoints(samples: DataFrame, alarms: DataFrame, stats=("average", "s
     s = s.withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 / F.col("period_s")))
     # only the statistics some alarm asks for (exact percentiles are costly)
     stat_names = sorted({x.lower() for x in stats})
-    g = _with_stats(s.select("alarm_id", "bucket", "stat", "value"), ["alarm_id", "bucket"], stat_names,
-                    extra=[F.first("stat").alias("stat")])
+    g = _with_stats(s.select("alarm_id", "bucket", "stat", "value"), ["alarm_id", "bucket", "stat"], stat_names)   # one stat an alarm
     pick = F.lit(None).cast("double")
     for x in stat_names:
         pick = F.when(F.lower(F.col("stat")) == x, F.col(stat_column(x))).otherwise(pick)

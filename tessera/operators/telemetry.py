@@ -149,15 +149,14 @@ def message_raw(message: Column, limit: int = MESSAGE_RAW_IGNORE_ABOVE) -> Colum
     return F.when(F.length(message) <= limit, message)
 
 
-def compact(spark, path: str, out_path: str, target_file_bytes: int = 256 << 20, row_bytes: int = 512) -> None:
-    """DML8: rewrite a closed partition into few large files.
+def compact(spark, path: str, out_path: str, target_file_bytes: int = 256 << 20) -> None:
+    """DML8: rewrite one folder of files into few large ones elsewhere.
 
-    The file count is derived from the partition's size on storage (the
-    ``_metadata.file_size`` of its files, one small aggregate), not from
-    collecting rows; the rewrite is one shuffle into that many files.
+    The file count is derived from the folder's size in the file listing; the
+    rewrite is one shuffle into that many files.  ``storage.compact_files``
+    merges the small files of partitioned folders in place.
     """
-    df = spark.read.parquet(path)
-    size = (df.select("_metadata.file_path", "_metadata.file_size").distinct()
-              .agg(F.sum("file_size")).first()[0] or 0)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
     n = max(1, int(-(-size // target_file_bytes)))
-    df.repartition(n).write.mode("overwrite").option("compression", "zstd").parquet(out_path)
+    spark.read.parquet(path).repartition(n).write.mode("overwrite").option("compression", "zstd").parquet(out_path)

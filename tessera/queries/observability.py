@@ -84,14 +84,12 @@ def error_rate_burn(spark, sf_dir):
     """AGG10-12 + JN12: error rate over 60/360-minute windows vs the burn thresholds."""
     ev = events(spark, sf_dir)
     is_err = F.col("event_type") == "error"
-    out = None
-    for minutes, thr in ((SLO["fast_burn_window_minutes"], _FAST), (SLO["slow_burn_window_minutes"], _SLOW)):
-        r = S.error_rate(ev, minutes, is_err).select(
-            "window_minutes", "window_start", "requests", "errors",
-            F.col("error_rate"), F.lit(thr).alias("threshold"),
-            (F.col("error_rate") > F.lit(thr)).alias("burning"), F.lit(_BUDGET).alias("budget_minutes"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    fast = S.error_rate(ev, SLO["fast_burn_window_minutes"], is_err)
+    slow = S.coarser_rate(fast, SLO["slow_burn_window_minutes"])
+    thr = F.when(F.col("window_minutes") == SLO["fast_burn_window_minutes"], F.lit(_FAST)).otherwise(F.lit(_SLOW))
+    return fast.unionByName(slow).select(
+        "window_minutes", "window_start", "requests", "errors", "error_rate", thr.alias("threshold"),
+        (F.col("error_rate") > thr).alias("burning"), F.lit(_BUDGET).alias("budget_minutes"))
 
 
 ALARMS = [

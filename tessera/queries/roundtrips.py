@@ -307,6 +307,28 @@ def dedup_stream(spark, sf_dir):
     return out.groupBy("event_type").agg(F.count("event_id").alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
 
 
+@binding("replay_stream", sql="""
+WITH RECURSIVE m AS (
+  SELECT user_id, json_extract_string(props, '$.k') AS nonce, epoch_us(ts) AS sent,
+         epoch_us(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT))) AS us FROM events),
+g AS (SELECT user_id, coalesce(user_id || '/' || nonce, 'u' || user_id) AS key, us FROM m WHERE abs(us - sent) <= 300000000),
+acc AS (SELECT user_id, key, min(us) AS us FROM g GROUP BY 1, 2
+        UNION ALL
+        SELECT a.user_id, a.key, (SELECT min(g.us) FROM g WHERE g.key = a.key AND g.us >= a.us + 600000000) FROM acc a WHERE a.us IS NOT NULL)
+SELECT user_id, count(us) AS n, min(us) AS first_us, max(us) AS last_us FROM acc GROUP BY 1
+""")
+def replay_stream(spark, sf_dir):
+    """FIL12/STR7 as a stream: the messages accepted of every user."""
+    messages = events(spark, sf_dir).select(
+        "event_id", "user_id", F.get_json_object("props", "$.k").alias("nonce"), F.col("ts").alias("sent"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("value").cast("decimal(18,6)"))).alias("received"))
+    stream, path = _stream(spark, messages, "replay"), _folder(spark, "replay-out")
+    ST.start_replay_guard(stream, "user_id", "nonce", "sent", "received", path, _folder(spark, "replay-state"), available_now=True).awaitTermination()
+    us = F.unix_micros(F.col("received").cast("timestamp"))
+    return spark.read.schema(stream.schema).parquet(path).groupBy("user_id").agg(
+        F.count("event_id").alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+
+
 @binding("dead_letter_stream", sql="""
 SELECT CAST(user_id AS VARCHAR) AS message_id, count(*) AS receive_count, true AS dead FROM events GROUP BY 1 HAVING count(*) > 5
 """)

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import slo as S
+from ..operators import storage
 from ..plans.dispatch import FactDispatch, make_registry
 from ..plans.observability import Alarm
 from ..session import materialize, shared_path, table
@@ -213,3 +215,92 @@ def alarm_stream(spark, sf_dir):
         start_alarm_stream(spark, stream, STREAM_ALARMS, f"{base}/out", state_path=f"{base}/state", checkpoint=f"{base}/checkpoint",
                            available_now=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch").withColumn("value", F.floor("value"))
+
+
+@binding("sketch_quantiles", sql="""
+WITH s AS (SELECT event_type AS sli, date_trunc('hour', ts) AS hour FROM events),
+w AS (SELECT sli, hour - to_hours(CAST(k AS INTEGER)) AS window_start FROM s, (SELECT unnest(range(6)) AS k))
+SELECT sli, window_start, count(*) AS n, true AS p50_fits, true AS p95_fits, true AS p99_fits FROM w GROUP BY 1, 2
+""")
+def sketch_quantiles(spark, sf_dir):
+    """AGG7/AGG9: rolling 6-hour quantiles from hourly KLL sketches; every one is held against the exact ranks of its window."""
+    samples = events(spark, sf_dir).select(F.col("event_type").alias("sli"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    rolled = S.sketch_quantiles(S.rolling_sketches(S.sketch_series(samples, "1 hour"), 360, 60))
+    hour = F.date_trunc("hour", "ts")
+    back = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")
+    wide = samples.select("sli", hour.alias("hour"), "value", back)
+    wide = wide.select("sli", (F.col("hour") - F.make_dt_interval(hours=F.col("k"))).alias("window_start"), "value")
+    ranks, fits = [], []
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        ranks += [F.count_if(F.col("value") < F.col(name)).alias(f"{name}_below"), F.count_if(F.col("value") <= F.col(name)).alias(f"{name}_upto")]
+        slack = q * F.col("n") + F.lit(1) + F.lit(S.SKETCH_RANK_ERROR) * F.col("n")
+        least = q * F.col("n") - F.lit(1) - F.lit(S.SKETCH_RANK_ERROR) * F.col("n")
+        fits.append(((F.col(f"{name}_below") <= slack) & (F.col(f"{name}_upto") >= least)).alias(f"{name}_fits"))
+    held = wide.join(rolled, ["sli", "window_start"]).groupBy("sli", "window_start", "n").agg(*ranks)
+    return held.select("sli", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", *fits)
+
+
+# ------------------------------------------------------------ stored files
+
+def _stored_events(spark, sf_dir):
+    """Events written by six runs of the day, so a folder (type, day) holds up to six small files."""
+    root = shared_path(spark, "stored-events", uuid.uuid4().hex)
+    ev = events(spark, sf_dir).select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "ts", "value")
+    for run in range(6):
+        part = ev.filter(F.floor(F.hour("ts") / 4) == run).repartition("event_type", "day")
+        part.write.mode("append").partitionBy("event_type", "day").parquet(root)
+    return root
+
+
+@binding("compact_stored", sql="""
+SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS row_count, sum(event_id)::BIGINT AS ids, count(DISTINCT hour(ts) // 4) AS files_before,
+       CASE WHEN CAST(ts AS DATE) < DATE '2024-01-25' THEN 1 ELSE count(DISTINCT hour(ts) // 4) END AS files_after
+FROM events GROUP BY 1, 2
+""")
+def compact_stored(spark, sf_dir):
+    """DML8: the small files of closed days merged in place; rows and files of every folder."""
+    root = _stored_events(spark, sf_dir)
+
+    def files(name):
+        return materialize(storage.list_files(spark, root).groupBy("event_type", "day").agg(F.count(F.lit(1)).alias(name)), "listing")
+    before = files("files_before")
+    storage.compact_files(spark, root, F.col("day") < F.lit("2024-01-25").cast("date"))
+    rows = spark.read.parquet(root).groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("row_count"), F.sum("event_id").alias("ids"))
+    return rows.join(before, ["event_type", "day"]).join(files("files_after"), ["event_type", "day"])
+
+
+@binding("expire_stored", sql="""
+WITH f AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, day, CASE WHEN day >= DATE '2024-01-31' - 14 THEN 'kept' WHEN event_type = 'error' THEN 'held' ELSE 'dropped' END AS outcome,
+       CASE WHEN day >= DATE '2024-01-31' - 14 OR event_type = 'error' THEN n ELSE 0 END AS rows_left FROM f
+""")
+def expire_stored(spark, sf_dir):
+    """DML6/DML9: folders older than 14 days are dropped whole, those under hold (errors) stay."""
+    root = _stored_events(spark, sf_dir)
+    holds = events(spark, sf_dir).filter("event_type = 'error'").select("event_type").distinct()
+    out = storage.drop_expired(spark, root, F.col("day"), 14, "2024-01-31", holds)
+    left = spark.read.parquet(root).groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("rows_left"))
+    return out.join(left, ["event_type", "day"], "left").select("event_type", "day", "outcome", F.coalesce("rows_left", F.lit(0)).alias("rows_left"))
+
+
+@binding("purge_stored", sql="""
+WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_totalprice,
+                  o_orderstatus <> 'P' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) AS gone FROM orders)
+SELECT month, CASE WHEN count_if(gone) = 0 THEN 'kept' WHEN count_if(gone) = count(*) THEN 'dropped' ELSE 'rewritten' END AS outcome,
+       count(*) AS row_count, count_if(gone) AS purged, count_if(NOT gone) AS rows_left,
+       CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (NOT gone), 0) AS BIGINT) AS cents_left
+FROM o GROUP BY month
+""")
+def purge_stored(spark, sf_dir):
+    """DML11: orders stored a file a month; the customers of one nation are purged, orders in progress are held."""
+    root = shared_path(spark, "stored-orders", uuid.uuid4().hex)
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("m"), F.date_format("o_orderdate", "yyyy-MM")).alias("month"), "o_orderkey",
+                                                   F.col("o_custkey").alias("tenant_id"), "o_orderstatus", "o_totalprice")
+    orders.repartition("month").write.partitionBy("month").parquet(root)
+    gone = table(spark, sf_dir, "customer").filter("c_nationkey = 7").select("c_custkey")
+    report = storage.purge_files(spark, root, gone, held=F.col("o_orderstatus") == "P")
+    left = spark.read.parquet(root).groupBy("month").agg(F.count(F.lit(1)).alias("rows_left"),
+                                                         F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents_left"))
+    return report.join(left, "month", "left").select(
+        F.substring("month", 2, 7).alias("month"), "outcome", F.col("rows").alias("row_count"), "purged",
+        F.coalesce("rows_left", F.lit(0)).alias("rows_left"), F.coalesce("cents_left", F.lit(0)).alias("cents_left"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import minus_hours
+
 ENVELOPE_STRUCT = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("time", T.StringType()),
     T.StructField("type", T.StringType()), T.StructField("tenantid", T.StringType()),
@@ -60,7 +62,7 @@ def hour_ts(df_or_none=None) -> Column:
 def lookback_filter(ts: Column, as_of, hours: int = 2) -> Column:
     """SRC4: current hour of ``as_of`` and the ``hours`` hours before it (3 by default)."""
     top = F.date_trunc("hour", F.lit(as_of).cast("timestamp_ntz"))
-    lo = top - F.expr(f"INTERVAL {int(hours)} HOURS")
+    lo = minus_hours(top, hours)
     hi = top + F.expr("INTERVAL 1 HOURS")
     return (ts >= lo) & (ts < hi)
 
@@ -75,7 +77,7 @@ def late_report(df: DataFrame, as_of, hours: int = 2, ts: Column | None = None)
     """STR2: rows outside the lookback window, reported per event type and hour
     instead of being silently skipped (the stream itself reads them)."""
     t = ts if ts is not None else hour_ts().cast("timestamp_ntz")
-    top = F.date_trunc("hour", F.lit(as_of).cast("timestamp_ntz")) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    top = minus_hours(F.date_trunc("hour", F.lit(as_of).cast("timestamp_ntz")), hours)
     return (df.filter(t < top).groupBy("event_type", F.date_trunc("hour", t).alias("hour"))
               .agg(F.count(F.lit(1)).alias("late_rows")))
 

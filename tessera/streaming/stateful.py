@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.routing import FIFO_DEDUP_S, REPLAY_TTL_S
+from ..plans.routing import FIFO_DEDUP_S, MAX_CLOCK_SKEW_S, REPLAY_TTL_S
 
 
 def event_time(df: DataFrame, ts: str, out: str = "_et") -> DataFrame:
@@ -105,9 +105,15 @@ def start_dedup_stream(stream: DataFrame, key, ts: str, out_path: str, checkpoin
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def replay_guard_stream(stream: DataFrame, key: str, nonce: str, ts: str, ttl_s: int = REPLAY_TTL_S) -> DataFrame:
-    """STR7: nonce replay guard with a TTL, as a streaming dedup."""
-    return dedup_within(stream, [key, nonce], ts, ttl_s)
+def start_replay_guard(stream: DataFrame, key: str, nonce: str, sent: str, received: str, out_path: str, checkpoint: str,
+                       skew_s: int = MAX_CLOCK_SKEW_S, ttl_s: int = REPLAY_TTL_S, available_now: bool = False):
+    """STR7: stale messages are left out, then replays of a (key, nonce) within ``ttl_s``; written are the accepted ones.
+
+    The batch form is ``operators.limits.replay_guard``; no key's messages stand
+    in one task (see ``start_dedup_stream``).
+    """
+    apart = F.abs(F.unix_micros(F.col(received).cast("timestamp")) - F.unix_micros(F.col(sent).cast("timestamp")))
+    return start_dedup_stream(stream.filter(apart <= skew_s * 1000000), [key, nonce], received, out_path, checkpoint, ttl_s, available_now)
 
 
 def windowed_counts(stream: DataFrame, ts: str, key, window: str, slide: str | None = None,

@@ -40,8 +40,9 @@ def test_exact_quantiles_equal_duckdb(many_ranges):
     df = spark.createDataFrame(rows, "k string, v double")
     qs = [0.0, 0.5, 0.95, 0.99, 1.0]
     out = O.exact_quantiles(df, ["k"], "v", qs, [f"q{i}" for i in range(len(qs))],
-                            extra=[F.count(F.lit(1)).alias("n")]).collect()
+                            weighted={"n": lambda v, c: F.sum(c), "total": lambda v, c: F.sum(v * c)}).collect()
     assert {r["k"]: r["n"] for r in out} == {k: sum(1 for kk, _ in rows if kk == k) for k in {k for k, _ in rows}}
+    assert all(abs((r["total"] or 0) - sum(v or 0 for kk, v in rows if kk == r["k"])) < 1e-6 for r in out)
     assert all(r["q0"] is None for r in out if r["k"] == "only_null")
     got = {r["k"]: tuple(round(r[f"q{i}"], 9) for i in range(len(qs))) for r in out if r["k"] != "only_null"}
     con = duckdb.connect()
