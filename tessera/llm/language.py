@@ -99,9 +99,14 @@ def sample_features(docs: DataFrame, per_language: int, features: int, buckets:
     """``lang, doc_id, picks``: hashed features of a bounded, hash-chosen sample of labelled documents."""
     short_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", F.lit(SEED))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    ids = (docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-               .withColumn("r", rank).filter(F.col("r") <= per_language).select("doc_id"))
+
+    def first(rows, *by):
+        """The first ``per_language`` of every group, in hash order."""
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, "doc_id"))
+        return rows.withColumn("r", rank).filter(F.col("r") <= per_language)
+    # cut in 64 salted parts of a language first: what meets in one task is bounded, whatever the language's share
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
+    ids = first(first(labelled, "lang", "salt"), "lang").select("doc_id")
     rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "lang", "text")
 
     def run(batches):

@@ -22,6 +22,7 @@ from .shared import cleared
 
 WEIGHTS = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
+LENGTH_ODDS = "1D + least(size, 1000) / 1000D"      # longer documents are likelier, up to twice from 1,000 words on
 
 
 def word_count(text: Column) -> Column:
@@ -65,8 +66,8 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
     Documents of a source are taken ``whole`` times, and once more up to
     ``cut``, the (rank, doc_id, size) of the last one of the Pareto sample.
     """
-    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(seed).alias("u"),
-                                   (F.col(odds).cast("double") if odds else F.lit(1.0)).alias("odds")), "mix-rows")
+    sized = docs.withColumn("size", word_count(F.col("text")))
+    rows = materialize(sized.select("doc_id", "source", "size", uniform(seed).alias("u"), odds_of(odds).alias("odds")), "mix-rows")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     ratio = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
     goal = goal.withColumn("whole", F.floor(ratio)).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -90,6 +91,10 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
                 .select("source", "source_size", "target", F.col("whole").cast("long").alias("whole"), "part_odds", "cut"))
 
 
+def odds_of(odds: str | None) -> Column:
+    return F.expr(odds).cast("double") if odds else F.lit(1.0)
+
+
 def rank_value() -> Column:
     """Pareto rank: odds of the document's uniform number over its odds of inclusion."""
     return F.col("u") / (1 - F.col("u")) / (F.col("part_odds") * F.col("odds"))
@@ -103,9 +108,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=
                 seed: str = "mix", blocks: int = 1024) -> DataFrame:
     """``docs`` plus ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (copies * size).
 
-    ``odds`` names a column that multiplies a document's odds of inclusion
-    (unequal probabilities inside a source); by default they differ by source
-    only.  NULL texts have size 0 and take no words; NULL is a source of its
+    ``odds`` is a column, or an SQL expression over ``size`` and the columns of
+    ``docs``, that multiplies a document's odds of inclusion (unequal
+    probabilities inside a source); by default they differ by source only.  NULL texts have size 0 and take no words; NULL is a source of its
     own, sorted last; repeated rows are documents of their own (rows alike in
     id and size go together); a computed column replaces one of the same name.
     No source gives no rows.
@@ -114,10 +119,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=
     docs = cleared(docs, *[m for m in made if m != odds])
     plan = materialize(plan_mix(docs, share, most, weights, odds, seed, blocks), "mix-plan")
     kept = docs.columns
-    weight = (F.col(odds).cast("double") if odds else F.lit(1.0))
     rows = docs.withColumn("size", word_count(F.col("text"))).withColumn("u", uniform(seed))
     rows = rows.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
-    rows = rows.withColumn("q", F.col("u") / (1 - F.col("u")) / (F.col("part_odds") * weight))
+    rows = rows.withColumn("q", F.col("u") / (1 - F.col("u")) / (F.col("part_odds") * odds_of(odds)))
     more = (F.col("size") > 0) & F.coalesce(rank_key("q") <= F.col("cut"), F.lit(False))
     return (rows.withColumn("copies", F.least(F.col("whole") + more.cast("long"), F.lit(int(most))))
                 .withColumn("taken", F.col("copies") * F.col("size"))

@@ -12,7 +12,7 @@ from .imatch import fingerprint_documents
 from .language import held_out, identify, train
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
-from .mixing import mix_sources
+from .mixing import LENGTH_ODDS, mix_sources
 from .ngram_join import ngram_jaccard_join
 from .secret_scan import scan_secrets, spans_text
 from .sharding import shard_by_bytes
@@ -53,7 +53,7 @@ def op5_license_scan(spark, sf_dir):
 
 
 def op6_mix_sources(spark, sf_dir):
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), odds=LENGTH_ODDS)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -139,7 +139,7 @@ o AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY lim, source NULLS LAST
 g AS (SELECT source, source_size, least(cap, max(rate) OVER () * w) AS target FROM o),
 p AS (SELECT *, coalesce(target / nullif(source_size, 0), 0)::DOUBLE AS ratio FROM g),
 r AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.source, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest,
-        u / (1 - u) / (least(greatest(ratio - floor(ratio), 1e-12), 1 - 1e-12) / (1 - least(greatest(ratio - floor(ratio), 1e-12), 1 - 1e-12))) AS q
+        u / (1 - u) / (least(greatest(ratio - floor(ratio), 1e-12), 1 - 1e-12) / (1 - least(greatest(ratio - floor(ratio), 1e-12), 1 - 1e-12)) * (1::DOUBLE + least(size, 1000) / 1000::DOUBLE)) AS q
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r)
 SELECT doc_id, size, source_size, target,
