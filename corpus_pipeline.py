@@ -61,7 +61,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: a row per copy."""
     plain, restore = set_aside(docs)
-    mixed = mixing.mix_sources(plain).filter("copies > 0")
+    mixed = mixing.mix_sources(plain, odds=mixing.LENGTH_ODDS).filter("copies > 0")
     return restore(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
