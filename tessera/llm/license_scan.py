@@ -1,10 +1,11 @@
 """Licence scan: matching statistics on a generalised suffix automaton, chained to template spans.
 
 The automaton holds the word sequences of all licence templates.  A document's
-words stream through it once; at each word it gives the longest run of words
-ending there that occurs in a template, and where.  Long maximal matches of a
-template are chained (both places advance, small gaps) and a template is
-reported when its best chain covers enough of its words.
+words stream through it once; at each word it gives, for every template, the
+longest run of words ending there that occurs in it, and all its places.  Long
+maximal matches of a template are chained (both places advance, small gaps) by
+dynamic programming, and a template is reported where its best chain covers
+enough of its words.
 """
 
 from __future__ import annotations
@@ -56,8 +57,9 @@ def words_of(text: str | None) -> list[str]:
 class Automaton:
     """A generalised suffix automaton over word ids, built from fixed templates.
 
-    ``places`` gives, for each state, the first end of its word run in each
-    template that has it.
+    ``places`` gives, for each state, all ends of its word run in each template
+    that has it; ``longest`` the state of the longest suffix of its run that a
+    template has, for every template that has one.
     """
 
     def __init__(self, sequences: list[list[int]]):
@@ -66,11 +68,14 @@ class Automaton:
             last = 0
             for i, w in enumerate(seq):
                 last = self._extend(last, w)
-                self.places[last].setdefault(t, i + 1)
-        for s in sorted(range(1, len(self.size)), key=lambda s: -self.size[s]):
-            for t, end in self.places[s].items():
-                up = self.places[self.link[s]]
-                up[t] = min(up.get(t, end), end)
+                self.places[last].setdefault(t, set()).add(i + 1)
+        by_size = sorted(range(1, len(self.size)), key=lambda s: self.size[s])
+        for s in reversed(by_size):
+            for t, ends in self.places[s].items():
+                self.places[self.link[s]].setdefault(t, set()).update(ends)
+        self.longest = [{} for _ in self.size]
+        for s in by_size:
+            self.longest[s] = {**self.longest[self.link[s]], **dict.fromkeys(self.places[s], s)}
 
     def _new(self, size: int, copy: int | None = None) -> int:
         self.next.append(dict(self.next[copy]) if copy is not None else {})
@@ -100,25 +105,39 @@ class Automaton:
             self.link[cur] = q if self.size[q] == self.size[p] + 1 else self._split(p, q, w)
         return cur
 
-    def maximal(self, ids: list):
-        """``(end, length, state)`` of the matches that the next word does not extend."""
+    def statistics(self, ids: list):
+        """For each word the state and length of the longest run ending there that any template has."""
         state = length = 0
-        for i, w in enumerate(ids):
+        for w in ids:
             if w is None:
-                if length:
-                    yield i, length, state
                 state = length = 0
-                continue
-            if w not in self.next[state]:
-                if length:
-                    yield i, length, state
+            else:
                 while state and w not in self.next[state]:
                     state = self.link[state]
                     length = self.size[state]
-            q = self.next[state].get(w)
-            state, length = (q, length + 1) if q is not None else (0, 0)
-        if length:
-            yield len(ids), length, state
+                q = self.next[state].get(w)
+                state, length = (q, length + 1) if q is not None else (0, 0)
+            yield state, length
+
+    def maximal(self, ids: list, least: int):
+        """``(template, end, length, ends)`` of the runs of ``least`` words or more that the next word does not extend
+        in that template; ``ends``: where the run ends in it."""
+        open_ = {}
+        for i, (state, length) in enumerate(self.statistics(ids)):
+            if length < least and not open_:
+                continue
+            now = {}
+            if length >= least:
+                for t, s in self.longest[state].items():
+                    size = length if s == state else self.size[s]
+                    if size >= least:
+                        now[t] = (size, s)
+            for t, (size, s) in open_.items():
+                if now.get(t, (0,))[0] != size + 1:
+                    yield t, i, size, self.places[s][t]
+            open_ = now
+        for t, (size, s) in open_.items():
+            yield t, len(ids), size, self.places[s][t]
 
 
 class Scanner:
@@ -139,38 +158,51 @@ class Scanner:
         get = self.vocabulary.get
         ids = [get(w) for w in words]
         shortest = min([self.least, *(len(self.seqs[b]) for b in self.bases)])
-        long = [m for m in self.automaton.maximal(ids) if m[1] >= shortest]
-        starts, labels = [], set()
-        for end, size, _ in long:
-            run = ids[end - size:end]
-            for b in self.bases:
-                phrase = self.seqs[b]
-                for i in range(size - len(phrase) + 1):
-                    if run[i:i + len(phrase)] == phrase:
-                        starts.append((end - size + i, b))
+        matches = list(self.automaton.maximal(ids, shortest))
+        starts = []
+        for t, end, size, ends in matches:
+            whole = len(self.seqs[t])
+            if t in self.bases and size == whole:
+                starts.append((end - size, t))
         starts = sorted(set(starts))
         labels = {self.labels[b] for _, b in starts}
-        spans = []
-        for t in range(len(self.seqs) - len(self.bases)):
-            mine = [(end - size, end, self.automaton.places[state][t] - size)
-                    for end, size, state in long if size >= self.least and t in self.automaton.places[state]]
-            spans += self._chain(t, mine)
+        of = {}
+        for t, end, size, ends in matches:
+            if t not in self.bases and size >= self.least:
+                of.setdefault(t, []).extend((end - size, end, to - size) for to in ends)
+        spans = [s for t, mine in sorted(of.items()) for s in self._spans(t, mine)]
         return [s for s, _ in starts], labels, spans
 
-    def _chain(self, t: int, matches: list):
-        """Runs of matches of template ``t`` whose places advance with gaps of at most ``gap`` words."""
-        total, open_, done = len(self.seqs[t]), [], []
-        for start, end, at in sorted(matches):
-            ways = [c for c in open_ if 0 <= start - c["end"] <= self.gap and 0 <= at - c["to"] <= self.gap]
-            best = max(ways, key=lambda c: c["covered"], default=None)
-            if best is not None and at > best["from"]:
-                best.update(end=end, to=at + end - start, covered=best["covered"] + end - start)
-            else:
-                open_.append({"start": start, "end": end, "from": at, "to": at + end - start, "covered": end - start})
-            done += [c for c in open_ if c["end"] < start - self.gap]
-            open_ = [c for c in open_ if c["end"] >= start - self.gap]
-        return [(self.labels[t], c["start"], c["end"], min(1.0, c["covered"] / total))
-                for c in done + open_ if c["covered"] / total >= self.cover]
+    def _spans(self, t: int, matches: list):
+        """The chains of template ``t`` that cover enough of it, best first, none overlapping a better one."""
+        total, found = len(self.seqs[t]), []
+        for covered, start, end in sorted(chains(matches, self.gap), key=lambda c: (-c[0], c[1], c[2])):
+            if covered < self.cover * total:
+                break
+            if all(end <= a or start >= b for _, a, b, _ in found):
+                found.append((self.labels[t], start, end, min(1.0, covered / total)))
+        return found
+
+
+def chains(matches: list, gap: int):
+    """``(covered, start, end)`` of the best chain that ends with each match ``(start, end, at)``; later ends have no earlier starts.
+
+    In a chain both places advance: the next match begins at most ``gap`` words
+    after the one before, in the text and in the template; where they overlap,
+    the later one counts from the end of the earlier.
+    """
+    matches, best, first = sorted(set(matches), key=lambda m: (m[1], m[0], m[2])), [], 0
+    for start, end, at in matches:
+        to, mine = at + end - start, (end - start, start)
+        while first < len(best) and matches[first][1] < start - gap:
+            first += 1
+        for k in range(first, len(best)):
+            s, e, a = matches[k]
+            skip = max(0, e - start, a + e - s - at)                # words of this match that the chain has already
+            if skip < end - start and s < start and start + skip - e <= gap and at + skip - (a + e - s) <= gap:
+                mine = max(mine, (best[k][0] + end - start - skip, best[k][1]), key=lambda c: (c[0], -c[1]))
+        best.append(mine)
+    return [(covered, start, end) for (covered, start), (_, end, _) in zip(best, matches)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict | None = None, phrases: dict | None = None, least: int = LEAST,

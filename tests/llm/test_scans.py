@@ -1,13 +1,14 @@
 """Decontamination, secrets, licences and line dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
 import pytest
 
 from tessera.llm.decontaminate import clean, contaminated, myers, normal, pieces_of
-from tessera.llm.license_scan import PHRASES, TEMPLATES, Automaton, scan_licenses, words_of
+from tessera.llm.license_scan import PHRASES, TEMPLATES, Automaton, Scanner, chains, scan_licenses, words_of
 from tessera.llm.line_dedup import Cuckoo, LineIndex, dedup_lines
 from tessera.llm.secret_scan import scan_secrets, spans_text
 from pyspark.sql import functions as F
@@ -118,21 +119,54 @@ def test_automaton_matching_statistics():
         return {t for t, s in enumerate(seqs) if any(s[i:i + len(run)] == run for i in range(len(s) - len(run) + 1))}
     for _ in range(60):
         ids = [rnd.choice([0, 1, 2, 3, None]) if rnd.random() < 0.2 else rnd.randrange(4) for _ in range(40)]
-        got = list(sam.maximal(ids))
-        want = []
-        for end in range(1, len(ids) + 1):
-            size = 0
-            while size < end and None not in ids[end - size - 1:end] and occurs(ids[end - size - 1:end]):
-                size += 1
-            longer = size and end < len(ids) and ids[end] is not None and occurs(ids[end - size:end + 1])
-            if size and not longer:
-                want.append((end, size))
-        assert [(e, n) for e, n, _ in got] == want
-        for end, size, state in got:
-            run = ids[end - size:end]
-            assert set(sam.places[state]) == occurs(run)
-            for t, at in sam.places[state].items():
-                assert seqs[t][at - size:at] == run
+        want = set()
+        for t, seq in enumerate(seqs):
+            def has(run):
+                return None not in run and any(seq[i:i + len(run)] == run for i in range(len(seq) - len(run) + 1))
+            for end in range(1, len(ids) + 1):
+                size = 0
+                while size < end and has(ids[end - size - 1:end]):
+                    size += 1
+                longer = size and end < len(ids) and has(ids[end - size:end + 1])
+                if size >= 2 and not longer:
+                    run = ids[end - size:end]
+                    want.add((t, end, size, frozenset(i + size for i in range(len(seq) - size + 1) if seq[i:i + size] == run)))
+        assert {(t, end, size, frozenset(ends)) for t, end, size, ends in sam.maximal(ids, 2)} == want
+
+
+def test_chains_are_the_best_of_all():
+    rnd = random.Random(8)
+
+    def best_of_all(matches, gap):
+        """Every subset in order, added up match by match."""
+        best = 0
+        for r in range(1, len(matches) + 1):
+            for some in itertools.combinations(sorted(matches, key=lambda m: (m[1], m[0], m[2])), r):
+                covered, (s, e, a) = some[0][1] - some[0][0], some[0]
+                for start, end, at in some[1:]:
+                    skip = max(0, e - start, a + e - s - at)
+                    if not (s < start and skip < end - start and start + skip - e <= gap and at + skip - (a + e - s) <= gap):
+                        break
+                    covered, (s, e, a) = covered + end - start - skip, (start, end, at)
+                else:
+                    best = max(best, covered)
+        return best
+    for _ in range(150):
+        at, matches = 0, []
+        for _ in range(rnd.randrange(1, 8)):
+            at += rnd.randrange(1, 5)
+            matches.append((at, at + rnd.randrange(3, 7), rnd.randrange(0, 20)))
+        end = 0
+        matches = [(s, end := max(end, e), p) for s, e, p in matches]       # later starts end no earlier
+        assert max(c for c, _, _ in chains(matches, 4)) == best_of_all(matches, 4)
+
+
+def test_a_repeated_run_of_a_template_is_chained_at_its_right_place():
+    scanner = Scanner({"t": "a b c d e f g h a b c i j k"}, {"x y z": "x"}, 3, 8, 0.6)
+    starts, labels, spans = scanner.scan("e f g h q a b c q i j k".split())
+    assert starts == [] and labels == set() and spans == [("t", 0, 12, 10 / 14)]
+    twice = scanner.scan("a b c d e f g h a b c i j k and then a b c d e f g h a b c i j k".split())[2]
+    assert [(s, e) for _, s, e, _ in sorted(twice, key=lambda s: s[1])] == [(0, 14), (16, 30)]
 
 
 def test_licenses(spark):
