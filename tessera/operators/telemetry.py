@@ -144,6 +144,32 @@ def type_ids(df: DataFrame, pattern: str = ID_FIELD_RE, ignore_above: int = ID_I
     return df.select(*out)
 
 
+def attribute_names(df: DataFrame, attrs: str, pattern: str = ID_FIELD_RE) -> list[str]:
+    """PRJ10: the attribute names that occur in a JSON column and match the name rule."""
+    keys = df.select(F.explode(F.json_object_keys(attrs)).alias("name")).filter(F.col("name").rlike(pattern)).distinct()
+    return sorted(r["name"] for r in keys.collect())                   # names that the rule knows, not values
+
+
+def type_attributes(df: DataFrame, attrs: str = "attributes", pattern: str = ID_FIELD_RE, ignore_above: int = ID_IGNORE_ABOVE) -> DataFrame:
+    """PRJ10 for attributes not known beforehand: ``df`` with ``attrs`` as VARIANT and a column per id attribute found.
+
+    An attribute whose name matches ``pattern`` becomes an exact-match string
+    column plus its ``_keyword`` copy (NULL above ``ignore_above`` characters);
+    all others stay in the VARIANT with their own types, readable by path.
+    Text that is no JSON object gives NULLs.  An attribute called like a column
+    of ``df`` stays in the VARIANT only.
+    """
+    taken = {c.lower() for c in df.columns}
+    names = [n for n in attribute_names(df, attrs, pattern) if n.lower() not in taken]
+    rows = df.withColumn(attrs, F.try_parse_json(F.col(attrs)))
+    out = []
+    for n in names:
+        path = "$['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        s = F.try_variant_get(F.col(attrs), path, "string")
+        out += [s.alias(n), F.when(F.length(s) <= ignore_above, s).alias(f"{n}_keyword")]
+    return rows.select("*", *out)
+
+
 def message_raw(message: Column, limit: int = MESSAGE_RAW_IGNORE_ABOVE) -> Column:
     """PRJ10: keyword copy of ``message`` kept only up to ``limit`` characters."""
     return F.when(F.length(message) <= limit, message)

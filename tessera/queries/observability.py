@@ -326,3 +326,22 @@ def id_typing(spark, sf_dir):
     """PRJ10: id columns by name regex -> exact-match strings with a length-capped keyword copy."""
     ev = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
     return TM.type_ids(ev, pattern=r"(_id|key)$")
+
+
+@binding("attribute_typing", sql="""
+WITH e AS (SELECT event_id, event_type, user_id, json_extract_string(props, '$.k') AS k FROM events),
+a AS (SELECT *, '{"' || event_type || 'Id":"' || event_type || '-' || user_id || '","depth":' || coalesce(k, 'null') || '}' AS message FROM e)
+SELECT event_id, CASE WHEN event_type = 'click' THEN 'click-' || user_id END AS clickId, CASE WHEN event_type = 'click' THEN 'click-' || user_id END AS clickId_keyword,
+       CASE WHEN event_type = 'signup' THEN 'signup-' || user_id END AS signupId, CASE WHEN event_type = 'signup' AND length('signup-' || user_id) <= 9 THEN 'signup-' || user_id END AS signupId_keyword,
+       TRY_CAST(k AS BIGINT) AS depth, CASE WHEN length(message) <= 30 THEN message END AS message_raw FROM a
+""")
+def attribute_typing(spark, sf_dir):
+    """PRJ10: ids found by the name rule among attributes that are not known beforehand; the others stay in the VARIANT."""
+    ev = events(spark, sf_dir)
+    k = F.get_json_object("props", "$.k")
+    message = F.concat(F.lit('{"'), "event_type", F.lit('Id":"'), "event_type", F.lit("-"), F.col("user_id").cast("string"),
+                       F.lit('","depth":'), F.coalesce(k, F.lit("null")), F.lit("}"))
+    rows = ev.select("event_id", message.alias("message"), message.alias("attributes"))
+    typed = TM.type_attributes(rows, pattern="^(click|signup|order)Id$", ignore_above=9)
+    return typed.select("event_id", "clickId", F.coalesce("clickId_keyword", "clickId").alias("clickId_keyword"), "signupId", "signupId_keyword",
+                        F.try_variant_get("attributes", "$.depth", "bigint").alias("depth"), TM.message_raw(F.col("message"), 30).alias("message_raw"))

@@ -158,11 +158,12 @@ w AS (SELECT event_type, tick, any_value(n) - 25 * tick AS waiting, count(*) AS
 SELECT tick, CAST(sum(waiting) AS BIGINT) AS files_waiting, CAST(sum(admitted) AS BIGINT) AS files_admitted,
        CAST(sum(waiting - admitted) AS BIGINT) AS files_deferred, CAST(sum(admitted) AS BIGINT) AS files_loaded, 0 AS files_failed,
        CAST(coalesce(sum(good) FILTER (event_type <> 'view'), 0) AS BIGINT) AS rows_loaded,
-       CAST(coalesce(sum(good) FILTER (event_type = 'view'), 0) AS BIGINT) AS rows_unmapped, CAST(sum(bad) AS BIGINT) AS rows_rejected, true AS has_bytes
+       CAST(coalesce(sum(good) FILTER (event_type = 'view'), 0) AS BIGINT) AS rows_unmapped, CAST(sum(bad) AS BIGINT) AS rows_rejected, true AS has_bytes,
+       CAST(sum(admitted) AS BIGINT) AS files_archived, 0 AS files_left
 FROM w GROUP BY tick
 """)
 def admission_roundtrip(spark, sf_dir):
-    """STR1/SRT2/SNK2/AGG1: event files listed, admitted 25 a type and loaded tick by tick; the ticks' totals."""
+    """STR1/SRT2/SNK2/AGG1: event files listed, admitted 25 a type, loaded tick by tick and moved to the archive; the ticks' totals."""
     root, warehouse = (shared_path(spark, "admission", uuid.uuid4().hex, name) for name in ("events", "warehouse"))
     env = envelopes(spark, sf_dir)
     t = F.col("time").cast("timestamp")
@@ -174,9 +175,13 @@ def admission_roundtrip(spark, sf_dir):
     parts = ["event_type", "year", "month", "day", "hour"]
     rows.repartition(*parts).write.partitionBy(*parts).text(root)
     admission.drain(spark, root, warehouse, TEST_REGISTRY, cap=25, pattern="*.txt", strict=True)
-    total = admission.tick_metrics(spark, warehouse)
+    moved = admission.archive_loaded(spark, root, warehouse, shared_path(spark, "admission", uuid.uuid4().hex, "archive"))
+    moved = moved.filter("outcome = 'moved'").groupBy("tick").agg(F.count(F.lit(1)).alias("files_archived"))
+    left = admission.list_files(spark, root, "*.txt").count()
+    total = admission.tick_metrics(spark, warehouse).join(moved, "tick", "left")
     return total.select("tick", "files_waiting", "files_admitted", "files_deferred", "files_loaded", "files_failed", "rows_loaded",
-                        "rows_unmapped", "rows_rejected", (F.col("bytes_loaded") > 0).alias("has_bytes"))
+                        "rows_unmapped", "rows_rejected", (F.col("bytes_loaded") > 0).alias("has_bytes"), "files_archived",
+                        F.lit(left).alias("files_left"))
 
 
 STREAM_ALARMS = [Alarm("errors-missing", "errors", "Sum", 3600, ">", 2.0, 3, 2, "missing"),

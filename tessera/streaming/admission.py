@@ -9,6 +9,7 @@ files.
 
     _admitted/tick=<id>/      the files of a tick
     _deferred/tick=<id>/      per event type: files waiting, admitted, deferred
+    _archive_log/             files moved to the archive, or that could not be
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import load as L
 from ..sources.bronze import PARTITION_COLS, hour_ts, read_files
 from .loader import DEFAULT_TRIGGER, MAX_FILES_PER_TRIGGER, load_tick
-from .store import names_in, read_table
+from .store import hadoop, names_in, read_table
 
 FILES = "event_type string, hour_start timestamp, s3_key string, path string, bytes long"
 
@@ -94,6 +95,43 @@ def drain(spark: SparkSession, root: str, warehouse: str, registry: dict | None
     return ticks
 
 
+def move_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copy, then delete; stopped anywhere and run again it leaves one whole copy at ``target``."""
+    (fs, a), (to, b) = hadoop(spark, source), hadoop(spark, target)
+    if not to.exists(b):
+        half = spark._jvm.org.apache.hadoop.fs.Path(f"{target}.part")
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, half, False, True, spark._jsc.hadoopConfiguration())
+        to.rename(half, b)
+    fs.delete(a, False)
+
+
+def archive_loaded(spark: SparkSession, root: str, warehouse: str, archive: str) -> DataFrame:
+    """SNK3: files of finished ticks move from ``root`` to the same place under ``archive``; ``tick, s3_key, outcome``.
+
+    Runs after the commit, from what the ticks have admitted, so it never fails a
+    load: a file that cannot be moved is logged as ``failed`` and tried again by
+    the next run.
+    """
+    done, files = read_table(spark, f"{warehouse}/_done"), read_table(spark, f"{warehouse}/_admitted")
+    log = read_table(spark, f"{warehouse}/_archive_log")
+    if done is None or files is None:
+        return spark.createDataFrame([], "tick long, s3_key string, outcome string")
+    files = files.join(done.select("tick").distinct(), "tick", "left_semi")
+    if log is not None:
+        files = files.join(log.filter("outcome = 'moved'").select("s3_key"), "s3_key", "left_anti")
+    base, rows = hadoop(spark, root)[0].makeQualified(hadoop(spark, root)[1]).toUri().getPath(), []
+    for r in files.select("tick", "s3_key", "path").toLocalIterator():           # file names of the ticks since the last run
+        try:
+            inner = hadoop(spark, r["path"])[1].toUri().getPath()[len(base):]
+            move_file(spark, r["path"], archive + inner)
+            rows.append((r["tick"], r["s3_key"], "moved"))
+        except Exception:  # noqa: BLE001 - counted and tried again
+            rows.append((r["tick"], r["s3_key"], "failed"))
+    out = spark.createDataFrame(rows, "tick long, s3_key string, outcome string")
+    out.coalesce(1).write.mode("append").parquet(f"{warehouse}/_archive_log")
+    return out
+
+
 def start_ticks(spark: SparkSession, root: str, warehouse: str, checkpoint: str, registry: dict | None = None,
                 trigger: str = DEFAULT_TRIGGER, **kwargs):
     """STR1: a tick at every trigger, whether or not new files came (a clock stream drives it)."""

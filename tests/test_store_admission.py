@@ -210,4 +210,17 @@ def test_a_stopped_tick_runs_again_with_the_same_files(spark, monkeypatch):
     _file(root, "made", 2, "b.jsonl", [_line("m2", "made", "o2")])
     assert admission.run_tick(spark, root, wh, REG) == 0
     assert [r["order_id"] for r in spark.read.parquet(f"{wh}/fact_order").collect()] == ["o1"]
+    # the archive follows finished ticks; a crash between copy and delete, and a file that cannot be moved, are made good
+    archive, target = tempfile.mkdtemp(prefix="archive-"), "event_type=made/year=2026/month=05/day=20/hour=01/a.jsonl"
+    move = admission.move_file
+    with monkeypatch.context() as m:
+        m.setattr(admission, "move_file", stop)
+        assert [r["outcome"] for r in admission.archive_loaded(spark, root, wh, archive).collect()] == ["failed"]
+    with monkeypatch.context() as m:
+        m.setattr(admission, "move_file", lambda s, a, b: (os.makedirs(os.path.dirname(b)), open(b, "w").write(open(os.path.join(root, target)).read()), stop()))
+        admission.archive_loaded(spark, root, wh, archive)
+    assert os.path.exists(os.path.join(root, target)) and os.path.exists(os.path.join(archive, target)) and move is admission.move_file
+    assert [r["outcome"] for r in admission.archive_loaded(spark, root, wh, archive).collect()] == ["moved"]
+    assert not os.path.exists(os.path.join(root, target)) and "m1" in open(os.path.join(archive, target)).read()
+    assert admission.archive_loaded(spark, root, wh, archive).count() == 0
     assert admission.drain(spark, root, wh, REG) == [1]
