@@ -189,3 +189,21 @@ def test_alarm_catalog_rows():
     assert (rows["gw-cpu"].threshold, rows["gw-cpu"].op, rows["gw-cpu"].n, rows["gw-cpu"].missing) == (85.0, ">", 3, "missing")
     assert (rows["running-tasks-low"].op, rows["running-tasks-low"].threshold, rows["running-tasks-low"].missing) == ("<", 2.0, "breaching")
     assert all(1 <= a.m <= a.n for a in rows.values())
+
+
+def test_sink_files_follow_days_not_tenants(spark, tmp_path):
+    """SNK4: fifty tenants on two days make files by day and size; a batch written again replaces itself."""
+    rows = [({"axira.tenant_id": f"t{k % 50}"}, "axira.llm_call", dt.datetime(2024, 1, 1 + k % 2, k % 24), k) for k in range(400)]
+    spans = spark.createDataFrame(rows, "attributes map<string,string>, name string, ts timestamp_ntz, k int")
+    main, llm = str(tmp_path / "main"), str(tmp_path / "llm")
+    for batch in (0, 1, 1):
+        TM.tee(spans.filter((F.col("k") % 4 >= 2).cast("int") == batch), main, llm, batch=batch)
+    back = spark.read.parquet(main)
+    assert sorted((r["tenant_id"], str(r["day"]), r["k"]) for r in back.collect()) == sorted(
+        (a["axira.tenant_id"], ts.strftime("%Y.%m.%d"), k) for a, _, ts, k in rows)
+    assert spark.read.parquet(llm).count() == 400
+    assert len(back.inputFiles()) <= 24
+    runs = {}
+    for r in back.select(F.col("_metadata.file_path").alias("f"), "tenant_id", F.monotonically_increasing_id().alias("i")).orderBy("i").collect():
+        runs.setdefault(r["f"], []).append(r["tenant_id"])
+    assert all(ts == sorted(ts) for ts in runs.values())
