@@ -97,12 +97,30 @@ def dispatch_all(spark, sf_dir):
     for name, ft in FACT_TABLES.items():
         entries = [e for e in REGISTRY.values() if e.table == name]
         rows = P.project_table(env, entries, table=name)
-        values = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                    (F.unix_micros(c) if typ == "timestamp" else F.col(c)).cast("string").alias("x")) for c, typ in ft.columns])
-        rows = rows.select(F.col("_event_type").alias("event_type"), F.lit(name).alias("table_name"), F.explode(values).alias("v"))
+        rows = _column_values(rows, ft.columns, [e.event_type for e in entries]).select("event_type", F.lit(name).alias("table_name"), "v.*")
         out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("event_type", "table_name", "v.column_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("v.x").alias("n_values"), F.min("v.x").alias("lo"), F.max("v.x").alias("hi"))
+    return out
+
+
+def _column_values(rows, columns, types):
+    """``event_type, v``: rows and values of every column of one table, per type that occurs.
+
+    One aggregate without keys over (type, column): least and greatest strings
+    by key would be sorted, all rows and columns of a task at once.
+    """
+    texts = [(F.unix_micros(c) if typ == "timestamp" else F.col(c)).cast("string").alias(c) for c, typ in columns]
+    rows = rows.select("_event_type", *texts)
+    sums = []
+    for k, x in enumerate(types):
+        of_type = F.col("_event_type") == x
+        per_column = []
+        for c, _ in columns:
+            value = F.when(of_type, F.col(c))
+            per_column.append(F.struct(F.lit(c).alias("column_name"), F.count_if(of_type).alias("n_rows"), F.count(value).alias("n_values"),
+                                       F.min(value).alias("lo"), F.max(value).alias("hi")))
+        sums.append(F.struct(F.lit(x).alias("event_type"), F.array(*per_column).alias("values")))
+    found = rows.agg(F.array(*sums).alias("types")).select(F.explode("types").alias("t"))
+    return found.select("t.event_type", F.explode("t.values").alias("v")).filter("v.n_rows > 0")
 
 
 @binding("apply_order", sql=f"""

@@ -148,3 +148,21 @@ def test_chunk_spans_tasks(spark):
             want[i] = rn // 50
     assert got == want
     assert flat == {i: rn // 50 for rn, (_, i) in enumerate(sorted((v, i) for _, i, v in rows))}
+
+
+def test_all_types_are_counted_without_a_sort_of_their_rows(spark, tmp_path, capsys):
+    """Values per type, table and column come from one aggregate per table whose state is a row, however long the table."""
+    import datetime as dt
+    from tessera.plans.dispatch import FACT_TABLES, REGISTRY
+    from tessera.queries.roundtrips import dispatch_all
+    rows = [(k, dt.datetime(2024, 1, 1, k % 24), k % 7, "click", k / 4, "{}") for k in range(2 * len(REGISTRY) + 1)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    out = dispatch_all(spark, str(tmp_path))
+    found = out.collect()
+    first = sorted(REGISTRY)[0]
+    assert {(r["event_type"], r["table_name"], r["column_name"]) for r in found} == {
+        (x, e.table, c) for x, e in REGISTRY.items() for c, _ in FACT_TABLES[e.table].columns}
+    assert {(r["event_type"], r["n_rows"]) for r in found} == {(x, 3 if x == first else 2) for x in REGISTRY}
+    assert all((r["lo"] is None) == (r["hi"] is None) == (r["n_values"] == 0) for r in found)
+    out.explain()
+    assert "Sort" not in capsys.readouterr().out
