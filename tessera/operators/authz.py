@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import valid_object_id
 
 TUPLE_COLS = ["user", "relation", "object"]
+ROWS_A_TASK = 500_000                            # tuples that one task takes apart or holds, about
 
 # ---------------------------------------------------------------------------
 # V1 seed model (products, actions, role relations, record seeds).
@@ -108,12 +109,20 @@ RECORD_RULES = {
 }
 
 
-def expand_record_access(tuples: DataFrame, rules: dict = RECORD_RULES) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *cols) -> DataFrame:
+    """``df`` dealt by ``cols`` over as many tasks as its ``rows`` need, so what a task holds does not grow with the table."""
+    return df.repartition(max(1, -(-rows // ROWS_A_TASK)), *cols)
+
+
+def expand_record_access(tuples: DataFrame, rules: dict = RECORD_RULES, rows: int | None = None) -> DataFrame:
     """JN13/JN15/SET4: computed relations of record objects, usersets kept symbolic.
 
     One pass: each stored tuple is rewritten by ``explode`` into the computed
     relations it contributes to (a parent org becomes the userset
-    ``<org>#member``, never its member list), then one ``distinct``.
+    ``<org>#member``, never its member list), then one ``distinct``.  Tuples are
+    dealt by (user, object) first: all that repeats one computed tuple meets in
+    one task, and no task keeps the distinct tuples of a whole share of the table.
+    ``rows``: how many tuples there are, about; counted where it is not given.
     """
     empty = F.array().cast("array<struct<rel:string,suffix:string>>")
     derived = None
@@ -124,7 +133,7 @@ def expand_record_access(tuples: DataFrame, rules: dict = RECORD_RULES) -> DataF
     out = (tuples.select("user", "object", F.explode(derived).alias("d"))
                  .select(F.concat(F.col("user"), F.col("d.suffix")).alias("user"), F.col("d.rel").alias("relation"),
                          "object"))
-    return distinct_tuples(out)
+    return distinct_tuples(dealt(out, tuples.count() if rows is None else rows, "user", "object"))
 
 
 def check(requests: DataFrame, expanded: DataFrame, memberships: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Tuples: seed size, diff cases, id validity, expansion/check vs brute force."""
 
+from pyspark.sql import functions as F
+
 from tessera.operators import authz as AZ
 
 
@@ -76,3 +78,14 @@ def test_capabilities(spark):
                               "user string, relation string, object string")
     got = {r["user"]: r["allowed"] for r in AZ.check_capabilities(q, t).collect()}
     assert got == {"user:a": True, "user:b": False}
+
+
+def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    """Expansion deals its tuples over as many tasks as there are rows, with the copies of a tuple in one task."""
+    monkeypatch.setattr(AZ, "ROWS_A_TASK", 50)
+    rows = [(f"user:{k % 40}", ("team_member", "editor", "parent_org")[k % 3], f"deal:{k % 200}") for k in range(1200)]
+    t = spark.createDataFrame(rows, "user string, relation string, object string")
+    out = AZ.expand_record_access(t).withColumn("task", F.spark_partition_id()).collect()
+    want = {(u + s, d, o) for u, r, o in rows for d, s in AZ.RECORD_RULES[r]}
+    assert len(out) == len(want) and {(r["user"], r["relation"], r["object"]) for r in out} == want
+    assert len({r["task"] for r in out}) > 12
