@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import valid_object_id
+from ..session import materialize
 
 TUPLE_COLS = ["user", "relation", "object"]
 ROWS_A_TASK = 500_000                            # tuples that one task takes apart or holds, about
@@ -142,19 +143,25 @@ def check(requests: DataFrame, expanded: DataFrame, memberships: DataFrame) -> D
     Allowed when an expanded subject is the user itself, the wildcard
     ``user:*`` (JN15, never expanded), or a userset ``<org>#member`` the user
     belongs to (``memberships(user, relation='member', object=<org>)``).
-    Direct and wildcard subjects are one semi-join on (subject, relation,
-    object).  For usersets a request meets the few usersets of its object
-    first, and only those are looked up among the user's memberships, so a
-    user in many groups costs no more than one in few.
+    Requests and expanded tuples meet once by (user, relation, object): that
+    makes requests distinct and settles direct subjects.  What is left meets the
+    wildcard and the few usersets of its object, and only those are looked up
+    among the user's memberships, so a user in many groups costs no more than
+    one in few.  The expanded tuples are written once and read twice; one with a
+    NULL grants nothing.
     """
-    req = requests.select(*TUPLE_COLS).distinct()
-    own = req.select(*TUPLE_COLS, F.explode(F.array(F.col("user"), F.lit(WILDCARD))).alias("subject"))
-    direct = own.join(expanded.select(F.col("user").alias("subject"), "relation", "object"), ["subject", "relation", "object"], "left_semi").select(*TUPLE_COLS)
-    sets = expanded.filter(F.col("user").contains("#")).select(F.col("user").alias("_us"), "relation", "object")
-    members = memberships.filter(F.col("relation") == "member").select("user", F.concat(F.col("object"), F.lit("#member")).alias("_us"))
-    through = req.join(sets, ["relation", "object"]).join(members, ["user", "_us"], "left_semi").select(*TUPLE_COLS)
-    all_ = req.withColumn("_hit", F.lit(False)).unionByName(direct.unionByName(through).withColumn("_hit", F.lit(True)))
-    return all_.groupBy(*TUPLE_COLS).agg(F.max("_hit").alias("allowed"))
+    expanded = materialize(expanded.select(*TUPLE_COLS).dropna(), "expanded")
+    n = requests.count() + expanded.count()
+    both = (requests.select(*TUPLE_COLS, F.lit(True).alias("_asked"), F.lit(False).alias("_hit"))
+                    .unionByName(expanded.withColumn("_asked", F.lit(False)).withColumn("_hit", F.lit(True))))
+    asked = dealt(both, n, *TUPLE_COLS).groupBy(*TUPLE_COLS).agg(F.max("_asked").alias("_asked"), F.max("_hit").alias("_hit"))
+    asked = asked.filter("_asked").drop("_asked")
+    subjects = expanded.filter((F.col("user") == WILDCARD) | F.col("user").contains("#")).select(F.col("user").alias("_us"), "relation", "object").distinct()
+    members = memberships.filter(F.col("relation") == "member").select(
+        "user", F.concat(F.col("object"), F.lit("#member")).alias("_us"), F.lit(True).alias("_member")).distinct()
+    met = asked.join(subjects, ["relation", "object"], "left").join(members, ["user", "_us"], "left")
+    hit = F.col("_hit") | F.coalesce(F.col("_us") == WILDCARD, F.lit(False)) | F.coalesce(F.col("_member"), F.lit(False))
+    return dealt(met.select(*TUPLE_COLS, hit.alias("allowed")), n, *TUPLE_COLS).groupBy(*TUPLE_COLS).agg(F.max("allowed").alias("allowed"))
 
 
 def check_capabilities(requests: DataFrame, tuples: DataFrame) -> DataFrame:

@@ -89,3 +89,16 @@ def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
     want = {(u + s, d, o) for u, r, o in rows for d, s in AZ.RECORD_RULES[r]}
     assert len(out) == len(want) and {(r["user"], r["relation"], r["object"]) for r in out} == want
     assert len({r["task"] for r in out}) > 12
+
+
+def test_check_with_repeats_nulls_and_several_ways_in(spark):
+    """A request is answered once, whatever repeats; a NULL user passes by the wildcard only, a NULL object never."""
+    ddl = "user string, relation string, object string"
+    expanded = spark.createDataFrame([("user:a", "viewer", "d:1"), ("user:a", "viewer", "d:1"), ("org:1#member", "viewer", "d:1"), ("org:2#member", "viewer", "d:1"),
+                                      ("user:*", "viewer", "d:2"), ("org:1#member", "viewer", "d:2"), ("user:a", "viewer", None)], ddl)
+    members = spark.createDataFrame([("user:a", "member", "org:1"), ("user:a", "member", "org:1"), ("user:b", "member", "org:2"),
+                                     ("user:c", "owner", "org:1"), (None, "member", "org:1")], ddl)
+    asked = [(u, "viewer", o) for u in ("user:a", "user:b", "user:c", None) for o in ("d:1", "d:2", None)] + [("user:a", "viewer", "d:1")]
+    got = AZ.check(spark.createDataFrame(asked, ddl), expanded, members).collect()
+    assert len(got) == 12
+    assert {(r["user"], r["object"]) for r in got if r["allowed"]} == {("user:a", "d:1"), ("user:b", "d:1")} | {(u, "d:2") for u in ("user:a", "user:b", "user:c", None)}
