@@ -66,6 +66,22 @@ def term_spans(data: np.ndarray, off: np.ndarray):
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
+def grouped(keys: np.ndarray):
+    """The distinct keys, a place of each, and the number of its key at every place (``np.unique`` sorts slowly where it gives first places)."""
+    found, code = np.unique(keys, return_inverse=True)
+    at = np.empty(len(found), np.int64)
+    at[code] = np.arange(len(keys))
+    return found, at, code
+
+
+def documents(code: np.ndarray, rows: np.ndarray, n_rows: int, n_codes: int) -> np.ndarray:
+    """Of every code, in how many distinct rows it stands."""
+    pairs = np.sort(code.astype(np.int64) * n_rows + rows)
+    first = np.ones(len(pairs), bool)
+    first[1:] = pairs[1:] != pairs[:-1]
+    return np.bincount(pairs[first] // n_rows, minlength=n_codes)
+
+
 class Held:
     """Rows of a 64-bit key, sums and names, added up per key once ``HELD`` of them are there."""
 
@@ -80,7 +96,7 @@ class Held:
 
     def batch(self) -> pa.RecordBatch:
         """What is held, one row per key; then nothing is held."""
-        _, at, code = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
+        _, at, code = grouped(np.concatenate(self.keys))
         parts = list(zip(*self.rows))
         names = [pa.concat_arrays(p).take(pa.array(at)) for p in parts[:self.n_names]]
         sums = [pa.array(np.bincount(code, np.concatenate(p), len(at)).astype(np.int64)) for p in parts[self.n_names:]]
@@ -146,8 +162,8 @@ def prefix_counts(texts: DataFrame, length: int, before: tuple | None) -> DataFr
                     left = has_bit(before[1].value, hasher.prefixes(before[0], langs[first + rows]))
                     hasher.starts, hasher.ends, rows = starts[left], ends[left], rows[left]
                 token = hasher.prefixes(length, langs[first + rows])
-                _, once = np.unique(mix64(token + np.uint64(0x9E3779B97F4A7C15) * (rows + 1).astype(np.uint64)), return_index=True)
-                found, n = np.unique(token[once], return_counts=True)
+                found, code = np.unique(token, return_inverse=True)
+                n = documents(code, rows, len(off) - 1, len(found))
                 held.add(found, [pa.array(found.view(np.int64)), n])
                 if held.size > HELD:
                     yield held.batch()
@@ -171,10 +187,9 @@ def term_counts(texts: DataFrame, last: tuple) -> DataFrame:
                 left = has_bit(last[1].value, hasher.prefixes(last[0], of_lang[first + rows]))
                 hasher.starts, hasher.ends, rows = starts[left], ends[left], rows[left]
                 token = hasher.terms(mix64(of_both[first + rows]))
-                found, at, code, n = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
-                pairs = np.unique(code.astype(np.int64) * (len(off) - 1) + rows)
-                docs = np.bincount(pairs // (len(off) - 1), minlength=len(at))
-
+                found, at, code = grouped(token)
+                n = np.bincount(code, minlength=len(at))
+                docs = documents(code, rows, len(off) - 1, len(at))
                 where = pa.array(first + rows[at])
                 terms = slices(LOWER[data], hasher.starts[at], hasher.ends[at])
                 held.add(found, [langs.take(where), sources.take(where), terms, docs, n])

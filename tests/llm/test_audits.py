@@ -186,3 +186,17 @@ def test_discarded_prefixes_are_not_counted_again(spark):
     left = source_divergence.prefix_counts(texts, 7, (5, bits)).groupBy("token").agg(F.sum("n").alias("n")).collect()
     assert sorted(r["n"] for r in left) == [4, 4]
     assert {r["term"] for r in source_divergence.term_counts(texts, (5, bits)).collect()} == {"commonx", "commony"}
+
+
+def test_grouping_of_terms_counts_documents_exactly():
+    """Distinct keys, a place of each, and the distinct documents of each, against plain sets."""
+    import numpy as np
+    from tessera.llm.source_divergence import documents, grouped
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 3000):
+        keys = rng.integers(0, 90, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rows = np.sort(rng.integers(0, 40, size))
+        found, at, code = grouped(keys)
+        assert found.tolist() == sorted(set(keys.tolist()))
+        assert (keys[at] == found).all() and (found[code] == keys).all()
+        assert documents(code, rows, 40, len(found)).tolist() == [len({r for k, r in zip(keys, rows) if k == f}) for f in found]
