@@ -58,7 +58,7 @@ def merge_indexed(spark, sf_dir):
                          F.lit("t").alias("tenantid"), F.lit("c").alias("caseid"), band("o_orderkey").alias("band"),
                          F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("orderKey"), F.col("o_custkey").alias("customerKey"),
                                             F.col("o_totalprice").alias("price"))).alias("data"))
-    sent = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_shipdate").cast("string").alias("time"),
+    sent = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("string")).alias("id"), F.col("l_shipdate").cast("string").alias("time"),
                         F.lit("shipment").alias("type"), F.lit("t").alias("tenantid"), F.lit("c").alias("caseid"), band("l_orderkey").alias("band"),
                         F.col("l_orderkey").cast("string").alias("order_key"),
                         F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("orderKey"), F.col("l_linenumber").alias("line"),
