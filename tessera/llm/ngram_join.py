@@ -301,7 +301,7 @@ def link_classes(texts: DataFrame, scan: DataFrame, member: DataFrame, width: in
         F.when(F.col("pairs") | F.col("c").isNull(), 0).otherwise(prefix - F.col("c")).cast("int").alias("solo"),
         (F.col("pairs") | (F.col("n") > boundary)).alias("leads"))
     sketches = scan.filter(F.col("kind") == DOCUMENT).select(F.col("id").alias("doc_id"), "n", "sketch")
-    edges, label, pivots = spark.createDataFrame([], "a long, b long"), None, 1
+    edges, label, pivots = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b")), None, 1
     tried = edges
     while True:
         mixed = (open_.groupBy("key")

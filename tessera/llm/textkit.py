@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18                                  # about 110 bytes of arrays a byte stand in memory while a piece is worked
+MOST_HELD = 1 << 21                              # entries of the power tables that a worker keeps
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -61,13 +62,16 @@ def pieces(column: pa.Array, limit: int = PIECE):
 
 
 def _powers(n: int):
-    size = max(PIECE, 1 << int(max(n, 1) - 1).bit_length())
-    if size not in _POW:
+    """Powers for at least ``n`` positions; tables above ``MOST_HELD`` go when a shorter text comes."""
+    size = next(iter(_POW), 0)
+    want = max(PIECE, 1 << int(max(n, 1) - 1).bit_length())
+    if size < want or size > max(want, MOST_HELD):
+        _POW.clear()
+        size = want
         up = np.full(size, _BASE, np.uint64)
         up[0] = 1
         down = np.full(size, _INV, np.uint64)
         down[0] = 1
-        _POW.clear()
         _POW[size] = (np.cumprod(up), np.cumprod(down))
     return _POW[size]
 

@@ -3,12 +3,13 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import ngram_join
+from tessera.llm import language, ngram_join, textkit
 from tessera.llm.ngram_join import MIN_SIZE, differing, need, ngram_jaccard_join, signature, sketch
 from tessera.llm.shared import bitmap, components, has_bit
 from tessera.llm.textkit import ascii_lower, shingle_sets
@@ -173,3 +174,44 @@ def test_groups_of_near_copies_cost_few_verified_pairs(spark, monkeypatch, edits
             assert got == brute(docs)
         pairs.append((counted["candidates"], counted["likely"]))
     assert pairs[1][1] <= 4 * max(pairs[0][1], 900) and pairs[1][0] <= 20 * 900
+
+
+def test_join_runs_no_python_rows_beside_arrow(spark, monkeypatch):
+    """A frame of Python rows, even an empty one, starts a second set of Python workers on every executor."""
+    def refused(*args, **kwargs):
+        raise AssertionError("createDataFrame in the join")
+    docs = spark.range(12).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 39), k -> "
+                                      "concat('w', k + if(id < 4, 0, 100 * id))), if(id < 4, concat('x', id), '')) AS text")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(docs).collect()}
+    assert got == brute(texts) and len({c for _, c in got.values()}) == 9
+
+
+def test_memory_of_a_batch_follows_its_pieces():
+    """A batch of 4 MB of texts is worked in less memory than its largest arrays would take at once, with the rows' own results."""
+    draw, known = np.random.default_rng(3), [f"w{i}" for i in range(3000)]
+    texts = pa.array([*(" ".join(draw.choice(known, 800)) for _ in range(1000)), None, "", "a" * (1 << 19), "b c"])
+    model = language.Model(["a", "b"], draw.normal(size=(language.BUCKETS, 2)), np.zeros(2), 1.0, 0.0, 1.0,
+                           draw.normal(size=(language.BUCKETS, 2)), -1.0)
+    small = texts.take(pa.array([*range(0, 1000, 100), 1000, 1001, 1003]))
+    for work, most in ((model.predict, 60), (lambda t: [len(s) for s in shingle_sets(t)], 25)):
+        textkit._POW.clear()
+        tracemalloc.start()
+        work(texts.slice(0, 1000))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most, peak
+    for a, b in zip(model.predict(texts), model.predict(small)):
+        assert list(a[[*range(0, 1000, 100), 1000, 1001, 1003]]) == list(b)
+    alone = [next(iter(shingle_sets(texts.slice(i, 1)))) for i in range(len(texts))]
+    assert all(np.array_equal(a, b) for a, b in zip(shingle_sets(texts), alone))
+
+
+def test_power_tables_of_long_texts_are_not_kept():
+    up, down = textkit._powers(3 * textkit.MOST_HELD)
+    assert len(up) == len(down) == 4 * textkit.MOST_HELD
+    assert len(textkit._powers(10)[0]) == textkit.PIECE
+    held = textkit._powers(textkit.MOST_HELD)
+    assert textkit._powers(10) is held and len(textkit._POW) == 1       # not built anew for every shorter piece
+    textkit._POW.clear()
