@@ -39,7 +39,8 @@ ERROR_TEXT_LIMIT = 2000
 def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_key: str,
                  order: str = "event_time", tenant_scoped: bool = True,
                  ignore_nulls: bool = False, type_col: str = "_event_type",
-                 name_order: list | None = None, versions: dict | None = None) -> tuple:
+                 name_order: list | None = None, versions: dict | None = None,
+                 collapsed: bool = False) -> tuple:
     """JN1/DML1: ``UPDATE target SET cols FROM source WHERE key matches``.
 
     ``update_cols`` maps each updatable column to the event types that list it.
@@ -54,40 +55,13 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
       version column in the target holding the (event_time, event_id) that
       last set the group; a source group applies only when it is newer, so
       the result does not depend on the order in which batches arrive.
+    * ``collapsed``: ``source`` is what :func:`collapse_source` made of it with the same settings.
     """
-    keys = (["tenant_id"] if tenant_scoped else []) + [merge_key]
-    if order == "name":
-        ranks = {t: i for i, t in enumerate(sorted(name_order or []))}
-        rank = F.lit(None).cast("int")
-        for t, i in ranks.items():
-            rank = F.when(F.col(type_col) == t, F.lit(i)).otherwise(rank)
-        ord_col = F.struct(rank.alias("r"), F.col("event_time"), F.col("event_id"))
-    else:
-        # native types: event_id may itself be a tie-break struct
-        ord_col = F.struct(F.col("event_time").alias("event_time"), F.col("event_id").alias("event_id"))
-    versions = versions if (versions and order != "name" and not ignore_nulls) else None
-    carriers, by_types = {}, {}
-    if versions:
-        for vcol, (cols, types) in versions.items():
-            cols = [c for c in cols if c in update_cols]
-            if cols:
-                by_types[vcol] = cols
-                for c in cols:
-                    carriers[c] = F.col(type_col).isin(list(types))
-    else:
-        for c, types in update_cols.items():
-            carried = F.col(type_col).isin(list(types))
-            if ignore_nulls:
-                carried = carried & F.col(c).isNotNull()
-                by_types[(c,)] = [c]                       # NULL-skipping is per column
-            else:
-                by_types.setdefault(tuple(sorted(types)), []).append(c)
-            carriers[c] = carried
+    settings = (update_cols, merge_key, order, tenant_scoped, ignore_nulls, type_col, name_order, versions)
+    keys, _, _, by_types, versions = _merge_plan(*settings)
+    s = (source if collapsed else collapse_source(source, *settings)).alias("s")
     groups = list(by_types.values())
-    collapsed = _collapse_with_order(source.withColumn("_ord", ord_col), keys, carriers, groups)
-
     t = target.alias("t")
-    s = collapsed.alias("s")
     cond = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]          # SQL equality: a NULL key matches nothing
     joined = t.join(s, cond, "left")
     group_of = {c: i for i, g in enumerate(groups) for c in g}
@@ -118,6 +92,48 @@ def merge_update(target: DataFrame, source: DataFrame, update_cols: dict, merge_
     return updated, unmatched
 
 
+def collapse_source(source: DataFrame, update_cols: dict, merge_key: str, order: str = "event_time",
+                    tenant_scoped: bool = True, ignore_nulls: bool = False, type_col: str = "_event_type",
+                    name_order: list | None = None, versions: dict | None = None) -> DataFrame:
+    """One row per merge key: what :func:`merge_update` sets, for callers that use it more than once."""
+    keys, ord_col, carriers, by_types, _ = _merge_plan(update_cols, merge_key, order, tenant_scoped, ignore_nulls,
+                                                       type_col, name_order, versions)
+    return _collapse_with_order(source.withColumn("_ord", ord_col), keys, carriers, list(by_types.values()))
+
+
+def _merge_plan(update_cols, merge_key, order, tenant_scoped, ignore_nulls, type_col, name_order, versions) -> tuple:
+    """``(keys, ordering, carriers, column groups, versions in use)`` of a merge."""
+    keys = (["tenant_id"] if tenant_scoped else []) + [merge_key]
+    if order == "name":
+        ranks = {t: i for i, t in enumerate(sorted(name_order or []))}
+        rank = F.lit(None).cast("int")
+        for t, i in ranks.items():
+            rank = F.when(F.col(type_col) == t, F.lit(i)).otherwise(rank)
+        ord_col = F.struct(rank.alias("r"), F.col("event_time"), F.col("event_id"))
+    else:
+        # native types: event_id may itself be a tie-break struct
+        ord_col = F.struct(F.col("event_time").alias("event_time"), F.col("event_id").alias("event_id"))
+    versions = versions if (versions and order != "name" and not ignore_nulls) else None
+    carriers, by_types = {}, {}
+    if versions:
+        for vcol, (cols, types) in versions.items():
+            cols = [c for c in cols if c in update_cols]
+            if cols:
+                by_types[vcol] = cols
+                for c in cols:
+                    carriers[c] = F.col(type_col).isin(list(types))
+    else:
+        for c, types in update_cols.items():
+            carried = F.col(type_col).isin(list(types))
+            if ignore_nulls:
+                carried = carried & F.col(c).isNotNull()
+                by_types[(c,)] = [c]                       # NULL-skipping is per column
+            else:
+                by_types.setdefault(tuple(sorted(types)), []).append(c)
+            carriers[c] = carried
+    return keys, ord_col, carriers, by_types, versions
+
+
 def _collapse_with_order(src: DataFrame, keys, carriers: dict, groups: list) -> DataFrame:
     """Per key and column group: the last carrying event's values and its ordering.
 
@@ -267,5 +283,5 @@ def chunk(df: DataFrame, n: int, order, partition=None) -> DataFrame:
     return r.select(*df.columns, F.floor(F.col("_rn") / n).cast("int").alias("chunk"))
 
 
-__all__ = ["LOAD_LOG_SCHEMA", "merge_update", "touched_partitions", "load_state", "new_files", "forget_files", "log_rows", "load_metrics",
+__all__ = ["LOAD_LOG_SCHEMA", "merge_update", "collapse_source", "touched_partitions", "load_state", "new_files", "forget_files", "log_rows", "load_metrics",
            "dedup", "latest", "cap_per_type", "chunk"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -101,6 +102,33 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A ``materialize`` whose tables are deleted when the block ends.
+
+    Inside the block shuffle files are deleted too, as soon as the query that wrote
+    them ends (Spark else waits until the driver's garbage is collected).  So
+    every frame that shuffles is to be run once, or kept.
+    """
+    root = shared_path(spark, "materialized", f"{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+
+    def keep(df, what: str):
+        path = os.path.join(root, f"{what}-{uuid.uuid4().hex}")
+        df.write.mode("error").parquet(path)
+        return spark.read.parquet(path)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield keep
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 

@@ -91,7 +91,7 @@ def split_corrupt(df: DataFrame) -> tuple:
     """Q14/SNK7: (good rows, rejected rows with error_type) instead of failing the batch.
 
     Spark refuses raw-JSON scans that read nothing but the corrupt-record
-    column, so pass a persisted frame (the loader tick persists its batch).
+    column, so pass a persisted or written frame (the loader tick writes its batch).
     """
     bad = df.filter(F.col("_corrupt_record").isNotNull())
     good = df.filter(F.col("_corrupt_record").isNull())

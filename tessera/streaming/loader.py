@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators import load as L
 from ..operators import project as P
 from ..plans.dispatch import FACT_TABLES, REGISTRY, VERSION_TYPE, load_order, merge_groups
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch
 from ..sources.bronze import BRONZE_SCHEMA, split_corrupt, with_file
 from . import store as ST
 from .store import hadoop as _hadoop, names_in, read_table as _read_table, write_batch_partition as _write_batch_partition
@@ -124,8 +124,8 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
     store = (ST.Snapshot if atomic else ST.InPlace)(spark, warehouse, batch_id)
     if store.committed():
         return
-    batch = batch.persist()
-    try:
+    with scratch(spark, "tick") as keep:
+        batch = keep(batch, "batch")
         good, rejects = split_corrupt(batch)
         (rejects.withColumn("load_batch", F.lit(int(batch_id))).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("load_batch", "error_type")
@@ -135,7 +135,7 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
             F.count(F.lit(1)).alias("row_count"), _file_bytes(good))
         good = good.drop("s3_bytes")
         if across_ticks:
-            good = ST.drop_seen(good, f"{warehouse}/_seen", batch_id)
+            good = keep(ST.drop_seen(good, f"{warehouse}/_seen", batch_id), "new-events")
         _, fresh_unmapped = P.split_mapped(good, registry)
         _write_batch_partition(L.dedup(fresh_unmapped.drop("_corrupt_record"), "id", ["time", "s3_key"]),
                                f"{warehouse}/_unmapped", batch_id)
@@ -149,8 +149,8 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
                 taken_up = P.split_mapped(more, registry)[0].groupBy(F.col("type").alias("event_type"), "s3_key").agg(
                     F.count(F.lit(1)).alias("row_count"))
                 per_file = per_file.unionByName(taken_up, allowMissingColumns=True)
-        per_file = per_file.groupBy("event_type", "s3_key").agg(F.sum("row_count").alias("row_count"), F.max("bytes").alias("bytes"))
-        good = L.dedup(good, "id", ["time", "s3_key"])       # WIN1 inside the batch
+        per_file = keep(per_file.groupBy("event_type", "s3_key").agg(F.sum("row_count").alias("row_count"), F.max("bytes").alias("bytes")), "per-file")
+        good = _drop_repeats(good, keep)                     # WIN1 inside the batch
         mapped, _ = P.split_mapped(good, registry)
 
         present = [r["event_type"] for r in per_file.select("event_type").distinct().collect()]  # <= registry size
@@ -209,8 +209,17 @@ def load_tick(batch: DataFrame, batch_id: int, warehouse: str, registry: dict |
         (log.withColumn("tick", F.lit(int(batch_id))).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("tick").parquet(f"{warehouse}/_load_log"))
         store.commit()
-    finally:
-        batch.unpersist()
+
+
+def _drop_repeats(rows: DataFrame, keep) -> DataFrame:
+    """``load.dedup`` on the event id; only rows whose id occurs again (by its hash) are brought together, the others stay where they are."""
+    rows = rows.withColumn("_id_hash", F.xxhash64("id"))
+    hashes = rows.filter(F.col("id").isNotNull()).groupBy("_id_hash").agg(F.count(F.lit(1)).alias("n"))
+    again = keep(hashes.filter("n > 1").select("_id_hash"), "ids-again")
+    if again.isEmpty():
+        return rows.drop("_id_hash")
+    repeats = L.dedup(rows.join(again, "_id_hash", "left_semi").drop("_id_hash"), "id", ["time", "s3_key"])
+    return keep(rows.join(again, "_id_hash", "left_anti").drop("_id_hash").unionByName(repeats), "events")
 
 
 def _file_bytes(rows: DataFrame):
@@ -224,48 +233,52 @@ def _apply_merge(store, mapped, entries, tbl, tenant_scoped, merge_order, horizo
     Only the ``load_batch`` partitions that may hold a touched key are read
     (``key_index``), only those that hold one are rewritten.  Rows without a
     parent stay pending and are retried next tick instead of being dropped.
+
+    The rows are brought together by key once, to one row a key; searching,
+    merging and telling the keys without a parent all use those.
     """
     spark, warehouse, batch_id = store.spark, store.warehouse, store.batch_id
     key = entries[0].merge_key
     keys = (["tenant_id"] if tenant_scoped else []) + [key]
-    src = P.project_table(mapped, entries, tbl)
     pending_path = f"{warehouse}/_pending/{tbl}"
-    prev = pending_rows(spark, warehouse, tbl, batch_id)
-    if prev is not None:
-        src = L.dedup(src.unionByName(prev.select(*src.columns)), "event_id", ["event_time", "_event_type"])
-    has_key = F.lit(True)
-    for k in keys:
-        has_key = has_key & F.col(k).isNotNull()
-    _write_batch_partition(src.filter(~has_key), f"{warehouse}/_keyless/{tbl}", batch_id)
-    src = src.filter(has_key)
-    update_cols: dict = {}
-    for e in entries:
-        for c in e.update_columns():
-            update_cols.setdefault(c, []).append(e.event_type)
-    target = store.read(tbl)
-    if target is not None and horizon is not None:
-        target = target.filter(F.col("load_batch") >= int(batch_id) - int(horizon))   # partition pruning
-    if target is not None and key_index:
-        src = src.checkpoint()                     # asked for its keys now, merged later
-        index = f"{warehouse}/_key_index/{tbl}/{key}"
-        target = target.filter(F.col("load_batch").isin(sorted(ST.partitions_to_open(spark, index, src, key, store.batches(tbl)))))
-    # Everything derived from files this tick overwrites is settled
-    # (lineage cut into the shared checkpoint folder) before any write.
-    if target is None:
-        still = src.checkpoint()
-    else:
-        updated, _ = L.merge_update(target, src, update_cols, key, order=merge_order, tenant_scoped=tenant_scoped,
-                                    name_order=[e.event_type for e in entries],
-                                    versions=merge_groups(tbl, {e.event_type: e for e in entries}))
-        touched = L.touched_partitions(target, src, keys, ["load_batch"])
-        new_rows = store.settled(updated.join(touched, "load_batch", "left_semi"))
-        still = src.join(target.select(*keys).distinct(), keys, "left_anti").checkpoint()
-        store.rewrite(new_rows, tbl)
-    if resolve:
-        applied = src.join(still.select("event_id").distinct(), "event_id", "left_anti").select("event_id")
-        applied.filter(F.col("event_id").isNotNull()).write.parquet(f"{warehouse}/_resolved/{tbl}/run={uuid.uuid4().hex}")
-    else:
-        _write_version(still, pending_path, batch_id)
+    with scratch(spark, "merge") as keep:
+        src = P.project_table(mapped, entries, tbl)
+        prev = pending_rows(spark, warehouse, tbl, batch_id)
+        if prev is not None and not prev.isEmpty():
+            src = keep(L.dedup(src.unionByName(prev.select(*src.columns)), "event_id", ["event_time", "_event_type"]), "source")
+        has_key = F.lit(True)
+        for k in keys:
+            has_key = has_key & F.col(k).isNotNull()
+        _write_batch_partition(src.filter(~has_key), f"{warehouse}/_keyless/{tbl}", batch_id)
+        src = src.filter(has_key)
+        update_cols: dict = {}
+        for e in entries:
+            for c in e.update_columns():
+                update_cols.setdefault(c, []).append(e.event_type)
+        how = {"order": merge_order, "tenant_scoped": tenant_scoped, "name_order": [e.event_type for e in entries],
+               "versions": merge_groups(tbl, {e.event_type: e for e in entries})}
+        target = store.read(tbl)
+        if target is not None and horizon is not None:
+            target = target.filter(F.col("load_batch") >= int(batch_id) - int(horizon))   # partition pruning
+        if target is None:
+            still = src
+        else:
+            merges = keep(L.collapse_source(src, update_cols, key, **how), "merges")
+            if key_index:
+                index = f"{warehouse}/_key_index/{tbl}/{key}"
+                target = target.filter(F.col("load_batch").isin(sorted(ST.partitions_to_open(spark, index, merges, key, store.batches(tbl)))))
+            # Everything derived from files this tick overwrites is kept before any write.
+            updated, _ = L.merge_update(target, merges, update_cols, key, collapsed=True, **how)
+            touched = [r["load_batch"] for r in L.touched_partitions(target, merges, keys, ["load_batch"]).collect()]
+            new_rows = store.settled(updated.filter(F.col("load_batch").isin(touched)), keep)
+            orphans = keep(merges.select(*keys).join(target.select(*keys).distinct(), keys, "left_anti"), "orphans")
+            still = src.join(orphans, keys, "left_semi")
+            store.rewrite(new_rows, tbl)
+        if resolve:
+            applied = src.join(still.select("event_id").distinct(), "event_id", "left_anti").select("event_id")
+            applied.filter(F.col("event_id").isNotNull()).write.parquet(f"{warehouse}/_resolved/{tbl}/run={uuid.uuid4().hex}")
+        else:
+            _write_version(still, pending_path, batch_id)
 
 
 def deep_merge(spark: SparkSession, warehouse: str, batch_id: int, registry: dict | None = None,

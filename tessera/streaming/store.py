@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keyfilter
-from ..session import materialize
+from ..session import materialize, scratch
 
 FULL_EVERY = 50
 MANIFEST = "table string, load_batch long, path string, v long"
@@ -80,9 +80,9 @@ class InPlace:
         """The tick's own new partition."""
         write_batch_partition(df, f"{self.warehouse}/{table}", self.batch_id)
 
-    def settled(self, df: DataFrame) -> DataFrame:
+    def settled(self, df: DataFrame, keep) -> DataFrame:
         """Rows to rewrite, computed before the partitions they come from are overwritten."""
-        return df.checkpoint()
+        return keep(df, "rewritten")
 
     def rewrite(self, df: DataFrame, table: str) -> None:
         """Partitions (``load_batch``) that the tick changes."""
@@ -140,7 +140,7 @@ class Snapshot:
     def add(self, df: DataFrame, table: str) -> None:
         self.rewrite(df.withColumn("load_batch", F.lit(self.batch_id)), table)
 
-    def settled(self, df: DataFrame) -> DataFrame:
+    def settled(self, df: DataFrame, keep) -> DataFrame:
         return df                                    # nothing is overwritten
 
     def rewrite(self, df: DataFrame, table: str) -> None:
@@ -193,14 +193,15 @@ def write_key_index(rows: DataFrame, key: str, path: str, batch_id: int) -> None
 
     It stays right when a MERGE rewrites the partition, which never changes keys.
     """
-    keys = materialize(rows.select(F.col(key).cast("string").alias("key")).filter("key IS NOT NULL").distinct(), "merge-keys")
-    n, lo, hi = keys.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
-    bits = keyfilter.sized_bits(n)
-    blocks = keyfilter.filter_rows(keys, "key", bits)
-    if n == 0:                                       # known to hold no key
-        blocks = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("block"), *(F.lit(0).alias(w) for w in keyfilter.WORDS))
-    out = blocks.select("*", F.lit(bits).alias("bits"), F.lit(lo).cast("string").alias("lo"), F.lit(hi).cast("string").alias("hi"))
-    write_batch_partition(out, path, batch_id)
+    with scratch(rows.sparkSession, "key-index") as keep:
+        keys = keep(rows.select(F.col(key).cast("string").alias("key")).filter("key IS NOT NULL").distinct(), "merge-keys")
+        n, lo, hi = keys.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+        bits = keyfilter.sized_bits(n)
+        blocks = keyfilter.filter_rows(keys, "key", bits)
+        if n == 0:                                       # known to hold no key
+            blocks = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("block"), *(F.lit(0).alias(w) for w in keyfilter.WORDS))
+        out = blocks.select("*", F.lit(bits).alias("bits"), F.lit(lo).cast("string").alias("lo"), F.lit(hi).cast("string").alias("hi"))
+        write_batch_partition(out, path, batch_id)
 
 
 def partitions_to_open(spark: SparkSession, path: str, keys: DataFrame, key: str, stored: set[int]) -> set[int]:
@@ -213,17 +214,18 @@ def partitions_to_open(spark: SparkSession, path: str, keys: DataFrame, key: str
     if index is None:
         return stored
     indexed = {int(n.split("=", 1)[1]) for n in names_in(spark, path) if n.startswith("load_batch=")}
-    asked = keys.select(F.col(key).cast("string").alias("key")).filter("key IS NOT NULL").distinct()
-    lo, hi = asked.agg(F.min("key"), F.max("key")).first()
-    if lo is None:
-        return stored - indexed
-    index = index.filter((F.col("lo") <= hi) & (F.col("hi") >= lo))
-    sizes = [r["bits"] for r in index.select("bits").distinct().collect()]               # at most MAX_BITS numbers
-    if not sizes:
-        return stored - indexed
-    asked = asked.withColumn("bits", F.explode(F.array(*map(F.lit, sizes))))
-    hit = keyfilter.may_hold(asked, "key", index).filter("key BETWEEN lo AND hi").select("load_batch").distinct().collect()
-    return (stored - indexed) | ({r["load_batch"] for r in hit} & stored)
+    with scratch(spark, "asked-keys") as keep:
+        asked = keep(keys.select(F.col(key).cast("string").alias("key")).filter("key IS NOT NULL").distinct(), "keys")
+        lo, hi = asked.agg(F.min("key"), F.max("key")).first()
+        if lo is None:
+            return stored - indexed
+        index = index.filter((F.col("lo") <= hi) & (F.col("hi") >= lo))
+        sizes = [r["bits"] for r in index.select("bits").distinct().collect()]               # at most MAX_BITS numbers
+        if not sizes:
+            return stored - indexed
+        asked = asked.withColumn("bits", F.explode(F.array(*map(F.lit, sizes))))
+        hit = keyfilter.may_hold(asked, "key", index).filter("key BETWEEN lo AND hi").select("load_batch").distinct().collect()
+        return (stored - indexed) | ({r["load_batch"] for r in hit} & stored)
 
 
 # --------------------------------------------------------------------------

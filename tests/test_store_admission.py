@@ -3,6 +3,7 @@
 import json
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import keyfilter
 from tessera.operators import load as L
 from tessera.plans.dispatch import FactDispatch, make_registry
+from tessera.session import SHUFFLE_CLEANUP, ensure_checkpoint_dir
 from tessera.streaming import admission, loader, store
 from tessera.streaming.loader import load_tick
 
@@ -76,6 +78,52 @@ def test_tick_opens_only_partitions_that_may_hold_its_keys(spark, plain, monkeyp
     assert store.partitions_to_open(spark, f"{wh}/_key_index/fact_order/order_id", keys, "order_id", {0, 1, 3, 7}) == {1, 7}    # 7 has no index
 
 
+def disk_bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_ticks_leave_nothing_on_disk_but_the_warehouse(spark):
+    wh, shared = tempfile.mkdtemp(prefix="wh-"), ensure_checkpoint_dir(spark)
+    before, shuffled = disk_bytes(shared), shuffle_files(spark)
+    spark._jvm.java.lang.System.gc()
+    for n, rows in enumerate(ticks_of_orders()):
+        load_tick(batch(spark, rows), n, wh, REG, strict=True)
+    keys = spark.createDataFrame([("o3",)], "order_id string")
+    assert store.partitions_to_open(spark, f"{wh}/_key_index/fact_order/order_id", keys, "order_id", {0, 1, 3}) == {0}
+    assert disk_bytes(shared) == before                         # neither kept tables nor RDD checkpoints
+    for _ in range(100):                                        # executors delete them a moment after the query
+        if not (left := shuffle_files(spark) - shuffled):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
+def test_only_repeated_ids_are_brought_together(spark, tmp_path):
+    def keep(df, what):
+        path = str(tmp_path / what)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    once = [event(f"m{k}", "made", f"o{k}") for k in range(50)] + [event(None, "made", "n"), event(None, "made", "n")]
+    path = str(tmp_path / "once")
+    batch(spark, once).write.parquet(path)
+    df = loader._drop_repeats(spark.read.parquet(path), keep)
+    assert df.count() == 52 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    again = once + [event("m7", "made", "later", 5), event("m7", "made", "sooner", 0), event("m8", "made", "o8")]
+    df = batch(spark, again)
+    (tmp_path / "ids-again").rename(tmp_path / "ids-again-first")
+    got = loader._drop_repeats(df, keep)
+    cols = df.columns
+    want = L.dedup(df, "id", ["time", "s3_key"]).select(*cols)
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.collect()))
+    assert got.filter("id = 'm7'").select(F.get_json_object("data", "$.orderId")).collect() == [("sooner",)]
+
+
 class Stop(Exception):
     pass
 
